@@ -181,6 +181,12 @@ def round_prob(p: str | Column, digits: int = 4) -> Column:
     return F.round(_col(p), digits)
 
 
+def half_even_round(c: str | Column, digits: int = 2) -> Column:
+    """Round half to even on the scaled binary value (x * 10^d, rint, / 10^d), as array libraries do."""
+    scale = float(10 ** digits)
+    return F.rint(_col(c).cast("double") * F.lit(scale)) / F.lit(scale)
+
+
 def default_id(c: str | Column, default: str = "UNKNOWN") -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit(default))
 

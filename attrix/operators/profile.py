@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from .. import config as C
+from ..functions.columns import half_even_round
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -62,7 +63,7 @@ def null_profile(df: DataFrame, nonzero_only: bool = True) -> DataFrame:
     out = long.select(
         "column",
         F.col("null_count").cast("bigint").alias("null_count"),
-        F.round(F.lit(100.0) * F.col("null_count") / F.col("n"), 2).alias("null_pct"),
+        half_even_round(F.lit(100.0) * F.col("null_count") / F.col("n"), 2).alias("null_pct"),
     )
     return out.where("null_count > 0") if nonzero_only else out  # P6
 
@@ -116,7 +117,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
     long = _long(wide, cols, metrics)
     return long.select(
         "column", F.col("count").cast("bigint").alias("count"),
-        *[F.round(F.col(m), digits).alias(m) for m in metrics[1:]],
+        *[half_even_round(F.col(m), digits).alias(m) for m in metrics[1:]],
     )
 
 
@@ -135,7 +136,7 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None, digits: int =
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     return counts.select(
         "column", "value", "count",
-        F.round(F.lit(100.0) * F.col("count") / F.lit(n_total), digits).alias("pct"),
+        half_even_round(F.lit(100.0) * F.col("count") / F.lit(n_total), digits).alias("pct"),
     )
 
 
@@ -300,9 +301,8 @@ def split_summary(df: DataFrame, split_col: str = "split", target: str = C.TARGE
 
 
 # A21 -----------------------------------------------------------------------
-def exploration_report(raw: DataFrame, target: str = C.TARGET_COL, blank_col: str = "TotalCharges",
-                       by: str = "Tenure") -> DataFrame:
-    """A1 + A3 + A5 + A10 as long (metric, value) rows from one aggregation."""
+def exploration_report(raw: DataFrame, target: str = C.TARGET_COL, blank_col: str = "TotalCharges") -> DataFrame:
+    """A1 + A3 + A5 + A10 as long (metric, value) rows from ONE aggregation."""
     cols = raw.columns
     null_total = None
     for c in cols:
@@ -315,18 +315,16 @@ def exploration_report(raw: DataFrame, target: str = C.TARGET_COL, blank_col: st
         F.count_if(blank).alias("blank_count"),
         F.count_if(F.col(target) == "Yes").alias("n_yes"),
         F.count_if(F.col(target) == "No").alias("n_no"),
-        F.concat_ws(",", F.array_sort(F.collect_set(F.when(blank, F.col(by).cast("string"))))).alias("blank_tenures"),
     )
     items = [
-        ("rows", F.col("n_rows").cast("string")),
-        ("columns", F.lit(str(len(cols)))),
-        ("total_nulls", F.col("total_nulls").cast("string")),
-        ("blank_" + blank_col, F.col("blank_count").cast("string")),
-        ("blank_" + blank_col + "_" + by, F.col("blank_tenures")),
-        (target + "_Yes", F.col("n_yes").cast("string")),
-        (target + "_No", F.col("n_no").cast("string")),
-        (target + "_Yes_pct", F.format_number(F.lit(100.0) * F.col("n_yes") / F.col("n_rows"), 2)),
+        ("rows", F.col("n_rows")),
+        ("columns", F.lit(len(cols))),
+        ("total_nulls", F.col("total_nulls")),
+        ("blank_" + blank_col, F.col("blank_count")),
+        (target + "_Yes", F.col("n_yes")),
+        (target + "_No", F.col("n_no")),
+        (target + "_Yes_pct", half_even_round(F.lit(100.0) * F.col("n_yes") / F.col("n_rows"), 2)),
     ]
     return one.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in items
+        F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in items
     ])).alias("m")).select("m.*")

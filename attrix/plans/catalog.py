@@ -108,3 +108,7 @@ SELECT split, Churn, count(*) AS n_rows FROM with_folds GROUP BY split, Churn"""
 )
 def d1_split(spark, sf_dir):
     return common.split_table(spark, sf_dir).groupBy("split", C.TARGET_COL).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# Registration of the remaining query groups (import order = registry order).
+from . import catalog_profile  # noqa: E402,F401

@@ -47,3 +47,38 @@ def engineered_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, floa
     med = exact_median(s.where(F.col("split") == "train"), "TotalCharges")
     med = C.TOTAL_CHARGES_MEDIAN_FALLBACK if med is None else med
     return engineer_features(s, med), med
+
+
+def serving_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serving-shaped records of every customer: no label, PhoneService 0/1, numeric TotalCharges."""
+    from ..functions.columns import strict_map, to_number
+    from ..sources.snapshot import snapshot_wide
+
+    raw = snapshot_wide(spark, sf_dir)
+    cols = [c for c in raw.columns if c not in (C.TARGET_COL, "ChurnP", "ChurnObserved")]
+    return raw.select(*cols).withColumns({
+        "PhoneService": strict_map("PhoneService"),
+        "TotalCharges": to_number("TotalCharges"),
+    })
+
+
+def fitted(spark: SparkSession, sf_dir: str):
+    """Split + engineered table and a scoring bundle fitted on its train rows (fixed model)."""
+    from ..operators.models import FIXED_MODEL
+    from ..operators.prep import fit_prep
+    from ..operators.scoring import ScoringBundle
+
+    fe, med = engineered_splits(spark, sf_dir)
+    params = fit_prep(fe.where(F.col("split") == "train"), C.FE_CONFIG)
+    bundle = ScoringBundle(params=params, scorer=FIXED_MODEL, threshold=C.DEPLOYED_THRESHOLD,
+                           total_charges_median=med)
+    return fe, bundle
+
+
+def scored_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, split, fold, y, p, fairness columns) for every customer under the fixed model."""
+    fe, bundle = fitted(spark, sf_dir)
+    return fe.select(
+        C.KEY_COL, "split", "fold", F.col(C.TARGET_COL).alias("y"),
+        bundle.scorer.probability(bundle.params).alias("p"), *C.FAIRNESS_COLS,
+    )

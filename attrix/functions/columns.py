@@ -33,19 +33,21 @@ def label_flag(c: str | Column, positive: str = "Yes") -> Column:
 # X3 ------------------------------------------------------------------------
 def strict_map(c: str | Column, mapping: Mapping[str, int] = C.BINARY_VALUE_MAP) -> Column:
     """Dictionary map; values outside the dictionary (and NULL) become NULL."""
+    x = _col(c).cast("string")
     expr = None
     for k, v in mapping.items():
-        expr = (F.when(_col(c) == k, F.lit(v)) if expr is None else expr.when(_col(c) == k, F.lit(v)))
+        expr = (F.when(x == k, F.lit(v)) if expr is None else expr.when(x == k, F.lit(v)))
     return expr.otherwise(F.lit(None).cast("int"))
 
 
 # X4 ------------------------------------------------------------------------
 def lenient_map(c: str | Column, mapping: Mapping[str, int] = C.BINARY_VALUE_MAP) -> Column:
     """Dictionary map that keeps unmapped values (0/1 pass through as numbers)."""
+    x = _col(c).cast("string")
     expr = None
     for k, v in mapping.items():
-        expr = (F.when(_col(c) == k, F.lit(v)) if expr is None else expr.when(_col(c) == k, F.lit(v)))
-    return expr.otherwise(_col(c).cast("string").try_cast("int"))
+        expr = (F.when(x == k, F.lit(v)) if expr is None else expr.when(x == k, F.lit(v)))
+    return expr.otherwise(x.try_cast("int"))
 
 
 def lenient_map_columns(df: DataFrame, cols: Sequence[str] = C.BINARY_MAP_COLS,

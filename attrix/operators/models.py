@@ -48,7 +48,7 @@ def logistic_regression(C_: float = 1.0, l1_ratio: float = 0.0, max_iter: int =
     reg = 1.0 / (C_ * weight_sum) if weight_sum else 1.0 / C_
     return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                               regParam=reg, elasticNetParam=float(l1_ratio), maxIter=max_iter,
-                              standardization=False, fitIntercept=True, tol=1e-8)
+                              standardization=False, fitIntercept=True, tol=1e-6)
 
 
 def random_forest(n_trees: int = 300, seed: int = C.RANDOM_STATE, max_depth: int = 12):

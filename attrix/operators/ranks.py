@@ -52,28 +52,35 @@ def stratum_sizes(df: DataFrame, by: Sequence[str], out: str = "_n") -> DataFram
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
 
 
-def cum_counts(scored: DataFrame, score: str = "p", label: str = "y", n_buckets: int = 64,
-               accuracy: int = 10000) -> DataFrame:
+def cum_counts(scored: DataFrame, score: str = "p", label: str = "y", rows_per_bucket: int = 1_000_000,
+               max_buckets: int = 4096, accuracy: int = 10000) -> DataFrame:
     """Per distinct score (descending): pos, neg and cumulative tp/fp including that score.
 
-    Scores are first grouped (partial aggregation), then cut into range
-    buckets by approximate quantiles so skewed score distributions still
-    spread; prefix sums run per bucket plus a broadcast bucket offset.
+    Scores are first grouped (partial aggregation), so the row-level table
+    becomes one row per distinct score. When there are more distinct scores
+    than ``rows_per_bucket``, they are cut into range buckets at approximate
+    quantiles (skewed score distributions still spread) and the prefix sums
+    run per bucket plus a broadcast bucket offset; otherwise one bounded
+    partition holds them all.
     """
     grouped = scored.groupBy(F.col(score).alias("score")).agg(
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("bigint").alias("neg"),
+        F.count_if(F.col(label) == 1).alias("pos"),
+        F.count_if(~(F.col(label) == 1) | F.col(label).isNull()).alias("neg"),
     )
+    n_distinct = grouped.count()
+    n_buckets = min(max_buckets, -(-n_distinct // rows_per_bucket))
+    if n_buckets <= 1:
+        # at most rows_per_bucket rows: an unpartitioned window over a bounded table
+        w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return grouped.select("score", "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
     edges = grouped.approxQuantile("score", [i / n_buckets for i in range(1, n_buckets)], 1.0 / accuracy)
     edges = sorted(set(e for e in edges if e is not None))
     # _b = number of edges above the score: ascending _b is descending score
-    bexpr = F.lit(0)
-    for e in edges:
-        bexpr = bexpr + (F.col("score") < F.lit(e)).cast("int")
-    tagged = grouped.withColumn("_b", bexpr)
+    arr = F.array(*[F.lit(float(e)) for e in edges])
+    tagged = grouped.withColumn("_b", F.size(F.filter(arr, lambda e: F.col("score") < e)))
     tot = tagged.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wo = Window.orderBy("_b")
-    # tot has at most n_buckets rows: the unpartitioned window runs on a bounded table
+    # tot has at most max_buckets rows: the unpartitioned window runs on a bounded table
     offs = tot.select("_b", (F.sum("_bp").over(wo) - F.col("_bp")).alias("_op"),
                       (F.sum("_bn").over(wo) - F.col("_bn")).alias("_on"))
     j = tagged.join(F.broadcast(offs), "_b")

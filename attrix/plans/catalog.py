@@ -112,3 +112,5 @@ def d1_split(spark, sf_dir):
 
 # Registration of the remaining query groups (import order = registry order).
 from . import catalog_profile  # noqa: E402,F401
+from . import catalog_model  # noqa: E402,F401
+from . import catalog_training  # noqa: E402,F401

@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from .. import config as C
 from ..functions.columns import clean, engineer_features
 from ..operators.split import assign_folds, stratified_split
+from ..session import scratch_path
 from ..sources.customer import load_joined, source_tables
 
 
@@ -37,13 +38,28 @@ def exact_median(df: DataFrame, col: str) -> float | None:
 
 
 def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1 + D2 over the cleaned table: adds ``split`` and ``fold``."""
+    """D1 + D2 over the cleaned table: adds ``split`` and ``fold`` (lazy plan)."""
     return assign_folds(stratified_split(cleaned(spark, sf_dir)))
 
 
+def prepared_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split table written once (parquet partitioned by ``split`` in the shared folder) and read back.
+
+    This is the single materialisation point of the preparation plan: the
+    fits, medians and scoring jobs that follow read the written table (with
+    partition pruning on ``split``) instead of re-running scan, joins and
+    ranks, and a lost executor only recomputes from this table.
+    """
+    from ..sources.sinks import write_splits
+    from ..sources.tables import read_splits
+
+    path = write_splits(split_table(spark, sf_dir), scratch_path(spark, "splits"))
+    return read_splits(spark, path)
+
+
 def engineered_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
     """Split table with engineered features; TotalCharges filled with the train median."""
-    s = split_table(spark, sf_dir)
+    s = prepared_splits(spark, sf_dir)
     med = exact_median(s.where(F.col("split") == "train"), "TotalCharges")
     med = C.TOTAL_CHARGES_MEDIAN_FALLBACK if med is None else med
     return engineer_features(s, med), med
@@ -52,9 +68,9 @@ def engineered_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, floa
 def serving_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serving-shaped records of every customer: no label, PhoneService 0/1, numeric TotalCharges."""
     from ..functions.columns import strict_map, to_number
-    from ..sources.snapshot import snapshot_wide
+    from ..sources.customer import snapshot_table
 
-    raw = snapshot_wide(spark, sf_dir)
+    raw = snapshot_table(spark, sf_dir)
     cols = [c for c in raw.columns if c not in (C.TARGET_COL, "ChurnP", "ChurnObserved")]
     return raw.select(*cols).withColumns({
         "PhoneService": strict_map("PhoneService"),

@@ -33,9 +33,22 @@ def split_sources(wide: DataFrame, layout: Mapping[str, Sequence[str]] = SOURCE_
     return {name: wide.select(*cols) for name, cols in layout.items()}
 
 
+def snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived wide customer table, written once to the shared folder and read back.
+
+    Later stages (three source selects, joins, ranks, fits) read this table
+    instead of re-running the order/line-item aggregation for each use.
+    """
+    from ..session import scratch_path
+
+    path = scratch_path(spark, "snapshot")
+    snapshot_wide(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The three attrition source tables derived from the driver tables."""
-    return split_sources(snapshot_wide(spark, sf_dir))
+    return split_sources(snapshot_table(spark, sf_dir))
 
 
 def load_joined(tables: Mapping[str, DataFrame], key: str = C.KEY_COL,

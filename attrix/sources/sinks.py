@@ -14,7 +14,8 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split") -> str:
 
 def write_csv(df: DataFrame, path: str) -> str:
     """S3: CSV with header, no index column."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    (df.write.mode("overwrite").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 

@@ -60,14 +60,14 @@ def spark_query(q: Query) -> Callable[[SparkSession, str], DataFrame]:
 # ---------------------------------------------------------------------------
 # Sources and joins
 # ---------------------------------------------------------------------------
-@register("s4_split_sources_usage", sql=with_ctes(snapshot_ctes()) + "\nSELECT * FROM usage_t",
+@register("s04_split_sources_usage", sql=with_ctes(snapshot_ctes()) + "\nSELECT * FROM usage_t",
           doubles=("MonthlyCharges",))
 def s4_usage(spark, sf_dir):
     from ..sources.customer import source_tables
     return source_tables(spark, sf_dir)["usage"]
 
 
-@register("s9_load_joined", sql=with_ctes(joined_ctes()) + "\nSELECT * FROM joined", doubles=("MonthlyCharges",))
+@register("s09_load_joined", sql=with_ctes(joined_ctes()) + "\nSELECT * FROM joined", doubles=("MonthlyCharges",))
 def s9_joined(spark, sf_dir):
     return common.joined(spark, sf_dir)
 
@@ -102,7 +102,7 @@ def a14_rate_by_contract(spark, sf_dir):
 
 
 @register(
-    "d1_stratified_split",
+    "d01_stratified_split",
     sql=with_ctes(joined_ctes(), split_ctes()) + """
 SELECT split, Churn, count(*) AS n_rows FROM with_folds GROUP BY split, Churn""",
 )

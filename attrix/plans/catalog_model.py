@@ -39,14 +39,14 @@ def _val(spark, sf_dir):
 
 
 # D2 ------------------------------------------------------------------------
-@register("d2_stratified_folds", sql=WS + """
+@register("d02_stratified_folds", sql=WS + """
 SELECT fold, Churn, count(*) AS n_rows FROM with_folds WHERE split = 'train' GROUP BY fold, Churn""")
 def d2(spark, sf_dir):
     return _train(common.split_table(spark, sf_dir)).groupBy("fold", C.TARGET_COL).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 # F1 / F2 (stage-4 imputers) --------------------------------------------------
-@register("f1_median_imputer", sql=WS + "\n" + union([
+@register("f01_median_imputer", sql=WS + "\n" + union([
     f"SELECT '{c}' AS \"column\", median(CAST({c} AS DOUBLE)) AS median FROM with_folds WHERE split = 'train'"
     for c in C.PREP_NUMERIC_COLS]), doubles=("median",))
 def f1(spark, sf_dir):
@@ -54,7 +54,7 @@ def f1(spark, sf_dir):
     return spark.createDataFrame([(c, p.medians[c]) for c in p.numeric_cols], "column string, median double")
 
 
-@register("f2_mode_imputer", sql=WS + "\n" + union([
+@register("f02_mode_imputer", sql=WS + "\n" + union([
     f"""SELECT '{c}' AS "column", (SELECT first(v ORDER BY n DESC, v) FROM
         (SELECT {c} AS v, count(*) AS n FROM with_folds WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c})) AS mode"""
     for c in C.PREP_CATEGORICAL_COLS]))
@@ -67,7 +67,7 @@ def f2(spark, sf_dir):
 WFE = WS + fe_ctes("with_folds", "(SELECT median(TotalCharges) FROM with_folds WHERE split = 'train')", name="fe_s")
 
 
-@register("f3_scaler_params", sql=WFE + "\n" + union([
+@register("f03_scaler_params", sql=WFE + "\n" + union([
     f"SELECT '{c}' AS \"column\", avg(CAST({c} AS DOUBLE)) AS mean, stddev_pop(CAST({c} AS DOUBLE)) AS std "
     f"FROM fe_s WHERE split = 'train'" for c in C.FE_NUMERIC_COLS]), doubles=("mean", "std"))
 def f3(spark, sf_dir):
@@ -83,7 +83,7 @@ def _cats_sql(table: str = "fe_s") -> str:
         for i, c in enumerate(C.FE_CATEGORICAL_COLS)])
 
 
-@register("f4_onehot_categories", sql=WFE + f"\nSELECT \"column\", category, position FROM ({_cats_sql()})")
+@register("f04_onehot_categories", sql=WFE + f"\nSELECT \"column\", category, position FROM ({_cats_sql()})")
 def f4(spark, sf_dir):
     _, bundle = common.fitted(spark, sf_dir)
     p = bundle.params
@@ -101,13 +101,13 @@ def _names_sql() -> str:
     return union([num, cats, nb])
 
 
-@register("f6_feature_names", sql=WFE + "\n" + _names_sql())
+@register("f06_feature_names", sql=WFE + "\n" + _names_sql())
 def f6(spark, sf_dir):
     _, bundle = common.fitted(spark, sf_dir)
     return feature_names_table(spark, bundle.params)
 
 
-@register("f8_median_lookup", sql=WS + f"""
+@register("f08_median_lookup", sql=WS + f"""
 SELECT coalesce(median(TotalCharges), {ES.dl(C.TOTAL_CHARGES_MEDIAN_FALLBACK)}) AS total_charges_median
 FROM with_folds WHERE split = 'train'""", doubles=("total_charges_median",))
 def f8(spark, sf_dir):
@@ -138,14 +138,14 @@ cats AS (SELECT *, row_number() OVER (ORDER BY col_order, position) - 1 AS gpos
 """ + union(parts)
 
 
-@register("f5_feature_matrix", sql=_matrix_sql(), doubles=("value",))
+@register("f05_feature_matrix", sql=_matrix_sql(), doubles=("value",))
 def f5(spark, sf_dir):
     fe, bundle = common.fitted(spark, sf_dir)
     m = apply_prep(fe, bundle.params, keep=[C.KEY_COL, "split"])
     return m.select(C.KEY_COL, "split", F.posexplode("features").alias("idx", "value")).withColumn("idx", F.col("idx").cast("int"))
 
 
-@register("f7_fit_apply_separation", sql=WSC.replace("scored AS (", "unused_scored AS (") + "\n" + union([
+@register("f07_fit_apply_separation", sql=WSC.replace("scored AS (", "unused_scored AS (") + "\n" + union([
     f"SELECT f.split, '{c}' AS \"column\", avg((CAST(f.{c} AS DOUBLE) - s.mu_{c}) / "
     f"CASE WHEN s.sd_{c} = 0 OR s.sd_{c} IS NULL THEN {ONE} ELSE s.sd_{c} END) AS mean_scaled "
     f"FROM fe_s f CROSS JOIN train_stats s GROUP BY f.split" for c in C.FE_NUMERIC_COLS]), doubles=("mean_scaled",))
@@ -313,7 +313,7 @@ SELECT threshold, roc_auc, recall_pass, roc_auc_pass, precision_pass, f1_pass, k
           doubles=("threshold", "roc_auc"))
 def e12(spark, sf_dir):
     return _comparison(spark, sf_dir).select("threshold", "roc_auc", "recall_pass", "roc_auc_pass", "precision_pass",
-                                             "f1_pass", "kpi_passes")
+                                             "f01_pass", "kpi_passes")
 
 
 @register("e13_recommended_threshold", sql=WSC + f"""
@@ -347,7 +347,7 @@ FROM ({union(parts)})"""
 
 
 @register("e14_subgroup_fairness", sql=WSC + "\n" + _fair_sql(),
-          doubles=("actual_churn_rate", "selection_rate", "recall", "precision", "f1_score"))
+          doubles=("actual_churn_rate", "selection_rate", "recall", "precision", "f01_score"))
 def e14(spark, sf_dir):
     return E.subgroup_fairness(_test(spark, sf_dir), DT)
 

@@ -8,7 +8,7 @@ aggregation (partial aggregation map-side).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,17 +21,51 @@ from .prep import PrepParams
 
 @dataclass
 class ScoringBundle:
-    """Everything a scoring job needs: fitted parameters, model, threshold, train median."""
+    """Everything a scoring job needs: fitted parameters, model, threshold, train median.
+
+    The Column expressions of the scoring plan are built once per input
+    layout and reused for every batch, so a request costs a few ``select``s
+    (one analysis each) instead of rebuilding hundreds of expressions.
+    """
 
     params: PrepParams
     scorer: LinearScorer | None = None
     ml_model: object | None = None
     threshold: float = C.DEPLOYED_THRESHOLD
     total_charges_median: float = C.TOTAL_CHARGES_MEDIAN_FALLBACK
+    _cache: dict = field(default_factory=dict, repr=False)
+
+    def engineered_columns(self, columns: tuple[str, ...]) -> list:
+        """One projection: serving map (X4) + median fill (X5) + engineered columns."""
+        key = ("fe", columns)
+        if key not in self._cache:
+            mapped = {c: X.lenient_map(c) for c in C.BINARY_MAP_COLS if c in columns}
+            filled = X.fill_null("TotalCharges", float(self.total_charges_median))
+            phone = mapped.get("PhoneService", F.col("PhoneService"))
+            avg = X.avg_monthly_spend(total=filled)
+            out = []
+            for c in columns:
+                if c in C.DROP_WEAK_COLS:
+                    continue
+                if c == "TotalCharges":
+                    out.append(filled.alias(c))
+                elif c in mapped:
+                    out.append(mapped[c].alias(c))
+                else:
+                    out.append(F.col(c))
+            out += [X.total_services(phone=phone).alias("TotalServices"), avg.alias("AvgMonthlySpend"),
+                    X.charge_diff(avg=avg).alias("ChargeDiff"), X.tenure_bucket().alias("TenureBucket")]
+            self._cache[key] = out
+        return self._cache[key]
+
+    def probability_column(self):
+        if "p" not in self._cache:
+            self._cache["p"] = self.scorer.probability(self.params).alias("churn_probability")
+        return self._cache["p"]
 
     def probability(self, engineered: DataFrame) -> DataFrame:
         if self.scorer is not None:
-            return engineered.withColumn("churn_probability", self.scorer.probability(self.params))
+            return engineered.select("*", self.probability_column())
         from pyspark.ml.functions import array_to_vector, vector_to_array
 
         from .prep import feature_exprs
@@ -44,28 +78,35 @@ class ScoringBundle:
 
 def predict_raw(df: DataFrame, bundle: ScoringBundle) -> DataFrame:
     """Input columns + churn_probability + churn_prediction (decision on the unrounded value)."""
-    mapped = X.lenient_map_columns(df)  # X4: serving map keeps unmapped values
-    fe = X.engineer_features(mapped, bundle.total_charges_median)  # X5-X10
+    fe = df.select(*bundle.engineered_columns(tuple(df.columns)))  # X4 + X5-X10 in one projection
     scored = bundle.probability(fe)
-    return scored.withColumn("churn_prediction", X.decision("churn_probability", bundle.threshold))
+    return scored.select("*", X.decision("churn_probability", bundle.threshold).alias("churn_prediction"))
 
 
 def to_response(scored: DataFrame, threshold: float, key: str = C.KEY_COL) -> DataFrame:
     """(customer_id, rounded probability, prediction, label, threshold, risk tier)."""
-    kcol = F.col(key) if key in scored.columns else F.lit(None).cast("string")
-    return scored.select(
+    return scored.select(*_response_columns(key in scored.columns, threshold, key))
+
+
+def score_records(df: DataFrame, bundle: ScoringBundle, key: str = C.KEY_COL) -> DataFrame:
+    """I2 over I1 (response expressions built once per bundle and input layout)."""
+    scored = predict_raw(df, bundle)
+    ck = ("resp", key, key in scored.columns)
+    if ck not in bundle._cache:
+        bundle._cache[ck] = _response_columns(key in scored.columns, bundle.threshold, key)
+    return scored.select(*bundle._cache[ck])
+
+
+def _response_columns(has_key: bool, threshold: float, key: str) -> list:
+    kcol = F.col(key) if has_key else F.lit(None).cast("string")
+    return [
         X.default_id(kcol).alias("customer_id"),
         X.round_prob("churn_probability").alias("churn_probability"),
         F.col("churn_prediction"),
         X.label_text("churn_prediction").alias("churn_label"),
         F.lit(float(threshold)).alias("decision_threshold"),
         X.risk_tier("churn_probability", threshold).alias("risk_tier"),
-    )
-
-
-def score_records(df: DataFrame, bundle: ScoringBundle, key: str = C.KEY_COL) -> DataFrame:
-    """I2 over I1."""
-    return to_response(predict_raw(df, bundle), bundle.threshold, key)
+    ]
 
 
 def batch_summary(responses: DataFrame) -> DataFrame:

@@ -16,7 +16,14 @@ from .ranks import dist_rank, hash32
 
 
 def stratified_split(df: DataFrame, key: str = C.KEY_COL, stratum: str = C.TARGET_COL,
-                     fractions=C.SPLIT_FRACTIONS, seed: int = C.RANDOM_STATE, out: str = "split") -> DataFrame:
+                     fractions=C.SPLIT_FRACTIONS, seed: int = C.RANDOM_STATE, out: str = "split",
+                     k: int | None = None, fold_col: str = "fold") -> DataFrame:
+    """70/15/15 per class by hash rank; with ``k`` also the stratified fold of each training row.
+
+    Training rows are the first ranks of each class in hash order, so the
+    round-robin ``(rank - 1) % k`` over that same order is a class-balanced
+    shuffled k-fold without a second rank computation.
+    """
     tr, va, _ = fractions
     a, b = int(round(tr * 100)), int(round((tr + va) * 100))
     hashed = df.withColumn("_h", hash32(F.col(key), f"split{seed}"))
@@ -28,7 +35,10 @@ def stratified_split(df: DataFrame, key: str = C.KEY_COL, stratum: str = C.TARGE
     cut_train = F.floor((F.lit(a) * n + 50) / 100)
     cut_val = F.floor((F.lit(b) * n + 50) / 100)
     label = F.when(F.col("_r") <= cut_train, "train").when(F.col("_r") <= cut_val, "val").otherwise("test")
-    return j.withColumn(out, label).drop("_h", "_r", "_n")
+    j = j.withColumn(out, label)
+    if k:
+        j = j.withColumn(fold_col, F.when(F.col(out) == "train", ((F.col("_r") - 1) % k).cast("int")))
+    return j.drop("_h", "_r", "_n")
 
 
 def assign_folds(df: DataFrame, key: str = C.KEY_COL, stratum: str = C.TARGET_COL, k: int = C.N_FOLDS,

@@ -39,7 +39,7 @@ def exact_median(df: DataFrame, col: str) -> float | None:
 
 def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 + D2 over the cleaned table: adds ``split`` and ``fold`` (lazy plan)."""
-    return assign_folds(stratified_split(cleaned(spark, sf_dir)))
+    return stratified_split(cleaned(spark, sf_dir), k=C.N_FOLDS)
 
 
 def prepared_splits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,19 +69,14 @@ ranked AS (
   FROM {source}
 ),
 splitted AS (
-  SELECT * EXCLUDE (_r, _n),
+  SELECT * EXCLUDE (_n),
     CASE WHEN _r <= (({a} * _n + 50) // 100) THEN 'train'
          WHEN _r <= (({b} * _n + 50) // 100) THEN 'val' ELSE 'test' END AS split
   FROM ranked
 ),
-fold_ranked AS (
-  SELECT CustomerID,
-    row_number() OVER (PARTITION BY Churn ORDER BY {hash_sql('CustomerID', f'fold{seed}')}, CustomerID) AS _fr
-  FROM splitted WHERE split = 'train'
-),
 with_folds AS (
-  SELECT s.*, CAST(CASE WHEN s.split = 'train' THEN (f._fr - 1) % {k} END AS INTEGER) AS fold
-  FROM splitted s LEFT JOIN fold_ranked f USING (CustomerID)
+  SELECT * EXCLUDE (_r), CAST(CASE WHEN split = 'train' THEN (_r - 1) % {k} END AS INTEGER) AS fold
+  FROM splitted
 )"""
 
 

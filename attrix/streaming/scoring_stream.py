@@ -23,10 +23,12 @@ from ..operators.scoring import ScoringBundle, batch_summary, score_records
 
 def start_scoring_stream(spark: SparkSession, landing: str, schema: StructType, bundle: ScoringBundle,
                          out_dir: str, available_now: bool = True, fmt: str = "parquet",
-                         max_files_per_trigger: int = 1):
+                         max_files_per_trigger: int | None = None):
     """Start the stream; returns the ``StreamingQuery`` (call ``awaitTermination`` for availableNow)."""
-    src = (spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files_per_trigger)
-           .load(landing))
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.load(landing)
     scored_dir = os.path.join(out_dir, "scored")
     quarantine_dir = os.path.join(out_dir, "quarantine")
     summary_dir = os.path.join(out_dir, "summary")

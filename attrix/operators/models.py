@@ -105,7 +105,7 @@ def cv_scores(data: DataFrame, make_estimator, k: int = C.N_FOLDS, fold_col: str
 
 def summarize_cv(spark, rows_by_model: Mapping[str, list[dict]]) -> DataFrame:
     """M7: mean and population std per model and metric."""
-    flat = [(m, r["fold"], float(r["recall"]), float(r["roc_auc"] or 0.0), float(r["precision"]), float(r["f1"]))
+    flat = [(m, int(r["fold"]), float(r["recall"]), float(r["roc_auc"] or 0.0), float(r["precision"]), float(r["f1"]))
             for m, rows in rows_by_model.items() for r in rows]
     df = spark.createDataFrame(flat, "model string, fold int, recall double, roc_auc double, precision double, f1 double")
     aggs = []

@@ -283,8 +283,10 @@ def s08(spark, sf_dir):
     """Records packed as JSON arrays of bounded batches, ingested with from_json + explode, then scored."""
     bundle, recs = _bundle_and_records(spark, sf_dir)
     n = recs.count()
-    n_batches = max(1, -(-n // 100))  # about 100 records per payload; hashing spreads the keys evenly
-    payloads = (recs.withColumn("_batch", F.abs(F.hash(C.KEY_COL)) % n_batches)
+    n_batches = max(1, -(-n // 100))  # about 100 records per payload
+    # spread by a per-row id (not the key): even a key holding a third of the rows is cut into small payloads
+    row_id = F.xxhash64(F.col(C.KEY_COL), F.monotonically_increasing_id())
+    payloads = (recs.withColumn("_batch", F.pmod(row_id, F.lit(n_batches)))
                 .groupBy("_batch").agg(F.to_json(F.collect_list(F.struct(*recs.columns))).alias("payload")))
     path = scratch_path(spark, "payloads")
     payloads.write.mode("overwrite").parquet(path)

@@ -27,7 +27,7 @@ register("m06_boosted_trees")(_val_predictions("boosted_trees", {"rounds": 300,
 @register("m07_cv_scores")
 def m07(spark, sf_dir):
     data, _ = T.model_data(spark, sf_dir)
-    return T.cv_summary(spark, data)
+    return T.cv_summary(spark, data, sf_dir=sf_dir)
 
 
 @register("m08_validation_scores")
@@ -40,7 +40,7 @@ def m08(spark, sf_dir):
 def m09(spark, sf_dir):
     """J2 + M9: CV summary left-joined with validation scores on ``model``; best by CV recall flagged."""
     data, _ = T.model_data(spark, sf_dir)
-    cv = T.cv_summary(spark, data)
+    cv = T.cv_summary(spark, data, sf_dir=sf_dir)
     val = T.validation_scores(spark, data).select("model", *[F.col(c).alias(f"val_{c}") for c in
                                                              ("recall", "roc_auc", "precision", "f1")])
     comp = cv.join(val, "model", "left")  # both sides: one row per model

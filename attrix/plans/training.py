@@ -91,9 +91,19 @@ def cross_validate(data: DataFrame, tasks: list[tuple[str, dict]], k: int = C.N_
     return out
 
 
-def cv_summary(spark: SparkSession, data: DataFrame, parallelism: int = 8) -> DataFrame:
-    """M7: mean and population std of recall / ROC-AUC / precision / F1 per model."""
-    res = cross_validate(data, [(m, {}) for m in MODELS], parallelism=parallelism)
+def cv_summary(spark: SparkSession, data: DataFrame, parallelism: int = 8, sf_dir: str | None = None) -> DataFrame:
+    """M7: mean and population std of recall / ROC-AUC / precision / F1 per model (fold scores saved as an artifact)."""
+    path = _artifact_path(spark, sf_dir, "cv_scores") if sf_dir else None
+    if path and os.path.exists(path):
+        with open(path) as fh:
+            res = json.load(fh)
+    else:
+        res = cross_validate(data, [(m, {}) for m in MODELS], parallelism=parallelism)
+        res = [[{k: (float(v) if v is not None else None) for k, v in r.items()} for r in rows] for rows in res]
+        if path:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w") as fh:
+                json.dump(res, fh)
     return M.summarize_cv(spark, dict(zip(MODELS, res)))
 
 

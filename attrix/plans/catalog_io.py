@@ -392,3 +392,75 @@ def s06(spark, sf_dir):
         F.get_json_object("report_json", "$.test_samples").cast("double").alias("test_samples"),
         F.get_json_object("report_json", "$.roc_auc").cast("double").alias("roc_auc"),
         F.get_json_object("report_json", "$.recommended_threshold").cast("double").alias("recommended_threshold"))
+
+
+# Dedicated checks for ids otherwise exercised inside other queries -------------
+@register("j01_inner_equi_join", sql=W + """
+SELECT ContractType, count(*) AS n_rows, count(DISTINCT CustomerID) AS n_keys FROM joined GROUP BY ContractType""")
+def j01(spark, sf_dir):
+    """Three-way inner equi-join on the key; rows and distinct keys per contract type."""
+    j = load_joined(source_tables(spark, sf_dir))
+    return j.groupBy("ContractType").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(C.KEY_COL).alias("n_keys"))
+
+
+@register("p06_nonzero_filter", sql=W + "\nSELECT * FROM (\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') AS n_missing FROM joined"
+    for c in ["CustomerID", "Tenure", "ContractType", "PaymentMethod", "PaperlessBilling", "Churn", "Gender", "SeniorCitizen",
+              "Dependents", "Partner", "MonthlyCharges", "TotalCharges", "PhoneService", "MultipleLines", "InternetService",
+              "OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies"])
+    + "\n) WHERE n_missing > 0")
+def p06(spark, sf_dir):
+    """A per-column profile of missing-or-blank cells, keeping only the non-zero entries."""
+    j = common.joined(spark, sf_dir)
+    wide = j.agg(*[F.count_if(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).alias(c) for c in j.columns])
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_missing"))
+                                          for c in j.columns])).alias("x")).select("x.*")
+    return long.where(F.col("n_missing") > 0)
+
+
+@register("p10_columns_by_dtype", sql=W + """
+SELECT kind, count(*) AS n_columns, sum(non_null) AS non_null_cells FROM (
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{'numeric' if c in ('Tenure', 'SeniorCitizen', 'MonthlyCharges', 'TotalCharges', 'Churn', 'PaperlessBilling', 'Dependents', 'Partner', 'PhoneService', 'Gender') else 'string'}' AS kind, count({c}) AS non_null FROM cleaned"
+    for c in ["CustomerID", "Tenure", "ContractType", "PaymentMethod", "PaperlessBilling", "Churn", "Gender", "SeniorCitizen",
+              "Dependents", "Partner", "MonthlyCharges", "TotalCharges", "PhoneService", "MultipleLines", "InternetService",
+              "OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies"])
+    + "\n) GROUP BY kind")
+def p10(spark, sf_dir):
+    """P10: columns split by schema type (numeric vs string) with their non-null cell counts."""
+    from ..operators.profile import numeric_columns, string_columns
+    t = common.cleaned(spark, sf_dir)
+    kinds = {**{c: "numeric" for c in numeric_columns(t)}, **{c: "string" for c in string_columns(t)}}
+    counts = t.agg(*[F.count(F.col(c)).alias(c) for c in kinds])
+    long = counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("non_null"))
+                                            for c, k in kinds.items()])).alias("x")).select("x.*")
+    return long.groupBy("kind").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("non_null").cast("bigint").alias("non_null_cells"))
+
+
+@register("s03_csv_sink", sql=with_ctes(joined_ctes(), split_ctes()) + """
+SELECT split, count(*) AS n_rows, sum(Churn) AS n_positive, count(TotalCharges) AS n_total_charges FROM with_folds GROUP BY split""")
+def s03(spark, sf_dir):
+    """S3: the prepared splits written as CSV partitioned by split (no index column) and read back typed."""
+    s = common.split_table(spark, sf_dir)
+    path = scratch_path(spark, "csv_splits")
+    (s.write.mode("overwrite").option("header", True).partitionBy("split").csv(path))
+    back = spark.read.option("header", True).schema(
+        s.drop("split").schema).csv(path)  # partition column split is recovered from the folder names
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("Churn").cast("bigint").alias("n_positive"),
+                                     F.count("TotalCharges").alias("n_total_charges"))
+
+
+@register("s07_json_metadata_source", sql=with_ctes(joined_ctes(), split_ctes()) + fe_ctes(
+    "with_folds", "(SELECT median(TotalCharges) FROM with_folds WHERE split = 'train')", name="fe_s") + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", avg(CAST({c} AS DOUBLE)) AS mean, stddev_pop(CAST({c} AS DOUBLE)) AS std "
+    f"FROM fe_s WHERE split = 'train'" for c in C.FE_NUMERIC_COLS), doubles=("mean", "std"))
+def s07(spark, sf_dir):
+    """S6 + S7: fitted parameters saved as a JSON document and read back with a fixed schema."""
+    _, bundle = common.fitted(spark, sf_dir)
+    path = scratch_path(spark, "params") + "/prep_params"
+    # written through Spark so the shared folder may be any Hadoop file system
+    spark.createDataFrame([(bundle.params.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    doc = spark.read.schema("means map<string,double>, stds map<string,double>, numeric_cols array<string>") \
+        .option("multiLine", True).json(path)
+    return doc.select(F.explode("numeric_cols").alias("column"), "means", "stds").select(
+        "column", F.col("means")[F.col("column")].alias("mean"), F.col("stds")[F.col("column")].alias("std"))

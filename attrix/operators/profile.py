@@ -251,9 +251,16 @@ def key_insights(df: DataFrame, target: str = C.TARGET_COL, tenure: str = "Tenur
 # A17 -----------------------------------------------------------------------
 def class_histogram(df: DataFrame, col: str, target: str = C.TARGET_COL, bins: int = 30) -> DataFrame:
     """Equal-width histogram per class over that class's own min-max range."""
-    ranges = df.groupBy(target).agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    # ranges has one row per class (two rows): broadcast is size-bounded by the label domain
-    j = df.select(target, col).where(F.col(col).isNotNull()).join(F.broadcast(ranges), target)
+    ranges = df.groupBy(target).agg(F.min(col).alias("lo"), F.max(col).alias("hi")).limit(65).collect()
+    if len(ranges) > 64:
+        raise ValueError(f"more than 64 classes in {target!r}")
+    # per-class ranges (checked small) become literals: no join
+    lo_e, hi_e = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for r in ranges:
+        cond = F.col(target).isNull() if r[0] is None else (F.col(target) == F.lit(r[0]))
+        lo_e = F.when(cond, F.lit(r["lo"]).cast("double")).otherwise(lo_e)
+        hi_e = F.when(cond, F.lit(r["hi"]).cast("double")).otherwise(hi_e)
+    j = df.select(target, col).where(F.col(col).isNotNull()).withColumns({"lo": lo_e, "hi": hi_e})
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(col) - F.col("lo")) / width), F.lit(bins - 1))).cast("int")

@@ -126,3 +126,33 @@ def test_fairness_single_class_subgroup(spark):
     f = {r.subgroup_value: r for r in E.subgroup_fairness(df, 0.5, ["Gender"]).collect()}
     assert f["A"].recall == 0.0 and f["A"].precision == 0.0
     assert f["B"].recall == 1.0
+
+
+def test_dist_rank_hot_stratum_spreads_over_buckets(spark):
+    # 90 % of the rows in one class: the rank is still exact and the row-level window runs per bucket
+    df = spark.range(5000).select(F.col("id").cast("string").alias("k"),
+                                  F.when(F.col("id") % 10 == 0, 1).otherwise(0).alias("g"))
+    h = df.withColumn("h", hash32(F.col("k"), "hot"))
+    got = dist_rank(h, "h", "k", by=["g"], out="r", bucket_bits=8)
+    per_class = {r.g: (r.n, r.lo, r.hi, r.d) for r in got.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"),
+        F.count_distinct("r").alias("d")).collect()}
+    assert per_class[0] == (4500, 1, 4500, 4500)
+    assert per_class[1] == (500, 1, 500, 500)
+    buckets = h.where("g = 0").select(F.shiftright("h", 24).alias("b")).distinct().count()
+    assert buckets > 200  # the hot class is cut into many window partitions
+
+
+def test_dist_rank_rejects_unbounded_count_table(spark):
+    df = spark.range(10).select(F.col("id").cast("string").alias("k"), F.lit(0).alias("g"))
+    with pytest.raises(ValueError):
+        dist_rank(df.withColumn("h", hash32(F.col("k"), "x")), "h", "k", by=["g"], bucket_bits=20, n_strata_bound=64)
+
+
+def test_threshold_counts_with_hot_score(spark):
+    # one score value carries a third of the rows: grouped first, counts stay exact
+    rows = [(1, 0.5)] * 300 + [(0, 0.5)] * 200 + [(1, 0.9)] * 100 + [(0, 0.1)] * 400
+    df = spark.createDataFrame(rows, "y int, p double")
+    got = {round(r.threshold, 2): (r.tp, r.fp) for r in E.counts_at_thresholds(df, [0.5, 0.51]).collect()}
+    assert got[0.5] == (400, 200) and got[0.51] == (100, 0)
+    assert E.roc_auc(df).first()["roc_auc"] == pytest.approx(_brute_auc(rows), abs=1e-12)

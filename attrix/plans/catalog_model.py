@@ -225,7 +225,10 @@ SELECT avg(-(y * ln(pc) + (1 - y) * ln(1 - pc))) AS log_loss FROM (
   SELECT CAST(y AS DOUBLE) AS y, least(greatest(p, {ES.dl(E.EPS)}), {ES.dl(1 - E.EPS)}) AS pc FROM {TEST})""",
           doubles=("log_loss",))
 def e06(spark, sf_dir):
-    return E.probability_scores(_test(spark, sf_dir)).select("log_loss")
+    t = _test(spark, sf_dir)
+    yy = F.col("y").cast("double")
+    pc = F.least(F.greatest(F.col("p"), F.lit(E.EPS)), F.lit(1 - E.EPS))
+    return t.agg(F.avg(-(yy * F.log(pc) + (F.lit(1.0) - yy) * F.log(F.lit(1.0) - pc))).alias("log_loss"))
 
 
 @register("e07_roc_curve", sql=WSC + f"""

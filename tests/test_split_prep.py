@@ -63,3 +63,20 @@ def test_exact_median_and_mode(spark):
     p = fit_prep(df, cfg, impute=True)
     assert p.medians["x"] == 3.0  # exact interpolated, not approximate
     assert p.modes["c"] == "a"  # tie -> smallest value
+
+
+def test_split_plan_has_no_single_partition_exchange(table):
+    # the rank runs per (class, hash bucket); only bounded count tables are windowed globally per class
+    plan = stratified_split(table, k=5)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_split_with_folds_in_one_pass(table):
+    s = stratified_split(table, k=5)
+    train = s.where("split = 'train'")
+    assert s.where("split <> 'train' AND fold IS NOT NULL").count() == 0
+    per = {(r.Churn, r.fold): r.n for r in train.groupBy("Churn", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for c in (0, 1):
+        sizes = [per[(c, f)] for f in range(5)]
+        assert max(sizes) - min(sizes) <= 1  # round robin inside each class

@@ -33,7 +33,7 @@ def m07(spark, sf_dir):
 @register("m08_validation_scores")
 def m08(spark, sf_dir):
     data, _ = T.model_data(spark, sf_dir)
-    return T.validation_scores(spark, data)
+    return T.validation_scores(spark, data, sf_dir=sf_dir)
 
 
 @register("m09_model_comparison")
@@ -41,7 +41,7 @@ def m09(spark, sf_dir):
     """J2 + M9: CV summary left-joined with validation scores on ``model``; best by CV recall flagged."""
     data, _ = T.model_data(spark, sf_dir)
     cv = T.cv_summary(spark, data, sf_dir=sf_dir)
-    val = T.validation_scores(spark, data).select("model", *[F.col(c).alias(f"val_{c}") for c in
+    val = T.validation_scores(spark, data, sf_dir=sf_dir).select("model", *[F.col(c).alias(f"val_{c}") for c in
                                                              ("recall", "roc_auc", "precision", "f1")])
     comp = cv.join(val, "model", "left")  # both sides: one row per model
     best = M.best_model(comp)
@@ -80,10 +80,10 @@ def m13(spark, sf_dir):
 @register("m14_feature_importance")
 def m14(spark, sf_dir):
     data, bundle = T.model_data(spark, sf_dir)
-    return T.feature_importance(spark, data, bundle.params)
+    return T.feature_importance(spark, data, bundle.params, sf_dir=sf_dir)
 
 
 @register("m15_importance_by_source")
 def m15(spark, sf_dir):
     data, bundle = T.model_data(spark, sf_dir)
-    return M.importance_by_source(T.feature_importance(spark, data, bundle.params))
+    return M.importance_by_source(T.feature_importance(spark, data, bundle.params, sf_dir=sf_dir))

@@ -107,16 +107,34 @@ def cv_summary(spark: SparkSession, data: DataFrame, parallelism: int = 8, sf_di
     return M.summarize_cv(spark, dict(zip(MODELS, res)))
 
 
-def validation_scores(spark: SparkSession, data: DataFrame) -> DataFrame:
+def cached_json(spark: SparkSession, sf_dir: str | None, name: str, build):
+    """Small fitted results (scores, importances) saved once under the shared folder and reused by later stages."""
+    path = _artifact_path(spark, sf_dir, name) if sf_dir else None
+    if path and os.path.exists(path):
+        with open(path) as fh:
+            return json.load(fh)
+    value = build()
+    if path:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as fh:
+            json.dump(value, fh)
+    return value
+
+
+def validation_scores(spark: SparkSession, data: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """M8: refit on the whole train split, score validation at 0.50."""
     train = data.where(F.col("split") == "train")
     val = data.where(F.col("split") == "val")
 
     def one(name):
-        return {"model": name, **scores(predictions(fit(name, train), val))}
+        s = scores(predictions(fit(name, train), val))
+        return {"model": name, **{k: (None if v is None else float(v)) for k, v in s.items()}}
+
+    def build():
+        with ThreadPoolExecutor(max_workers=len(MODELS)) as pool:
+            return list(pool.map(one, MODELS))
 
-    with ThreadPoolExecutor(max_workers=len(MODELS)) as pool:
-        rows = list(pool.map(one, MODELS))
+    rows = cached_json(spark, sf_dir, "validation_scores", build)
     return spark.createDataFrame([(r["model"], float(r["recall"]), float(r["roc_auc"] or 0.0), float(r["precision"]),
                                    float(r["f1"])) for r in rows],
                                  "model string, recall double, roc_auc double, precision double, f1 double")
@@ -180,7 +198,10 @@ def tuning_comparison(spark: SparkSession, sf_dir: str, data: DataFrame) -> Data
                                        "precision double, f1 double, net_savings double")
 
 
-def feature_importance(spark: SparkSession, data: DataFrame, params) -> DataFrame:
+def feature_importance(spark: SparkSession, data: DataFrame, params, sf_dir: str | None = None) -> DataFrame:
     """Impurity importances of a 300-tree forest on the train split, descending."""
-    model = fit("random_forest", data.where(F.col("split") == "train"), {"n_trees": 300})
-    return M.importance_table(spark, model.featureImportances.toArray().tolist(), params)
+    def build():
+        model = fit("random_forest", data.where(F.col("split") == "train"), {"n_trees": 300})
+        return [float(v) for v in model.featureImportances.toArray().tolist()]
+
+    return M.importance_table(spark, cached_json(spark, sf_dir, "rf_importances", build), params)

@@ -76,7 +76,7 @@ def _yes_no(cond: Column) -> Column:
 
 def snapshot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw 21-column customer table plus the planted probability and the observed label."""
-    cutoff = F.lit(CUTOFF).cast("timestamp")
+    cutoff = F.lit(CUTOFF).cast("timestamp_ntz")  # order dates are zone-less timestamps
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"

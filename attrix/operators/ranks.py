@@ -27,11 +27,17 @@ def hash32(key: Column, salt: str) -> Column:
 
 
 def dist_rank(df: DataFrame, order_col: str, tie_col: str, by: Sequence[str] = (), out: str = "rank",
-              bucket_bits: int = 12, n_strata_bound: int = 64) -> DataFrame:
+              bucket_bits: int = 12, n_strata_bound: int = 64, hot_rows: int = 2_000_000,
+              salt_buckets: int = 64) -> DataFrame:
     """Exact 1-based ``row_number`` over (order_col, tie_col) within ``by``, computed in parallel.
 
     ``order_col`` must be a non-negative 32-bit integer (e.g. ``hash32``), so
-    its leading ``bucket_bits`` bits order the buckets.
+    its leading ``bucket_bits`` bits order the buckets. When one bucket holds
+    more than ``hot_rows`` rows (a duplicated key holding a large share of
+    the data lands in a single bucket), the salted path is used: rows are
+    counted per (key, salt) first, prefix sums give every (key, salt) group
+    its exact offset, and the rows of a hot key are numbered in
+    ``salt_buckets`` separate window partitions.
     """
     if (1 << bucket_bits) * n_strata_bound > MAX_COUNT_TABLE_ROWS:
         raise ValueError("count table could exceed its broadcast bound")
@@ -42,12 +48,37 @@ def dist_rank(df: DataFrame, order_col: str, tie_col: str, by: Sequence[str] = (
     counts = tagged.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*by).orderBy("_bucket") if by else Window.orderBy("_bucket")
     offsets = counts.select(*by, "_bucket", (F.sum("_cnt").over(w) - F.col("_cnt")).alias("_offset"))
+    largest = counts.agg(F.max("_cnt")).first()[0] or 0
+    if largest > hot_rows:
+        return _salted_rank(tagged, offsets, order_col, tie_col, by, out, salt_buckets)
     # offsets has at most 2**bucket_bits rows per stratum (checked above): broadcast is bounded
     joined = tagged.join(F.broadcast(offsets), [*by, "_bucket"])
     rw = Window.partitionBy(*by, "_bucket").orderBy(F.col(order_col), F.col(tie_col))
     return joined.withColumn(out, F.row_number().over(rw) + F.col("_offset")).drop("_bucket", "_offset")
 
 
+def _salted_rank(tagged: DataFrame, offsets: DataFrame, order_col: str, tie_col: str, by: list[str], out: str,
+                 salt_buckets: int) -> DataFrame:
+    """Rank for data with hot (order_col, tie_col) groups: ties are split over salt sub-partitions.
+
+    Rows with equal (order_col, tie_col) are interchangeable for the rank,
+    so numbering them in any sub-partition order keeps the result exact.
+    """
+    keys = [*by, "_bucket", order_col, tie_col]
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salt_buckets)).cast("int")
+    t = tagged.withColumn("_salt", salt)
+    # partial aggregation collapses a hot key map-side: at most salt_buckets rows per key leave each task
+    groups = t.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_c"))
+    gw = Window.partitionBy(*by, "_bucket").orderBy(F.col(order_col), F.col(tie_col), F.col("_salt"))
+    group_off = groups.select(*keys, "_salt", (F.sum("_c").over(gw) - F.col("_c")).alias("_go"))
+    # bucket offsets: bounded table (see dist_rank), broadcast
+    group_off = group_off.join(F.broadcast(offsets), [*by, "_bucket"])
+    j = t.join(group_off, [*keys, "_salt"])
+    rw = Window.partitionBy(*keys, "_salt").orderBy(F.col(order_col))
+    return (j.withColumn(out, F.row_number().over(rw) + F.col("_go") + F.col("_offset"))
+            .drop("_bucket", "_salt", "_go", "_offset"))
+
+
 def stratum_sizes(df: DataFrame, by: Sequence[str], out: str = "_n") -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
 

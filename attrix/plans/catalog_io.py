@@ -267,7 +267,7 @@ def s02(spark, sf_dir):
 
 
 @register("s05_feature_matrix_sink", sql=with_ctes(joined_ctes(), split_ctes()) + """
-SELECT split, count(*) AS n_rows, sum(Churn) AS n_positive FROM with_folds GROUP BY split""")
+SELECT split, count(*) AS n_rows, CAST(sum(Churn) AS BIGINT) AS n_positive FROM with_folds GROUP BY split""")
 def s05(spark, sf_dir):
     from ..operators.models import model_input
     fe, bundle = common.fitted(spark, sf_dir)
@@ -419,7 +419,7 @@ def p06(spark, sf_dir):
 
 
 @register("p10_columns_by_dtype", sql=W + """
-SELECT kind, count(*) AS n_columns, sum(non_null) AS non_null_cells FROM (
+SELECT kind, count(*) AS n_columns, CAST(sum(non_null) AS BIGINT) AS non_null_cells FROM (
 """ + "\nUNION ALL\n".join(
     f"SELECT '{'numeric' if c in ('Tenure', 'SeniorCitizen', 'MonthlyCharges', 'TotalCharges', 'Churn', 'PaperlessBilling', 'Dependents', 'Partner', 'PhoneService', 'Gender') else 'string'}' AS kind, count({c}) AS non_null FROM cleaned"
     for c in ["CustomerID", "Tenure", "ContractType", "PaymentMethod", "PaperlessBilling", "Churn", "Gender", "SeniorCitizen",
@@ -438,7 +438,7 @@ def p10(spark, sf_dir):
 
 
 @register("s03_csv_sink", sql=with_ctes(joined_ctes(), split_ctes()) + """
-SELECT split, count(*) AS n_rows, sum(Churn) AS n_positive, count(TotalCharges) AS n_total_charges FROM with_folds GROUP BY split""")
+SELECT split, count(*) AS n_rows, CAST(sum(Churn) AS BIGINT) AS n_positive, count(TotalCharges) AS n_total_charges FROM with_folds GROUP BY split""")
 def s03(spark, sf_dir):
     """S3: the prepared splits written as CSV partitioned by split (no index column) and read back typed."""
     s = common.split_table(spark, sf_dir)

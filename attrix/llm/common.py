@@ -98,3 +98,15 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, os.path.dirname(package)))
     sc.addPyFile(target)
     sc._attrix_shipped = True
+
+
+def text_runs(texts: list, chars: int):
+    """(start, stop) of runs of texts of about ``chars`` characters together; a longer text is a run of its own."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > chars:
+            yield start, k
+            start, size = k, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)

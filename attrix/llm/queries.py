@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attrix.llm import jaccard_groups
+from attrix.llm import jaccard_groups, rank_bpe, token_file
 from attrix.llm.common import documents, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,23 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file (a parameter of the operators that use one)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op1_token_file")
+def token_file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.token_digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+@register("op3_rank_array_bpe")
+def rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.encode_digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
 JACCARD_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=LOWER)} AS ws FROM documents),
 s AS (

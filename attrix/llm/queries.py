@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attrix.llm import jaccard_groups, rank_bpe, token_file
+from attrix.llm import jaccard_groups, kneser_ney, rank_bpe, token_file
 from attrix.llm.common import documents, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,10 +58,10 @@ s AS (
 ),
 g AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
 p AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS both, count(*) AS c
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS c
   FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
 ),
-l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (both - c)),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (total - c)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.y) AS component_id
@@ -72,3 +72,8 @@ FROM s JOIN r ON s.doc_id = r.x GROUP BY ALL
 @register("op8_ngram_jaccard_join", JACCARD_SQL)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.jaccard_components(documents(spark, sf_dir)).drop("node")
+
+
+@register("op9_kneser_ney")
+def kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out_scores(documents(spark, sf_dir))

@@ -7,8 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attrix.llm import jaccard_groups, kneser_ney, rank_bpe, token_file
-from attrix.llm.common import documents, ship
+from attrix.llm import jaccard_groups, kneser_ney, license_automaton, line_crf, rank_bpe, token_file
+from attrix.llm.common import documents, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +77,15 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_kneser_ney")
 def kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.held_out_scores(documents(spark, sf_dir))
+
+
+@register("op2_line_crf")
+def line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    field = line_crf.train_field(docs, table(spark, sf_dir, "labels"))
+    return line_crf.line_quality(docs, field).drop("line_labels")
+
+
+@register("op7_license_automaton")
+def license_automaton_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_automaton.license_scan(documents(spark, sf_dir)).drop("spans")

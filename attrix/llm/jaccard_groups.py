@@ -37,6 +37,7 @@ WORDS = 5            # words of a shingle
 PERCENT = 75         # least similarity, in percent
 SKETCH = 1 << 22     # counters of the order sketch
 CHUNK = 1 << 12      # counters of one sketch row
+PAIRED = 4096        # entries of a token up to which partners are looked for one by one
 SALT_FROM = 1 << 20  # tokens that may be this frequent are dealt over several shards
 
 _MULTIPLIERS = np.array([2 * k * 0x9E3779B97F4A7C15 % 2**64 | 1 for k in range(3, 3 + 64)], dtype=np.uint64)
@@ -107,10 +108,10 @@ def _order_sketch(texts: DataFrame, words: int) -> np.ndarray:
     rows = texts.select("text").mapInPandas(count, schema)
     for keys in (["chunk", "salt"], ["chunk"]) if salts > 1 else (["chunk"],):
         rows = rows.repartition(*keys).mapInPandas(add, schema)
-    out = np.zeros((SKETCH // CHUNK, CHUNK), np.uint64)
+    out = np.zeros((SKETCH // CHUNK, CHUNK), np.uint32)
     for row in rows.toLocalIterator():  # SKETCH counters at any input size
-        out[row["chunk"]] = _from_planes(bytes(row["counts"]), np.dtype("<u8"))
-    return np.minimum(out.reshape(-1), 2**24 - 1).astype(np.uint32)
+        out[row["chunk"]] = np.minimum(_from_planes(bytes(row["counts"]), np.dtype("<u8")), 2**24 - 1)
+    return out.reshape(-1)
 
 
 def _prefix_length(n: np.ndarray | int, percent: int):
@@ -122,6 +123,29 @@ def _may_link(left_a, n_a, left_b, n_b, percent: int):
     return (100 + percent) * np.minimum(left_a, left_b) >= percent * (n_a + n_b)
 
 
+def _has_partner(n: np.ndarray, left: np.ndarray, start: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Entries that may link with another entry of their token; entries lie token by token.
+
+    Of tokens with over PAIRED entries, all that could link with one like themselves stay, which is more than needed.
+    """
+    stay = np.zeros(len(n), bool)
+    two = start[size == 2]
+    hit = two[_may_link(left[two], n[two], left[two + 1], n[two + 1], percent)]
+    stay[hit] = stay[hit + 1] = True
+    for s, k in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+        own_n, own_left = n[s:s + k], left[s:s + k]
+        if k > PAIRED:
+            reach = (100 + percent) * own_left - percent * own_n
+            stay[s:s + k] = (reach >= percent * own_n.min()) & (reach.max() >= percent * own_n)
+            continue
+        for at in range(0, k, 256):
+            some = np.arange(at, min(at + 256, k))
+            may = _may_link(own_left[some, None], own_n[some, None], own_left, own_n, percent)
+            may[np.arange(len(some)), some] = False
+            stay[s + some] = may.any(axis=1)
+    return stay
+
+
 def _entry_rows(texts: DataFrame, sketch, shards: int, words: int, percent: int) -> DataFrame:
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = sketch.value
@@ -168,13 +192,8 @@ def _entry_rows(texts: DataFrame, sketch, shards: int, words: int, percent: int)
             start = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1]]))
             size = np.diff(np.concatenate([start, [len(e)]]))
             n, left = e["n"].astype(np.int64), e["left"].astype(np.int64)
-            # an entry stays if some entry of its token may link with it (itself never counts: copies are merged)
-            whole = e["token"] >> np.uint64(40) < np.uint64(SALT_FROM)
-            each = np.repeat(size, size)
-            reach = (100 + percent) * left - percent * n
-            slack = np.repeat(np.maximum.reduceat(reach, start), size)
-            least = np.repeat(np.minimum.reduceat(n, start), size)
-            stay = ~whole | ((each > 1) & (reach >= percent * least) & (slack >= percent * n))
+            whole = e["token"] >> np.uint64(40) < np.uint64(SALT_FROM)  # all entries of the token are here
+            stay = ~whole | _has_partner(n, left, start, size, percent)
             # pivot: the entry nearest to the front of its set, so that it may link with the most others
             front = np.lexsort((e["group"], -(left / n), np.repeat(np.arange(len(start)), size)))[start]
             pivot = np.repeat(front, size)
@@ -209,6 +228,7 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     sketch = spark.sparkContext.broadcast(_order_sketch(texts, words))  # SKETCH counters of 4 bytes
     path = scratch(spark, "prefix-join")
     _entry_rows(texts, sketch, shards, words, percent).write.partitionBy("kind").parquet(path)
+    sketch.destroy()
     rows = spark.read.schema("a long, b long, n long, r long, doc_id long, kind int").parquet(path)
     entries = rows.where("kind = 0").select(F.col("a").alias("token"), F.col("b").alias("group"), "n", "r")
     stars = rows.where("kind = 1").select("a", "b").distinct()
@@ -244,7 +264,11 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     inside = wanted.join(several, "group").where("node <> first").select(
         F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
     links, links_path = stored(spark, _verified(near.union(inside).distinct(), sets, percent), "links")
-    roots = connected_components(links)
+    # a set takes the smallest set it is linked to, and that set's smallest: both are in its component
+    hop = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(
+        F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+    roots = hop.join(hop.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select(
+        "node", F.coalesce("next", "root").alias("root"))
 
     # the other candidates: sets of one token in different components, within the bounds of size and position
     labelled = wanted.select("group", "node", F.col("n").alias("size")).join(
@@ -263,7 +287,7 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
         .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     )
     more, more_path = stored(spark, _verified(others, sets, percent), "links")
-    final = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    final = connected_components(links.union(more))
 
     rooted = nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -110,3 +110,27 @@ def text_runs(texts: list, chars: int):
         size += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+class Kept(dict):
+    """What was learned about pieces of text, in two generations of at most ``size`` entries.
+
+    A look-up of a piece that neither has adds it to ``new`` and gives None.
+    """
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.older, self.new = size, {}, set()
+
+    def __missing__(self, piece):
+        got = self.older.get(piece)
+        if got is None:
+            self.new.add(piece)
+        else:
+            self[piece] = got
+        return got
+
+    def turn(self) -> None:
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()

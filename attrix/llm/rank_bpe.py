@@ -18,6 +18,7 @@ import heapq
 import json
 import re
 import unicodedata
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import id_and_text, text_runs
+from attrix.llm.common import Kept, id_and_text, text_runs
 
 SCANNED = 256           # symbols of a word up to which the rank array is scanned
 ROWS = 20_000           # words whose arrays are scanned together
@@ -79,8 +80,7 @@ class RankBpe:
         self.merged_ids = np.array(self.merged)
         pairs = sorted(self.rank.items())
         self.pair_keys, self.pair_ranks = np.array([k for k, _ in pairs]), np.array([r for _, r in pairs])
-        self.kept: dict[str, tuple[str, str, int]] = {}
-        self.older: dict[str, tuple[str, str, int]] = {}
+        self.kept = Kept(CACHE_CHUNKS)
 
     def word(self, word: str) -> list[int]:
         """Ids of one word."""
@@ -201,33 +201,28 @@ class RankBpe:
     def encode_many(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """Per text the ids in decimal and the decoded text, both joined by spaces, and the number of ids."""
         cut = [self._cut(t) for t in texts]
-        found, new = {}, []
-        for c in set().union(*cut):
-            got = self.kept.get(c)
-            if got is None:
-                got = self.older.get(c)
-                if got is None:
-                    if c[:1] == MARK and c[1:] in self.added:
-                        found[c] = (str(self.added[c[1:]]), c[1:], 1)
-                    else:
-                        new.append(c)
-                    continue
-                self.kept[c] = got
-            found[c] = got
+        kept = self.kept
+        for chunks in cut:
+            deque(map(kept.__getitem__, chunks), 0)
+        new = list(kept.new)
         if new:
-            fresh = self._learn(new)
-            found.update(fresh)
-            self.kept.update([x for x in fresh.items() if len(x[0]) <= CACHED_CHARS])
-        if len(self.kept) > CACHE_CHUNKS:
-            self.kept, self.older = {}, self.kept
+            for c in new:
+                if c[:1] == MARK and c[1:] in self.added:
+                    kept[c] = (str(self.added[c[1:]]), c[1:], 1)
+            kept.update(self._learn([c for c in new if c not in kept]))
+            kept.new.clear()
         out = []
         for chunks in cut:
-            got = [x for x in map(found.__getitem__, chunks) if x[2]]
+            got = [x for x in map(kept.__getitem__, chunks) if x[2]]
             if got:
                 ids, tokens, counts = zip(*got)
                 out.append((" ".join(ids), " ".join(tokens), sum(counts)))
             else:
                 out.append(("", "", 0))
+        for c in new:
+            if len(c) > CACHED_CHARS:
+                del kept[c]
+        kept.turn()
         return out
 
     def encode(self, text: str) -> tuple[str, str, int]:

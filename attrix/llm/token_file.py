@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrix.llm.common import id_and_text, scratch, text_runs
+from attrix.llm.common import Kept, id_and_text, scratch, text_runs
 
 END_ID = 0
 BLOCK_IDS = 1 << 18      # a block is closed when it has as many ids; longer documents have a block of their own
@@ -117,8 +118,7 @@ class ChunkEncoder:
         self.uneven = re.compile(r"[^\S \n]|  | \n|\n |\n\n|^\s|\s\Z")
         self.cut = re.compile(r" ?\S+|\s+(?!\S)|\s")
         (self.line_end,) = self._ids("\n")
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.kept = Kept(CACHE_CHUNKS)
 
     def _ids(self, text: str) -> np.ndarray:
         (got,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -155,26 +155,20 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if self.whole.search(t) else self._chunks(t) if t else [] for t in texts]
-        chunks = set().union(*[c for c in cut if c])
-        found = {}
-        new = []
-        for c in chunks:
-            got = self.kept.get(c)
-            if got is None:
-                got = self.older.get(c)
-                if got is None:
-                    new.append(c)
-                    continue
-                self.kept[c] = got
-            found[c] = got
+        kept = self.kept
+        for chunks in cut:
+            if chunks:
+                deque(map(kept.__getitem__, chunks), 0)
+        new = list(kept.new)
         if new:
-            fresh: dict[str, bytes] = {}
-            self._learn(new, fresh)
-            found.update(fresh)
-            self.kept.update([x for x in fresh.items() if len(x[0]) <= CACHED_CHARS])
-        if len(self.kept) > CACHE_CHUNKS:
-            self.kept, self.older = {}, self.kept
-        return [self._ids(t).tobytes() if c is None else b"".join([found[x] for x in c]) for t, c in zip(texts, cut)]
+            self._learn(new, kept)
+            kept.new.clear()
+        out = [self._ids(t).tobytes() if c is None else b"".join(map(kept.__getitem__, c)) for t, c in zip(texts, cut)]
+        for c in new:
+            if len(c) > CACHED_CHARS:
+                del kept[c]
+        kept.turn()
+        return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

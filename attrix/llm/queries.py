@@ -6,9 +6,11 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attrix.llm import jaccard_groups, kneser_ney, license_automaton, line_crf, rank_bpe, token_file
-from attrix.llm.common import documents, ship, table
+from attrix.llm import (gru_toxicity, jaccard_groups, kneser_ney, lang_lattice, license_automaton, line_crf, rank_bpe,
+                        token_file)
+from attrix.llm.common import documents, fold, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +91,16 @@ def line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_license_automaton")
 def license_automaton_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_automaton.license_scan(documents(spark, sf_dir)).drop("spans")
+
+
+@register("op4_lang_lattice")
+def lang_lattice_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_lattice.held_out_languages(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
+@register("op6_gru_toxicity")
+def gru_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = gru_toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return gru_toxicity.toxicity(docs, net).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrix.llm import (gru_toxicity, jaccard_groups, kneser_ney, lang_lattice, license_automaton, line_crf, rank_bpe,
-                        token_file)
+from attrix.llm import (decontaminate, gru_toxicity, jaccard_groups, kneser_ney, lang_lattice, license_automaton, line_crf,
+                        rank_bpe, surrogates, token_file)
 from attrix.llm.common import documents, fold, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,13 @@ def gru_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = gru_toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return gru_toxicity.toxicity(docs, net).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op5_surrogates")
+def surrogate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.private_documents(documents(spark, sf_dir))
+
+
+@register("op10_decontaminate")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))

@@ -173,12 +173,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col:
 def leaked_columns(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
                    item_text_col: str = "text") -> list:
     """A boolean column for each group of items: whether the text holds one of them."""
-    out = []
-    for index in _indexes(items, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
+    def column(shared):
         @F.pandas_udf("boolean")
-        def leaked(texts: pd.Series, shared=shared) -> pd.Series:
+        def leaked(texts: pd.Series) -> pd.Series:
             got = texts.tolist()
             flags = np.zeros(len(got), bool)
             for a, b in text_runs(got, RUN_BYTES):
@@ -186,5 +183,7 @@ def leaked_columns(docs: DataFrame, items: DataFrame, text_col: str = "text", it
                     flags[a + t] = True
             return pd.Series(flags)
 
-        out.append(leaked(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return out
+        return leaked(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+    return [column(docs.sparkSession.sparkContext.broadcast(index))
+            for index in _indexes(items, item_col, item_text_col)]

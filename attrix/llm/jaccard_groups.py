@@ -264,11 +264,7 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     inside = wanted.join(several, "group").where("node <> first").select(
         F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
     links, links_path = stored(spark, _verified(near.union(inside).distinct(), sets, percent), "links")
-    # a set takes the smallest set it is linked to, and that set's smallest: both are in its component
-    hop = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(
-        F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    roots = hop.join(hop.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select(
-        "node", F.coalesce("next", "root").alias("root"))
+    roots, roots_path = stored(spark, connected_components(links), "roots")
 
     # the other candidates: sets of one token in different components, within the bounds of size and position
     labelled = wanted.select("group", "node", F.col("n").alias("size")).join(
@@ -287,12 +283,12 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
         .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     )
     more, more_path = stored(spark, _verified(others, sets, percent), "links")
-    final = connected_components(links.union(more))
+    final = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     rooted = nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels, _ = stored(spark, rooted.join(least, "root").select("node", "component_id"), "set-components")
-    for p in (wanted_path, sets_path, links_path, more_path, nodes_path):
+    for p in (wanted_path, sets_path, links_path, roots_path, more_path, nodes_path):
         drop_path(spark, p)
     return members.withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(labels, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .ranks import dist_mode, dist_quantiles
 
 
 @dataclass
@@ -62,12 +63,16 @@ def fit_prep(train: DataFrame, cfg: C.FeatureConfig = C.FE_CONFIG, impute: bool
     medians: dict = {}
     modes: dict = {}
     if impute:
-        first = train.agg(
-            *[F.median(F.col(c).cast("double")).alias(f"med__{c}") for c in num],
-            *[F.mode(F.col(c), deterministic=True).alias(f"mode__{c}") for c in cat],
-        ).first()
-        medians = {c: first[f"med__{c}"] for c in num}
-        modes = {c: first[f"mode__{c}"] for c in cat}
+        medians = dict.fromkeys(num)
+        if num:
+            long = train.select(F.explode(F.array(*[
+                F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in num])).alias("x"))
+            medians |= {r["column"]: r["quantile"] for r in dist_quantiles(long.select("x.*"), [0.5], ["column"]).collect()}
+        modes = dict.fromkeys(cat)
+        if cat:
+            long = train.select(F.explode(F.array(*[
+                F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cat])).alias("x"))
+            modes |= {r["column"]: r["mode"] for r in dist_mode(long.select("x.*"), ["column"]).collect()}
         src = train.withColumns({
             **{c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in num if medians[c] is not None},
             **{c: F.coalesce(F.col(c), F.lit(modes[c])) for c in cat if modes[c] is not None},
@@ -135,5 +140,5 @@ def feature_names_table(spark: SparkSession, p: PrepParams) -> DataFrame:
 def train_median(train: DataFrame, col: str = "TotalCharges",
                  fallback: float = C.TOTAL_CHARGES_MEDIAN_FALLBACK) -> float:
     """F8: exact train median, with the fixed fallback when there is no value."""
-    m = train.agg(F.median(F.col(col)).alias("m")).first()["m"]
-    return fallback if m is None else float(m)
+    row = dist_quantiles(train, [0.5], value=col).first()
+    return fallback if row is None else float(row["quantile"])

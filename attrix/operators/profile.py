@@ -16,6 +16,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from .. import config as C
 from ..functions.columns import half_even_round
+from .ranks import dist_quantiles, join_null_safe
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -95,29 +96,33 @@ def duplicate_report(df: DataFrame, key: str = C.KEY_COL) -> DataFrame:
 
 
 # A8 ------------------------------------------------------------------------
-def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True, digits: int = 2) -> DataFrame:
+def _unpivoted(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., column, value) rows of the numeric columns ``cols``."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
+    return df.select(*keep, F.explode(pairs).alias("kv")).select(*keep, "kv.*")
+
+
+def _quartiles(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column, q1, median, q3) by the distributed quantile kernel."""
+    keys = [*by, "column"]
+    q = dist_quantiles(_unpivoted(df, cols, by), [0.25, 0.5, 0.75], keys)
+    at = lambda p: F.max(F.when(F.col("prob") == p, F.col("quantile")))
+    return q.groupBy(*keys).agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
+
+
+def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (linear interpolation), max per numeric column."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     aggs: list[Column] = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000))
-        aggs += [
-            F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
-            F.min(x).alias(f"{c}__min"), q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max"),
-        ]
-    wide = df.agg(*aggs)
-    wide = wide.withColumns({
-        **{f"{c}__p25": F.col(f"{c}__q")[0] for c in cols},
-        **{f"{c}__p50": F.col(f"{c}__q")[1] for c in cols},
-        **{f"{c}__p75": F.col(f"{c}__q")[2] for c in cols},
-    })
-    metrics = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    long = _long(wide, cols, metrics)
-    return long.select(
+        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
+                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+    long = _long(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max"])
+    full = long.join(_quartiles(df, cols), "column", "left").withColumnsRenamed({"q1": "p25", "median": "p50", "q3": "p75"})
+    return full.select(
         "column", F.col("count").cast("bigint").alias("count"),
-        *[half_even_round(F.col(m), digits).alias(m) for m in metrics[1:]],
+        *[half_even_round(F.col(m), digits).alias(m) for m in ("mean", "std", "min", "p25", "p50", "p75", "max")],
     )
 
 
@@ -146,33 +151,21 @@ def class_distribution(df: DataFrame, target: str = C.TARGET_COL) -> DataFrame:
 
 
 # A11 -----------------------------------------------------------------------
-def iqr_outliers(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+def iqr_outliers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Q1, Q3, the 1.5 IQR fences and the number of values strictly outside them.
 
-    Quartiles come from one aggregation; the 1-row bounds are cross-joined
-    (a single row, so the join is a broadcast of one row) for the counting pass.
+    The fences (a row per column) are joined to value counts, which hold a
+    row per column and distinct value.
     """
-    qs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))) if exact else F.percentile_approx(x, [0.25, 0.75], 10000)
-        qs.append(q.alias(f"{c}__q"))
-    bounds = df.agg(*qs).first()
-    rows = []
-    counts = []
-    for c in cols:
-        q1, q3 = bounds[f"{c}__q"] if bounds[f"{c}__q"] is not None else (None, None)
-        if q1 is None:
-            rows.append((c, None, None, None, None))
-            counts.append(F.lit(0).alias(c))
-            continue
-        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-        rows.append((c, q1, q3, lo, hi))
-        counts.append(F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c))
-    n_out = df.agg(*counts).first()
-    out = [(c, q1, q3, lo, hi, int(n_out[c])) for (c, q1, q3, lo, hi) in rows]
-    return df.sparkSession.createDataFrame(
-        out, "column string, q1 double, q3 double, lower double, upper double, outliers bigint")
+    width = F.col("q3") - F.col("q1")
+    fences = _quartiles(df, cols).select(
+        "column", "q1", "q3", (F.col("q1") - 1.5 * width).alias("lower"), (F.col("q3") + 1.5 * width).alias("upper"))
+    counts = _unpivoted(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
+    found = counts.join(fences, "column").where(outside).groupBy("column").agg(F.sum("c").alias("outliers"))
+    return every.join(fences, "column", "left").join(found, "column", "left").select(
+        "column", "q1", "q3", "lower", "upper", F.coalesce("outliers", F.lit(0)).cast("bigint").alias("outliers"))
 
 
 # A12 / A13 -----------------------------------------------------------------
@@ -251,21 +244,15 @@ def key_insights(df: DataFrame, target: str = C.TARGET_COL, tenure: str = "Tenur
 # A17 -----------------------------------------------------------------------
 def class_histogram(df: DataFrame, col: str, target: str = C.TARGET_COL, bins: int = 30) -> DataFrame:
     """Equal-width histogram per class over that class's own min-max range."""
-    ranges = df.groupBy(target).agg(F.min(col).alias("lo"), F.max(col).alias("hi")).limit(65).collect()
-    if len(ranges) > 64:
-        raise ValueError(f"more than 64 classes in {target!r}")
-    # per-class ranges (checked small) become literals: no join
-    lo_e, hi_e = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for r in ranges:
-        cond = F.col(target).isNull() if r[0] is None else (F.col(target) == F.lit(r[0]))
-        lo_e = F.when(cond, F.lit(r["lo"]).cast("double")).otherwise(lo_e)
-        hi_e = F.when(cond, F.lit(r["hi"]).cast("double")).otherwise(hi_e)
-    j = df.select(target, col).where(F.col(col).isNotNull()).withColumns({"lo": lo_e, "hi": hi_e})
+    ranges = df.groupBy(target).agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
+    # counted first, so that the join back sees a row per class and value
+    counts = df.select(target, col).where(F.col(col).isNotNull()).groupBy(target, col).agg(F.count(F.lit(1)).alias("c"))
+    j = join_null_safe(counts, ranges, [target])
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(col) - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
     return j.withColumn("bin", b).groupBy(target, "bin").agg(
-        F.count(F.lit(1)).alias("count"),
+        F.sum("c").alias("count"),
         F.first("lo").alias("lo"), F.first("hi").alias("hi"),
     ).select(target, "bin",
              (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.lit(bins)).alias("bin_start"),
@@ -274,24 +261,18 @@ def class_histogram(df: DataFrame, col: str, target: str = C.TARGET_COL, bins: i
 
 
 # A18 -----------------------------------------------------------------------
-def box_stats(df: DataFrame, cols: Sequence[str], target: str = C.TARGET_COL, exact: bool = True) -> DataFrame:
+def box_stats(df: DataFrame, cols: Sequence[str], target: str = C.TARGET_COL) -> DataFrame:
     """Per class and column: Q1, median, Q3, whiskers (extreme values inside 1.5 IQR) and flier count."""
-    long = df.select(F.col(target), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols
-    ])).alias("kv")).select(target, "kv.*").where(F.col("x").isNotNull())
-    pct = (F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-           else F.percentile_approx("x", [0.25, 0.5, 0.75], 10000))
-    q = long.groupBy(target, "column").agg(pct.alias("q")).select(
-        target, "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    # one row per (class, column): bounded by the label domain x number of columns
-    j = long.join(F.broadcast(q), [target, "column"])
+    counts = _unpivoted(df, cols, [target]).where(F.col("value").isNotNull()).groupBy(target, "column", "value").agg(
+        F.count(F.lit(1)).alias("c"))
+    j = join_null_safe(counts, _quartiles(df, cols, [target]), [target, "column"])
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = (F.col("x") >= lo) & (F.col("x") <= hi)
+    inside = (F.col("value") >= lo) & (F.col("value") <= hi)
     return j.groupBy(target, "column", "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-        F.count_if(~inside).alias("fliers"),
+        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
+        F.sum(F.when(inside, 0).otherwise(F.col("c"))).alias("fliers"),
     )
 
 

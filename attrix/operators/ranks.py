@@ -1,23 +1,21 @@
-"""Parallel exact ranks and cumulative label counts (the two scale kernels).
+"""Parallel exact ranks, cumulative label counts and quantiles (the scale kernels).
 
 A window without ``partitionBy`` plans ``Exchange SinglePartition``: the
-whole table in one task. Both kernels below avoid that with a two-level
-scheme: a bounded-size count table per (stratum, bucket) is prefix-summed
-(tiny window), joined back, and the row-level window only runs inside one
-(stratum, bucket), so a hot stratum (say 70 % of the rows in one class) is
-still spread over ``2**bucket_bits`` tasks.
+whole table in one task. The kernels below avoid that with a two-level
+scheme, the same at every size: counts per (stratum, range) are prefix-summed
+and joined back, and row-level windows only run inside one range. Joins back
+are null-safe, so NULL strata and keys keep their rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of the (stratum, bucket) count table stay below this bound, so
-# broadcasting it back is safe whatever the size of the input.
-MAX_COUNT_TABLE_ROWS = 1 << 20
+from ..session import shared_dir
 
 
 def hash32(key: Column, salt: str) -> Column:
@@ -26,98 +24,119 @@ def hash32(key: Column, salt: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` on null-safe equality of ``keys`` (kept once, from ``left``)."""
+    named = right.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)],
+                         *[c for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)])
+    return left.join(named, on, how).drop(*[f"_j{i}" for i in range(len(keys))])
+
+
 def dist_rank(df: DataFrame, order_col: str, tie_col: str, by: Sequence[str] = (), out: str = "rank",
-              bucket_bits: int = 12, n_strata_bound: int = 64, hot_rows: int = 2_000_000,
-              salt_buckets: int = 64) -> DataFrame:
+              bucket_bits: int = 12) -> DataFrame:
     """Exact 1-based ``row_number`` over (order_col, tie_col) within ``by``, computed in parallel.
 
-    ``order_col`` must be a non-negative 32-bit integer (e.g. ``hash32``), so
-    its leading ``bucket_bits`` bits order the buckets. When one bucket holds
-    more than ``hot_rows`` rows (a duplicated key holding a large share of
-    the data lands in a single bucket), the salted path is used: rows are
-    counted per (key, salt) first, prefix sums give every (key, salt) group
-    its exact offset, and the rows of a hot key are numbered in
-    ``salt_buckets`` separate window partitions.
+    ``order_col`` must be a non-negative 32-bit integer (e.g. ``hash32``) or
+    NULL, so its leading ``bucket_bits`` bits order the buckets (NULL first).
+
+    Rows are tagged with the partition they come from and stored
+    (``checkpoint()``), so every branch below sees the same tags. They are
+    counted per (key, tag), which collapses a duplicated key map-side; prefix
+    sums over buckets, then over the keys of a bucket, give every (key, tag)
+    group its offset; and the rows of a group, of one input partition at
+    most, are numbered in a window of their own. Rows of equal (order_col,
+    tie_col) are interchangeable, so any order among them is exact.
     """
-    if (1 << bucket_bits) * n_strata_bound > MAX_COUNT_TABLE_ROWS:
-        raise ValueError("count table could exceed its broadcast bound")
     by = list(by)
+    shared_dir(df.sparkSession)
     shift = 32 - bucket_bits
-    b = F.shiftright(F.col(order_col), shift).cast("int")
-    tagged = df.withColumn("_bucket", b)
-    counts = tagged.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    bucket = F.coalesce(F.shiftright(F.col(order_col), shift).cast("int"), F.lit(-1))
+    tagged = df.withColumns({"_bucket": bucket, "_tag": F.spark_partition_id()}).checkpoint()
+    keys = [*by, "_bucket", order_col, tie_col, "_tag"]
+    groups = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    counts = groups.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_cnt"))
+    # at most 2**bucket_bits + 1 rows per stratum
     w = Window.partitionBy(*by).orderBy("_bucket") if by else Window.orderBy("_bucket")
     offsets = counts.select(*by, "_bucket", (F.sum("_cnt").over(w) - F.col("_cnt")).alias("_offset"))
-    largest = counts.agg(F.max("_cnt")).first()[0] or 0
-    if largest > hot_rows:
-        return _salted_rank(tagged, offsets, order_col, tie_col, by, out, salt_buckets)
-    # offsets has at most 2**bucket_bits rows per stratum (checked above): broadcast is bounded
-    joined = tagged.join(F.broadcast(offsets), [*by, "_bucket"])
-    rw = Window.partitionBy(*by, "_bucket").orderBy(F.col(order_col), F.col(tie_col))
-    return joined.withColumn(out, F.row_number().over(rw) + F.col("_offset")).drop("_bucket", "_offset")
+    gw = Window.partitionBy(*by, "_bucket").orderBy(F.col(order_col), F.col(tie_col), F.col("_tag")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    starts = groups.select(*keys, (F.sum("_c").over(gw) - F.col("_c")).alias("_start"))
+    starts = join_null_safe(starts, offsets, [*by, "_bucket"]).withColumn("_start", F.col("_start") + F.col("_offset")).drop("_offset")
+    numbered = join_null_safe(tagged, starts, keys)
+    rw = Window.partitionBy(*keys).orderBy(F.col(order_col))
+    return numbered.withColumn(out, F.row_number().over(rw) + F.col("_start")).drop("_bucket", "_tag", "_start")
 
 
-def _salted_rank(tagged: DataFrame, offsets: DataFrame, order_col: str, tie_col: str, by: list[str], out: str,
-                 salt_buckets: int) -> DataFrame:
-    """Rank for data with hot (order_col, tie_col) groups: ties are split over salt sub-partitions.
+def ranged(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str = "_b") -> DataFrame:
+    """``df`` range-partitioned by (by, order) and stored, with the number of each row's range in ``out``.
 
-    Rows with equal (order_col, tie_col) are interchangeable for the rank,
-    so numbering them in any sub-partition order keeps the result exact.
+    Ranges ascend in the given order; all rows of one (by, order) value share one.
     """
-    keys = [*by, "_bucket", order_col, tie_col]
-    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salt_buckets)).cast("int")
-    t = tagged.withColumn("_salt", salt)
-    # partial aggregation collapses a hot key map-side: at most salt_buckets rows per key leave each task
-    groups = t.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_c"))
-    gw = Window.partitionBy(*by, "_bucket").orderBy(F.col(order_col), F.col(tie_col), F.col("_salt"))
-    group_off = groups.select(*keys, "_salt", (F.sum("_c").over(gw) - F.col("_c")).alias("_go"))
-    # bucket offsets: bounded table (see dist_rank), broadcast
-    group_off = group_off.join(F.broadcast(offsets), [*by, "_bucket"])
-    j = t.join(group_off, [*keys, "_salt"])
-    rw = Window.partitionBy(*keys, "_salt").orderBy(F.col(order_col))
-    return (j.withColumn(out, F.row_number().over(rw) + F.col("_go") + F.col("_offset"))
-            .drop("_bucket", "_salt", "_go", "_offset"))
-
-
-def stratum_sizes(df: DataFrame, by: Sequence[str], out: str = "_n") -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
-
-
-def cum_counts(scored: DataFrame, score: str = "p", label: str = "y", rows_per_bucket: int = 1_000_000,
-               max_buckets: int = 4096, accuracy: int = 10000) -> DataFrame:
+    shared_dir(df.sparkSession)
+    return df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(out, F.spark_partition_id()).checkpoint()
+
+
+def cum_counts(scored: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     """Per distinct score (descending): pos, neg and cumulative tp/fp including that score.
 
-    Scores are first grouped (partial aggregation), so the row-level table
-    becomes one row per distinct score. When there are more distinct scores
-    than ``rows_per_bucket``, they are cut into range buckets at approximate
-    quantiles (skewed score distributions still spread) and the prefix sums
-    run per bucket plus a broadcast bucket offset; otherwise one bounded
-    partition holds them all.
+    Scores are grouped first (partial aggregation), so the table becomes one
+    row per distinct score; these are range-partitioned by descending score
+    once and stored. Prefix sums run inside each range on top of the sums of
+    the ranges before it (one row a range).
     """
     grouped = scored.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(~(F.col(label) == 1) | F.col(label).isNull()).alias("neg"),
     )
-    n_distinct = grouped.count()
-    n_buckets = min(max_buckets, -(-n_distinct // rows_per_bucket))
-    if n_buckets <= 1:
-        # at most rows_per_bucket rows: an unpartitioned window over a bounded table
-        w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return grouped.select("score", "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
-    edges = grouped.approxQuantile("score", [i / n_buckets for i in range(1, n_buckets)], 1.0 / accuracy)
-    edges = sorted(set(e for e in edges if e is not None))
-    # _b = number of edges above the score: ascending _b is descending score
-    arr = F.array(*[F.lit(float(e)) for e in edges])
-    tagged = grouped.withColumn("_b", F.size(F.filter(arr, lambda e: F.col("score") < e)))
+    tagged = ranged(grouped, [], [F.col("score").desc()])
     tot = tagged.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wo = Window.orderBy("_b")
-    # tot has at most max_buckets rows: the unpartitioned window runs on a bounded table
     offs = tot.select("_b", (F.sum("_bp").over(wo) - F.col("_bp")).alias("_op"),
                       (F.sum("_bn").over(wo) - F.col("_bn")).alias("_on"))
-    j = tagged.join(F.broadcast(offs), "_b")
+    j = tagged.join(offs, "_b")
     w = Window.partitionBy("_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return j.select(
         "score", "pos", "neg",
         (F.sum("pos").over(w) + F.col("_op")).alias("tp"),
         (F.sum("neg").over(w) + F.col("_on")).alias("fp"),
     )
+
+
+def dist_quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """Exact interpolated quantiles of ``value`` per ``by``: (by..., prob, quantile), NULL and NaN values left out.
+
+    Values are counted (partial aggregation), the counts range-partitioned and
+    prefix-summed as in ``cum_counts``; the two ranks that a quantile lies
+    between are then read off. No group is collected into one task.
+    """
+    by = list(by)
+    v = values.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    tagged = ranged(counts, by, [F.col("_v").asc()])
+    # one row a range and group: sums of the ranges before, within the group
+    parts = tagged.groupBy(*by, "_b").agg(F.sum("_c").alias("_n"))
+    wo = Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")
+    before = parts.select(*by, "_b", (F.sum("_n").over(wo) - F.col("_n")).alias("_before"))
+    w = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = join_null_safe(tagged, before, [*by, "_b"]).withColumn("_hi", F.sum("_c").over(w) + F.col("_before"))
+    total = parts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    ranked = join_null_safe(ranked, total, by) if by else ranked.crossJoin(total)  # one row
+    wanted = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("prob")
+    spots = ranked.select(*by, "_v", "_c", "_hi", "_total", wanted)
+    at = F.col("prob") * (F.col("_total") - 1)
+    low, high = F.floor(at) + 1, F.ceil(at) + 1  # ranks from 1
+    first = F.col("_hi") - F.col("_c")
+    holds = lambda r: (first < r) & (r <= F.col("_hi"))
+    picked = spots.where(holds(low) | holds(high)).groupBy(*by, "prob").agg(
+        F.max(F.when(holds(low), F.col("_v"))).alias("_lo"), F.max(F.when(holds(high), F.col("_v"))).alias("_up"),
+        F.max(at - F.floor(at)).alias("_f"))
+    return picked.select(*by, "prob", (F.col("_lo") + (F.col("_up") - F.col("_lo")) * F.col("_f")).alias("quantile"))
+
+
+def dist_mode(values: DataFrame, by: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """Most frequent non-null ``value`` per ``by`` (the smallest of equally frequent ones): (by..., mode)."""
+    by = list(by)
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    top = counts.groupBy(*by).agg(F.max("_c").alias("_c"))
+    most = join_null_safe(counts, top, [*by, "_c"])
+    return most.groupBy(*by).agg(F.min(value).alias("mode"))

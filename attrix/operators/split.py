@@ -12,9 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .ranks import dist_rank, hash32
-
-MAX_STRATA = 64
+from .ranks import join_null_safe, dist_rank, hash32
 
 
 def stratified_split(df: DataFrame, key: str = C.KEY_COL, stratum: str = C.TARGET_COL,
@@ -29,31 +27,13 @@ def stratified_split(df: DataFrame, key: str = C.KEY_COL, stratum: str = C.TARGE
     tr, va, _ = fractions
     a, b = int(round(tr * 100)), int(round((tr + va) * 100))
     hashed = df.withColumn("_h", hash32(F.col(key), f"split{seed}"))
-    ranked = dist_rank(hashed, "_h", key, by=[stratum], out="_r", n_strata_bound=MAX_STRATA)
-    # class sizes: the stratum domain is checked to be small, then applied as literals (no join)
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).limit(MAX_STRATA + 1).collect()
-    if len(sizes) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata in {stratum!r}")
-    n = F.lit(None).cast("bigint")
-    for r in sizes:
-        cond = F.col(stratum).isNull() if r[0] is None else (F.col(stratum) == F.lit(r[0]))
-        n = F.when(cond, F.lit(int(r["_n"]))).otherwise(n)
-    j = ranked
+    ranked = dist_rank(hashed, "_h", key, by=[stratum], out="_r")
+    sizes = ranked.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    n, j = F.col("_n"), join_null_safe(ranked, sizes, [stratum])
     cut_train = F.floor((F.lit(a) * n + 50) / 100)
     cut_val = F.floor((F.lit(b) * n + 50) / 100)
     label = F.when(F.col("_r") <= cut_train, "train").when(F.col("_r") <= cut_val, "val").otherwise("test")
     j = j.withColumn(out, label)
     if k:
         j = j.withColumn(fold_col, F.when(F.col(out) == "train", ((F.col("_r") - 1) % k).cast("int")))
-    return j.drop("_h", "_r")
-
-
-def assign_folds(df: DataFrame, key: str = C.KEY_COL, stratum: str = C.TARGET_COL, k: int = C.N_FOLDS,
-                 seed: int = C.RANDOM_STATE, split_col: str = "split", train_value: str = "train",
-                 out: str = "fold") -> DataFrame:
-    """Fold id 0..k-1 for training rows (NULL elsewhere): class-balanced round robin on a hash rank."""
-    train = df.where(F.col(split_col) == train_value) if split_col in df.columns else df
-    hashed = train.select(key, stratum).withColumn("_h", hash32(F.col(key), f"fold{seed}"))
-    ranked = dist_rank(hashed, "_h", key, by=[stratum], out="_fr")
-    folds = ranked.select(key, ((F.col("_fr") - 1) % k).cast("int").alias(out))
-    return df.join(folds, key, "left")
+    return j.drop("_h", "_r", "_n")

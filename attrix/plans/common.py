@@ -8,7 +8,8 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from .. import config as C
 from ..functions.columns import clean, engineer_features
-from ..operators.split import assign_folds, stratified_split
+from ..operators.ranks import dist_quantiles
+from ..operators.split import stratified_split
 from ..session import scratch_path
 from ..sources.customer import load_joined, source_tables
 
@@ -33,8 +34,9 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_median(df: DataFrame, col: str) -> float | None:
-    """exact interpolated median (one aggregation, a scalar to the driver)."""
-    return df.agg(F.median(F.col(col)).alias("m")).first()["m"]
+    """exact interpolated median (a scalar to the driver)."""
+    row = dist_quantiles(df, [0.5], value=col).first()
+    return row["quantile"] if row else None
 
 
 def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:

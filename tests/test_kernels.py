@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from attrix import config as C
 from attrix.operators import evaluate as E
-from attrix.operators.ranks import cum_counts, dist_rank, hash32
+from attrix.operators.ranks import cum_counts, dist_mode, dist_quantiles, dist_rank, hash32
 
 
 def test_sweep_grid_matches_arange_semantics():
@@ -56,11 +56,14 @@ def test_roc_auc_tie_aware_and_reversal(spark):
     assert rev == pytest.approx(1 - auc, abs=1e-12)
 
 
-def test_cum_counts_bucketed_equals_single_partition(spark):
-    df, _ = _scored(spark)
-    a = {r.score: (r.tp, r.fp) for r in cum_counts(df).collect()}
-    b = {r.score: (r.tp, r.fp) for r in cum_counts(df, rows_per_bucket=10).collect()}
-    assert a == b
+def test_cum_counts_equals_single_window(spark):
+    df, rows = _scored(spark)
+    got = {r.score: (r.tp, r.fp) for r in cum_counts(df).collect()}
+    tp = fp = 0
+    for score in sorted({p for _, p in rows}, reverse=True):
+        tp += sum(1 for y, p in rows if p == score and y == 1)
+        fp += sum(1 for y, p in rows if p == score and y == 0)
+        assert got[score] == (tp, fp)
 
 
 def test_pr_auc_trapezoid(spark):
@@ -143,12 +146,6 @@ def test_dist_rank_hot_stratum_spreads_over_buckets(spark):
     assert buckets > 200  # the hot class is cut into many window partitions
 
 
-def test_dist_rank_rejects_unbounded_count_table(spark):
-    df = spark.range(10).select(F.col("id").cast("string").alias("k"), F.lit(0).alias("g"))
-    with pytest.raises(ValueError):
-        dist_rank(df.withColumn("h", hash32(F.col("k"), "x")), "h", "k", by=["g"], bucket_bits=20, n_strata_bound=64)
-
-
 def test_threshold_counts_with_hot_score(spark):
     # one score value carries a third of the rows: grouped first, counts stay exact
     rows = [(1, 0.5)] * 300 + [(0, 0.5)] * 200 + [(1, 0.9)] * 100 + [(0, 0.1)] * 400
@@ -158,12 +155,12 @@ def test_threshold_counts_with_hot_score(spark):
     assert E.roc_auc(df).first()["roc_auc"] == pytest.approx(_brute_auc(rows), abs=1e-12)
 
 
-def test_dist_rank_salted_path_with_hot_duplicate_key(spark):
-    # one key value holds a third of the rows: the salted path spreads it and the ranks stay exact
+def test_dist_rank_with_hot_duplicate_key(spark):
+    # one key value holds a third of the rows: it is numbered per input partition and the ranks stay exact
     hot = spark.range(1500).select(F.lit("HOT").alias("k"), F.lit(0).alias("g"))
     rest = spark.range(3000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 2).alias("g"))
     df = hot.unionByName(rest).withColumn("h", hash32(F.col("k"), "x"))
-    got = dist_rank(df, "h", "k", by=["g"], out="r", bucket_bits=6, hot_rows=100)
+    got = dist_rank(df, "h", "k", by=["g"], out="r", bucket_bits=6)
     ref = df.withColumn("r2", F.row_number().over(Window.partitionBy("g").orderBy("h", "k")))
     # exact ranks are a permutation 1..n per class and agree with the single window up to ties
     a = got.groupBy("g").agg(F.count("r").alias("n"), F.count_distinct("r").alias("d"), F.min("r").alias("lo"),
@@ -172,3 +169,42 @@ def test_dist_rank_salted_path_with_hot_duplicate_key(spark):
     per_key_got = got.groupBy("g", "k").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
     per_key_ref = ref.groupBy("g", "k").agg(F.min("r2").alias("lo"), F.max("r2").alias("hi"))
     assert per_key_got.exceptAll(per_key_ref).count() == 0
+
+
+def test_dist_rank_behind_a_shuffle_join_with_a_wide_payload(spark):
+    # tags are stored before they are used: a plan that could number rows anew still loses none
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "-1")
+        spark.conf.set(keys[1], "64k")
+        a = spark.range(8000).select(F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.col("id").cast("string")).alias("k"),
+                                     F.col("id"), F.repeat(F.lit("x"), 200).alias("payload"))
+        b = spark.range(8000).select("id", F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 2).alias("g"))
+        df = a.join(b, "id").withColumn("h", hash32(F.col("k"), "x"))
+        got = dist_rank(df, "h", "k", by=["g"], out="r", bucket_bits=4)
+        per = {r.g: (r.n, r.d, r.lo, r.hi) for r in got.groupBy("g").agg(
+            F.count("r").alias("n"), F.count_distinct("r").alias("d"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    assert per == {None: (1600, 1600, 1, 1600), 0: (3200, 3200, 1, 3200), 1: (3200, 3200, 1, 3200)}
+
+
+def test_dist_quantiles_match_interpolated_percentiles(spark):
+    df = spark.range(200_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 100_003).cast("double").alias("value"))
+    df = df.unionByName(spark.createDataFrame([(0, None), (0, float("nan"))], "g long, value double"))
+    got = {(r.g, r.prob): r.quantile for r in dist_quantiles(df, [0.0, 0.25, 0.5, 0.9], ["g"]).collect()}
+    ref = df.where("value IS NOT NULL AND NOT isnan(value)").groupBy("g").agg(
+        F.percentile("value", F.array(*map(F.lit, [0.0, 0.25, 0.5, 0.9]))).alias("q")).collect()
+    for r in ref:
+        for p, q in zip([0.0, 0.25, 0.5, 0.9], r.q):
+            assert got[r.g, p] == pytest.approx(q, abs=1e-9)
+    one = dist_quantiles(spark.createDataFrame([(3.0,)], "value double"), [0.5]).collect()
+    assert [(r.prob, r.quantile) for r in one] == [(0.5, 3.0)]
+    assert dist_quantiles(spark.createDataFrame([], "value double"), [0.5]).count() == 0
+
+
+def test_dist_mode_takes_the_smallest_of_equals(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (1, "b"), (2, None), (2, "z")], "g int, value string")
+    assert {r.g: r.mode for r in dist_mode(df, ["g"]).collect()} == {1: "a", 2: "z"}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from attrix import config as C
 from attrix.operators.prep import apply_prep, fit_prep
-from attrix.operators.split import assign_folds, stratified_split
+from attrix.operators.split import stratified_split
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,7 @@ def test_split_is_stable(table):
 
 
 def test_folds_cover_train(table):
-    f = assign_folds(stratified_split(table))
+    f = stratified_split(table, k=C.N_FOLDS)
     train = f.where("split = 'train'")
     assert train.where("fold IS NULL").count() == 0
     assert f.where("split <> 'train' AND fold IS NOT NULL").count() == 0
@@ -80,3 +80,17 @@ def test_split_with_folds_in_one_pass(table):
     for c in (0, 1):
         sizes = [per[(c, f)] for f in range(5)]
         assert max(sizes) - min(sizes) <= 1  # round robin inside each class
+
+
+def test_split_keeps_null_labels_and_keys(spark):
+    rows = [(f"C{i:03d}", i % 2) for i in range(100)] + [("N1", None), ("N2", None), (None, 0), (None, 1)]
+    s = stratified_split(spark.createDataFrame(rows, "CustomerID string, Churn int"), k=5)
+    assert s.count() == 104
+    assert s.where("Churn IS NULL").count() == 2 and s.where("CustomerID IS NULL").count() == 2
+    assert s.where("split IS NULL").count() == 0
+
+
+def test_split_takes_any_number_of_strata(spark):
+    df = spark.range(400).select(F.col("id").cast("string").alias("CustomerID"), (F.col("id") % 100).alias("Churn"))
+    s = stratified_split(df)
+    assert s.count() == 400 and s.select("Churn").distinct().count() == 100

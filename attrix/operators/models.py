@@ -51,7 +51,8 @@ def logistic_regression(C_: float = 1.0, l1_ratio: float = 0.0, max_iter: int =
                               standardization=False, fitIntercept=True, tol=1e-6)
 
 
-def random_forest(n_trees: int = 300, seed: int = C.RANDOM_STATE, max_depth: int = 12):
+def random_forest(n_trees: int = 300, seed: int = C.RANDOM_STATE, max_depth: int = 30):
+    """Trees without a depth limit of their own; 30 is the deepest that Spark ML grows."""
     from pyspark.ml.classification import RandomForestClassifier
 
     return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
@@ -80,32 +81,20 @@ def probability_col(pred: DataFrame, out: str = "p") -> DataFrame:
 
 
 # M7 / M8 -------------------------------------------------------------------
-def cv_scores(data: DataFrame, make_estimator, k: int = C.N_FOLDS, fold_col: str = "fold",
-              threshold: float = C.DEFAULT_THRESHOLD) -> list[dict]:
-    """Fit on k-1 folds, score the held-out fold; recall, ROC-AUC, precision, F1 per fold.
-
-    ``data`` is persisted by the caller; each fit is a distributed job and
-    the scoring of each fold is one aggregation.
-    """
-    from .evaluate import roc_auc, threshold_metrics
-
-    out = []
-    for f in range(k):
-        tr = data.where(F.col(fold_col) != f)
-        te = data.where(F.col(fold_col) == f)
-        tr = balanced_weights(tr)
-        est = make_estimator(tr)
-        model = est.fit(tr)
-        scored = probability_col(model.transform(te)).select(F.col("label").cast("int").alias("y"), "p")
-        m = threshold_metrics(scored, threshold).first()
-        auc = roc_auc(scored).first()["roc_auc"]
-        out.append({"fold": f, "recall": m["recall"], "roc_auc": auc, "precision": m["precision"], "f1": m["f1"]})
-    return out
+def optional(x) -> float | None:
+    """A float, or None where a measure is undefined (an AUC of one class)."""
+    return None if x is None else float(x)
+
+
+def mean(values: Sequence[float | None]) -> float | None:
+    """Mean of the defined values."""
+    known = [v for v in values if v is not None]
+    return sum(known) / len(known) if known else None
 
 
 def summarize_cv(spark, rows_by_model: Mapping[str, list[dict]]) -> DataFrame:
     """M7: mean and population std per model and metric."""
-    flat = [(m, int(r["fold"]), float(r["recall"]), float(r["roc_auc"] or 0.0), float(r["precision"]), float(r["f1"]))
+    flat = [(m, int(r["fold"]), float(r["recall"]), optional(r["roc_auc"]), float(r["precision"]), float(r["f1"]))
             for m, rows in rows_by_model.items() for r in rows]
     df = spark.createDataFrame(flat, "model string, fold int, recall double, roc_auc double, precision double, f1 double")
     aggs = []
@@ -132,24 +121,12 @@ def random_params(n: int = C.RANDOM_SEARCH_DRAWS, lo_hi=C.RANDOM_C_RANGE, seed:
     return [{"C": math.exp(rng.uniform(lo, hi)), "l1_ratio": float(rng.choice(list(ratios)))} for _ in range(n)]
 
 
-def search(data: DataFrame, param_list: Sequence[dict], k: int = C.N_FOLDS, max_iter: int = 200) -> list[dict]:
-    """Mean CV ROC-AUC per parameter set (M10/M11); each fit is a Spark ML job."""
-    results = []
-    for prm in param_list:
-        def make(tr, prm=prm):
-            ws = tr.agg(F.sum("weight")).first()[0]
-            return logistic_regression(prm["C"], prm["l1_ratio"], max_iter, ws)
-        rows = cv_scores(data, make, k)
-        aucs = [r["roc_auc"] or 0.0 for r in rows]
-        results.append({**prm, "mean_roc_auc": sum(aucs) / len(aucs)})
-    return results
-
-
 def search_winner(grid: Sequence[dict], rand: Sequence[dict]) -> dict:
     """Best of each search; grid wins ties (>=)."""
-    g = max(grid, key=lambda r: r["mean_roc_auc"]) if grid else None
-    r = max(rand, key=lambda r: r["mean_roc_auc"]) if rand else None
-    if g is not None and (r is None or g["mean_roc_auc"] >= r["mean_roc_auc"]):
+    auc = lambda r: -1.0 if r["mean_roc_auc"] is None else r["mean_roc_auc"]
+    g = max(grid, key=auc) if grid else None
+    r = max(rand, key=auc) if rand else None
+    if g is not None and (r is None or auc(g) >= auc(r)):
         return {**g, "search": "grid"}
     return {**r, "search": "random"}
 

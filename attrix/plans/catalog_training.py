@@ -27,21 +27,21 @@ register("m06_boosted_trees")(_val_predictions("boosted_trees", {"rounds": 300,
 @register("m07_cv_scores")
 def m07(spark, sf_dir):
     data, _ = T.model_data(spark, sf_dir)
-    return T.cv_summary(spark, data, sf_dir=sf_dir)
+    return T.cv_summary(spark, data)
 
 
 @register("m08_validation_scores")
 def m08(spark, sf_dir):
     data, _ = T.model_data(spark, sf_dir)
-    return T.validation_scores(spark, data, sf_dir=sf_dir)
+    return T.validation_scores(spark, data)
 
 
 @register("m09_model_comparison")
 def m09(spark, sf_dir):
     """J2 + M9: CV summary left-joined with validation scores on ``model``; best by CV recall flagged."""
     data, _ = T.model_data(spark, sf_dir)
-    cv = T.cv_summary(spark, data, sf_dir=sf_dir)
-    val = T.validation_scores(spark, data, sf_dir=sf_dir).select("model", *[F.col(c).alias(f"val_{c}") for c in
+    cv = T.cv_summary(spark, data)
+    val = T.validation_scores(spark, data).select("model", *[F.col(c).alias(f"val_{c}") for c in
                                                              ("recall", "roc_auc", "precision", "f1")])
     comp = cv.join(val, "model", "left")  # both sides: one row per model
     best = M.best_model(comp)
@@ -51,19 +51,19 @@ def m09(spark, sf_dir):
 @register("m10_grid_search")
 def m10(spark, sf_dir):
     data, _ = T.model_data(spark, sf_dir)
-    return T.search_table(spark, T.search_results(spark, sf_dir, data, "grid"))
+    return T.search_table(spark, T.search_results(spark, data, "grid"))
 
 
 @register("m11_random_search")
 def m11(spark, sf_dir):
     data, _ = T.model_data(spark, sf_dir)
-    return T.search_table(spark, T.search_results(spark, sf_dir, data, "random"))
+    return T.search_table(spark, T.search_results(spark, data, "random"))
 
 
 @register("m12_tuning_comparison")
 def m12(spark, sf_dir):
     data, _ = T.model_data(spark, sf_dir)
-    return T.tuning_comparison(spark, sf_dir, data)
+    return T.tuning_comparison(spark, data)
 
 
 @register("m13_untuned_baseline")
@@ -72,7 +72,7 @@ def m13(spark, sf_dir):
     model = T.fit("logistic_regression", data.where(F.col("split") == "train"))
     pred = T.predictions(model, data.where(F.col("split") == "val"))
     s = T.scores(pred)
-    return spark.createDataFrame([("untuned_logistic_regression", float(s["recall"]), float(s["roc_auc"] or 0.0),
+    return spark.createDataFrame([("untuned_logistic_regression", float(s["recall"]), M.optional(s["roc_auc"]),
                                    float(s["precision"]), float(s["f1"]))],
                                  "model string, recall double, roc_auc double, precision double, f1 double")
 
@@ -80,10 +80,10 @@ def m13(spark, sf_dir):
 @register("m14_feature_importance")
 def m14(spark, sf_dir):
     data, bundle = T.model_data(spark, sf_dir)
-    return T.feature_importance(spark, data, bundle.params, sf_dir=sf_dir)
+    return T.feature_importance(spark, data, bundle.params)
 
 
 @register("m15_importance_by_source")
 def m15(spark, sf_dir):
     data, bundle = T.model_data(spark, sf_dir)
-    return M.importance_by_source(T.feature_importance(spark, data, bundle.params, sf_dir=sf_dir))
+    return M.importance_by_source(T.feature_importance(spark, data, bundle.params))

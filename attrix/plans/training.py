@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,18 +22,13 @@ from ..operators import models as M
 from ..session import shared_dir
 from . import common
 
-ROWS_PER_PARTITION = 500_000
-
 
 def model_data(spark: SparkSession, sf_dir: str):
     """(data, params): checkpointed model input for every customer plus the fitted prep parameters."""
     shared_dir(spark)
     fe, bundle = common.fitted(spark, sf_dir)
     data = M.model_input(fe, bundle.params, extra=["split", "fold", *C.FAIRNESS_COLS])
-    n = data.count()
-    # iterative fits pay a job per iteration: size partitions to the data, not to the cluster
-    parts = max(1, min(data.rdd.getNumPartitions(), -(-n // ROWS_PER_PARTITION)))
-    return data.coalesce(parts).checkpoint(), bundle
+    return data.checkpoint(), bundle
 
 
 def _weighted(df: DataFrame) -> DataFrame:
@@ -91,117 +85,123 @@ def cross_validate(data: DataFrame, tasks: list[tuple[str, dict]], k: int = C.N_
     return out
 
 
-def cv_summary(spark: SparkSession, data: DataFrame, parallelism: int = 8, sf_dir: str | None = None) -> DataFrame:
-    """M7: mean and population std of recall / ROC-AUC / precision / F1 per model (fold scores saved as an artifact)."""
-    path = _artifact_path(spark, sf_dir, "cv_scores") if sf_dir else None
-    if path and os.path.exists(path):
-        with open(path) as fh:
-            res = json.load(fh)
-    else:
-        res = cross_validate(data, [(m, {}) for m in MODELS], parallelism=parallelism)
-        res = [[{k: (float(v) if v is not None else None) for k, v in r.items()} for r in rows] for rows in res]
-        if path:
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "w") as fh:
-                json.dump(res, fh)
-    return M.summarize_cv(spark, dict(zip(MODELS, res)))
+def data_digest(data: DataFrame) -> str:
+    """A digest of every row of the model input (order does not matter)."""
+    cols = [F.to_json(F.struct(F.col(c))) if c == "features" else F.col(c).cast("string") for c in data.columns]
+    h = F.xxhash64(*[F.coalesce(c, F.lit("")) for c in cols]).cast("decimal(38,0)")
+    row = data.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("a"), F.sum(h % 1_000_003).alias("b")).first()
+    return f"{row['n']}-{row['a']}-{row['b']}"
+
+
+#: Raised when fits or scores change, so that results of earlier code are never read.
+FIT_VERSION = 2
 
 
-def cached_json(spark: SparkSession, sf_dir: str | None, name: str, build):
-    """Small fitted results (scores, importances) saved once under the shared folder and reused by later stages."""
-    path = _artifact_path(spark, sf_dir, name) if sf_dir else None
-    if path and os.path.exists(path):
-        with open(path) as fh:
-            return json.load(fh)
-    value = build()
-    if path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w") as fh:
-            json.dump(value, fh)
-    return value
+def fitted_once(spark: SparkSession, data: DataFrame, name: str, settings, build):
+    """Results of fits, kept in the shared folder under a digest of the data, the settings and the code version.
 
+    Other data, splits, parameter sets or fits give another key, so a result is only read where the same fit on the
+    same rows would be repeated.
+    """
+    text = json.dumps([name, FIT_VERSION, settings, data_digest(data), C.RANDOM_STATE, C.N_FOLDS], sort_keys=True)
+    base = shared_dir(spark).rstrip("/")
+    path = f"{base}/fits/{name}-{hashlib.sha256(text.encode()).hexdigest()}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        spark.createDataFrame([(json.dumps(build()),)], "value string").write.mode("overwrite").text(path)
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
-def validation_scores(spark: SparkSession, data: DataFrame, sf_dir: str | None = None) -> DataFrame:
+
+def _plain(scores_: dict) -> dict:
+    return {k: M.optional(v) for k, v in scores_.items()}
+
+
+def cv_summary(spark: SparkSession, data: DataFrame, parallelism: int = 8) -> DataFrame:
+    """M7: mean and population std of recall / ROC-AUC / precision / F1 per model."""
+    res = fitted_once(spark, data, "cv_scores", list(MODELS), lambda: [
+        [_plain(r) for r in rows] for rows in cross_validate(data, [(m, {}) for m in MODELS], parallelism=parallelism)])
+    return M.summarize_cv(spark, dict(zip(MODELS, res)))
+
+
+def validation_scores(spark: SparkSession, data: DataFrame) -> DataFrame:
     """M8: refit on the whole train split, score validation at 0.50."""
     train = data.where(F.col("split") == "train")
     val = data.where(F.col("split") == "val")
 
     def one(name):
-        s = scores(predictions(fit(name, train), val))
-        return {"model": name, **{k: (None if v is None else float(v)) for k, v in s.items()}}
+        return {"model": name, **_plain(scores(predictions(fit(name, train), val)))}
 
     def build():
         with ThreadPoolExecutor(max_workers=len(MODELS)) as pool:
             return list(pool.map(one, MODELS))
 
-    rows = cached_json(spark, sf_dir, "validation_scores", build)
-    return spark.createDataFrame([(r["model"], float(r["recall"]), float(r["roc_auc"] or 0.0), float(r["precision"]),
-                                   float(r["f1"])) for r in rows],
+    rows = fitted_once(spark, data, "validation_scores", list(MODELS), build)
+    return spark.createDataFrame([(r["model"], r["recall"], r["roc_auc"], r["precision"], r["f1"]) for r in rows],
                                  "model string, recall double, roc_auc double, precision double, f1 double")
 
 
-def _artifact_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    base = shared_dir(spark)
-    base = base[len("file:"):] if base.startswith("file:") else base
-    key = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    return os.path.join(base, "artifacts", key, f"{name}.json")
+def search_results(spark: SparkSession, data: DataFrame, kind: str, parallelism: int = 8) -> list[dict]:
+    """Mean CV ROC-AUC per parameter set (of the folds where it is defined)."""
+    params = M.grid_params() if kind == "grid" else M.random_params()
 
+    def build():
+        tasks = [("logistic_regression", {**p, "max_iter": 2000}) for p in params]
+        out = []
+        for p, rows in zip(params, cross_validate(data, tasks, parallelism=parallelism)):
+            aucs = [M.optional(r["roc_auc"]) for r in rows]
+            m = M.mean(aucs)
+            std = None if m is None else M.mean([None if a is None else (a - m) ** 2 for a in aucs]) ** 0.5
+            out.append({"C": p["C"], "l1_ratio": p["l1_ratio"], "mean_roc_auc": m, "std_roc_auc": std})
+        return out
 
-def search_results(spark: SparkSession, sf_dir: str, data: DataFrame, kind: str, parallelism: int = 8) -> list[dict]:
-    """Mean CV ROC-AUC per parameter set, saved as an artifact and reused by later stages."""
-    path = _artifact_path(spark, sf_dir, f"search_{kind}")
-    if os.path.exists(path):
-        with open(path) as fh:
-            return json.load(fh)
-    params = M.grid_params() if kind == "grid" else M.random_params()
-    tasks = [("logistic_regression", {**p, "max_iter": 2000}) for p in params]
-    res = cross_validate(data, tasks, parallelism=parallelism)
-    out = []
-    for p, rows in zip(params, res):
-        aucs = [float(r["roc_auc"] or 0.0) for r in rows]
-        out.append({"C": p["C"], "l1_ratio": p["l1_ratio"], "mean_roc_auc": sum(aucs) / len(aucs),
-                    "std_roc_auc": (sum((a - sum(aucs) / len(aucs)) ** 2 for a in aucs) / len(aucs)) ** 0.5})
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w") as fh:
-        json.dump(out, fh)
-    return out
+    return fitted_once(spark, data, f"search_{kind}", params, build)
 
 
 def search_table(spark: SparkSession, results: list[dict]) -> DataFrame:
     from ..functions.columns import regularisation_label
 
-    df = spark.createDataFrame([(float(r["C"]), float(r["l1_ratio"]), float(r["mean_roc_auc"]), float(r["std_roc_auc"]))
+    df = spark.createDataFrame([(float(r["C"]), float(r["l1_ratio"]), r["mean_roc_auc"], r["std_roc_auc"])
                                 for r in results], "C double, l1_ratio double, mean_roc_auc double, std_roc_auc double")
     return df.withColumn("penalty", regularisation_label("l1_ratio"))
 
 
-def tuning_comparison(spark: SparkSession, sf_dir: str, data: DataFrame) -> DataFrame:
-    """M12 (+M13): validation recall / ROC-AUC / precision / F1 / savings for the four stages."""
-    grid = search_results(spark, sf_dir, data, "grid")
-    rand = search_results(spark, sf_dir, data, "random")
-    best = M.search_winner(grid, rand)
+def tuning_comparison(spark: SparkSession, data: DataFrame) -> DataFrame:
+    """M12 (+M13): validation recall / ROC-AUC / precision / F1 / savings of the four stages.
+
+    Untuned, best of the grid, best of the random search, and the better one of these at its picked threshold; with the
+    parameters of each.
+    """
+    grid, rand = search_results(spark, data, "grid"), search_results(spark, data, "random")
+    best = M.search_winner(grid, rand)["search"]
     train = data.where(F.col("split") == "train")
     val = data.where(F.col("split") == "val")
     base_pred = predictions(fit("logistic_regression", train), val)
-    tuned_pred = predictions(fit("logistic_regression", train, {"C": best["C"], "l1_ratio": best["l1_ratio"],
-                                                                "max_iter": 2000}), val)
-    picked = E.pick_threshold(E.threshold_sweep(tuned_pred)).first()["threshold"]
+    stages = [("untuned", base_pred, C.DEFAULT_THRESHOLD, 1.0, 0.0)]
+    for name, found in (("grid", grid), ("random", rand)):
+        won = M.search_winner(found, [])
+        pred = predictions(fit("logistic_regression", train, {"C": won["C"], "l1_ratio": won["l1_ratio"],
+                                                              "max_iter": 2000}), val)
+        stages.append((f"{name}_search", pred, C.DEFAULT_THRESHOLD, won["C"], won["l1_ratio"]))
+        if name == best:
+            picked = E.pick_threshold(E.threshold_sweep(pred)).first()["threshold"]
+            tuned = ("tuned_threshold", pred, picked, won["C"], won["l1_ratio"])
     rows = []
-    for stage, pred, th in (("untuned", base_pred, 0.5), (f"{best['search']}_search", tuned_pred, 0.5),
-                            ("tuned_threshold", tuned_pred, picked)):
-        s = scores(pred, th)
+    for stage, pred, th, c, ratio in [*stages, tuned]:
+        s = _plain(scores(pred, th))
         cm = E.confusion(pred, th).first()
         net = cm["tp"] * C.RETENTION_RATE * C.CLV - (cm["tp"] + cm["fp"]) * C.CAMPAIGN_COST_PER_HEAD
-        rows.append((stage, float(th), float(s["recall"]), float(s["roc_auc"] or 0.0), float(s["precision"]),
-                     float(s["f1"]), float(net)))
-    return spark.createDataFrame(rows, "stage string, threshold double, recall double, roc_auc double, "
-                                       "precision double, f1 double, net_savings double")
+        rows.append((stage, float(th), float(c), float(ratio), s["recall"], s["roc_auc"], s["precision"], s["f1"],
+                     float(net)))
+    return spark.createDataFrame(rows, "stage string, threshold double, C double, l1_ratio double, recall double, "
+                                       "roc_auc double, precision double, f1 double, net_savings double")
 
 
-def feature_importance(spark: SparkSession, data: DataFrame, params, sf_dir: str | None = None) -> DataFrame:
+def feature_importance(spark: SparkSession, data: DataFrame, params) -> DataFrame:
     """Impurity importances of a 300-tree forest on the train split, descending."""
     def build():
         model = fit("random_forest", data.where(F.col("split") == "train"), {"n_trees": 300})
         return [float(v) for v in model.featureImportances.toArray().tolist()]
 
-    return M.importance_table(spark, cached_json(spark, sf_dir, "rf_importances", build), params)
+    return M.importance_table(spark, fitted_once(spark, data, "rf_importances", [300, params.feature_names()], build),
+                              params)

@@ -24,8 +24,11 @@ def file_checksums(spark: SparkSession, root: str) -> DataFrame:
     """(relative path, size, sha256) of every file under ``root`` (manifest excluded)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select("path", "length", F.sha2(F.col("content"), 256).alias("sha256")))
-    prefix = "file:" + os.path.abspath(root).rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), "^" + prefix.replace(".", "\\\\."), "")
+    # the qualified root, as Spark writes it in front of the paths, is cut by its length
+    jvm = spark.sparkContext._jvm
+    given = jvm.org.apache.hadoop.fs.Path(root)
+    qualified = given.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(given).toString()
+    rel = F.substr(F.col("path"), F.lit(len(qualified.rstrip("/")) + 2))
     return files.select(rel.alias("file"), F.col("length").alias("size"), "sha256").where(
         ~F.col("file").endswith(MANIFEST) & ~F.col("file").contains("/.") & ~F.col("file").startswith("."))
 

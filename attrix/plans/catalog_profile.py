@@ -305,7 +305,7 @@ FROM (SELECT {c} AS v, avg(CAST(Churn_Flag AS DOUBLE)) AS rate FROM eda WHERE {c
     return W + """,
 eda AS (
   SELECT * REPLACE (TRY_CAST(trim(TotalCharges) AS DOUBLE) AS TotalCharges),
-         CAST(Churn = 'Yes' AS INTEGER) AS Churn_Flag
+         CAST(Churn IS NOT DISTINCT FROM 'Yes' AS INTEGER) AS Churn_Flag
   FROM joined
 )
 """ + body

@@ -1,8 +1,7 @@
 """EDA report (A22): the profiling sections as one long table.
 
 Every section is one aggregation over the same joined table; the table is
-read through ``cache()`` once (recomputable from the scan if an executor
-is lost) and the sections are ``unionByName``-ed in the long form
+stored once in the shared checkpoint folder and the sections are ``unionByName``-ed in the long form
 ``(section, item, metric, value)``.
 """
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.columns import to_number
 from ..operators import profile as A
+from ..session import shared_dir
 
 NUMERIC = ["Tenure", "SeniorCitizen", "MonthlyCharges", "TotalCharges", "Churn_Flag"]
 OUTLIER_COLS = ["Tenure", "MonthlyCharges", "TotalCharges"]
@@ -23,7 +23,7 @@ def eda_table(joined: DataFrame) -> DataFrame:
     """Joined sources with TotalCharges coerced and a 0/1 label column added."""
     return joined.withColumns({
         "TotalCharges": to_number("TotalCharges"),
-        "Churn_Flag": (F.col(C.TARGET_COL) == "Yes").cast("int"),
+        "Churn_Flag": F.col(C.TARGET_COL).eqNullSafe("Yes").cast("int"),  # X2: NULL counts as 0
     })
 
 
@@ -37,7 +37,8 @@ def _section(df: DataFrame, section: str, item, metrics: list[str]) -> DataFrame
 
 
 def eda_report(joined: DataFrame) -> DataFrame:
-    t = eda_table(joined).cache()
+    shared_dir(joined.sparkSession)
+    t = eda_table(joined).checkpoint()  # about ten passes read it
     cats = [c for c in A.string_columns(t) if c not in (C.KEY_COL, C.TARGET_COL)]
     parts = [
         _section(A.shape(t), "overview", F.lit(""), ["n_rows", "n_columns"]),

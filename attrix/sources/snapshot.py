@@ -5,10 +5,10 @@ driver test data, so they are derived with Spark from
 ``customer ⋈ orders ⋈ lineitem ⋈ part``. The work grows with the order
 tables:
 
-* ``orders`` is scanned once and aggregated per customer in a single
-  ``groupBy`` (partial aggregation map-side, one shuffle on the customer key);
-  the "last order" is a ``max`` over one packed decimal ordered by (date, key),
-  which keeps the aggregation hash-based.
+* ``orders`` is aggregated per customer in a single ``groupBy`` (partial
+  aggregation map-side, one shuffle on the customer key); the "last order" is a
+  ``max`` over a struct ordered by (date, key), so every value is valid.
+* ``orders`` is scanned a second time, for keys only, for the add-on flags.
 * returned line items are filtered at the scan, joined to the seven brands
   that drive the add-on flags and to history orders on the order key, then
   reduced to seven 0/1 flags per customer (again partial aggregation first).
@@ -71,29 +71,14 @@ def _cents(c: Column) -> Column:
     return F.round(c * 100).cast("bigint")
 
 
-# The last history order (latest date, then highest order key) is kept as ONE packed decimal, so the
-# per-customer max is a hash aggregate (a max over a struct plans as a sort aggregate):
-#   digits 1-6 days since 1970 | 7-19 order key | 20 contract code | 21 billing code | 22-33 price in cents
-_PACK_DIGITS = 33
-
-
-def _pack_last_order() -> Column:
-    days = F.unix_date(F.to_date(F.col("o_orderdate")))
-    key = F.col("o_orderkey")
-    cents = _cents(F.col("o_totalprice"))
+def _last_order() -> Column:
+    """Date, key, contract code, billing code and price of an order, ordered by date, then key; any value is valid."""
     priority = F.col("o_orderpriority")
     contract_code = F.when(priority.isin("1-URGENT", "2-HIGH"), 0).when(priority == "3-MEDIUM", 1).otherwise(2)
-    billing_code = F.when(F.col("o_orderstatus") == "F", 0).otherwise(1)
-    packed = F.concat(
-        F.lpad(days.cast("string"), 6, "0"), F.lpad(key.cast("string"), 13, "0"),
-        contract_code.cast("string"), billing_code.cast("string"), F.lpad(cents.cast("string"), 12, "0"),
-    ).cast(f"decimal({_PACK_DIGITS},0)")
-    in_range = days.between(0, 999_999) & key.between(0, 10**13 - 1) & cents.between(0, 10**12 - 1)
-    return F.when(in_range, packed).otherwise(F.raise_error(F.lit("order out of the packed last-order range")))
-
-
-def _unpack(packed: Column, start: int, length: int) -> Column:
-    return F.substring(F.lpad(packed.cast("string"), _PACK_DIGITS, "0"), start, length)
+    return F.struct(
+        F.to_date(F.col("o_orderdate")).alias("day"), F.col("o_orderkey").alias("key"),
+        contract_code.alias("contract"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("billing"),
+        _cents(F.col("o_totalprice")).alias("cents"))
 
 
 def _yes_no(cond: Column) -> Column:
@@ -113,7 +98,7 @@ def snapshot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders.groupBy("o_custkey")
         .agg(
             F.min(F.when(in_history, F.col("o_orderdate"))).alias("first_dt"),
-            F.max(F.when(in_history, _pack_last_order())).alias("last_packed"),
+            F.max(F.when(in_history, _last_order())).alias("last_order"),
             F.sum(F.when(in_history, _cents(F.col("o_totalprice")))).alias("hist_cents"),
             F.count_if(F.col("o_orderdate") >= cutoff).alias("n_future"),
         )
@@ -136,13 +121,13 @@ def snapshot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         flags, F.col("c_custkey") == F.col("f_custkey"), "left"
     )
 
-    last = F.col("last_packed")
-    last_date = F.date_from_unix_date(_unpack(last, 1, 6).cast("int"))
+    last = F.col("last_order")
+    last_date = last["day"]
     tenure = F.floor(F.datediff(last_date, F.to_date(F.col("first_dt"))) / F.lit(DAYS_PER_MONTH)).cast("int")
-    contract_code = _unpack(last, 20, 1)
+    contract_code = last["contract"]
     contract = (
-        F.when(contract_code == "0", "Month-to-month")
-        .when(contract_code == "1", "One year")
+        F.when(contract_code == 0, "Month-to-month")
+        .when(contract_code == 1, "One year")
         .otherwise("Two year")
     )
     payment = (
@@ -155,7 +140,7 @@ def snapshot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation_mod = F.col("c_nationkey") % 5
     internet = F.when(nation_mod == 0, "No").when(nation_mod.isin(1, 2), "DSL").otherwise("Fiber optic")
     phone = key_hash(key, "phone") % 10 < 9
-    monthly = F.floor(_unpack(last, 22, 12).cast("bigint") / F.lit(1000.0)) / F.lit(100.0)
+    monthly = F.floor(last["cents"] / F.lit(1000.0)) / F.lit(100.0)
     total = F.floor(F.col("hist_cents") / F.lit(1000.0)) / F.lit(100.0)
 
     step1 = base.select(
@@ -164,7 +149,7 @@ def snapshot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         tenure.alias("Tenure"),
         contract.alias("ContractType"),
         payment.alias("PaymentMethod"),
-        F.when(_unpack(last, 21, 1) == "0", "No").otherwise("Yes").alias("PaperlessBilling"),
+        F.when(last["billing"] == 0, "No").otherwise("Yes").alias("PaperlessBilling"),
         F.when(key_hash(key, "gender") % 2 == 0, "Male").otherwise("Female").alias("Gender"),
         (key_hash(key, "sr") % 100 < 16).cast("int").alias("SeniorCitizen"),
         _yes_no(key_hash(key, "dep") % 100 < 30).alias("Dependents"),

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from attrix.plans import catalog
 from tools.oracle_check import TABLES, value_hash
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +19,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_a_name_prefix():
-    for name in entry_mod.queries():
+    assert set(catalog.REGISTRY) <= set(entry_mod.queries())
+    for name in catalog.REGISTRY:
         assert name[0] in "sapjxfdmebir" and name[1:3].isdigit()
 
 

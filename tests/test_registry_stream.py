@@ -25,6 +25,16 @@ def test_checksums_and_tamper(spark):
         R.verify(spark, reg, "v9")
 
 
+def test_checksums_survive_a_copy_of_a_dotted_version(spark):
+    import shutil
+
+    reg = scratch_path(spark, "reg-dots")
+    R.save_version(spark, reg, "v1.0.0", None, json.dumps({"a": 1}), 0.49, ["f1"], "demo")
+    moved = os.path.join(scratch_path(spark, "reg-moved"), "copy.d")
+    shutil.copytree(reg, moved)
+    assert {r.status for r in R.verify(spark, moved, "v1.0.0").collect()} == {"ok"}
+
+
 def test_stream_equals_batch(spark):
     from attrix.plans import common
     from attrix.operators.scoring import score_records

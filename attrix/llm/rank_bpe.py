@@ -41,7 +41,7 @@ NONE = 1 << 30          # the rank of a pair that never merges
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
-CONTROL = re.compile("[\x1c-\x1f]")
+CONTROLS = "\x1c\x1d\x1e\x1f"
 
 
 def byte_symbols() -> list[str]:
@@ -195,7 +195,7 @@ class RankBpe:
             if not piece.isascii():
                 piece = unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3")
             piece = piece.lower()
-            out += [piece] if CONTROL.search(piece) else piece.split()
+            out += [piece] if any(x in piece for x in CONTROLS) else piece.split()
         return out
 
     def encode_many(self, texts: list[str]) -> list[tuple[str, str, int]]:

@@ -31,11 +31,16 @@ from attrix.llm.common import Kept, id_and_text, scratch, text_runs
 END_ID = 0
 BLOCK_IDS = 1 << 18      # a block is closed when it has as many ids; longer documents have a block of their own
 SAMPLE = 64              # set bits between two select samples
-CACHE_CHUNKS = 350_000   # chunks in each of the two generations whose ids a worker keeps
+CACHE_CHUNKS = 500_000   # chunks in each of the two generations whose ids a worker keeps
 JOINED_CHUNKS = 500      # new chunks that go to the library in one call
 ENCODED_CHARS = 1 << 20  # characters of texts that are encoded together
 CACHED_CHARS = 64        # longer chunks are encoded anew
 
+#: White space that only Python counts as such, and what keeps a text from being cut at spaces and line ends alone.
+CONTROLS = "\x1c\x1d\x1e\x1f"
+UNEVEN = ["  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000",
+          *map(chr, range(0x2000, 0x200B))]
+
 _ONES = np.array([bin(k).count("1") for k in range(256)], np.uint8)
 
 
@@ -113,11 +118,10 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.id_bytes = int(self.kind[2])
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *added]))
-        self.uneven = re.compile(r"[^\S \n]|  | \n|\n |\n\n|^\s|\s\Z")
+        self.whole = [*CONTROLS, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.cut = re.compile(r" ?\S+|\s+(?!\S)|\s")
         (self.line_end,) = self._ids("\n")
+        self.marks = {m: self._ids(m).tobytes() for m in ",.!?;:"}
         self.kept = Kept(CACHE_CHUNKS)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -126,7 +130,7 @@ class ChunkEncoder:
 
     def _chunks(self, text: str) -> list[str]:
         """The text's chunks; those after a space go without it, others have a line end in front as a mark."""
-        if self.uneven.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN):
             return [c[1:] if c[0] == " " and c[1:].strip() else "\n" + c for c in self.cut.findall(text)]
         out: list[str] = []
         for k, line in enumerate(text.split("\n")):
@@ -137,13 +141,22 @@ class ChunkEncoder:
             out += words
         return out
 
-    def _learn(self, chunks: list[str], into: dict[str, bytes]) -> None:
+    def _learn(self, chunks: list[str], into: Kept) -> None:
+        """Ids of new chunks. The pre-tokenizer cuts between a letter or digit and a closing mark, so that such a
+        chunk's ids are those of its body and of the mark."""
         joined: list[str] = []
+        closed: list[str] = []
+        bodies: set[str] = set()
         for c in chunks:
             if c[0] == "\n" and not c[1:].strip():
                 into[c] = self._ids(c[1:]).tobytes()  # white space alone
+            elif c[-1] in self.marks and len(c) > 1 and c[-2].isalnum():
+                closed.append(c)
+                if into[c[:-1]] is None:
+                    bodies.add(c[:-1])
             else:
                 joined.append(c)
+        joined += bodies.difference(joined)
         for at in range(0, len(joined), JOINED_CHUNKS):
             some = joined[at:at + JOINED_CHUNKS]
             ids = self._ids("\n".join([c[1:] if c[0] == "\n" else " " + c for c in some]))
@@ -152,9 +165,11 @@ class ChunkEncoder:
             stops = np.concatenate([ends, [len(ids)]]) * self.id_bytes
             data = ids.tobytes()
             into.update(zip(some, [data[i:j] for i, j in zip(starts.tolist(), stops.tolist())], strict=True))
+        for c in closed:
+            into[c] = into[c[:-1]] + self.marks[c[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.whole.search(t) else self._chunks(t) if t else [] for t in texts]
+        cut = [None if any(x in t for x in self.whole) else self._chunks(t) if t else [] for t in texts]
         kept = self.kept
         for chunks in cut:
             if chunks:
@@ -166,7 +181,8 @@ class ChunkEncoder:
         out = [self._ids(t).tobytes() if c is None else b"".join(map(kept.__getitem__, c)) for t, c in zip(texts, cut)]
         for c in new:
             if len(c) > CACHED_CHARS:
-                del kept[c]
+                kept.pop(c, None)
+                kept.pop(c[:-1], None)
         kept.turn()
         return out
 

@@ -18,7 +18,6 @@ import heapq
 import json
 import re
 import unicodedata
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,8 +201,7 @@ class RankBpe:
         """Per text the ids in decimal and the decoded text, both joined by spaces, and the number of ids."""
         cut = [self._cut(t) for t in texts]
         kept = self.kept
-        for chunks in cut:
-            deque(map(kept.__getitem__, chunks), 0)
+        looked = [list(map(kept.__getitem__, chunks)) for chunks in cut]
         new = list(kept.new)
         if new:
             for c in new:
@@ -212,8 +210,10 @@ class RankBpe:
             kept.update(self._learn([c for c in new if c not in kept]))
             kept.new.clear()
         out = []
-        for chunks in cut:
-            got = [x for x in map(kept.__getitem__, chunks) if x[2]]
+        for chunks, at_once in zip(cut, looked):
+            if None in at_once:
+                at_once = [kept[c] if x is None else x for x, c in zip(at_once, chunks)]
+            got = [x for x in at_once if x[2]]
             if got:
                 ids, tokens, counts = zip(*got)
                 out.append((" ".join(ids), " ".join(tokens), sum(counts)))

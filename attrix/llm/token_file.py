@@ -17,8 +17,7 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
-from collections import deque
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrix.llm.common import Kept, id_and_text, scratch, text_runs
+from attrix.llm.rank_bpe import byte_symbols
 
 END_ID = 0
 BLOCK_IDS = 1 << 18      # a block is closed when it has as many ids; longer documents have a block of their own
@@ -36,6 +36,7 @@ JOINED_CHUNKS = 500      # new chunks that go to the library in one call
 ENCODED_CHARS = 1 << 20  # characters of texts that are encoded together
 CACHED_CHARS = 64        # longer chunks are encoded anew
 
+ARRAY_CODES = {"u2": "H", "u4": "I"}
 #: White space that only Python counts as such, and what keeps a text from being cut at spaces and line ends alone.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 UNEVEN = ["  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000",
@@ -121,6 +122,7 @@ class ChunkEncoder:
         self.whole = [*CONTROLS, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.cut = re.compile(r" ?\S+|\s+(?!\S)|\s")
         (self.line_end,) = self._ids("\n")
+        self.symbols = dict(enumerate(byte_symbols()))
         self.marks = {m: self._ids(m).tobytes() for m in ",.!?;:"}
         self.kept = Kept(CACHE_CHUNKS)
 
@@ -157,6 +159,16 @@ class ChunkEncoder:
             else:
                 joined.append(c)
         joined += bodies.difference(joined)
+        tokenize, symbols, code, several = self.tokenizer.model.tokenize, self.symbols, self.kind[1:], []
+        for c in joined:
+            word = c[1:] if c[0] == "\n" else c
+            if word.isalpha():  # one word for the pre-tokenizer: straight to the model
+                text = word if c[0] == "\n" else " " + word
+                tokens = tokenize(text.encode().decode("latin-1").translate(symbols))
+                into[c] = array(ARRAY_CODES[code], [t.id for t in tokens]).tobytes()
+            else:
+                several.append(c)
+        joined = several
         for at in range(0, len(joined), JOINED_CHUNKS):
             some = joined[at:at + JOINED_CHUNKS]
             ids = self._ids("\n".join([c[1:] if c[0] == "\n" else " " + c for c in some]))
@@ -171,14 +183,19 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if any(x in t for x in self.whole) else self._chunks(t) if t else [] for t in texts]
         kept = self.kept
-        for chunks in cut:
-            if chunks:
-                deque(map(kept.__getitem__, chunks), 0)
+        got = [chunks and list(map(kept.__getitem__, chunks)) for chunks in cut]
         new = list(kept.new)
         if new:
             self._learn(new, kept)
             kept.new.clear()
-        out = [self._ids(t).tobytes() if c is None else b"".join(map(kept.__getitem__, c)) for t, c in zip(texts, cut)]
+        out = []
+        for text, chunks, ids in zip(texts, cut, got):
+            if chunks is None:
+                out.append(self._ids(text).tobytes())
+            elif None in ids:
+                out.append(b"".join([kept[c] if x is None else x for x, c in zip(ids, chunks)]))
+            else:
+                out.append(b"".join(ids))
         for c in new:
             if len(c) > CACHED_CHARS:
                 kept.pop(c, None)

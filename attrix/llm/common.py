@@ -134,3 +134,13 @@ class Kept(dict):
         if len(self) > self.size:
             self.older = dict(self)
             self.clear()
+
+
+_HOLDER: list = []
+
+
+def hold(name: str, clear) -> None:
+    """Says that the operator ``name`` keeps things in this worker; what another one kept before goes."""
+    if _HOLDER and _HOLDER[0] != name:
+        _HOLDER[1]()
+    _HOLDER[:] = [name, clear]

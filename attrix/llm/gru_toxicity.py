@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import fold, id_and_bytes, text_runs
+from attrix.llm.common import fold, hold, id_and_bytes, text_runs
 
 TRAIN_EACH = 700      # toxic texts of the training sample; twice as many clean ones
 WINDOW, STRIDE = 32, 24
@@ -31,7 +31,7 @@ HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS = 8, 6, 5, 1024
 ROUNDS, EPOCHS, BATCH = 5, 3, 128
 LEAST_TEXTS = 5       # training texts that have a word with a vector of its own
 SHRINK = 16           # texts of a word at which its log-odds count half
-CACHE_WORDS = 250_000  # words whose inputs a worker keeps
+CACHE_WORDS = 100_000  # words whose inputs a worker keeps
 RUN_BYTES = 1 << 20   # bytes of texts scored together
 BLOCK = 2048          # windows of one pass
 
@@ -377,6 +377,7 @@ _SCORERS: dict[int, Scorer] = {}
 
 
 def _scorer(broadcast) -> Scorer:
+    hold("gru_toxicity", _SCORERS.clear)
     key = id(broadcast.value)
     if key not in _SCORERS:
         _SCORERS.clear()

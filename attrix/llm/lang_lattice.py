@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import fold, id_and_text, text_runs
+from attrix.llm.common import fold, hold, id_and_text, text_runs
 
 TRAIN_EACH = 250        # training texts of a language
 TRAIN_LANGS = 200       # most languages that are learned
@@ -31,9 +31,9 @@ LONGEST = 48            # letters of a word
 PIECE = 10              # letters of a piece at most
 RARE = 1e-7             # probability of a letter that no piece has
 PRIOR = 0.05            # expected count that each piece starts a round with
-CACHE_WORDS = 300_000   # words whose probabilities a worker keeps
+CACHE_WORDS = 150_000   # words whose probabilities a worker keeps
 RUN_CHARS = 1 << 20
-ROWS = 20_000           # words in one recursion
+ROWS = 5_000            # words in one recursion
 BITS = 20               # of the filter of piece hashes
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -213,6 +213,7 @@ def predict_languages(docs: DataFrame, model: Model, doc_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast((model.lattice, model.langs, model.table))  # vocabulary x languages
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("lang_lattice", _MODELS.clear)
         key = id(shared.value)
         if key not in _MODELS:
             _MODELS.clear()

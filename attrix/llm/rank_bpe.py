@@ -26,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import Kept, id_and_text, text_runs
+from attrix.llm.common import Kept, hold, id_and_text, text_runs
 
 SCANNED = 256           # symbols of a word up to which the rank array is scanned
-ROWS = 20_000           # words whose arrays are scanned together
-CACHE_CHUNKS = 200_000  # chunks in each of the two generations whose ids a worker keeps
+ROWS = 5_000            # words whose arrays are scanned together
+CACHE_CHUNKS = 80_000   # chunks in each of the two generations whose ids a worker keeps
 CACHED_CHARS = 64
 ENCODED_CHARS = 1 << 20  # characters of texts that are encoded together
 MARK = "\0"             # stands before the string of an added token
@@ -242,19 +242,20 @@ def bpe(path: str) -> RankBpe:
 
 
 def _rows(frames: Iterator[pd.DataFrame], path: str, digest: bool) -> Iterator[pd.DataFrame]:
+    hold("rank_bpe", _BPE.clear)
     model = bpe(path)
     sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
+    names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
     for frame in frames:
-        out = []
         texts, of = frame["text"].tolist(), frame["doc_id"].tolist()
         for start, stop in text_runs(texts, ENCODED_CHARS):
+            out = []
             for doc, (ids, decoded, n) in zip(of[start:stop], model.encode_many(texts[start:stop])):
                 if digest:
                     out.append((doc, n, sha(ids), sha(decoded)))
                 else:
-                    out.append((doc, n, [int(i) for i in ids.split()], decoded))
-        names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
-        yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                    out.append((doc, n, np.array(ids.split(), np.int32), decoded))
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
 
 def encode_documents(docs: DataFrame, path: str, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrix.llm.common import Kept, id_and_text, scratch, text_runs
+from attrix.llm.common import Kept, hold, id_and_text, scratch, text_runs
 from attrix.llm.rank_bpe import byte_symbols
 
 END_ID = 0
@@ -238,6 +238,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, doc_col: s
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        hold("token_file", _ENCODERS.clear)
         enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         end = int(end_id).to_bytes(enc.id_bytes, "little")
         ids: list[bytes] = []

@@ -205,7 +205,7 @@ def train(docs: DataFrame, path: str, doc_col: str = "doc_id", text_col: str = "
     return learn(Lattice(vocabulary(path)), counts)
 
 
-_MODELS: dict[int, Model] = {}
+_MODELS: dict[int, tuple] = {}
 
 
 def predict_languages(docs: DataFrame, model: Model, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,10 +215,10 @@ def predict_languages(docs: DataFrame, model: Model, doc_col: str = "doc_id", te
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hold("lang_lattice", _MODELS.clear)
         key = id(shared.value)
-        if key not in _MODELS:
+        if key not in _MODELS:  # the value stays referenced, so that no other one can get its id
             _MODELS.clear()
-            _MODELS[key] = Model(*shared.value)
-        m = _MODELS[key]
+            _MODELS[key] = (shared.value, Model(*shared.value))
+        m = _MODELS[key][1]
         for frame in frames:
             texts = [t if isinstance(t, str) else "" for t in frame["text"]]
             names: list[str] = []

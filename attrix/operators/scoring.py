@@ -77,10 +77,11 @@ class ScoringBundle:
 
 
 def predict_raw(df: DataFrame, bundle: ScoringBundle) -> DataFrame:
-    """Input columns + churn_probability + churn_prediction (decision on the unrounded value)."""
-    fe = df.select(*bundle.engineered_columns(tuple(df.columns)))  # X4 + X5-X10 in one projection
+    """The raw input columns as they came, churn_probability and churn_prediction (on the unrounded value)."""
+    fe = df.select(F.struct("*").alias("_raw"), *bundle.engineered_columns(tuple(df.columns)))  # X4 + X5-X10
     scored = bundle.probability(fe)
-    return scored.select("*", X.decision("churn_probability", bundle.threshold).alias("churn_prediction"))
+    return scored.select("_raw.*", "churn_probability",
+                         X.decision("churn_probability", bundle.threshold).alias("churn_prediction"))
 
 
 def to_response(scored: DataFrame, threshold: float, key: str = C.KEY_COL) -> DataFrame:

@@ -131,6 +131,27 @@ def x13(spark, sf_dir):
     return X.violation_summary(rejected)
 
 
+# J3 / X21 ------------------------------------------------------------------
+@register("j03_aligned_by_key", sql=with_ctes(joined_ctes()) + """
+SELECT Churn, count(*) AS n_rows, CAST(sum(Tenure) AS BIGINT) AS sum_tenure FROM cleaned GROUP BY Churn""")
+def j03(spark, sf_dir):
+    """Features and labels kept apart, in different orders, and aligned by the key instead of by position."""
+    t = common.cleaned(spark, sf_dir)
+    x = t.select(C.KEY_COL, "Tenure").orderBy(F.col("Tenure").desc())
+    y = t.select(C.KEY_COL, C.TARGET_COL).orderBy(C.KEY_COL)
+    return x.join(y, C.KEY_COL).groupBy(C.TARGET_COL).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("Tenure").alias("sum_tenure"))
+
+
+@register("x21_regularisation_label", sql=with_ctes(joined_ctes()) + """
+SELECT CASE WHEN r = 0.0 THEN 'L2' WHEN r = 1.0 THEN 'L1' ELSE 'ElasticNet(' || CAST(r AS VARCHAR) || ')' END AS penalty,
+  count(*) AS n FROM (SELECT CAST(Tenure % 5 AS DOUBLE) / 4 AS r FROM cleaned) GROUP BY penalty""")
+def x21(spark, sf_dir):
+    ratio = (F.col("Tenure") % 5).cast("double") / 4
+    return common.cleaned(spark, sf_dir).select(X.regularisation_label(ratio).alias("penalty")).groupBy("penalty").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 # X14 - X20 -----------------------------------------------------------------
 @register("x14_decision", sql=_serving_sql() + """
 SELECT CustomerID, churn_probability, churn_prediction,

@@ -9,6 +9,7 @@ from ..operators import evaluate as E
 from ..operators import scoring as I
 from ..operators.models import FIXED_MODEL, balanced_weights, pos_weight
 from ..operators.prep import apply_prep, feature_names_table, fit_prep
+from ..sources.customer import snapshot_table
 from ..sqlcheck import eval_sql as ES
 from ..sqlcheck.model_sql import ONE, logit_sql, scored_ctes
 from ..sqlcheck.parts import binmap, fe_ctes, joined_ctes, split_ctes, with_ctes
@@ -376,11 +377,16 @@ def e16(spark, sf_dir):
     return E.assessment_flags(_comparison(spark, sf_dir).where(F.col("threshold") == DT))
 
 
-@register("e18_reproducibility", sql="SELECT CAST(0 AS BIGINT) AS only_in_first, CAST(0 AS BIGINT) AS only_in_second")
+@register("e18_reproducibility", sql=WSC + f"""
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS only_in_first, CAST(0 AS BIGINT) AS only_in_second,
+  count(*) FILTER (WHERE p >= {ES.dl(DT)}) AS n_positive FROM scored""")
 def e18(spark, sf_dir):
-    a = I.score_records(common.serving_records(spark, sf_dir), common.fitted(spark, sf_dir)[1])
-    b = I.score_records(common.serving_records(spark, sf_dir), common.fitted(spark, sf_dir)[1])
-    return E.reproducibility(a, b)
+    """Two fits and scorings of one snapshot, compared row by row; with totals that depend on the scores."""
+    raw = snapshot_table(spark, sf_dir)
+    a, b = (I.score_records(common.serving_records(spark, sf_dir, raw), common.fitted(spark, sf_dir, raw)[1])
+            for _ in range(2))
+    totals = a.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("churn_prediction") == 1).alias("n_positive"))
+    return totals.crossJoin(E.reproducibility(a, b))  # one row each
 
 
 # B1 / B2 -------------------------------------------------------------------
@@ -433,16 +439,20 @@ responses AS (
 
 
 def _bundle_and_records(spark, sf_dir):
-    return common.fitted(spark, sf_dir)[1], common.serving_records(spark, sf_dir)
+    raw = snapshot_table(spark, sf_dir)  # derived once for the fit and the records
+    return common.fitted(spark, sf_dir, raw)[1], common.serving_records(spark, sf_dir, raw)
 
 
-@register("i01_predict_raw", sql=_serving_sql() + """
-SELECT CustomerID, Tenure, MonthlyCharges, TotalCharges, TenureBucket, churn_probability, churn_prediction FROM predicted2""",
+_RAW_COLS = ["Tenure", "PhoneService", "Partner", "ContractType", "MonthlyCharges", "TotalCharges"]
+
+
+@register("i01_predict_raw", sql=_serving_sql() + f"""
+SELECT CustomerID, {", ".join(f"s.{c}" for c in _RAW_COLS)}, churn_probability, churn_prediction
+FROM serving s JOIN (SELECT CustomerID, churn_probability, churn_prediction FROM predicted2) p USING (CustomerID)""",
           doubles=("MonthlyCharges", "TotalCharges", "churn_probability"))
 def i01(spark, sf_dir):
     bundle, recs = _bundle_and_records(spark, sf_dir)
-    return I.predict_raw(recs, bundle).select(C.KEY_COL, "Tenure", "MonthlyCharges", "TotalCharges", "TenureBucket",
-                                              "churn_probability", "churn_prediction")
+    return I.predict_raw(recs, bundle).select(C.KEY_COL, *_RAW_COLS, "churn_probability", "churn_prediction")
 
 
 @register("i02_score_responses", sql=_serving_sql() + "\nSELECT * FROM responses",

@@ -23,14 +23,14 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns(fl) if fl else df
 
 
-def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def joined(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """The three sources joined on the key."""
-    return load_joined(source_tables(spark, sf_dir))
+    return load_joined(source_tables(spark, sf_dir, raw))
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cleaned(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """X22 over the joined table."""
-    return clean(joined(spark, sf_dir))
+    return clean(joined(spark, sf_dir, raw))
 
 
 def exact_median(df: DataFrame, col: str) -> float | None:
@@ -39,12 +39,12 @@ def exact_median(df: DataFrame, col: str) -> float | None:
     return row["quantile"] if row else None
 
 
-def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_table(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """D1 + D2 over the cleaned table: adds ``split`` and ``fold`` (lazy plan)."""
-    return stratified_split(cleaned(spark, sf_dir), k=C.N_FOLDS)
+    return stratified_split(cleaned(spark, sf_dir, raw), k=C.N_FOLDS)
 
 
-def prepared_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepared_splits(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """The split table written once (parquet partitioned by ``split`` in the shared folder) and read back.
 
     This is the single materialisation point of the preparation plan: the
@@ -55,24 +55,24 @@ def prepared_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.sinks import write_splits
     from ..sources.tables import read_splits
 
-    path = write_splits(split_table(spark, sf_dir), scratch_path(spark, "splits"))
+    path = write_splits(split_table(spark, sf_dir, raw), scratch_path(spark, "splits"))
     return read_splits(spark, path)
 
 
-def engineered_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
+def engineered_splits(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> tuple[DataFrame, float]:
     """Split table with engineered features; TotalCharges filled with the train median."""
-    s = prepared_splits(spark, sf_dir)
+    s = prepared_splits(spark, sf_dir, raw)
     med = exact_median(s.where(F.col("split") == "train"), "TotalCharges")
     med = C.TOTAL_CHARGES_MEDIAN_FALLBACK if med is None else med
     return engineer_features(s, med), med
 
 
-def serving_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def serving_records(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """Serving-shaped records of every customer: no label, PhoneService 0/1, numeric TotalCharges."""
     from ..functions.columns import strict_map, to_number
     from ..sources.customer import snapshot_table
 
-    raw = snapshot_table(spark, sf_dir)
+    raw = snapshot_table(spark, sf_dir) if raw is None else raw
     cols = [c for c in raw.columns if c not in (C.TARGET_COL, "ChurnP", "ChurnObserved")]
     return raw.select(*cols).withColumns({
         "PhoneService": strict_map("PhoneService"),
@@ -80,13 +80,13 @@ def serving_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def fitted(spark: SparkSession, sf_dir: str):
+def fitted(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None):
     """Split + engineered table and a scoring bundle fitted on its train rows (fixed model)."""
     from ..operators.models import FIXED_MODEL
     from ..operators.prep import fit_prep
     from ..operators.scoring import ScoringBundle
 
-    fe, med = engineered_splits(spark, sf_dir)
+    fe, med = engineered_splits(spark, sf_dir, raw)
     params = fit_prep(fe.where(F.col("split") == "train"), C.FE_CONFIG)
     bundle = ScoringBundle(params=params, scorer=FIXED_MODEL, threshold=C.DEPLOYED_THRESHOLD,
                            total_charges_median=med)

@@ -46,9 +46,9 @@ def snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The three attrition source tables derived from the driver tables."""
-    return split_sources(snapshot_table(spark, sf_dir))
+def source_tables(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The three attrition source tables derived from the driver tables (or from a snapshot already written)."""
+    return split_sources(snapshot_table(spark, sf_dir) if raw is None else raw)
 
 
 def load_joined(tables: Mapping[str, DataFrame], key: str = C.KEY_COL,
@@ -68,16 +68,14 @@ def load_joined(tables: Mapping[str, DataFrame], key: str = C.KEY_COL,
 def join_loss_audit(tables: Mapping[str, DataFrame], key: str = C.KEY_COL) -> DataFrame:
     """Per source, keys that the inner join would drop (present here, missing elsewhere)."""
     names = list(tables)
-    parts = []
-    for name in names:
-        keys = tables[name].select(key).distinct()
-        present_everywhere = keys
-        for other in names:
-            if other != name:
-                present_everywhere = present_everywhere.join(tables[other].select(key).distinct(), key, "left_semi")
-        lost = keys.join(present_everywhere, key, "left_anti")
-        parts.append(lost.agg(F.count(F.lit(1)).alias("lost_keys")).select(F.lit(name).alias("source"), "lost_keys"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # one row per key with a bit per source that has it; one shuffle for all sources
+    bits = [tables[n].select(F.col(key).alias("k"), F.lit(1 << i).alias("bit")) for i, n in enumerate(names)]
+    every = bits[0]
+    for b in bits[1:]:
+        every = every.unionByName(b)
+    keys = every.where(F.col("k").isNotNull()).groupBy("k").agg(F.bit_or("bit").alias("bits"))
+    whole = (1 << len(names)) - 1
+    wide = keys.agg(*[F.count_if((F.col("bits") != whole) & (F.col("bits").bitwiseAND(1 << i) > 0)).alias(n)
+                      for i, n in enumerate(names)])
+    return wide.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("source"), F.col(n).alias("lost_keys")) for n in names])).alias("x")).select("x.*")

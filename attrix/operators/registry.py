@@ -16,6 +16,11 @@ import platform
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config as C
+from .models import LinearScorer
+from .prep import PrepParams
+from .scoring import ScoringBundle
+
 MANIFEST = "manifest.json"
 LATEST = "latest.json"
 
@@ -34,8 +39,10 @@ def file_checksums(spark: SparkSession, root: str) -> DataFrame:
 
 
 def save_version(spark: SparkSession, registry: str, version: str, model, params_json: str, threshold: float,
-                 feature_names: list[str], model_name: str) -> dict:
-    """R2: write the model (MLWriter), parameters and threshold under ``registry/version`` plus a manifest."""
+                 feature_names: list[str], model_name: str, median: float | None = None,
+                 scorer: LinearScorer | None = None, model_params: dict | None = None) -> dict:
+    """R2: write the model (MLWriter or literal weights), parameters, threshold and train median under
+    ``registry/version`` plus a manifest."""
     vdir = os.path.join(registry, version)
     if model is not None:
         model.write().overwrite().save(os.path.join(vdir, "model"))
@@ -43,7 +50,10 @@ def save_version(spark: SparkSession, registry: str, version: str, model, params
     with open(os.path.join(vdir, "prep_params.json"), "w") as fh:
         fh.write(params_json)
     with open(os.path.join(vdir, "threshold.json"), "w") as fh:
-        json.dump({"threshold": threshold}, fh)
+        json.dump({"threshold": threshold, "total_charges_median": median}, fh)
+    if scorer is not None:
+        with open(os.path.join(vdir, "scorer.json"), "w") as fh:
+            json.dump({"intercept": scorer.intercept, "weights": scorer.weights}, fh)
     with open(os.path.join(vdir, "feature_names.json"), "w") as fh:
         json.dump(feature_names, fh)
     sums = {r["file"]: r["sha256"] for r in file_checksums(spark, vdir).collect()}  # one row per file
@@ -51,7 +61,8 @@ def save_version(spark: SparkSession, registry: str, version: str, model, params
         "model_name": model_name,
         "version": version,
         "created_at": _dt.datetime.now(_dt.timezone.utc).isoformat(),
-        "model_class": type(model).__name__ if model is not None else None,
+        "model_class": type(model if model is not None else scorer).__name__,
+        "model_params": json.dumps(model_params or {}, sort_keys=True),
         "threshold": threshold,
         "n_features": len(feature_names),
         "environment": {"python": platform.python_version(), "spark": spark.version},
@@ -66,7 +77,7 @@ def save_version(spark: SparkSession, registry: str, version: str, model, params
 
 def manifest_frame(spark: SparkSession, registry: str, version: str) -> DataFrame:
     """The manifest read with a fixed schema (checksums as a map)."""
-    schema = ("model_name string, version string, created_at string, model_class string, threshold double, "
+    schema = ("model_name string, version string, created_at string, model_class string, model_params string, threshold double, "
               "n_features int, environment map<string,string>, checksums map<string,string>")
     return spark.read.schema(schema).option("multiLine", True).json(os.path.join(registry, version, MANIFEST))
 
@@ -105,8 +116,32 @@ def load_verified(spark: SparkSession, registry: str, version: str | None = None
     return manifest_frame(spark, registry, version).first(), checks
 
 
+def _document(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def load_bundle(spark: SparkSession, registry: str, version: str | None = None) -> ScoringBundle:
+    """The verified version as a bundle that scores (I1-I5); raises on any mismatch."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    manifest, checks = load_verified(spark, registry, version)
+    vdir = os.path.join(registry, manifest["version"])
+    files = {r["file"] for r in checks.select("file").collect()}  # one row per artifact
+    served = _document(spark, os.path.join(vdir, "threshold.json"))
+    median = served["total_charges_median"]
+    scorer = _document(spark, os.path.join(vdir, "scorer.json")) if "scorer.json" in files else None
+    model = (DefaultParamsReader.loadParamsInstance(os.path.join(vdir, "model"), spark)
+             if any(f.startswith("model/") for f in files) else None)
+    return ScoringBundle(
+        params=PrepParams(**_document(spark, os.path.join(vdir, "prep_params.json"))),
+        scorer=None if scorer is None else LinearScorer(scorer["intercept"], scorer["weights"]), ml_model=model,
+        threshold=served["threshold"],
+        total_charges_median=C.TOTAL_CHARGES_MEDIAN_FALLBACK if median is None else median)
+
+
 def model_info(spark: SparkSession, registry: str, version: str) -> DataFrame:
     """Model information record."""
     return manifest_frame(spark, registry, version).select(
-        "model_name", "version", "created_at", "model_class", "threshold", "n_features",
-        F.size("checksums").alias("n_artifacts"))
+        "model_name", "version", "created_at", "model_class", "model_params", "threshold", "n_features",
+        F.size("checksums").alias("n_artifacts"), F.to_json("environment").alias("environment"),
+        F.to_json("checksums").alias("checksums"))

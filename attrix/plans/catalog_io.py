@@ -333,10 +333,12 @@ def _saved_version(spark, sf_dir):
     from . import training as T
     data, bundle = T.model_data(spark, sf_dir)
     model = T.fit("logistic_regression", data.where(F.col("split") == "train"))
+    picked = E.pick_threshold(E.threshold_sweep(T.predictions(model, data.where(F.col("split") == "val")))).first()
     reg = scratch_path(spark, "registry")
     names = [n for _, n, _ in bundle.params.feature_names()]
-    R.save_version(spark, reg, "v1.0.0", model, bundle.params.to_json(), C.DEPLOYED_THRESHOLD, names,
-                   "churn_logistic_regression")
+    R.save_version(spark, reg, "v1.0.0", model, bundle.params.to_json(), float(picked["threshold"]), names,
+                   "churn_logistic_regression", bundle.total_charges_median,
+                   model_params={"C": 1.0, "l1_ratio": 0.0, "max_iter": 1000})
     return reg
 
 
@@ -366,6 +368,17 @@ def r05(spark, sf_dir):
     return R.model_info(spark, reg, "v1.0.0")
 
 
+@register("r06_loaded_scores", sql=_serving_sql() + "\nSELECT * FROM responses",
+          doubles=("churn_probability", "decision_threshold"))
+def r06(spark, sf_dir):
+    """Responses of a bundle that was saved as a version, verified and loaded again."""
+    bundle, recs = _bundle_and_records(spark, sf_dir)
+    reg = scratch_path(spark, "registry")
+    R.save_version(spark, reg, "v1.0.0", None, bundle.params.to_json(), bundle.threshold,
+                   [n for _, n, _ in bundle.params.feature_names()], "fixed_model", bundle.total_charges_median, bundle.scorer)
+    return I.score_records(recs, R.load_bundle(spark, reg))
+
+
 # E17 -----------------------------------------------------------------------
 @register("e17_evaluation_report")
 def e17(spark, sf_dir):

@@ -35,6 +35,32 @@ def test_checksums_survive_a_copy_of_a_dotted_version(spark):
     assert {r.status for r in R.verify(spark, moved, "v1.0.0").collect()} == {"ok"}
 
 
+def test_a_moved_trained_version_scores_alike(spark):
+    import shutil
+
+    from attrix.operators.scoring import ScoringBundle, predict_raw
+    from attrix.plans import common
+    from attrix.plans import training as T
+
+    sf = "/root/testdata/sf0.001"
+    data, bundle = T.model_data(spark, sf)
+    model = T.fit("logistic_regression", data.where("split = 'train'"))
+    trained = ScoringBundle(params=bundle.params, ml_model=model, threshold=0.37, total_charges_median=bundle.total_charges_median)
+    reg = scratch_path(spark, "reg-model")
+    R.save_version(spark, reg, "v1.0.0", model, bundle.params.to_json(), 0.37, [n for _, n, _ in bundle.params.feature_names()],
+                   "lr", bundle.total_charges_median, model_params={"C": 1.0})
+    moved = os.path.join(scratch_path(spark, "reg-elsewhere"), "copy")
+    shutil.copytree(reg, moved)
+    shutil.rmtree(reg)
+    loaded = R.load_bundle(spark, moved)
+    assert loaded.threshold == 0.37 and loaded.total_charges_median == bundle.total_charges_median
+    recs = common.serving_records(spark, sf)
+    got, want = predict_raw(recs, loaded), predict_raw(recs, trained)
+    assert got.columns == [*recs.columns, "churn_probability", "churn_prediction"]  # raw input and two columns
+    assert got.exceptAll(want).count() == 0 and got.count() == recs.count()
+    assert json.loads(R.model_info(spark, moved, "v1.0.0").first().model_params) == {"C": 1.0}
+
+
 def test_stream_equals_batch(spark):
     from attrix.plans import common
     from attrix.operators.scoring import score_records

@@ -8,8 +8,9 @@ A document's set holds its distinct word shingles; two documents link when 100 *
    size form one group, and one entry (token, group, size, shingles left from this position) stands for all of it.
    Entries travel as sorted binary blobs to shards by token; a shard keeps tokens that two groups share. Very
    frequent tokens are dealt over several shards.
-3. A shard links each group of a token with one pivot group; these candidate pairs (as many as entries at most) and
-   those between the sets of one group and its first set are verified on whole sets.
+3. A shard links each group of a token with one pivot group. Of these candidate pairs (as many as entries at most)
+   those whose prefixes share as much as links need, and those between the sets of one group and its first set, are
+   verified on whole sets.
 4. The rest of the candidates (every pair of a token that passes the size and position bounds) comes from a join of
    the entries on the token, without pairs whose sets are already in one component. So a large group of near copies
    costs about as many pairs as it has members, and no link between components is lost.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import drop_path, id_and_bytes, input_partitions, mix64, scratch, signed, stored
+from attrix.llm.common import drop_path, id_and_bytes, input_partitions, mix64, scratch, signed, stored, text_runs
 from attrix.llm.components import connected_components
 
 WORDS = 5            # words of a shingle
@@ -38,6 +39,8 @@ PERCENT = 75         # least similarity, in percent
 SKETCH = 1 << 22     # counters of the order sketch
 CHUNK = 1 << 12      # counters of one sketch row
 PAIRED = 4096        # entries of a token up to which partners are looked for one by one
+BROADCAST_IDS = 500_000  # ids of wanted sets that are broadcast at most
+RUN_BYTES = 1 << 22  # bytes of texts whose sets go back together
 SALT_FROM = 1 << 20  # tokens that may be this frequent are dealt over several shards
 
 _MULTIPLIERS = np.array([2 * k * 0x9E3779B97F4A7C15 % 2**64 | 1 for k in range(3, 3 + 64)], dtype=np.uint64)
@@ -201,8 +204,10 @@ def _entry_rows(texts: DataFrame, sketch, shards: int, words: int, percent: int)
             g, p = signed(e["group"].copy()), signed(e["group"][pivot])
             pairs = np.unique(np.stack([np.minimum(g, p)[pair], np.maximum(g, p)[pair]], axis=1), axis=0)
             out.append(pd.DataFrame({"kind": 1, "a": pairs[:, 0], "b": pairs[:, 1], "n": 0, "r": 0, "doc_id": 0}))
-            out.append(pd.DataFrame({"kind": 0, "a": signed(e["token"][stay]), "b": g[stay], "n": n[stay],
-                                     "r": left[stay], "doc_id": 0}))
+            # entries without a possible partner here (r below 0) only count towards what two prefixes share
+            met = ~whole | (np.repeat(size, size) > 1)
+            out.append(pd.DataFrame({"kind": 0, "a": signed(e["token"][met]), "b": g[met], "n": n[met],
+                                     "r": np.where(stay, left, -left)[met], "doc_id": 0}))
         schema = {"kind": "int32", "a": "int64", "b": "int64", "n": "int64", "r": "int64", "doc_id": "int64"}
         empty = pd.DataFrame({k: np.zeros(0, v) for k, v in schema.items()})
         return pd.concat([*out, empty], ignore_index=True).astype(schema)[list(schema)]
@@ -211,6 +216,47 @@ def _entry_rows(texts: DataFrame, sketch, shards: int, words: int, percent: int)
     return rows.groupBy("shard").applyInPandas(meet, "kind int, a long, b long, n long, r long, doc_id long")
 
 
+def _plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose groups (columns ga, gb) share as many prefix shingles as linked ones must.
+
+    Of two linked sets, the prefix that ends first in the common order lacks at most n - overlap of its shingles in the
+    other set, and those it shares are in the other's prefix as well. Two are given away for equal order keys.
+    """
+    one, two = (prefixes.select(F.col("group").alias(g), F.col("n").alias(n), F.col("tokens").alias(t))
+                for g, n, t in (("ga", "na", "ta"), ("gb", "nb", "tb")))
+    overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    least = [overlap - F.ceil(percent * F.col(n) / 100) - 1 for n in ("na", "nb")]
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return pairs.join(one, "ga").join(two, "gb").where(
+        (F.col("ga") == F.col("gb")) | (shared >= F.greatest(F.lit(1), F.least(*least)))).select(*pairs.columns)
+
+
+def _whole_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, hashes) of the wanted sets (node, rep, times), from the rows with their representative ids."""
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ids, rows = frame["doc_id"].astype("Int64").tolist(), frame["text"].tolist()
+            for start, stop in text_runs(rows, RUN_BYTES):
+                got = [(i, shingle_hashes(t, words)) for i, t in zip(ids[start:stop], rows[start:stop])]
+                got = [(i, x) for i, x in got if len(x)]
+                yield pd.DataFrame({"doc_id": pd.array([i for i, _ in got], "Int64"),
+                                    "node": np.array([set_hash(x) for _, x in got], np.uint64).view(np.int64),
+                                    "hashes": [signed(x) for _, x in got]})
+
+    wanted, path = stored(texts.sparkSession, wanted.select("node", "rep", "times").distinct(), "wanted")
+    ids = wanted.select(F.col("rep").alias("r0")).distinct()
+    exact = wanted.select(F.col("node").alias("k"), F.col("rep").alias("r1"), "times")
+    if wanted.count() <= BROADCAST_IDS:  # 16 bytes each; beyond, both sides are shuffled on the id
+        ids, exact = F.broadcast(ids), F.broadcast(exact)
+    rows = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("r0")), "left_semi")
+    found = rows.mapInPandas(hashed, "doc_id long, node long, hashes array<long>").join(
+        exact, (F.col("node") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("r1"))).select("node", "hashes", "times")
+    sets, found_path = stored(texts.sparkSession, found, "shingle-sets", by=["times"])
+    # repeated rows of one id and text: one of them is enough
+    return sets.where("times = 1").select("node", "hashes").unionByName(
+        sets.where("times > 1").groupBy("node").agg(F.min("hashes").alias("hashes")))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of set ids whose whole sets reach the similarity."""
     one, two = (sets.select(F.col("node").alias(k), F.col("hashes").alias(h)) for k, h in (("a", "ha"), ("b", "hb")))
@@ -237,58 +283,60 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
         F.when(F.col("r") == 1, F.col("doc_id")).alias("doc_id"),
     )
 
-    nodes, nodes_path = stored(spark, members.where("n > 0").groupBy("group", "node", "n").agg(
-        F.min("doc_id").alias("rep")), "sets")
+    # a set's representative is its smallest id; how many rows have both
+    alike = members.where("n > 0").groupBy("group", "node", "n", "doc_id").agg(F.count("*").alias("times"))
+    nodes, nodes_path = stored(spark, alike.groupBy("group", "node", "n").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), "times")).alias("r")).select(
+        "group", "node", "n", "r.rep", F.least("r.times", F.lit(2)).cast("int").alias("times")), "sets")
     groups = nodes.groupBy("group").agg(F.count("*").alias("sets"), F.min("node").alias("first"))
     several = groups.where("sets > 1").select("group", "first")
-    met = entries.select("group").union(several.select("group")).distinct()
-    wanted, wanted_path = stored(spark, nodes.join(met, "group", "left_semi").select("group", "node", "n", "rep"),
-                                 "candidates")
-
-    def whole_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            got = [shingle_hashes(t, words) for t in frame["text"]]
-            keep = [s for s in got if len(s)]
-            yield pd.DataFrame({"node": np.array([set_hash(s) for s in keep], np.uint64).view(np.int64),
-                                "hashes": [signed(s) for s in keep]})
-
-    sources = texts.join(wanted.select(F.col("rep").alias("r0")).distinct(),
-                         F.col("doc_id").eqNullSafe(F.col("r0")), "left_semi").select("text")
-    hashed = sources.mapInPandas(whole_sets, "node long, hashes array<long>")
-    sets, sets_path = stored(spark, hashed.join(wanted.select("node").distinct(), "node", "left_semi")
-                             .dropDuplicates(["node"]), "shingle-sets")
-
-    first = wanted.join(groups, "group").select("group", "first").distinct()
-    one, two = (first.select(F.col("group").alias(k), F.col("first").alias(f)) for k, f in (("a", "fa"), ("b", "fb")))
-    near = stars.join(one, "a").join(two, "b").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))
-    inside = wanted.join(several, "group").where("node <> first").select(
+    open_entries = entries.where("r > 0")
+    prefixes, prefixes_path = stored(spark, entries.join(open_entries.select("group").distinct(), "group", "left_semi")
+                                     .groupBy("group").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n")),
+                                     "prefixes")
+    met = open_entries.select("group").union(several.select("group")).distinct()
+    candidates, candidates_path = stored(spark, nodes.join(met, "group", "left_semi"), "candidates")
+
+    def fetched(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        return _whole_sets(texts, candidates.join(ends, "node"), words)
+
+    first = candidates.join(groups, "group").select("group", "first").distinct()
+    one, two = (first.select(F.col("group").alias(k), F.col("first").alias(f)) for k, f in (("ga", "fa"), ("gb", "fb")))
+    near = _plausible(stars.select(F.col("a").alias("ga"), F.col("b").alias("gb")), prefixes, percent).join(
+        one, "ga").join(two, "gb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))
+    inside = candidates.join(several, "group").where("node <> first").select(
         F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
-    links, links_path = stored(spark, _verified(near.union(inside).distinct(), sets, percent), "links")
+    checked, checked_path = stored(spark, near.union(inside).distinct(), "star-pairs")
+    links, links_path = stored(spark, _verified(checked, fetched(checked), percent), "links")
     roots, roots_path = stored(spark, connected_components(links), "roots")
 
     # the other candidates: sets of one token in different components, within the bounds of size and position
-    labelled = wanted.select("group", "node", F.col("n").alias("size")).join(
+    labelled = candidates.select("group", "node", F.col("n").alias("size")).join(
         roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spots = entries.join(labelled, "group").select("token", "node", "n", "r", "root").union(
-        labelled.join(several.select("group"), "group", "left_semi")
-        .select(F.col("group").alias("token"), "node", F.col("size").alias("n"), F.col("size").alias("r"), "root"))
+    spots = open_entries.join(labelled, "group").select("token", "group", "node", "n", "r", "root").union(
+        labelled.join(several.select("group"), "group", "left_semi").select(
+            F.col("group").alias("token"), "group", "node", F.col("size").alias("n"), F.col("size").alias("r"), "root"))
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 1e-6)).cast("int")
-    x = spots.select("token", step.alias("bin"), *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "r", "root")))
-    y = spots.select("token", F.explode(F.array(step, step - 1)).alias("bin"),
-                     *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "r", "root")))
+    columns = ("group", "node", "n", "r", "root")
+    x = spots.select("token", step.alias("bin"), *(F.col(c).alias(f"x_{c}") for c in columns))
+    y = spots.select("token", F.explode(F.array(step, step - 1)).alias("bin"), *(F.col(c).alias(f"y_{c}") for c in columns))
     ahead = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node")))
     bound = (100 + percent) * F.least("x_r", "y_r") >= percent * (F.col("x_n") + F.col("y_n"))
-    others = (
-        x.join(y, ["token", "bin"]).where(ahead & bound & (F.col("x_root") != F.col("y_root")))
-        .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    )
-    more, more_path = stored(spark, _verified(others, sets, percent), "links")
+    others, others_path = stored(spark, x.join(y, ["token", "bin"]).where(
+        ahead & bound & (F.col("x_root") != F.col("y_root"))).select(
+        F.col("x_node").alias("a"), F.col("y_node").alias("b"), F.col("x_group").alias("ga"), F.col("y_group").alias("gb"))
+        .distinct(), "other-pairs")
+    likely, likely_path = stored(spark, _plausible(others.where("ga <> gb"), prefixes, percent).union(
+        others.where("ga = gb")).select("a", "b"), "likely-pairs")
+    more, more_path = stored(spark, _verified(likely, fetched(likely), percent), "links")
     final = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     rooted = nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels, _ = stored(spark, rooted.join(least, "root").select("node", "component_id"), "set-components")
-    for p in (wanted_path, sets_path, links_path, roots_path, more_path, nodes_path):
+    for p in (candidates_path, prefixes_path, checked_path, links_path, roots_path, others_path, likely_path, more_path,
+              nodes_path):
         drop_path(spark, p)
     return members.withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(labels, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

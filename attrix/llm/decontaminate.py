@@ -98,13 +98,13 @@ class Index:
         width = self.edits[item] + 1
         band = shift // width
         span = 2 * len(data) + 2
-        key = np.concatenate([item * span + band, item * span + band - 1])
+        key = item * span + band
         key.sort()
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        counts = np.diff(np.append(start, len(key)))
-        enough = counts >= self.bound[key[start] // span]
+        counts, key = np.diff(np.append(start, len(key))), key[start]
+        counts[:-1] += np.where(key[1:] == key[:-1] + 1, counts[1:], 0)  # a band and the next one overlap by half
         seen: dict[tuple[int, int], int] = {}
-        for band_key in key[start][enough].tolist():
+        for band_key in key[counts >= self.bound[key // span]].tolist():
             k, b = divmod(band_key, span)
             e, size = int(self.edits[k]), int(self.sizes[k])
             low = b * (e + 1) - len(data) - e

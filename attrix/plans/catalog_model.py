@@ -337,14 +337,14 @@ def b03(spark, sf_dir):
 
 
 # E14 / E15 / E16 -----------------------------------------------------------
-def _fair_sql() -> str:
+def _fair_sql(th: str = ES.dl(DT), source: str = "scored") -> str:
     parts = []
     for c in C.FAIRNESS_COLS:
         parts.append(f"""SELECT '{c}' AS subgroup_category, CAST({c} AS VARCHAR) AS subgroup_value, count(*) AS sample_size,
-  avg(CAST(Churn AS DOUBLE)) AS actual_churn_rate, avg(CAST(p >= {ES.dl(DT)} AS DOUBLE)) AS selection_rate,
-  count(*) FILTER (WHERE p >= {ES.dl(DT)} AND Churn = 1) AS tp, count(*) FILTER (WHERE p >= {ES.dl(DT)} AND Churn <> 1) AS fp,
-  count(*) FILTER (WHERE p < {ES.dl(DT)} AND Churn = 1) AS fn
-FROM scored WHERE split = 'test' GROUP BY {c}""")
+  avg(CAST(Churn AS DOUBLE)) AS actual_churn_rate, avg(CAST(p >= {th} AS DOUBLE)) AS selection_rate,
+  count(*) FILTER (WHERE p >= {th} AND Churn = 1) AS tp, count(*) FILTER (WHERE p >= {th} AND Churn <> 1) AS fp,
+  count(*) FILTER (WHERE p < {th} AND Churn = 1) AS fn
+FROM {source} WHERE split = 'test' GROUP BY {c}""")
     return f"""SELECT subgroup_category, subgroup_value, sample_size, actual_churn_rate, selection_rate,
   {ES.div0('tp', 'tp + fn')} AS recall, {ES.div0('tp', 'tp + fp')} AS precision, {ES.div0('2 * tp', '2 * tp + fp + fn')} AS f1_score
 FROM ({union(parts)})"""
@@ -377,6 +377,51 @@ def e16(spark, sf_dir):
     return E.assessment_flags(_comparison(spark, sf_dir).where(F.col("threshold") == DT))
 
 
+# the same at the recommended threshold instead of the deployed one
+REC = WSC + f""",
+rec AS (SELECT * FROM ({_comparison_sql()}) ORDER BY kpi_passes DESC, net_savings DESC, threshold LIMIT 1)"""
+_REC_FAIR = _fair_sql("r.t", "scored CROSS JOIN (SELECT threshold AS t FROM rec) AS r")
+
+
+def _recommended(spark, sf_dir):
+    """Scored test rows, the candidates' comparison and the recommended one of them."""
+    scored = common.scored_splits(spark, sf_dir)
+    test = scored.where(F.col("split") == "test")
+    tuned = E.pick_threshold(E.threshold_sweep(scored.where(F.col("split") == "val"))).first()["threshold"]
+    comparison = E.threshold_comparison(test, E.candidate_thresholds(tuned))
+    return test, comparison, E.recommend_threshold(comparison).first()["recommended_threshold"]
+
+
+@register("e19_recommended_fairness", sql=REC + "\n" + _REC_FAIR,
+          doubles=("actual_churn_rate", "selection_rate", "recall", "precision", "f1_score"))
+def e19(spark, sf_dir):
+    test, _, th = _recommended(spark, sf_dir)
+    return E.subgroup_fairness(test, th)
+
+
+@register("e20_recommended_disparity", sql=REC + f"""
+SELECT subgroup_category, max(recall) - min(recall) AS recall_range, max(selection_rate) - min(selection_rate) AS selection_range,
+  first(subgroup_value ORDER BY recall ASC, subgroup_value) AS lowest_recall_group,
+  first(subgroup_value ORDER BY recall DESC, subgroup_value) AS highest_recall_group,
+  max(recall) - min(recall) > {ES.dl(C.RECALL_GAP_LIMIT)} AS recall_gap_flag,
+  max(selection_rate) - min(selection_rate) > {ES.dl(C.SELECTION_GAP_LIMIT)} AS selection_gap_flag
+FROM ({_REC_FAIR}) GROUP BY subgroup_category""", doubles=("recall_range", "selection_range"))
+def e20(spark, sf_dir):
+    test, _, th = _recommended(spark, sf_dir)
+    return E.disparity_flags(E.subgroup_fairness(test, th))
+
+
+@register("e21_recommended_assessment", sql=REC + f"""
+SELECT threshold, recall_pass, precision_pass, f1_pass, roc_auc_pass,
+  CASE WHEN fp + tp > 0 THEN CAST(fp AS DOUBLE) / (fp + tp) * CAST(100 AS DOUBLE) END AS fp_share_pct,
+  coalesce(CASE WHEN fp + tp > 0 THEN CAST(fp AS DOUBLE) / (fp + tp) * CAST(100 AS DOUBLE) END > {ES.dl(C.FP_SHARE_LIMIT)}, false) AS fp_share_flag,
+  specificity < {ES.dl(C.SPECIFICITY_FLOOR)} AS low_specificity_flag
+FROM rec""", doubles=("threshold", "fp_share_pct"))
+def e21(spark, sf_dir):
+    _, comparison, th = _recommended(spark, sf_dir)
+    return E.assessment_flags(comparison.where(F.col("threshold") == th))
+
+
 @register("e18_reproducibility", sql=WSC + f"""
 SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS only_in_first, CAST(0 AS BIGINT) AS only_in_second,
   count(*) FILTER (WHERE p >= {ES.dl(DT)}) AS n_positive FROM scored""")

@@ -288,6 +288,8 @@ def _eda_sql() -> str:
     rates = union([f"""SELECT '{c}' AS col, max(rate) AS highest_rate, min(rate) AS lowest_rate
 FROM (SELECT {c} AS v, avg(CAST(Churn_Flag AS DOUBLE)) AS rate FROM eda WHERE {c} IS NOT NULL GROUP BY {c})"""
                    for c in C.PREP_CATEGORICAL_COLS])
+    y = "CAST(Churn_Flag AS DOUBLE)"
+    contracts = f"SELECT ContractType, avg({y}) AS rate FROM eda WHERE ContractType IS NOT NULL GROUP BY ContractType"
     dup = (f"SELECT CAST(count(*) - count(DISTINCT CustomerID) AS BIGINT) AS duplicate_keys, "
            f"(SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM eda GROUP BY "
            f"{', '.join(eda_cols)})) AS duplicate_rows FROM eda")
@@ -301,6 +303,13 @@ FROM (SELECT {c} AS v, avg(CAST(Churn_Flag AS DOUBLE)) AS rate FROM eda WHERE {c
         sec("target", "item2", ["count", "pct"], target),
         sec("correlation", "col", ["r"], corr),
         sec("rates", "col", ["highest_rate", "lowest_rate"], rates),
+        sec("insights", "''", ["churn_rate", "r_tenure", "r_monthly_charges"],
+            f"SELECT avg({y}) AS churn_rate, corr(CAST(Tenure AS DOUBLE), {y}) AS r_tenure, "
+            f"corr(CAST(MonthlyCharges AS DOUBLE), {y}) AS r_monthly_charges FROM eda"),
+        sec("insights", "ContractType", ["highest_rate"],
+            f"SELECT ContractType, rate AS highest_rate FROM ({contracts}) ORDER BY rate DESC, ContractType LIMIT 1"),
+        sec("insights", "ContractType", ["lowest_rate"],
+            f"SELECT ContractType, rate AS lowest_rate FROM ({contracts}) ORDER BY rate, ContractType LIMIT 1"),
     ])
     return W + """,
 eda AS (

@@ -36,6 +36,19 @@ def _section(df: DataFrame, section: str, item, metrics: list[str]) -> DataFrame
     ])).alias("s")).select("s.*")
 
 
+def _insights(t: DataFrame) -> list[DataFrame]:
+    """Overall rate, the two charted correlations and the contract types of the highest and lowest rate."""
+    y = F.col("Churn_Flag").cast("double")
+    sums = t.agg(F.avg(y).alias("churn_rate"), F.corr(F.col("Tenure").cast("double"), y).alias("r_tenure"),
+                 F.corr(F.col("MonthlyCharges").cast("double"), y).alias("r_monthly_charges"))
+    rates = t.where("ContractType IS NOT NULL").groupBy("ContractType").agg(F.avg(y).alias("rate"))  # a few types
+    top = rates.orderBy(F.col("rate").desc(), "ContractType").limit(1).withColumnRenamed("rate", "highest_rate")
+    low = rates.orderBy(F.col("rate").asc(), "ContractType").limit(1).withColumnRenamed("rate", "lowest_rate")
+    return [_section(sums, "insights", F.lit(""), ["churn_rate", "r_tenure", "r_monthly_charges"]),
+            _section(top, "insights", "ContractType", ["highest_rate"]),
+            _section(low, "insights", "ContractType", ["lowest_rate"])]
+
+
 def eda_report(joined: DataFrame) -> DataFrame:
     shared_dir(joined.sparkSession)
     t = eda_table(joined).checkpoint()  # about ten passes read it
@@ -52,6 +65,7 @@ def eda_report(joined: DataFrame) -> DataFrame:
                  "correlation", "column", ["r"]),
         _section(A.rate_extremes(t.withColumn(C.TARGET_COL, F.col("Churn_Flag")), C.PREP_CATEGORICAL_COLS),
                  "rates", "column", ["highest_rate", "lowest_rate"]),
+        *_insights(t),
     ]
     out = parts[0]
     for p in parts[1:]:

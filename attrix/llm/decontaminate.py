@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import id_and_bytes, text_runs
+from attrix.llm.common import hold, id_and_bytes, text_runs
 
 Q = 8                    # bytes of a gram
 SHARE = 10               # an item of m bytes may have m // SHARE edits
@@ -32,6 +32,10 @@ FILTER_BITS = 22
 _M = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in range(9)]
 
 
+def _nothing() -> None:
+    """This operator keeps nothing of its own in a worker."""
+
+
 def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
@@ -156,6 +160,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col:
         shared = docs.sparkSession.sparkContext.broadcast(index)  # about GROUP_BYTES of items
 
         def rows(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            hold("decontaminate", _nothing)
             index = shared.value
             for frame in frames:
                 got = frame["text"].tolist()
@@ -176,6 +181,7 @@ def leaked_columns(docs: DataFrame, items: DataFrame, text_col: str = "text", it
     def column(shared):
         @F.pandas_udf("boolean")
         def leaked(texts: pd.Series) -> pd.Series:
+            hold("decontaminate", _nothing)
             got = texts.tolist()
             flags = np.zeros(len(got), bool)
             for a, b in text_runs(got, RUN_BYTES):

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.common import drop_path, id_and_bytes, input_partitions, mix64, scratch, signed, stored, text_runs
+from attrix.llm.common import drop_path, hold, id_and_bytes, input_partitions, mix64, scratch, signed, stored, text_runs
 from attrix.llm.components import connected_components
 
 WORDS = 5            # words of a shingle
@@ -48,6 +48,10 @@ _ENTRY = np.dtype([("token", "<u8"), ("group", "<u8"), ("n", "<u4"), ("left", "<
 _MEMBER = np.dtype([("group", "<u8"), ("set", "<u8"), ("n", "<u4"), ("known", "<u4"), ("doc", "<i8")])
 
 
+def _nothing() -> None:
+    """This operator keeps nothing in a worker."""
+
+
 def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text (UTF-8; A-Z in lower case)."""
     parts = text.lower().split()
@@ -90,12 +94,14 @@ def _order_sketch(texts: DataFrame, words: int) -> np.ndarray:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        hold("jaccard_groups", _nothing)
         total = np.zeros(SKETCH, np.int64)
         for frame in frames:
-            sets = [shingle_hashes(t, words) for t in frame["text"]]
-            if sets:
-                low = (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64)
-                total += np.bincount(low, minlength=SKETCH)
+            rows = frame["text"].tolist()
+            for start, stop in text_runs(rows, RUN_BYTES):
+                low = np.concatenate([shingle_hashes(t, words) for t in rows[start:stop]]) & np.uint64(SKETCH - 1)
+                place, n = np.unique(low, return_counts=True)
+                total[place] += n
         yield _sketch_rows(total, TaskContext.get().partitionId() % salts)
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,36 +157,42 @@ def _has_partner(n: np.ndarray, left: np.ndarray, start: np.ndarray, size: np.nd
 
 def _entry_rows(texts: DataFrame, sketch, shards: int, words: int, percent: int) -> DataFrame:
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = sketch.value
+        hold("jaccard_groups", _nothing)
         for frame in frames:
-            entries, members = [], np.zeros(len(frame), _MEMBER)
-            for k, (doc, text) in enumerate(zip(frame["doc_id"], frame["text"])):
-                s = shingle_hashes(text, words)
-                n = len(s)
-                group = 0
-                if n:
-                    c = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
-                    key = np.sort((c << np.uint64(40)) | (s >> np.uint64(24)))[: _prefix_length(n, percent)]
-                    group = xxhash.xxh3_64_intdigest(key.tobytes() + n.to_bytes(8, "little"))
-                    e = np.zeros(len(key), _ENTRY)
-                    e["token"], e["group"], e["n"], e["left"] = key, group, n, n - np.arange(len(key))
-                    entries.append(e)
-                known = not pd.isna(doc)
-                members[k] = (group, set_hash(s) if n else 0, n, known, int(doc) if known else 0)
-            blobs = []
-            if entries:
-                e = np.unique(np.concatenate(entries))  # one entry for all copies here
-                salts = 1 + (e["token"] >> np.uint64(40)) // np.uint64(SALT_FROM)
-                shard = mix64(e["token"] * np.uint64(0x9E3779B97F4A7C15) + e["group"] % salts) % np.uint64(shards)
-                order = np.argsort(shard, kind="stable")
-                shard, e = shard[order], e[order]
-                cuts = np.flatnonzero(np.diff(shard)) + 1
-                blobs = [(int(shard[at]), 0, _planes(part)) for at, part in
-                         zip(np.concatenate([[0], cuts]), np.split(e, cuts))]
-            if len(members):
-                at = int(mix64(members["set"][:1] + np.uint64(len(members)))[0] % np.uint64(shards))
-                blobs.append((at, 1, _planes(members)))
-            yield pd.DataFrame(blobs, columns=["shard", "kind", "blob"]).astype({"shard": "int64", "kind": "int32"})
+            ids, rows = frame["doc_id"].astype("Int64").tolist(), frame["text"].tolist()
+            for start, stop in text_runs(rows, RUN_BYTES):
+                yield blobs_of(ids[start:stop], rows[start:stop])
+
+    def blobs_of(ids: list, rows: list[bytes]) -> pd.DataFrame:
+        counts = sketch.value
+        entries, members = [], np.zeros(len(rows), _MEMBER)
+        for k, (doc, text) in enumerate(zip(ids, rows)):
+            s = shingle_hashes(text, words)
+            n = len(s)
+            group = 0
+            if n:
+                c = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
+                key = np.sort((c << np.uint64(40)) | (s >> np.uint64(24)))[: _prefix_length(n, percent)]
+                group = xxhash.xxh3_64_intdigest(key.tobytes() + n.to_bytes(8, "little"))
+                e = np.zeros(len(key), _ENTRY)
+                e["token"], e["group"], e["n"], e["left"] = key, group, n, n - np.arange(len(key))
+                entries.append(e)
+            known = not pd.isna(doc)
+            members[k] = (group, set_hash(s) if n else 0, n, known, int(doc) if known else 0)
+        blobs = []
+        if entries:
+            e = np.unique(np.concatenate(entries))  # one entry for all copies here
+            salts = 1 + (e["token"] >> np.uint64(40)) // np.uint64(SALT_FROM)
+            shard = mix64(e["token"] * np.uint64(0x9E3779B97F4A7C15) + e["group"] % salts) % np.uint64(shards)
+            order = np.argsort(shard, kind="stable")
+            shard, e = shard[order], e[order]
+            cuts = np.flatnonzero(np.diff(shard)) + 1
+            blobs = [(int(shard[at]), 0, _planes(part)) for at, part in
+                     zip(np.concatenate([[0], cuts]), np.split(e, cuts))]
+        if len(members):
+            at = int(mix64(members["set"][:1] + np.uint64(len(members)))[0] % np.uint64(shards))
+            blobs.append((at, 1, _planes(members)))
+        return pd.DataFrame(blobs, columns=["shard", "kind", "blob"]).astype({"shard": "int64", "kind": "int32"})
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -347,7 +359,8 @@ def set_nodes(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
     """A column with the set id of each text (as ``node`` of jaccard_components), for joins back to whole rows."""
     @F.pandas_udf("long")
     def node(texts: pd.Series) -> pd.Series:
-        found = [shingle_hashes(t, words) for t in texts]
-        return pd.Series(np.array([set_hash(s) if len(s) else 0 for s in found], np.uint64).view(np.int64))
+        hold("jaccard_groups", _nothing)
+        hashes = [set_hash(s) if len(s := shingle_hashes(t, words)) else 0 for t in texts]
+        return pd.Series(np.array(hashes, np.uint64).view(np.int64))
 
     return node(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))

@@ -245,11 +245,11 @@ class Network:
         return grad
 
 
-def _log_odds(texts: list[set], y: np.ndarray) -> tuple[dict[bytes, int], np.ndarray]:
+def _log_odds(texts: list[list[bytes]], y: np.ndarray) -> tuple[dict[bytes, int], np.ndarray]:
     """Words of enough texts, and the log ratio of their shares of toxic and of clean texts (0 for all others)."""
     counts: dict[bytes, list[int]] = {}
     for words, label in zip(texts, y):
-        for w in words:
+        for w in set(words):
             counts.setdefault(w, [0, 0])[int(label)] += 1
     often = sorted(w for w, c in counts.items() if sum(c) >= LEAST_TEXTS)
     toxic, clean = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
@@ -262,7 +262,7 @@ def _log_odds(texts: list[set], y: np.ndarray) -> tuple[dict[bytes, int], np.nda
 def train_network(texts: list[bytes], y: np.ndarray, prior: float, seed: int = 7) -> Network:
     """A network from labelled texts; ``prior`` is the share of toxic texts that the calibration assumes."""
     words = [words_of(t) for t in texts]
-    vocabulary, odds = _log_odds([set(w) for w in words], y)
+    vocabulary, odds = _log_odds(words, y)
     net = Network(vocabulary, odds, seed)
     if not len(y) or y.min() == y.max():
         net.constant = float(y.mean()) if len(y) else 0.0
@@ -270,6 +270,7 @@ def train_network(texts: list[bytes], y: np.ndarray, prior: float, seed: int = 7
     every = list(dict.fromkeys(w for ws in words for w in ws))
     number = {w: k for k, w in enumerate(every)}
     rows = [np.array([number[w] for w in ws], np.int64) for ws in words]
+    del words, number, texts  # the driver keeps numbers alone while it trains
     strength = np.maximum(net.odds[[vocabulary.get(w, len(vocabulary)) for w in every]], 0)
     rng = np.random.default_rng(seed)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}

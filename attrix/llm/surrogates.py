@@ -7,7 +7,8 @@ the same case, country codes, issuer digits, check digits and name spaces kept;
 the name's script.
 
 Collision checks: a surrogate that another entity has, or that is itself an entity of the documents, is drawn again with the next
-attempt, until all are distinct. Only documents with entities are shuffled; a frequent entity is one row of the table of different
+attempt, until all are distinct; after ``ATTEMPTS`` draws in the entity's own format, values get longer with each draw, so
+formats with few values always find one. Only documents with entities are shuffled; a frequent entity is one row of the table of different
 ones, and the join back on it is one that Spark splits when skewed.
 
 Null texts stay null, texts without entities stay as they are, repeated rows stay repeated; rows with a null id are treated
@@ -16,12 +17,15 @@ alike; an empty table gives no rows; all other columns pass through under their
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrix.llm.common import drop_path, stored
 
-ATTEMPTS = 24  # draws for an entity before the job fails: its format has no free value left
+ATTEMPTS = 24  # draws for an entity in its own format; later ones are longer
+LONGER = 2     # digits (persons: syllables, addresses: numbers) that each later draw is longer by
 
 # Titles by gender, and given names and syllables by script, for persons behind a title.
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Госпожа|госпожа|Κυρία|κυρία"
@@ -43,7 +47,8 @@ SURNAME_ENDS = {"latin": ["er", "son", "ini", "eau"], "cyrillic": ["ко", "ян
 
 # One pattern for all entities, most specific first.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,250}\.[A-Za-z]{2,24}"
-SECRET = r"\b(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,200}|\bAKIA[A-Z0-9]{16}\b"
+SECRET = (r"\b(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[_+/-]{0,199}[A-Za-z0-9])"
+          r"[A-Za-z0-9_+/-]{8,200}|\bAKIA[A-Z0-9]{16}\b")
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
@@ -165,11 +170,32 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     )
 
 
+def lengthened(kind: Column, canon: Column, new: Column, attempt: Column, key: str, by: int) -> Column:
+    """A surrogate that is longer than its format by ``by`` digits (persons: syllables; IP addresses: a number more)."""
+    seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("longer"), kind, attempt.cast("string"), canon), 256)
+    draws = [F.xxhash64(seed, F.lit(k)) for k in range(by)]
+    digits = F.concat(*(F.pmod(r, F.lit(10)).cast("string") for r in draws))
+    number = F.concat(F.substr(new, F.lit(1), F.length(new) - 1), digits)
+
+    def syllables(script: str) -> Column:
+        return F.concat(*(_pick(SYLLABLES[script], r) for r in draws))
+
+    return (
+        F.when(kind == "email", F.regexp_replace(new, F.lit(r"(\.[^.]*)$"), F.concat(digits, F.lit("$1"))))
+        .when(kind == "ip", F.concat(new, F.lit("."), digits))
+        .when(kind == "card", F.concat(number, _check_digit(number)))
+        .when(kind == "person", F.concat(new, F.when(new.rlike(r"\p{IsCyrillic}"), syllables("cyrillic")).when(
+            new.rlike(r"\p{IsGreek}"), syllables("greek")).otherwise(syllables("latin"))))
+        .otherwise(F.concat(new, digits))
+    )
+
+
 def written(kind: Column, value: Column, new: Column) -> Column:
     """A canonical surrogate in the form in which its entity was found."""
     plain = F.regexp_replace(new, r"\+", "")
     slots = F.split(value, "[0-9]", -1)
-    digits = F.array_join(F.zip_with(slots, F.split(plain, ""), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    digits = F.array_join(F.zip_with(slots, F.split(plain, ""), lambda a, b: F.concat(
+        F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")  # a longer surrogate's last digits follow the form
     cased = F.array_join(F.zip_with(F.split(value, ""), F.split(new, ""), lambda a, b: F.when(
         a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
     blocks = F.regexp_replace(new, "(.{4})(?=.)", "$1 ")
@@ -188,8 +214,11 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     spark = entities.sparkSession
     real = entities.select("kind", F.col("canon").alias("new"))
     todo, done, paths = entities, None, []
-    for attempt in range(ATTEMPTS):
-        drawn = todo.select("kind", "canon", surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key).alias("new"))
+    for attempt in count():
+        new = surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key)
+        if attempt >= ATTEMPTS:  # ever more room, so this ends
+            new = lengthened(F.col("kind"), F.col("canon"), new, F.lit(attempt), key, LONGER * (attempt - ATTEMPTS + 1))
+        drawn = todo.select("kind", "canon", new.alias("new"))
         first = drawn.groupBy("kind", "new").agg(F.min("canon").alias("canon"))  # of those that drew the same
         free = first.join(real, ["kind", "new"], "left_anti")
         if done is not None:
@@ -202,7 +231,6 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
             for p in paths:
                 drop_path(spark, p)
             return done
-    raise ValueError(f"{todo.count()} entities found no free surrogate of their format")
 
 
 def replace_entities(docs: DataFrame, key: str = "surrogate-key", doc_col: str = "doc_id", text_col: str = "text") -> tuple:

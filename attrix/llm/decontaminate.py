@@ -113,7 +113,7 @@ class Index:
             e, size = int(self.edits[k]), int(self.sizes[k])
             low = b * (e + 1) - len(data) - e
             text = int(np.searchsorted(begin, low + e + size // 2, side="right")) - 1
-            if not 0 <= text < len(forms) or seen.get((text, k), -1) >= low:
+            if not 0 <= text < len(forms) or (text, k) in seen and seen[text, k] >= low:  # low may be negative
                 continue
             edits, end = align(self.texts[k], data, low, 2 * (e + 1) + 2 * e)
             if edits <= e:

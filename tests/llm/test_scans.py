@@ -121,6 +121,20 @@ def test_finds_all_within_the_budget_and_nothing_beyond():
             assert found[k] >= least
 
 
+def test_longest_items_without_their_head_at_the_start_of_the_first_text():
+    items = [(k, decontaminate.normal(prose(700 + k, 60).encode())[:200 - k].strip()) for k in range(4)]
+    index = decontaminate.Index(items)
+    missed = []
+    for k, (_, item) in enumerate(items):
+        for cut in range(int(index.edits[k]) + 4):
+            for before in range(4):
+                text = decontaminate.normal(b"qz!#"[:before] + item[cut:] + b" " + prose(900 + cut, 12).encode())
+                found = {f[1] for f in index.find([text, b"other"]) if f[0] == 0}
+                if (k in found) != (edits(item, text) <= index.edits[k]):
+                    missed.append((k, cut, before))
+    assert not missed
+
+
 def test_leak_rows(spark, odd, nothing):
     items = spark.createDataFrame([(1, TEXTS[3][1][40:200].upper()), (2, None), (3, ""), (4, TEXTS[3][1][40:200]), (5, "tw0 words")],
                                   "item_id long, text string")

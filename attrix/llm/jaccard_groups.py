@@ -253,7 +253,7 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 got = [(i, x) for i, x in got if len(x)]
                 yield pd.DataFrame({"doc_id": pd.array([i for i, _ in got], "Int64"),
                                     "node": np.array([set_hash(x) for _, x in got], np.uint64).view(np.int64),
-                                    "hashes": [signed(x) for _, x in got]})
+                                    "hashes": pd.Series([signed(x) for _, x in got], dtype=object)})
 
     wanted, path = stored(texts.sparkSession, wanted.select("node", "rep", "times").distinct(), "wanted")
     ids = wanted.select(F.col("rep").alias("r0")).distinct()
@@ -279,7 +279,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                        percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, and node (the id of its set; null when empty)."""
+    """One row per input row: doc_id, n_shingles, component_id, node (the id of its set; null when empty) and root (the
+    least node of its component, also where no row has an id; null when empty)."""
     spark = docs.sparkSession
     texts = id_and_bytes(docs, doc_col, text_col)
     shards = input_partitions(texts)
@@ -346,13 +347,13 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
 
     rooted = nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels, _ = stored(spark, rooted.join(least, "root").select("node", "component_id"), "set-components")
+    labels, _ = stored(spark, rooted.join(least, "root").select("node", "component_id", "root"), "set-components")
     for p in (candidates_path, prefixes_path, checked_path, links_path, roots_path, others_path, likely_path, more_path,
               nodes_path):
         drop_path(spark, p)
     return members.withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(labels, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "root")
 
 
 def set_nodes(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", words: int = WORDS):

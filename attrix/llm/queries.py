@@ -73,7 +73,7 @@ FROM s JOIN r ON s.doc_id = r.x GROUP BY ALL
 
 @register("op8_ngram_jaccard_join", JACCARD_SQL)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups.jaccard_components(documents(spark, sf_dir)).drop("node")
+    return jaccard_groups.jaccard_components(documents(spark, sf_dir)).drop("node", "root")
 
 
 @register("op9_kneser_ney")

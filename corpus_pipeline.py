@@ -31,9 +31,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     ship(spark)
     found, _ = stored(spark, jaccard_groups.jaccard_components(docs), "components")
     with_words = found.where("node is not null")
-    component = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("n"), F.col("node").cast("string")))
     # of each component the least id and then the least set; how often that row stands there
-    kept = with_words.withColumn("of", component).groupBy("of").agg(F.min(F.struct(
+    kept = with_words.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")).select("k.doc_id", "k.node")
     times = with_words.groupBy("doc_id", "node").count().select(
         F.col("doc_id").alias("d"), F.col("node").alias("n"), F.col("count").alias("times"))

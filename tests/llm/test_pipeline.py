@@ -74,6 +74,18 @@ def test_stages(spark, folder):
         assert list(r.ids) == lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
 
 
+def test_near_copies_without_ids_leave_one_row(spark, odd):
+    text, other = prose(901, 80), prose(902, 80)
+    near = text.split()
+    near[40] = "another"
+    more = list(near)
+    more[70] = "third"
+    rows = [(None, text), (None, " ".join(near)), (None, " ".join(more)), (None, text), (None, other), (7, prose(903, 80)), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.text for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()]
+    assert len(kept) == 4 and {other, prose(903, 80), ""} < set(kept)
+
+
 def test_run_is_the_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "n_tokens", "ids"]

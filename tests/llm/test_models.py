@@ -117,6 +117,23 @@ def test_language_rows(spark, odd, nothing):
     assert {r.lang_pred for r in lang_lattice.predict_languages(odd, none).collect()} == {"und"}
 
 
+def test_every_language_is_learned_in_blocks(spark, odd, monkeypatch):
+    """More languages than one block, or than 200: each knows its own letters, and blocks change no score."""
+    path = tokenizer("piece_bpe_32k.model")
+    known = [p for p in lang_lattice.vocabulary(path) if p.isalpha() and p.islower() and 5 <= len(p) <= 8]
+    own = {f"l{k:03d}": known[k * 5:k * 5 + 5] for k in range(207)}
+    rows = [(k, " ".join(own[lang] * 4), lang) for k, lang in enumerate(own)] + [(999, "12 !", "l000"), (None, None, "l001")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).checkpoint()
+    model = lang_lattice.train(docs, path)
+    assert model.table.count() == 207
+    got = {r.doc_id: r for r in lang_lattice.predict_languages(docs, model).collect()}
+    assert len(got) == len(rows) and all(got[k].lang_pred == lang for k, (_, _, lang) in enumerate(rows[:207]))
+    assert got[999].lang_pred == got[None].lang_pred == "und" and got[999].score == 0
+    monkeypatch.setattr(lang_lattice, "BLOCK", 1000)
+    for r in lang_lattice.predict_languages(docs, model).collect():
+        assert r.lang_pred == got[r.doc_id].lang_pred and np.isclose(r.score, got[r.doc_id].score)
+
+
 # toxicity
 
 

@@ -32,7 +32,6 @@ BLOCK = 200             # languages that the driver and workers hold at a time
 BROADCAST_LANGS = 500_000  # language names with their counts that are broadcast at most
 ROUNDS = 3              # of expectation maximisation
 LONGEST = 48            # letters of a word
-PIECE = 10              # letters of a piece at most
 RARE = 1e-7             # probability of a letter that no piece has
 PRIOR = 0.05            # expected count that each piece starts a round with
 CACHE_WORDS = 150_000   # words whose probabilities a worker keeps
@@ -52,7 +51,9 @@ class Lattice:
     """The pieces of a vocabulary (``\\u2581`` marks a word's start) and the places of pieces in words."""
 
     def __init__(self, pieces: list[str]):
-        kept = sorted({p for p in pieces if 0 < len(p) <= PIECE and p.lower() == p})
+        # pieces with other characters than letters are in no word; the longest of letters sets the recursion's width
+        kept = sorted({p for p in pieces if p and p.lower() == p and (p == "▁" or _RUNS.fullmatch(p.removeprefix("▁")))})
+        self.width = max(map(len, kept), default=1)
         codes = self._hash_all(kept)
         codes, first = np.unique(codes, return_index=True)
         self.codes = codes
@@ -86,7 +87,7 @@ class Lattice:
                 raw = "".join(["▁" + words[k] for k in some])
                 code = np.frombuffer(raw.encode("utf-32-le"), np.uint32).reshape(len(some), length).astype(np.uint64)
                 code += np.uint64(1)
-                width = min(PIECE, length)
+                width = min(self.width, length)
                 found = np.full((len(some), length, width), -1, np.int32)
                 h = np.zeros((len(some), length), np.uint64)
                 for j in range(width):

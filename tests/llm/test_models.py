@@ -100,6 +100,15 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(model.word_logs(words), np.log([every("▁" + w) for w in words]))
 
 
+def test_the_longest_pieces_are_summed():
+    long = "▁straightforward"
+    lattice = lang_lattice.Lattice([long, "▁", "a", "--------------------", "longword12"])
+    assert lattice.width == len(long) and lattice.pieces and "--------------------" not in lattice.pieces
+    table_ = np.full((lattice.size + 1, 1), 1e-9)
+    table_[lattice.pieces.index(long)], table_[-1] = 0.5, 0
+    assert np.isclose(lang_lattice.Model(lattice, ["x"], table_).word_logs([long[1:]])[0, 0], np.log(0.5))
+
+
 def test_language_rows(spark, odd, nothing):
     path = tokenizer("piece_bpe_32k.model")
     docs = documents(spark, SF)

@@ -1,10 +1,13 @@
 """Operator 7: licence scan with a generalised suffix automaton of licence tokens.
 
-The automaton holds the tokens of all templates and of the base phrases. A text's matching statistics give, at each
+Templates are the whole texts in ``license_texts`` (label-name.txt), headers and names of common public licences; others can
+be given. The automaton holds the tokens of all templates and of the base phrases. A text's matching statistics give, at each
 word, the longest stretch ending there that some template has. Stretches of ``LONGEST_FROM`` words or more that can't
 be extended become matches; matches near each other, in the order of one template, are chained, and a chain's covered
-share of the template is its score. A template covered by ``COVERED`` or more adds its label. The base phrases are
-read off the automaton's states.
+share of the template is its score. A template covered by ``COVERED`` or more adds its label; one of up to ``NAME_WORDS``
+words is a name and must be there word by word, as those of different licences differ by a word. Whole texts and headers have
+an automaton each, since a long match in a text would hide a header in it; what lies within a longer licence text adds no
+label of its own. The base phrases are read off the automaton's states.
 
 Only stretches whose adjacent words are adjacent in some template are walked, which loses no match of two words.
 Null and empty texts have no words, no labels and score 0; repeated rows give repeated results; an empty table gives no
@@ -16,6 +19,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import repeat
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -42,7 +46,35 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided "
             "that the following conditions are met"),
 ]
+HEADERS = [
+    ("mpl", "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this "
+            "file except in compliance with the license you may obtain a copy of the license at"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not "
+            "distributed with this file you can obtain one at"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser "
+             "general public license as published by the free software foundation"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero "
+             "general public license as published by the free software foundation"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+]
+#: Names by which texts refer to a licence, as words.
+NAMES = {
+    "mit": ["the mit license"], "apache": ["apache license version 2 0", "apache license 2 0"],
+    "gpl": ["gnu general public license"], "lgpl": ["lesser general public license", "library general public license"],
+    "agpl": ["affero general public license"], "mpl": ["mozilla public license"],
+    "bsd": ["the bsd license", "bsd 2 clause", "bsd 3 clause", "2 clause bsd", "3 clause bsd"],
+    "isc": ["isc license"], "unlicense": ["the unlicense", "unlicense org"],
+    "cc0": ["cc0 1 0 universal", "creative commons zero", "under cc0 1 0", "licensed under cc0"],
+    "gfdl": ["gnu free documentation license"], "artistic": ["the artistic license", "artistic license 2 0"],
+    "cc": ["creative commons attribution", *(f"cc {kind} {version}" for kind in (
+        "by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd") for version in ("1 0", "2 0", "2 5", "3 0", "4 0"))],
+}
+SPDX = {"mit": ["mit"], "apache": ["apache 2 0"], "gpl": ["gpl 2 0", "gpl 3 0"], "lgpl": ["lgpl 2 1", "lgpl 3 0"],
+        "agpl": ["agpl 3 0"], "mpl": ["mpl 1 1", "mpl 2 0"], "bsd": ["bsd 2 clause", "bsd 3 clause"], "isc": ["isc"],
+        "unlicense": ["unlicense"], "cc0": ["cc0 1 0"]}
 LONGEST_FROM = 3  # words of a match
+NAME_WORDS = 8    # words of a template that counts only as a whole
+WHOLE_FROM = 100  # words of a whole text; shorter ones have an automaton of their own, as long matches would hide theirs
 GAP = 30          # words between two matches of a chain
 COVERED = 0.6     # share of a template that adds its label
 
@@ -55,14 +87,27 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+def public_licenses() -> list[tuple[str, str]]:
+    """(label, text) of whole licence texts, headers and names."""
+    whole = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return [
+        *((f.name.split("-")[0], f.read_text(encoding="utf-8")) for f in whole),
+        *((label, text) for label, text in TEMPLATES if len(text.split()) > NAME_WORDS), *HEADERS,
+        *((label, name) for label, names in NAMES.items() for name in names),
+        *((label, f"spdx license identifier {name}") for label, names in SPDX.items() for name in names),
+    ]
+
+
 class Automaton:
     """Generalised suffix automaton over token numbers, with the places of each state in the templates."""
 
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES):
+    def __init__(self, templates=TEMPLATES, phrases=PHRASES, names=()):
+        self.base = len(phrases)
+        phrases = [*phrases, *((name, label) for label, name in names)]
         self.labels = [label for label, _ in templates]
         self.phrase_labels = [label for _, label in phrases]
         texts = [words_of(t.encode()) for _, t in templates] + [words_of(p.encode()) for p, _ in phrases]
-        self.sizes = [len(t) for t in texts[:len(templates)]]
+        self.sizes, self.phrase_sizes = ([len(t) for t in some] for some in (texts[:len(templates)], texts[len(templates):]))
         self.numbers: dict[bytes, int] = {}
         rows = [[self.numbers.setdefault(w, len(self.numbers)) for w in t] for t in texts]
         size = len(self.numbers)
@@ -82,9 +127,9 @@ class Automaton:
                     ends[state].append((t, k))
         order = sorted(range(1, len(self.next)), key=lambda s: -self.length[s])
         for s in order:
-            if self.link[s] > 0:
-                ends[self.link[s]] = sorted({*ends[self.link[s]], *ends[s]})
-        self.ends = ends
+            if self.length[self.link[s]] >= LONGEST_FROM:  # shorter ones are no matches
+                ends[self.link[s]] += ends[s]
+        self.ends = [sorted(set(e)) for e in ends]
         # phrases that end where a state's strings end: (phrase, words, whether the match must be checked for length)
         home = {}
         for p, row in enumerate(rows[len(templates):]):
@@ -199,8 +244,16 @@ def _best_chain(run: list[tuple[int, int, int]]) -> tuple[int, int, int]:
     return last
 
 
-def scan(text: bytes, a: Automaton) -> dict:
-    words = words_of(text)
+def automata(templates: list[tuple[str, str]]) -> list[Automaton]:
+    """Of headers with all names and the base phrases, and of whole texts."""
+    size = [len(words_of(text.encode())) for _, text in templates]
+    names = [t for t, n in zip(templates, size) if 0 < n <= NAME_WORDS]
+    headers = [t for t, n in zip(templates, size) if NAME_WORDS < n < WHOLE_FROM]
+    return [Automaton(headers, names=names), Automaton([t for t, n in zip(templates, size) if n >= WHOLE_FROM], [])]
+
+
+def _found(words: list[bytes], a: Automaton) -> tuple[list[tuple[int, int]], list[tuple[str, int, int, int, int]]]:
+    """Places of base phrases, and (label, covered words, of how many, start, end) of chains and names."""
     known = np.fromiter(map(a.numbers.get, words, repeat(len(a.numbers))), np.int32, len(words))
     near = a.adjacent[known[:-1], known[1:]]
     places: list[tuple[int, int]] = []
@@ -211,32 +264,53 @@ def scan(text: bytes, a: Automaton) -> dict:
             p, m = a.walk(known[start:stop + 1].tolist(), start)
             places += p
             matches += m
-    spans = chains(matches, a) if matches else []
+    spans = [(a.labels[t], c, a.sizes[t], s, e) for t, c, s, e in (chains(matches, a) if matches else [])]
+    spans += [(a.phrase_labels[p], n := a.phrase_sizes[p], n, s, s + n) for p, s in places if p >= a.base]
+    return [x for x in places if x[0] < a.base], spans
+
+
+def _outer(spans: list[tuple[str, int, int, int, int]]) -> list[tuple[str, int, int, int, int]]:
+    """Spans that lie in none of more covered words: what a licence text says of others belongs to it."""
+    out, around = [], []
+    for x in sorted(spans, key=lambda x: (x[3], -x[4], -x[1])):
+        around = [y for y in around if y[4] > x[3]]
+        if not any(y[4] >= x[4] and y[1] > x[1] for y in around):
+            out.append(x)
+            around.append(x)
+    return out
+
+
+def scan(text: bytes, a: Automaton, *more: Automaton) -> dict:
+    words = words_of(text)
+    places, spans = _found(words, a)
+    for b in more:
+        spans += _found(words, b)[1]
     base = sorted({a.phrase_labels[p] for p, _ in places})
-    more = {a.labels[t] for t, cover, _, _ in spans if cover >= COVERED * a.sizes[t]}
+    covered = [x for x in spans if x[1] >= COVERED * x[2]]
+    covered = _outer(covered)
     starts = [s for _, s in places]
     return {
         "n_words": len(words), "n_base": len(places), "first_word": min(starts, default=None),
         "last_word": max(starts, default=None), "base_labels": ",".join(base),
-        "labels": ",".join(sorted({*base, *more})),
-        "score": max((min(1.0, cover / a.sizes[t]) for t, cover, _, _ in spans), default=0.0),
-        "spans": [{"label": a.labels[t], "first": s, "last": e - 1, "covered": c} for t, c, s, e in sorted(
-            spans, key=lambda x: (x[2], x[0])) if c >= COVERED * a.sizes[t]],
+        "labels": ",".join(sorted({*base, *(x[0] for x in covered)})),
+        "score": max((min(1.0, cover / size) for _, cover, size, _, _ in spans), default=0.0),
+        "spans": [{"label": label, "first": s, "last": e - 1, "covered": c} for label, c, _, s, e in sorted(
+            covered, key=lambda x: (x[3], x[0], x[4]))],
     }
 
 
-_AUTOMATON: list[Automaton] = []
+def license_scan(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", templates=None) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the covered spans of each text.
 
+    ``templates`` are (label, text) pairs; public_licenses() if None.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(automata(public_licenses() if templates is None else templates))
 
-def license_scan(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the covered spans of each text."""
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not _AUTOMATON:
-            _AUTOMATON.append(Automaton())
-        a = _AUTOMATON[0]
+        every = shared.value
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
         for frame in frames:
-            out = pd.DataFrame([scan(t, a) for t in frame["text"]], columns=names)
+            out = pd.DataFrame([scan(t, *every) for t in frame["text"]], columns=names)
             out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
             yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 from odd_cases import TEXTS, prose
@@ -78,6 +79,33 @@ def test_covered_templates_add_labels():
     assert (span["first"], span["last"]) == (0, len(MIT.split()) - 1)
 
 
+WHOLE = sorted((Path(license_automaton.__file__).parent / "license_texts").glob("*.txt"))
+NOTICES = [
+    ("mpl", "Licensed under the Mozilla Public License, Version 2.0"), ("cc", "Licensed under CC BY-SA 4.0."), ("isc", "ISC License"),
+    ("cc", "Creative Commons Attribution-ShareAlike 4.0"), ("cc0", "CC0 1.0 Universal"), ("unlicense", "under The Unlicense."),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"), ("gpl", "the GNU General Public License, version 3"), ("", "the public license"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+            "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."), ("", prose(9, 500)),
+]
+
+
+def test_whole_texts_headers_and_names_of_common_licenses(spark, odd):
+    texts = [(f.name.split("-")[0], f.read_text()) for f in WHOLE]
+    rows = [*texts, *NOTICES, *((label, prose(8, 30) + "\n" + t.replace(".", " .\n# ") + prose(10, 30)) for label, t in texts)]
+    out = license_automaton.license_scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string"))
+    got = {r.doc_id: (r.labels, r.base_labels) for r in out.collect()}
+    assert len(texts) >= 17
+    for k, (label, _) in enumerate(rows):
+        labels, base = (set(filter(None, x.split(","))) for x in got[k])
+        assert labels - (base - {label}) == ({label} if label else set()), (k, label, got[k])
+
+
+def test_templates_can_be_given(spark, odd):
+    docs = spark.createDataFrame([(1, "under the house license of 1999"), (2, "mit license")], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_automaton.license_scan(docs, templates=[("house", "house license of 1999")]).collect()}
+    assert got == {1: "house", 2: "mit"}
+
+
 def test_license_rows(odd, nothing):
     got = license_automaton.license_scan(odd).collect()
     assert sorted((str(r.doc_id), r.n_words) for r in got) == sorted((str(i), len(license_words(t))) for i, t in TEXTS)

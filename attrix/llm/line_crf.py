@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from attrix.llm.common import id_and_bytes
 
 TRAIN_DOCS = 1500     # labelled texts that the field is trained on
-TRAIN_LINES = 400     # lines of a training text
+TRAIN_LINES = 400     # lines of a stretch; longer training texts are several, one after the other
 STEPS = 150           # training steps
 LEAST_WORDS = 50      # base: words of a text
 REPEATED_PERCENT = 50  # base: most words in repeated three-word windows, in percent
@@ -196,10 +196,10 @@ def train_field(docs: DataFrame, labels: DataFrame, doc_col: str = "doc_id", tex
         rows = id_and_bytes(docs, doc_col, text_col).join(F.broadcast(some), F.col("doc_id") == F.col("id")).select("text")
         for row in rows.limit(TRAIN_DOCS).collect():
             x, _ = line_features(bytes(row["text"]))
-            if len(x):
-                x = x[:TRAIN_LINES]
-                texts.append(x)
-                lines.append(((x[:, 11] == 0) & (x[:, 7] == 0)).astype(int) * good)
+            for at in range(0, len(x), TRAIN_LINES):
+                part = x[at:at + TRAIN_LINES]
+                texts.append(part)
+                lines.append(((part[:, 11] == 0) & (part[:, 7] == 0)).astype(int) * good)
     if not texts or len(np.unique(np.concatenate(lines))) < 2:
         return Field.fixed()
     return Field.train(texts, lines)

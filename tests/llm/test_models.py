@@ -60,6 +60,18 @@ def test_training_learns_lines():
     assert np.mean(np.concatenate(field.decode(texts)) == np.concatenate(labels)) > 0.97
 
 
+def test_all_lines_of_training_texts_are_learned(spark, odd, monkeypatch):
+    seen = []
+    monkeypatch.setattr(line_crf.Field, "train", lambda texts, lines: seen.append((texts, lines)))
+    long = "\n".join(f"line {k} has some words of its own." for k in range(950))
+    docs = spark.createDataFrame([(1, long), (2, "bad line\n" * 30), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    line_crf.train_field(docs, labels)
+    (texts, lines), = seen
+    whole = [line_crf.line_features(t.encode())[0] for t in ("bad line\n" * 30, long)]
+    assert np.array_equal(np.concatenate(texts), np.concatenate(whole)) and list(map(len, texts)) == list(map(len, lines))
+
+
 def test_line_rows(spark, odd, nothing):
     got = line_crf.line_quality(odd, line_crf.Field.fixed()).collect()
     for r in got:

@@ -100,6 +100,14 @@ def ship(spark: SparkSession) -> None:
     sc._attrix_shipped = True
 
 
+def fresh(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def text_runs(texts: list, chars: int):
     """(start, stop) of runs of texts of about ``chars`` characters together; a longer text is a run of its own."""
     start = size = 0

@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attrix.llm import (decontaminate, gru_toxicity, jaccard_groups, kneser_ney, lang_lattice, license_automaton, line_crf,
-                        rank_bpe, surrogates, token_file)
+from attrix.llm import (decontaminate, gru_toxicity, jaccard_groups, kneser_ney, lang_lattice, license_automaton, line_bitmaps,
+                        line_crf, merkle_manifest, rank_bpe, surrogates, token_file)
 from attrix.llm.common import documents, fold, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,97 @@ def surrogate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_decontaminate")
 def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+MERKLE_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    ORDER BY i) AS t FROM range(256) r(i)
+),
+d AS (
+  SELECT doc_id, lang, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+    || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+    || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail, n_chars,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS tampered
+  FROM documents, crc
+),
+f AS (
+  SELECT doc_id, lang, sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || tail) AS leaf,
+    CASE WHEN coalesce(tampered, false) THEN sha256(head || CASE WHEN n_chars IS NULL THEN '-'
+      ELSE strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) END || tail) END AS changed
+  FROM d
+),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM f
+),
+nodes AS (
+  SELECT lang, 0 AS lvl, pos, leaf AS h, n FROM p
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), max((n + 1) // 2) FROM nodes WHERE n > 1 GROUP BY lang, lvl, pos // 2
+),
+subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+),
+tops AS (
+  SELECT 0 AS lvl, pos, h, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), max((n + 1) // 2) FROM tops WHERE n > 1 GROUP BY lvl, pos // 2
+),
+root AS (SELECT h FROM tops WHERE n = 1),
+own AS (
+  SELECT x.lang, x.pos, o.lvl, coalesce(CASE WHEN s.pos % 2 = 0 THEN 'L' ELSE 'R' END || s.h, 'A') AS step
+  FROM p x JOIN nodes o ON o.lang IS NOT DISTINCT FROM x.lang AND o.pos = x.pos >> o.lvl AND o.n > 1
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM x.lang AND s.lvl = o.lvl AND s.pos = xor(o.pos, 1)
+),
+top AS (
+  SELECT x.lang, o.lvl, coalesce(CASE WHEN s.pos % 2 = 0 THEN 'L' ELSE 'R' END || s.h, 'A') AS step
+  FROM subroots x JOIN tops o ON o.pos = x.pos >> o.lvl AND o.n > 1
+  LEFT JOIN tops s ON s.lvl = o.lvl AND s.pos = xor(o.pos, 1)
+),
+own_steps AS (SELECT lang, pos, list(step ORDER BY lvl) AS steps FROM own GROUP BY lang, pos),
+top_steps AS (SELECT lang, list(step ORDER BY lvl) AS steps FROM top GROUP BY lang),
+rows AS (
+  SELECT p.doc_id, p.leaf, p.changed, s.h AS subroot, root.h AS root,
+    list_concat(coalesce(o.steps, []::VARCHAR[]), coalesce(t.steps, []::VARCHAR[])) AS steps
+  FROM p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN root
+  LEFT JOIN own_steps o ON o.lang IS NOT DISTINCT FROM p.lang AND o.pos = p.pos
+  LEFT JOIN top_steps t ON t.lang IS NOT DISTINCT FROM p.lang
+),
+folded AS (
+  SELECT *, list_reduce(list_prepend(coalesce(changed, leaf), steps), lambda acc, x: sha256(CASE x[1] WHEN 'A' THEN acc
+    WHEN 'L' THEN x[2:] || acc ELSE acc || x[2:] END)) AS folded_root FROM rows
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(steps, lambda x: x <> 'A'), lambda x: x[2:]), ''))
+  AS proof_sha256, folded_root, folded_root = root AS verified
+FROM folded
+"""
+
+
+@register("op11_merkle_manifest", MERKLE_SQL)
+def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.proofs(documents(spark, sf_dir))
+
+
+LINES_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+),
+hot AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+),
+m AS (SELECT k.*, hot.key IS NOT NULL AND k.doc_id IS DISTINCT FROM hot.keeper AS gone FROM k LEFT JOIN hot ON k.key = hot.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@register("op12_line_bitmaps", LINES_SQL)
+def line_bitmap_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_bitmaps.without_repeated_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

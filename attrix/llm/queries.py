@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrix.llm import (decontaminate, gru_toxicity, jaccard_groups, kneser_ney, lang_lattice, license_automaton, line_bitmaps,
-                        line_crf, merkle_manifest, rank_bpe, surrogates, token_file)
+                        line_crf, merkle_manifest, phrase_mining, rank_bpe, surrogates, token_file)
 from attrix.llm.common import documents, fold, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,3 +208,48 @@ FROM m GROUP BY doc_id
 def line_bitmap_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_bitmaps.without_repeated_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+PHRASES_SQL = f"""
+WITH t AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, regexp_split_to_array({LOWER}, '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents
+),
+q AS (SELECT doc, lang, unnest(ps) AS p, generate_subscripts(ps, 1) AS piece FROM t),
+v AS (SELECT doc, lang, piece, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM q),
+u AS (SELECT doc, lang, piece, unnest(ws) AS w, generate_subscripts(ws, 1) AS place FROM v),
+x AS (
+  SELECT lang, w AS w1, lead(w) OVER s AS w2, lead(w, 2) OVER s AS w3 FROM u WINDOW s AS (PARTITION BY doc, piece ORDER BY place)
+),
+n AS (SELECT lang, count(*) AS n FROM x GROUP BY lang),
+c1 AS (SELECT lang, w1, count(*) AS f FROM x GROUP BY ALL),
+c2 AS (SELECT lang, w1, w2, count(*) AS f FROM x WHERE w2 IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT lang, w1, w2, w3, count(*) AS a FROM x WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+s3 AS (
+  SELECT c3.*, p.f AS l1, q.f AS r1, pq.f AS l2, r.f AS r2,
+    1000000::HUGEINT * a * a // (p.f::HUGEINT * q.f) AS s1, 1000000::HUGEINT * a * a // (pq.f::HUGEINT * r.f) AS s2
+  FROM c3 JOIN c1 p ON p.lang = c3.lang AND p.w1 = c3.w1 JOIN c2 q ON q.lang = c3.lang AND q.w1 = c3.w2 AND q.w2 = c3.w3
+  JOIN c2 pq ON pq.lang = c3.lang AND pq.w1 = c3.w1 AND pq.w2 = c3.w2 JOIN c1 r ON r.lang = c3.lang AND r.w1 = c3.w3
+),
+longer AS (
+  SELECT lang, w1, w2, max(a) AS a FROM (SELECT lang, w1, w2, a FROM c3 UNION ALL SELECT lang, w2, w3, a FROM c3) GROUP BY ALL
+),
+phrases AS (
+  SELECT lang, w1 || ' ' || w2 || ' ' || w3 AS phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END AS l,
+    CASE WHEN s2 < s1 THEN r2 ELSE r1 END AS r, least(s1, s2) AS score FROM s3
+  UNION ALL
+  SELECT c2.lang, c2.w1 || ' ' || c2.w2, c2.f, p.f, r.f, 1000000::HUGEINT * c2.f * c2.f // (p.f::HUGEINT * r.f)
+  FROM c2 JOIN c1 p ON p.lang = c2.lang AND p.w1 = c2.w1 JOIN c1 r ON r.lang = c2.lang AND r.w1 = c2.w2
+  LEFT JOIN longer g ON g.lang = c2.lang AND g.w1 = c2.w1 AND g.w2 = c2.w2
+  WHERE c2.f >= 10 AND (g.a IS NULL OR 100 * g.a < 50 * c2.f)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM phrases
+)
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n.n, CAST(score AS BIGINT) AS score
+FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
+
+@register("op13_phrase_mining", PHRASES_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(documents(spark, sf_dir))

@@ -45,7 +45,9 @@ LOWERED = 0.8
 WORD_BITS, PAIR_BITS = 24, 27
 
 #: A task's bounds: bytes of a slice of text, words of a run, different words and phrases held.
-SLICE, RUN_WORDS, VOCABULARY, HELD = 1 << 20, 200_000, 1 << 19, 2_000_000
+SLICE, RUN_WORDS, VOCABULARY, HELD = 1 << 20, 200_000, 1 << 18, 1_000_000
+#: Blocks handed over at once, so that no Arrow batch holds a whole task's counts.
+HANDED = 32
 #: Bits of a word's number in a packed phrase: more than VOCABULARY and the words of a run and a slice together.
 WIDTH = 21
 BREAK = b"\xff"  # in no UTF-8 text; parts pieces, is number 0
@@ -212,8 +214,9 @@ class TaskCounts:
                 own = own[own > 0]
                 rows += self._dealt(1, lang, h[own], [h[own]], self.counts[own], [self.words[k] for k in own])
         self._restart()
-        if rows:
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+        while rows:
+            yield pd.DataFrame(rows[-HANDED:], columns=_COLUMNS)
+            del rows[-HANDED:]
 
     def _dealt(self, level: int, lang: str | None, hashes: np.ndarray, parts: list, n: np.ndarray, words: list | None = None) -> list:
         if not len(n):

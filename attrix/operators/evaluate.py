@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .ranks import cum_counts
+from .ranks import cum_counts, join_null_safe
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon (log-loss clipping)
 
@@ -127,6 +127,20 @@ def roc_auc(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
                                F.first("P").cast("double") * F.first("N").cast("double")).alias("roc_auc"))
 
 
+def scores_by(scored: DataFrame, by: Sequence[str], threshold: float = C.DEFAULT_THRESHOLD, y: str = "y", p: str = "p") -> DataFrame:
+    """Recall, ROC-AUC (NULL where a class is absent), precision and F1 of every group, in one table."""
+    pred, pos = F.col(p) >= F.lit(float(threshold)), F.col(y) == 1
+    counts = scored.groupBy(*by).agg(
+        F.count_if(~pred & ~pos).alias("tn"), F.count_if(pred & ~pos).alias("fp"),
+        F.count_if(~pred & pos).alias("fn"), F.count_if(pred & pos).alias("tp"))
+    areas = cum_counts(scored, p, y, by).groupBy(*by).agg(F.try_divide(
+        F.sum(F.col("neg") * (F.lit(2) * F.col("tp") - F.col("pos")) / F.lit(2.0)),
+        F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("roc_auc"))
+    r = rates_from_counts(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"))
+    return join_null_safe(counts, areas, by).select(
+        *by, r["recall"].alias("recall"), "roc_auc", r["precision"].alias("precision"), r["f1"].alias("f1"), "tp", "fp")
+
+
 def pr_auc(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Trapezoid area under the precision-recall curve anchored at (recall 0, precision 1)."""
     ct = curve_table(scored, y, p)

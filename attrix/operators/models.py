@@ -1,8 +1,7 @@
 """Model jobs.
 
-Training uses Spark ML estimators on the ``features`` vector built by
-``apply_prep``; cross-validation uses the fold column from ``assign_folds``
-(``CrossValidator(foldCol=...)``), so every fit is a distributed job.
+Single fits of logistic regression and forests are Spark ML estimators on the ``features`` vector built by
+``apply_prep``; searches, folds and boosted trees are the sweeps of ``batched`` and ``boosting``.
 ``LinearScorer`` is the scoring side with literal coefficients: the
 probability is a built-in expression over the feature expressions, which
 keeps scoring inside whole-stage codegen and gives an exact SQL twin.
@@ -40,7 +39,7 @@ def pos_weight(df: DataFrame, label: str = "label", out: str = "weight") -> Data
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(float(spw))).otherwise(F.lit(1.0)))
 
 
-# M3 / M4 / M5 / M6 -----------------------------------------------------------
+# M3 / M4 / M5 -----------------------------------------------------------
 def logistic_regression(C_: float = 1.0, l1_ratio: float = 0.0, max_iter: int = 1000, weight_sum: float | None = None):
     """Weighted LR; the penalty 1/(2C)||w||^2 + sum(w_i loss_i) maps to regParam = 1/(C * sum w)."""
     from pyspark.ml.classification import LogisticRegression
@@ -59,13 +58,6 @@ def random_forest(n_trees: int = 300, seed: int = C.RANDOM_STATE, max_depth: int
                                   numTrees=n_trees, maxDepth=max_depth, seed=seed)
 
 
-def boosted_trees(rounds: int = 300, depth: int = 4, rate: float = 0.1, seed: int = C.RANDOM_STATE):
-    from pyspark.ml.classification import GBTClassifier
-
-    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                         maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-
-
 def model_input(df: DataFrame, params: PrepParams, target: str = C.TARGET_COL, key: str = C.KEY_COL,
                 extra: Sequence[str] = ()) -> DataFrame:
     """(key, label, features vector, extra...) for Spark ML; the key travels with the row."""

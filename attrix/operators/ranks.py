@@ -76,27 +76,28 @@ def ranged(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str =
     return df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(out, F.spark_partition_id()).checkpoint()
 
 
-def cum_counts(scored: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
-    """Per distinct score (descending): pos, neg and cumulative tp/fp including that score.
+def cum_counts(scored: DataFrame, score: str = "p", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """Per distinct score (descending), within ``by``: pos, neg and cumulative tp/fp including that score.
 
     Scores are grouped first (partial aggregation), so the table becomes one
     row per distinct score; these are range-partitioned by descending score
     once and stored. Prefix sums run inside each range on top of the sums of
     the ranges before it (one row a range).
     """
-    grouped = scored.groupBy(F.col(score).alias("score")).agg(
+    by = list(by)
+    grouped = scored.groupBy(*by, F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(~(F.col(label) == 1) | F.col(label).isNull()).alias("neg"),
     )
-    tagged = ranged(grouped, [], [F.col("score").desc()])
-    tot = tagged.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wo = Window.orderBy("_b")
-    offs = tot.select("_b", (F.sum("_bp").over(wo) - F.col("_bp")).alias("_op"),
+    tagged = ranged(grouped, by, [F.col("score").desc()])
+    tot = tagged.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
+    wo = Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")
+    offs = tot.select(*by, "_b", (F.sum("_bp").over(wo) - F.col("_bp")).alias("_op"),
                       (F.sum("_bn").over(wo) - F.col("_bn")).alias("_on"))
-    j = tagged.join(offs, "_b")
-    w = Window.partitionBy("_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = join_null_safe(tagged, offs, [*by, "_b"]) if by else tagged.join(offs, "_b")
+    w = Window.partitionBy(*by, "_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return j.select(
-        "score", "pos", "neg",
+        *by, "score", "pos", "neg",
         (F.sum("pos").over(w) + F.col("_op")).alias("tp"),
         (F.sum("neg").over(w) + F.col("_on")).alias("fp"),
     )

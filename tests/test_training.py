@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from attrix import config as C
+from attrix.operators import batched, boosting
 from attrix.operators import evaluate as E
 from attrix.operators import models as M
 from attrix.plans import training as T
@@ -81,6 +82,148 @@ def test_kept_results_follow_the_data_and_the_settings(spark, data):
     assert T.fitted_once(spark, other, "kept-test", [1], build) == 3
 
 
+def arrays(df):
+    rows = df.select("label", "fold", "features").collect()
+    return (np.array([r.features.toArray() for r in rows]), np.array([r.label for r in rows]), np.array([r.fold for r in rows]))
+
+
+@pytest.mark.parametrize("l1_ratio", [0.0, 1.0, 0.5])
+def test_batched_fits_are_at_their_optimum(data, l1_ratio):
+    """The conditions of the penalised optimum hold for every C and fold, with exact zeros under L1."""
+    problems = [batched.Problem(c, l1_ratio, f) for c in (0.001, 0.01, 0.7, 10.0) for f in (None, *range(C.N_FOLDS))]
+    fitted = T.batch_fit(data, problems)
+    x, y, fold = arrays(data.where("split = 'train'"))
+    for f in fitted:
+        p, own = f.problem, fold != f.problem.fold
+        n = np.array([(y[own] == k).sum() for k in (0, 1)])
+        w = np.where(own, (n.sum() / (2 * n))[y.astype(int)], 0)
+        slope = w * (1 / (1 + np.exp(-(x @ f.coefficients + f.intercept))) - y)
+        gradient = x.T @ slope + (1 - l1_ratio) / p.C * f.coefficients
+        zero, lam = f.coefficients == 0, l1_ratio / p.C
+        assert abs(slope.sum()) < 1e-4 and np.all(np.abs(gradient[zero]) <= lam + 1e-4)
+        assert np.allclose(gradient[~zero], -lam * np.sign(f.coefficients[~zero]), atol=1e-4)
+    assert max(f.sweeps for f in fitted) < 30
+    if l1_ratio == 1.0:
+        assert any((f.coefficients == 0).all() for f in fitted) and any((f.coefficients != 0).all() for f in fitted)
+
+
+def test_batched_fit_equals_spark_ml(data):
+    train = M.balanced_weights(data.where("split = 'train'"))
+    own = T.batch_fit(data, [batched.Problem(0.7, 0.0)])[0]
+    lib = T.make_estimator("logistic_regression", train, {"C": 0.7}).fit(train)
+    assert np.allclose(own.coefficients, lib.coefficients.toArray(), atol=1e-3) and own.intercept == pytest.approx(lib.intercept, abs=1e-3)
+
+
+def test_batched_fit_of_collinear_and_constant_columns(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, float(rng.random() < (0.8 if k % 3 == 0 else 0.3)), [float(k % 3 == j) for j in range(3)] + [1.0], "train", k % 5)
+            for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, label double, x array<double>, split string, fold int").select(
+        "label", array_to_vector("x").alias("features"), "split", "fold")
+    for f in T.batch_fit(df, [batched.Problem(c, r) for c in (0.01, 1.0, 100.0) for r in (0.0, 1.0)]):
+        assert np.isfinite(f.coefficients).all() and f.sweeps < 100
+        assert abs(f.coefficients[3]) < 1e-6  # the unpenalised intercept takes the constant's part
+
+
+def brute_tree(x, y, margin, weight, s, bins):
+    """A Newton tree by trying every split of every node."""
+    p = 1 / (1 + np.exp(-margin))
+    g, h = weight * (p - y), weight * p * (1 - p)
+
+    def node(rows, depth):
+        total, best = (g[rows].sum(), h[rows].sum()), (boosting.LEAST_GAIN, None)
+        score = lambda a, b: a * a / (b + s.l2)
+        for f, cuts in enumerate(bins if depth < s.depth else []):
+            for c in cuts:
+                for missing_left in (False, True):
+                    left = rows & np.where(np.isnan(x[:, f]), missing_left, x[:, f] < c)
+                    right = rows & ~left
+                    if min(h[left].sum(), h[right].sum()) < s.min_child_hessian:
+                        continue
+                    gain = (score(g[left].sum(), h[left].sum()) + score(g[right].sum(), h[right].sum()) - score(*total)) / 2
+                    if gain > best[0] + 1e-9:
+                        best = gain, (left, right)
+        if best[1] is None:
+            return np.where(rows, -s.rate * total[0] / (total[1] + s.l2), 0.0)
+        return node(best[1][0], depth + 1) + node(best[1][1], depth + 1)
+
+    return node(np.ones(len(y), bool), 0)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_boosted_trees_equal_brute_force(spark, seed):
+    """Margins after each round, with missing values, folds left out and a weight on positives."""
+    rng = np.random.default_rng(seed)
+    n = 120
+    x = np.column_stack([rng.integers(0, 6, n), rng.integers(0, 2, n), rng.normal(size=n).round(1), np.ones(n)]).astype(float)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    y = (np.nan_to_num(x[:, 0]) + 2 * np.nan_to_num(x[:, 2]) + rng.normal(size=n) > 2).astype(float)
+    rows = [([None if np.isnan(v) else float(v) for v in r], float(label), k % 3) for k, (r, label) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "x array<double>, label double, fold int").repartition(3)
+    s = boosting.BoostSettings(rounds=4, depth=3, rate=0.3, positive_weight=1.7)
+    left_out = [None, 0, 2]
+    models = boosting.fit_boosted(df, "x", "label", 4, s, "fold", left_out)
+    cuts = [np.unique(c[~np.isnan(c)])[1:] for c in x.T]
+    for model, out in zip(models, left_out):
+        weight = np.where(y == 1, s.positive_weight, 1.0) * (np.arange(n) % 3 != (-1 if out is None else out))
+        margin = np.full(n, -(weight * (0.5 - y)).sum() / (weight.sum() / 4))
+        assert model.base == pytest.approx(margin[0])
+        for _ in range(s.rounds):
+            moved = brute_tree(x, y, margin, weight, s, cuts)
+            own = weight > 0
+            margin = margin + moved
+        assert np.allclose(model.margin(x)[own], margin[own])
+        assert boosting.BoostedModel.from_dict(model.to_dict()).margin(x) == pytest.approx(model.margin(x), nan_ok=True)
+
+
+def test_quantile_bins_and_lineage_cuts(spark, monkeypatch):
+    """Many values fall into bins between quantiles; state cut in the shared folder changes nothing."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(800, 2))
+    y = (x[:, 0] > 0.3).astype(float)
+    df = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(x, y)], "x array<double>, label double").repartition(4)
+    cuts = boosting.cut_points(df, "x", 2, 20)
+    assert all(10 < len(c) < 20 for c in cuts)
+    plain = boosting.fit_boosted(df, "x", "label", 2, boosting.BoostSettings(6), cuts=cuts)[0]
+    monkeypatch.setattr(boosting, "CHECKPOINT", 2)
+    cut = boosting.fit_boosted(df, "x", "label", 2, boosting.BoostSettings(6), cuts=cuts)[0]
+    assert np.allclose(plain.margin(x), cut.margin(x)) and ((plain.margin(x) > 0) == y.astype(bool)).mean() > 0.95
+    assert plain.importances(2)[0] > 0.9
+
+
+def test_boosting_of_no_rows_and_one_class(spark):
+    df = spark.createDataFrame([([1.0], 1.0), ([2.0], 1.0)], "x array<double>, label double")
+    assert boosting.fit_boosted(df.where("false"), "x", "label", 1)[0].margin(np.zeros((2, 1))).tolist() == [0, 0]
+    model = boosting.fit_boosted(df, "x", "label", 1, boosting.BoostSettings(3))[0]
+    assert (model.margin(np.array([[1.0], [2.0]])) > 1).all()
+
+
+def test_grouped_scores_equal_single_ones(spark, data):
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 3 == 0 else f"g{k % 3}", int(rng.random() < 0.4), round(float(rng.random()), 1)) for k in range(300)]
+    rows += [("one", 1, 0.3), ("one", 1, 0.9)]
+    df = spark.createDataFrame(rows, "g string, y int, p double")
+    for r in E.scores_by(df, ["g"]).collect():
+        own = T.scores(df.where(F.col("g").eqNullSafe(F.lit(r.g))))
+        assert (r.recall, r.precision, r.f1) == (own["recall"], own["precision"], own["f1"])
+        assert r.roc_auc == (None if r.g == "one" else pytest.approx(own["roc_auc"]))
+
+
+def test_the_importance_forest_has_no_class_weights(spark, data, monkeypatch):
+    seen = []
+    make = T.make_estimator
+    monkeypatch.setattr(T, "make_estimator", lambda name, train, prm=None: (seen.append(train), make(name, train, {"n_trees": 3}))[1])
+    T.fit("random_forest", data.where("split = 'train'"), {"n_trees": 3}, weighted=False)
+    assert [r.weight for r in seen[-1].select("weight").distinct().collect()] == [1.0]
+
+    class Params:
+        def feature_names(self):
+            return [(k, f"f{k}", "f") for k in range(3)]
+
+    T.feature_importance(spark, data, Params()).collect()
+    assert [r.weight for r in seen[-1].select("weight").distinct().collect()] == [1.0]
+
+
 def test_tuning_has_four_stages(spark, data, monkeypatch):
     monkeypatch.setattr(M, "grid_params", lambda: [{"C": 0.1, "l1_ratio": 0.0}, {"C": 1.0, "l1_ratio": 1.0}])
     monkeypatch.setattr(M, "random_params", lambda: [{"C": 0.01, "l1_ratio": 0.5}])
@@ -88,7 +231,11 @@ def test_tuning_has_four_stages(spark, data, monkeypatch):
     assert set(rows) == {"untuned", "grid_search", "random_search", "tuned_threshold"}
     assert (rows["random_search"].C, rows["random_search"].l1_ratio) == (0.01, 0.5)
     assert rows["tuned_threshold"].C in (0.1, 1.0, 0.01)
-    means = [r["mean_roc_auc"] for r in T.search_results(spark, data, "grid")]
-    folds = [[f["roc_auc"] for f in t] for t in T.cross_validate(data, [
-        ("logistic_regression", {**p, "max_iter": 2000}) for p in M.grid_params()])]
-    assert means == pytest.approx([sum(f) / len(f) for f in folds])
+    for found in T.search_results(spark, data, "grid"):
+        aucs = [T.scores(T.predictions(T.batch_fit(data, [batched.Problem(found["C"], found["l1_ratio"], f)])[0],
+                                       data.where(f"split = 'train' and fold = {f}")))["roc_auc"] for f in range(2)]
+        all_folds = T.fold_predictions(data, "logistic_regression", {k: found[k] for k in ("C", "l1_ratio")})
+        by_fold = {r.fold: r.roc_auc for r in E.scores_by(all_folds, ["fold"]).collect()}
+        assert aucs == pytest.approx([by_fold[0], by_fold[1]])
+        assert found["mean_roc_auc"] == pytest.approx(np.mean(list(by_fold.values())))
+        assert found["std_roc_auc"] == pytest.approx(np.std(list(by_fold.values())))

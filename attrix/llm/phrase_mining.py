@@ -24,6 +24,7 @@ slices that overlap by two words; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from array import array
@@ -206,31 +207,37 @@ class TaskCounts:
             keys, n = self._summed(level)
             parts = [h[(keys >> (k * WIDTH)) & _MASK] for k in range(level - 1, -1, -1)]
             hashed = pair_hash(parts[0], parts[1])
-            rows += self._dealt(level, None, pair_hash(hashed, parts[2]) if level == 3 else hashed, parts, n)
+            rows += self._dealt(level, pair_hash(hashed, parts[2]) if level == 3 else hashed, parts, n)
         if self.with_words:
-            for lang, numbers in self.langs.items():
-                own = np.fromiter(numbers.values(), np.int64, len(numbers))
-                own = own[self.counts[own] > 0] if len(self.counts) else own
-                own = own[own > 0]
-                rows += self._dealt(1, lang, h[own], [h[own]], self.counts[own], [self.words[k] for k in own])
+            own = np.concatenate([np.zeros(0, np.int64), *[np.fromiter(k.values(), np.int64, len(k)) for k in self.langs.values()]])
+            of = np.repeat(np.arange(len(self.langs)), [len(k) for k in self.langs.values()])
+            met = (own > 0) & (np.pad(self.counts, (0, len(h) - len(self.counts)))[own] > 0)
+            own, of = own[met], of[met]
+            rows += self._dealt(1, h[own], [h[own]], self.counts[own], own, of)
         self._restart()
         while rows:
             yield pd.DataFrame(rows[-HANDED:], columns=_COLUMNS)
             del rows[-HANDED:]
 
-    def _dealt(self, level: int, lang: str | None, hashes: np.ndarray, parts: list, n: np.ndarray, words: list | None = None) -> list:
+    def _dealt(self, level: int, hashes: np.ndarray, parts: list, n: np.ndarray, words: np.ndarray | None = None,
+               langs: np.ndarray | None = None) -> list:
         if not len(n):
             return []
         shard = hashes >> np.uint64(64 - self.shards)
-        order = np.lexsort((*parts[1::-1], shard))  # equal first words side by side compress well
+        # equal first words side by side compress well; words stand by language
+        order = np.lexsort((*parts[1::-1], shard) if langs is None else (langs, shard))
         shard = shard[order]
         bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-        out = []
+        out, names = [], list(self.langs)
         for a, b in zip(bounds[:-1], bounds[1:]):
             own = order[a:b]
             packed = [p[own].tobytes() for p in parts] + [b""] * (3 - len(parts))
-            out.append((level, int(shard[a]), lang, *packed, n[own].astype(np.uint32).tobytes(),
-                        b"\n".join(words[k] for k in own) if words is not None else b""))
+            listed, text = None, b""
+            if words is not None:
+                which, many = np.unique(langs[own], return_counts=True)
+                listed = json.dumps([[names[k], int(c)] for k, c in zip(which, many)])
+                text = b"\n".join(self.words[k] for k in words[own])
+            out.append((level, int(shard[a]), listed, *packed, n[own].astype(np.uint32).tobytes(), text))
         return out
 
 
@@ -264,7 +271,7 @@ def _merged(frame: pd.DataFrame, shards: int, least: int, proposals: Proposals,
         found = _rows(level=np.full(len(which), level), n=total[which], **hashes)
         if level == 1:
             words = [w for block in frame["words"] for w in block.split(b"\n")]
-            langs = [g for g, block in zip(frame["lang"], frame["n"]) for _ in range(len(block) // 4)]
+            langs = [g for block in frame["lang"] for g, many in json.loads(block) for _ in range(many)]
             of = pd.Series(n).groupby([langs[k] for k in order], sort=False).sum()
             rows.append(_rows(level=np.zeros(len(of), int), lang=of.index, n=of.to_numpy()))
             found["lang"] = pd.Series([langs[order[first[k]]] for k in which], dtype=object)
@@ -314,8 +321,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: int =
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"),
                        F.pmod(F.xxhash64(F.col(doc_col).cast("long"), text), F.lit(sample)).alias("part"))
-    # powers of two, at most one shard for eight bits of the smaller table
-    shards = min((4 * input_partitions(rows) - 1).bit_length(), word_bits - 3, pair_bits - 3)
+    # a power of two of shards, at most one for eight bits of the smaller table
+    shards = min((input_partitions(rows) - 1).bit_length(), word_bits - 3, pair_bits - 3)
     lowered = max(1, int(LOWERED * min_count / sample))
     for salt in range(8):
         _, now = _pass(rows.where("part = 0").drop("part"), salt, shards, lowered, None, Proposals(word_bits, pair_bits), True)

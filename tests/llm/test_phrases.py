@@ -1,5 +1,6 @@
 """Phrase mining against plain counts."""
 
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -94,9 +95,10 @@ def test_task_bounds_change_no_count(monkeypatch, slice_, run, vocabulary, held)
     got = Counter()
     name = {}
     for b in blocks[blocks.level == 1].itertuples():
-        for w, h, n in zip(b.words.split(b"\n"), np.frombuffer(b.h1, np.uint64).tolist(), np.frombuffer(b.n, np.uint32).tolist()):
-            name[h] = (b.lang, w.decode())
-            got[b.lang, (w.decode(),)] += n
+        langs = [g for g, many in json.loads(b.lang) for _ in range(many)]
+        for g, w, h, n in zip(langs, b.words.split(b"\n"), np.frombuffer(b.h1, np.uint64).tolist(), np.frombuffer(b.n, np.uint32).tolist()):
+            name[h] = (g, w.decode())
+            got[g, (w.decode(),)] += n
     for b in blocks[blocks.level > 1].itertuples():
         parts = [np.frombuffer(h, np.uint64).tolist() for h in (b.h1, b.h2, b.h3)[:b.level]]
         for *hs, n in zip(*parts, np.frombuffer(b.n, np.uint32).tolist()):
@@ -106,7 +108,7 @@ def test_task_bounds_change_no_count(monkeypatch, slice_, run, vocabulary, held)
 
 def test_two_words_of_one_hash_are_noticed():
     h = np.array([5, 5, 9], np.uint64)
-    block = {"level": 1, "shard": 0, "lang": "en", "h1": h.tobytes(), "h2": b"", "h3": b"", "n": np.array([6, 7, 3], np.uint32).tobytes(),
+    block = {"level": 1, "shard": 0, "lang": '[["en", 3]]', "h1": h.tobytes(), "h2": b"", "h3": b"", "n": np.array([6, 7, 3], np.uint32).tobytes(),
              "words": b"a\nb\nc"}
     out = phrase_mining._merged(pd.DataFrame([block]), 2, 10, phrase_mining.Proposals(10, 10), False)
     assert out[out.level == -1]["n"].tolist() == [2] and out[out.level == 0]["n"].tolist() == [16]

@@ -19,9 +19,14 @@ def _col(c: str | Column) -> Column:
 
 
 # X1 ------------------------------------------------------------------------
+#: A decimal number; a cast alone would also take ``NaN`` and the type suffixes of ``12d`` and ``7f``.
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def to_number(c: str | Column) -> Column:
-    """Numeric coercion: blank or malformed text becomes NULL (never an error)."""
-    return F.trim(_col(c).cast("string")).try_cast("double")
+    """Numeric coercion: blank or malformed text, NaN and infinity become NULL (never an error)."""
+    text = F.trim(_col(c).cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 # X2 ------------------------------------------------------------------------

@@ -6,8 +6,8 @@ node, bin); the driver picks every node's split from these sums, and leaf weight
 that differ in the rows they leave out (folds) grow together in the same sweeps. Margins stay with the rows; one bounded
 array of trees is all that moves to them. Every ``CHECKPOINT`` rounds the rows' lineage is cut in the shared folder.
 
-A missing value (NaN) has a bin of its own and goes to the side that gains more. Ties go to the first feature, then the
-lowest cut, then missing values to the right.
+A missing value (NaN) has a bin of its own and goes to the side that gains more. Ties go to missing values on the right, then
+to the first feature, then to the lowest cut.
 """
 
 from __future__ import annotations
@@ -158,32 +158,45 @@ def _histogram(rows: _Rows, splits: list[dict], bins: _Bins, level: int) -> np.n
     return out
 
 
+def _left_sums(v: np.ndarray, bins: _Bins) -> np.ndarray:
+    """For every slot the sum of its feature's slots up to it."""
+    running = np.cumsum(v, axis=1)
+    before = np.concatenate([np.zeros((len(v), 1)), running], axis=1)[:, bins.first[:-1]]
+    return running - np.repeat(before, bins.sizes, axis=1)
+
+
 def best_splits(g: np.ndarray, h: np.ndarray, bins: _Bins, s: BoostSettings) -> tuple[np.ndarray, ...]:
-    """For each row of histograms (node): gain, feature, cut (last bin on the left), side of missing values, and the
-    sums of the left side."""
-    n = len(g)
-    best = (np.full(n, LEAST_GAIN), np.full(n, -1), np.zeros(n, int), np.zeros(n, bool), np.zeros(n), np.zeros(n))
-    for f in range(len(bins.cuts)):
-        a, b = bins.first[f], bins.first[f + 1]
-        total_g, total_h = g[:, a:b].sum(axis=1), h[:, a:b].sum(axis=1)
-        whole = total_g ** 2 / (total_h + s.l2)
-        for missing_left in (False, True):
-            gl, hl = np.cumsum(g[:, a:b - 2], axis=1), np.cumsum(h[:, a:b - 2], axis=1)
-            if missing_left:
-                if not h[:, b - 1].any():
-                    continue
-                gl, hl = gl + g[:, [b - 1]], hl + h[:, [b - 1]]
-            if not gl.shape[1]:
-                continue
-            gr, hr = total_g[:, None] - gl, total_h[:, None] - hl
-            gain = (gl ** 2 / (hl + s.l2) + gr ** 2 / (hr + s.l2) - whole[:, None]) / 2
-            gain = np.where((hl >= s.min_child_hessian) & (hr >= s.min_child_hessian), gain, -np.inf)
-            at = gain.argmax(axis=1)
-            row = np.arange(n)
-            won = gain[row, at] > best[0] + 1e-12 * np.abs(best[0])
-            for out, value in zip(best, (gain[row, at], f, at, missing_left, gl[row, at], hl[row, at])):
-                out[won] = np.broadcast_to(value, n)[won]
-    return best
+    """For each row of histograms (node): feature (-1: none gains), cut (last bin on the left), side of missing values, and
+    the left side's sums."""
+    gl, hl = _left_sums(g, bins), _left_sums(h, bins)
+    whole = slice(0, int(bins.sizes[0]))
+    all_g, all_h = g[:, whole].sum(axis=1)[:, None], h[:, whole].sum(axis=1)[:, None]
+    missing = bins.first[1:] - 1
+    cuts = np.ones(bins.slots, bool)
+    cuts[missing] = cuts[missing - 1] = False  # nothing lies beyond a feature's last bin
+    best = None
+    for missing_left in (False, True):
+        if missing_left:
+            if not h[:, missing].any():
+                break
+            gl = gl + np.repeat(g[:, missing], bins.sizes, axis=1)
+            hl = hl + np.repeat(h[:, missing], bins.sizes, axis=1)
+        gr, hr = all_g - gl, all_h - hl
+        gain = (gl ** 2 / (hl + s.l2) + gr ** 2 / (hr + s.l2) - all_g ** 2 / (all_h + s.l2)) / 2
+        gain = np.where(cuts & (hl >= s.min_child_hessian) & (hr >= s.min_child_hessian), gain, -np.inf)
+        most = gain.max(axis=1)
+        near = np.where(np.isfinite(most), most - 1e-10 * np.abs(most), -np.inf)  # sums differ in their last digits
+        at = (gain >= near[:, None]).argmax(axis=1)
+        row = np.arange(len(g))
+        side = (most, at, np.full(len(g), missing_left), gl[row, at], hl[row, at])
+        if best is None:
+            best = side
+        else:
+            better = most > np.where(np.isfinite(best[0]), best[0] + 1e-10 * np.abs(best[0]), -np.inf)
+            best = tuple(np.where(better, new, old) for new, old in zip(side, best))
+    most, at, side, left_g, left_h = best
+    feature = np.searchsorted(bins.first, at, side="right") - 1
+    return np.where(most > LEAST_GAIN, feature, -1), at - bins.first[feature], side, left_g, left_h
 
 
 def _grow(state: RDD, bins: _Bins, s: BoostSettings, models: int) -> tuple[list[dict], list[Tree]]:
@@ -200,13 +213,13 @@ def _grow(state: RDD, bins: _Bins, s: BoostSettings, models: int) -> tuple[list[
             own = slice(0, int(bins.sizes[0]))  # the slots of one feature hold every row once
             sums[:, :, 0] = got[:, :, 0, own].sum(axis=2).T
         made = {"feature": np.full(shape, -1), "cut": np.zeros(shape, int), "missing_left": np.zeros(shape, bool)}
-        for m in range(models):
-            gain, f, c, side, left_g, left_h = best_splits(got[m, 0], got[m, 1], bins, s)
-            for node in np.flatnonzero(f >= 0):
-                at = first + node
-                made["feature"][m, at], made["cut"][m, at], made["missing_left"][m, at] = f[node], c[node], side[node]
-                left = np.array([left_g[node], left_h[node]])
-                sums[:, m, 2 * at + 1], sums[:, m, 2 * at + 2] = left, sums[:, m, at] - left
+        f, c, side, left_g, left_h = best_splits(got[:, 0].reshape(models * count, -1), got[:, 1].reshape(models * count, -1), bins, s)
+        m, node = np.divmod(np.flatnonzero(f >= 0), count)
+        won, at = m * count + node, first + node
+        for name, value in (("feature", f), ("cut", c), ("missing_left", side)):
+            made[name][m, at] = value[won]
+        left = np.stack([left_g[won], left_h[won]])
+        sums[:, m, 2 * at + 1], sums[:, m, 2 * at + 2] = left, sums[:, m, at] - left
         splits.append(made)
         feature, cut, missing_left = (np.where(made["feature"] >= 0, made[k], old) for k, old in
                                       (("feature", feature), ("cut", cut), ("missing_left", missing_left)))

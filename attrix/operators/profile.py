@@ -3,7 +3,8 @@
 Each profile is one ``agg`` over the table (one scan, partial aggregation
 map-side) whose single wide result row is reshaped with ``stack``/``unpivot``
 into long rows. Group-level reports use one ``groupBy`` after ``unpivot`` of
-the columns, instead of one pass per column.
+the columns, instead of one pass per column; quantiles, outliers, histograms,
+box statistics and duplicates are read off one ``ValueTable``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from .. import config as C
 from ..functions.columns import half_even_round
-from .ranks import dist_quantiles, join_null_safe
+from .value_table import value_table
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -71,59 +72,21 @@ def null_profile(df: DataFrame, nonzero_only: bool = True) -> DataFrame:
 
 # A5 ------------------------------------------------------------------------
 def blank_strings(df: DataFrame, col: str = "TotalCharges", by: str = "Tenure") -> DataFrame:
-    """Count of blank (whitespace-only) values and the distinct ``by`` values of those rows."""
-    blank = F.trim(F.col(col)) == ""
-    return df.agg(
-        F.count_if(blank).alias("blank_count"),
-        F.array_sort(F.collect_set(F.when(blank, F.col(by)))).alias(f"blank_{by.lower()}_values"),
-    )
+    """Blank (whitespace-only) values by the value of ``by`` in their rows."""
+    return df.where(F.trim(F.col(col)) == "").groupBy(by).agg(F.count(F.lit(1)).alias("blank_count"))
 
 
 # A6 / A7 -------------------------------------------------------------------
 def duplicate_report(df: DataFrame, key: str = C.KEY_COL) -> DataFrame:
-    """Duplicate keys and fully duplicate rows, both excluding the first occurrence.
-
-    Two aggregations over one scan: ``count(distinct key)`` and a
-    ``groupBy(all columns)`` count (shuffle on the row hash).
-    """
-    dup_rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("c")).agg(
-        F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint").alias("dup_rows")).first()["dup_rows"]
-    # a NULL key is a value of its own for "duplicated"
-    return df.agg(
-        (F.count(F.lit(1)) - F.count_distinct(F.col(key))
-         - F.when(F.count_if(F.col(key).isNull()) > 0, 1).otherwise(0)).cast("bigint").alias("duplicate_keys"),
-    ).select("duplicate_keys", F.lit(dup_rows).cast("bigint").alias("duplicate_rows"))
+    """Duplicate keys and fully duplicate rows, both excluding the first occurrence; a NULL key is a value of its own."""
+    return value_table(df, [key], rows=True).duplicates(key)
 
 
 # A8 ------------------------------------------------------------------------
-def _unpivoted(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., column, value) rows of the numeric columns ``cols``."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    return df.select(*keep, F.explode(pairs).alias("kv")).select(*keep, "kv.*")
-
-
-def _quartiles(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., column, q1, median, q3) by the distributed quantile kernel."""
-    keys = [*by, "column"]
-    q = dist_quantiles(_unpivoted(df, cols, by), [0.25, 0.5, 0.75], keys)
-    at = lambda p: F.max(F.when(F.col("prob") == p, F.col("quantile")))
-    return q.groupBy(*keys).agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
-
-
 def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (linear interpolation), max per numeric column."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    aggs: list[Column] = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
-                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-    long = _long(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max"])
-    full = long.join(_quartiles(df, cols), "column", "left").withColumnsRenamed({"q1": "p25", "median": "p50", "q3": "p75"})
-    return full.select(
-        "column", F.col("count").cast("bigint").alias("count"),
-        *[half_even_round(F.col(m), digits).alias(m) for m in ("mean", "std", "min", "p25", "p50", "p75", "max")],
-    )
+    return value_table(df, cols).describe(cols, digits)
 
 
 # A9 / A10 ------------------------------------------------------------------
@@ -152,20 +115,8 @@ def class_distribution(df: DataFrame, target: str = C.TARGET_COL) -> DataFrame:
 
 # A11 -----------------------------------------------------------------------
 def iqr_outliers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Q1, Q3, the 1.5 IQR fences and the number of values strictly outside them.
-
-    The fences (a row per column) are joined to value counts, which hold a
-    row per column and distinct value.
-    """
-    width = F.col("q3") - F.col("q1")
-    fences = _quartiles(df, cols).select(
-        "column", "q1", "q3", (F.col("q1") - 1.5 * width).alias("lower"), (F.col("q3") + 1.5 * width).alias("upper"))
-    counts = _unpivoted(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
-    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
-    found = counts.join(fences, "column").where(outside).groupBy("column").agg(F.sum("c").alias("outliers"))
-    return every.join(fences, "column", "left").join(found, "column", "left").select(
-        "column", "q1", "q3", "lower", "upper", F.coalesce("outliers", F.lit(0)).cast("bigint").alias("outliers"))
+    """Q1, Q3, the 1.5 IQR fences and the number of values strictly outside them."""
+    return value_table(df, cols).outliers(cols)
 
 
 # A12 / A13 -----------------------------------------------------------------
@@ -237,43 +188,19 @@ def key_insights(df: DataFrame, target: str = C.TARGET_COL, tenure: str = "Tenur
         F.min_by(F.col(group_col), F.struct(F.col("rate").alias("r"), F.col(group_col).alias("v"))).alias("lowest_group"),
         F.min("rate").alias("lowest_rate"),
     )
-    e = ext.first()
-    return overall.select("*", *[F.lit(e[k]).alias(k) for k in ext.columns])
+    return overall.crossJoin(ext)  # one row each
 
 
 # A17 -----------------------------------------------------------------------
 def class_histogram(df: DataFrame, col: str, target: str = C.TARGET_COL, bins: int = 30) -> DataFrame:
     """Equal-width histogram per class over that class's own min-max range."""
-    ranges = df.groupBy(target).agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
-    # counted first, so that the join back sees a row per class and value
-    counts = df.select(target, col).where(F.col(col).isNotNull()).groupBy(target, col).agg(F.count(F.lit(1)).alias("c"))
-    j = join_null_safe(counts, ranges, [target])
-    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col(col) - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-    return j.withColumn("bin", b).groupBy(target, "bin").agg(
-        F.sum("c").alias("count"),
-        F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-    ).select(target, "bin",
-             (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.lit(bins)).alias("bin_start"),
-             (F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / F.lit(bins)).alias("bin_end"),
-             "count")
+    return value_table(df, [col], target).class_histogram(col, bins).withColumnRenamed("class", target)
 
 
 # A18 -----------------------------------------------------------------------
 def box_stats(df: DataFrame, cols: Sequence[str], target: str = C.TARGET_COL) -> DataFrame:
     """Per class and column: Q1, median, Q3, whiskers (extreme values inside 1.5 IQR) and flier count."""
-    counts = _unpivoted(df, cols, [target]).where(F.col("value").isNotNull()).groupBy(target, "column", "value").agg(
-        F.count(F.lit(1)).alias("c"))
-    j = join_null_safe(counts, _quartiles(df, cols, [target]), [target, "column"])
-    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = (F.col("value") >= lo) & (F.col("value") <= hi)
-    return j.groupBy(target, "column", "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("c"))).alias("fliers"),
-    )
+    return value_table(df, cols, target).box_stats(cols).withColumnRenamed("class", target)
 
 
 # A19 / A20 -----------------------------------------------------------------

@@ -110,9 +110,14 @@ def dist_quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[str]
     prefix-summed as in ``cum_counts``; the two ranks that a quantile lies
     between are then read off. No group is collected into one task.
     """
-    by = list(by)
     v = values.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return quantiles_of_counts(v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), probs, by, "_v", "_c")
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str], value: str, count: str) -> DataFrame:
+    """``dist_quantiles`` of values that are counted already: one row per ``by`` and value."""
+    by = list(by)
+    counts = counts.select(*by, F.col(value).alias("_v"), F.col(count).alias("_c"))
     tagged = ranged(counts, by, [F.col("_v").asc()])
     # one row a range and group: sums of the ranges before, within the group
     parts = tagged.groupBy(*by, "_b").agg(F.sum("_c").alias("_n"))

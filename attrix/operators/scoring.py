@@ -8,13 +8,17 @@ aggregation (partial aggregation map-side).
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import config as C
 from ..functions import columns as X
+from ..schemas import SERVING
 from .models import LinearScorer
 from .prep import PrepParams
 
@@ -98,6 +102,28 @@ def score_records(df: DataFrame, bundle: ScoringBundle, key: str = C.KEY_COL) ->
     return scored.select(*bundle._cache[ck])
 
 
+_ARROW = {"string": pa.string(), "integer": pa.int32(), "double": pa.float64()}
+
+
+def local_records(spark: SparkSession, rows: Sequence[Sequence | Mapping], schema: StructType = SERVING) -> DataFrame:
+    """A handful of records (tuples in the schema's order, or mappings; absent fields are NULL) as a local relation.
+
+    The optimiser evaluates a projection of a local relation itself, so that collecting it starts no job.
+    """
+    names = [f.name for f in schema.fields]
+    tuples = [[r.get(n) for n in names] if isinstance(r, Mapping) else r for r in rows]
+    arrays = [pa.array([r[k] for r in tuples], _ARROW[f.dataType.typeName()]) for k, f in enumerate(schema.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names))
+
+
+def score_rows(spark: SparkSession, rows: Sequence[Sequence | Mapping], bundle: ScoringBundle, schema: StructType = SERVING) -> list[Row]:
+    """I4: response rows of one record or a request of a few, in their order, without a job.
+
+    For records that are in the caller's memory already; tables are scored by ``score_records``.
+    """
+    return score_records(local_records(spark, rows, schema), bundle).collect()
+
+
 def _response_columns(has_key: bool, threshold: float, key: str) -> list:
     kcol = F.col(key) if has_key else F.lit(None).cast("string")
     return [

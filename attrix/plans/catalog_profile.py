@@ -74,13 +74,9 @@ def a04(spark, sf_dir):
 
 # A5 ------------------------------------------------------------------------
 @register("a05_blank_strings", sql=W + """
-SELECT count(*) FILTER (WHERE trim(TotalCharges) = '') AS blank_count,
-       coalesce(array_to_string(list_sort(list_distinct(list(Tenure) FILTER (WHERE trim(TotalCharges) = ''))), ','), '')
-         AS blank_tenure_values
-FROM joined""")
+SELECT Tenure, count(*) AS blank_count FROM joined WHERE trim(TotalCharges) = '' GROUP BY Tenure""")
 def a05(spark, sf_dir):
-    r = A.blank_strings(common.joined(spark, sf_dir))
-    return r.select("blank_count", F.concat_ws(",", F.col("blank_tenure_values").cast("array<string>")).alias("blank_tenure_values"))
+    return A.blank_strings(common.joined(spark, sf_dir))
 
 
 # A6 / A7 -------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -40,8 +42,9 @@ def m08(spark, sf_dir):
 def m09(spark, sf_dir):
     """J2 + M9: CV summary left-joined with validation scores on ``model``; best by CV recall flagged."""
     data, _ = T.model_data(spark, sf_dir)
-    cv = T.cv_summary(spark, data)
-    val = T.validation_scores(spark, data).select("model", *[F.col(c).alias(f"val_{c}") for c in
+    with ThreadPoolExecutor(max_workers=2) as pool:  # folds and refits at once
+        cv, val = pool.submit(T.cv_summary, spark, data), pool.submit(T.validation_scores, spark, data)
+    cv, val = cv.result(), val.result().select("model", *[F.col(c).alias(f"val_{c}") for c in
                                                              ("recall", "roc_auc", "precision", "f1")])
     comp = cv.join(val, "model", "left")  # both sides: one row per model
     best = M.best_model(comp)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -191,6 +192,14 @@ def fitted_once(spark: SparkSession, data: DataFrame, name: str, settings, build
     Other data, splits, parameter sets or fits give another key, so a result is only read where the same fit on the
     same rows would be repeated.
     """
+    with _LOCKS.setdefault(name, threading.Lock()):  # threads that want the same fit wait for one
+        return _fitted_once(spark, data, name, settings, build)
+
+
+_LOCKS: dict[str, threading.Lock] = {}
+
+
+def _fitted_once(spark: SparkSession, data: DataFrame, name: str, settings, build):
     text = json.dumps([name, FIT_VERSION, settings, data_digest(data), C.RANDOM_STATE, C.N_FOLDS], sort_keys=True)
     base = shared_dir(spark).rstrip("/")
     path = f"{base}/fits/{name}-{hashlib.sha256(text.encode()).hexdigest()}"

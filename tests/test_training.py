@@ -133,9 +133,9 @@ def brute_tree(x, y, margin, weight, s, bins):
     def node(rows, depth):
         total, best = (g[rows].sum(), h[rows].sum()), (boosting.LEAST_GAIN, None)
         score = lambda a, b: a * a / (b + s.l2)
-        for f, cuts in enumerate(bins if depth < s.depth else []):
-            for c in cuts:
-                for missing_left in (False, True):
+        for missing_left in (False, True):
+            for f, cuts in enumerate(bins if depth < s.depth else []):
+                for c in cuts:
                     left = rows & np.where(np.isnan(x[:, f]), missing_left, x[:, f] < c)
                     right = rows & ~left
                     if min(h[left].sum(), h[right].sum()) < s.min_child_hessian:

@@ -2,13 +2,14 @@
 
 import json
 import os
-import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from attrix.operators import registry as R
 from attrix.session import scratch_path
+from attrix.storage import Storage
 
 
 def test_checksums_and_tamper(spark):
@@ -35,6 +36,65 @@ def test_checksums_survive_a_copy_of_a_dotted_version(spark):
     assert {r.status for r in R.verify(spark, moved, "v1.0.0").collect()} == {"ok"}
 
 
+def test_large_files_are_hashed_in_chunks(spark):
+    reg = scratch_path(spark, "reg-large")
+    os.makedirs(os.path.join(reg, "sub"))
+    for name, size in (("a.bin", 0), ("sub/b.bin", 1), ("c d.bin", 5000), ("é%.bin", 70_001)):
+        with open(os.path.join(reg, name), "wb") as fh:
+            fh.write(os.urandom(size))
+    whole = {(r.file, r["size"], r.sha256) for r in R.file_checksums(spark, reg).collect()}
+    assert len(whole) == 4
+    for limit in (0, 1000):
+        assert {(r.file, r["size"], r.sha256) for r in R.file_checksums(spark, reg, limit).collect()} == whole
+    assert R.streamed_sha256(f"file://{reg}/c d.bin", 999) in {s for _, _, s in whole}
+
+
+def test_versions_do_not_change_and_the_pointer_is_whole(spark):
+    reg = scratch_path(spark, "reg-writers")
+
+    def save(k):
+        try:
+            return R.save_version(spark, reg, f"v{k % 3}", None, json.dumps({"k": k}), k / 10, ["f"], f"model-{k}")
+        except Exception as e:  # noqa: BLE001
+            return e
+
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        done = list(pool.map(save, range(6)))  # two writers a version
+    won = {m["version"]: m for m in done if isinstance(m, dict)}
+    assert set(won) == {"v0", "v1", "v2"} and len([m for m in done if isinstance(m, dict)]) == 3
+    for version, manifest in won.items():
+        found, checks = R.load_verified(spark, reg, version)
+        assert found["model_name"] == manifest["model_name"] and {r.status for r in checks.collect()} == {"ok"}
+    assert R.latest_version(spark, reg).first()["latest"] in won
+    with pytest.raises(FileExistsError):
+        R.save_version(spark, reg, "v1", None, "{}", 0.1, ["f"], "again")
+    assert R.load_verified(spark, reg, "v1")[0]["model_name"] == won["v1"]["model_name"]
+    assert not [f for f in os.listdir(reg) if f.startswith("latest.json.") or f.endswith(".crc")]
+
+
+def test_an_unfinished_save_is_no_version(spark, monkeypatch):
+    reg = scratch_path(spark, "reg-cut")
+    R.save_version(spark, reg, "v1", None, "{}", 0.1, ["f"], "first")
+    monkeypatch.setattr(R, "file_checksums", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        R.save_version(spark, reg, "v2", None, "{}", 0.1, ["f"], "second")
+    monkeypatch.undo()
+    assert R.latest_version(spark, reg).first()["latest"] == "v1"
+    with pytest.raises(FileNotFoundError):
+        R.load_verified(spark, reg, "v2")
+
+
+def test_storage_moves(spark):
+    store, base = Storage(spark), scratch_path(spark, "storage")
+    store.write_text(f"{base}/a", "é1")
+    store.write_text(f"{base}/b", "2")
+    with pytest.raises(Exception):
+        store.move(f"{base}/a", f"{base}/b")
+    assert (store.read_text(f"{base}/a"), store.read_text(f"{base}/b")) == ("é1", "2")
+    store.move(f"{base}/a", f"{base}/b", replace=True)
+    assert store.read_text(f"{base}/b") == "é1" and not store.exists(f"{base}/a")
+
+
 def test_a_moved_trained_version_scores_alike(spark):
     import shutil
 

@@ -108,7 +108,7 @@ class ValueTable:
     # A13 -------------------------------------------------------------------
     def class_correlation(self, cols: Sequence[str]) -> DataFrame:
         """(column, r): Pearson r of each numeric column with the class, over rows that have both; NULL without spread."""
-        pairs = self.of(cols).where("number is not null and class is not null").select(
+        pairs = self.of(cols).where("number is not null and not isnan(number) and class is not null").select(
             "column", F.col("number").alias("x"), F.col("class").cast("double").alias("y"), F.col("n").cast("double").alias("n"))
         n, x, y = F.col("n"), F.col("x"), F.col("y")
         means = pairs.groupBy("column").agg((F.sum(x * n) / F.sum(n)).alias("mx"), (F.sum(y * n) / F.sum(n)).alias("my"))

@@ -115,3 +115,4 @@ from . import catalog_profile  # noqa: E402,F401
 from . import catalog_model  # noqa: E402,F401
 from . import catalog_training  # noqa: E402,F401
 from . import catalog_io  # noqa: E402,F401
+from . import catalog_dirty  # noqa: E402,F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,17 +66,41 @@ def load_joined(tables: Mapping[str, DataFrame], key: str = C.KEY_COL,
     return out
 
 
+def _multiplicities(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """One row per key with the number of rows each source has of it; one shuffle for all sources."""
+    parts = [t.select(F.col(key).alias("k"), *[F.lit(int(n == own)).alias(n) for n in tables]) for own, t in tables.items()]
+    every = reduce(DataFrame.unionAll, parts)
+    return every.groupBy("k").agg(*[F.sum(n).alias(n) for n in tables])  # partial sums: a hot key is a row a task
+
+
 def join_loss_audit(tables: Mapping[str, DataFrame], key: str = C.KEY_COL) -> DataFrame:
     """Per source, keys that the inner join would drop (present here, missing elsewhere)."""
+    return multiplicity_audit(tables, key).where("source is not null").select("source", "lost_keys")
+
+
+def multiplicity_audit(tables: Mapping[str, DataFrame], key: str = C.KEY_COL) -> DataFrame:
+    """What the inner join of all sources on ``key`` does to their rows, before it is run.
+
+    Per source: its rows, those without a key, keys that stand more than once, keys that another source lacks, rows that the join
+    loses, and rows of the join beyond one for each kept row. The row without a source name has the join's rows (``rows``)
+    and matched keys (``matched_keys``). Counts of rows are decimals: products of multiplicities have no bound of 64 bits.
+    """
     names = list(tables)
-    # one row per key with a bit per source that has it; one shuffle for all sources
-    bits = [tables[n].select(F.col(key).alias("k"), F.lit(1 << i).alias("bit")) for i, n in enumerate(names)]
-    every = bits[0]
-    for b in bits[1:]:
-        every = every.unionByName(b)
-    keys = every.where(F.col("k").isNotNull()).groupBy("k").agg(F.bit_or("bit").alias("bits"))
-    whole = (1 << len(names)) - 1
-    wide = keys.agg(*[F.count_if((F.col("bits") != whole) & (F.col("bits").bitwiseAND(1 << i) > 0)).alias(n)
-                      for i, n in enumerate(names)])
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("source"), F.col(n).alias("lost_keys")) for n in names])).alias("x")).select("x.*")
+    n = {s: F.col(s).cast("decimal(38,0)") for s in names}
+    joined = reduce(lambda a, b: (a * b).cast("decimal(38,0)"), n.values())
+    known, matched = F.col("k").isNotNull(), F.col("k").isNotNull() & reduce(lambda a, b: a & b, [F.col(s) > 0 for s in names])
+    total = lambda cond, what: F.coalesce(F.sum(F.when(cond, what)), F.lit(0)).cast("decimal(38,0)")
+    has = {s: known & (F.col(s) > 0) for s in names}
+    rows = [F.struct(
+        F.lit(s).alias("source"), total(F.lit(True), n[s]).alias("rows"), total(~known, n[s]).alias("null_key_rows"),
+        F.count_if(known & (F.col(s) > 1)).alias("repeated_keys"), F.count_if(has[s] & ~matched).alias("lost_keys"),
+        total(~matched, n[s]).alias("lost_rows"), total(matched, joined - n[s]).alias("fan_out_rows"),
+        F.count_if(matched).alias("matched_keys")) for s in names]
+    rows.append(F.struct(
+        F.lit(None).cast("string").alias("source"), total(matched, joined).alias("rows"), F.lit(0).cast("decimal(38,0)").alias("null_key_rows"),
+        F.count_if(matched & (joined > 1)).alias("repeated_keys"), F.lit(0).cast("long").alias("lost_keys"),
+        F.lit(0).cast("decimal(38,0)").alias("lost_rows"), F.lit(0).cast("decimal(38,0)").alias("fan_out_rows"),
+        F.count_if(matched).alias("matched_keys")))
+    cells = [r.alias(f"r{k}") for k, r in enumerate(rows)]
+    wide = _multiplicities(tables, key).agg(*cells)
+    return wide.select(F.explode(F.array(*[F.col(f"r{k}") for k in range(len(rows))])).alias("x")).select("x.*")

@@ -10,6 +10,7 @@ rows).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,15 +56,22 @@ def threshold_metrics(scored: DataFrame, threshold: float, y: str = "y", p: str
 
 
 # E9 / E11 kernel -------------------------------------------------------------
-def counts_at_thresholds(scored: DataFrame, thresholds: Sequence[float], y: str = "y", p: str = "p") -> DataFrame:
-    """(idx, threshold, tn, fp, fn, tp) for every threshold from one pass over the rows."""
-    ths = sorted(float(t) for t in thresholds)
+def counts_at_thresholds(scored: DataFrame, thresholds: Sequence[float | Column], y: str = "y", p: str = "p") -> DataFrame:
+    """(idx, threshold, tn, fp, fn, tp) for every threshold from one pass over the rows.
+
+    Thresholds that are columns must be constants, such as scalar subqueries; an equal one is listed once.
+    """
     spark = scored.sparkSession
-    arr = F.array(*[F.lit(t) for t in ths])
-    passed = F.size(F.filter(arr, lambda t: t <= F.col(p)))  # thresholds t with p >= t
+    fixed = all(not isinstance(t, Column) for t in thresholds)
+    ths = [t if isinstance(t, Column) else F.lit(float(t)) for t in (sorted(thresholds) if fixed else thresholds)]
+    arr = F.sort_array(F.array(*ths))
+    # thresholds t with p >= t; subqueries can't stand in a lambda
+    passed = F.size(F.filter(arr, lambda t: t <= F.col(p))) if fixed else reduce(lambda a, b: a + b, [
+        F.when(F.col(p) >= t, 1).otherwise(0) for t in ths])
     buckets = scored.select(passed.alias("k"), (F.col(y) == 1).cast("int").alias("pos")).groupBy("k").agg(
         F.sum("pos").cast("bigint").alias("bp"), F.count(F.lit(1)).alias("bn_all"))
-    full = spark.range(len(ths) + 1).select(F.col("id").cast("int").alias("k"))
+    one = spark.range(1)
+    full = one.select(F.explode(F.sequence(F.lit(0), F.size(arr))).alias("k"))
     # len(thresholds)+1 rows: the unpartitioned windows run on a bounded table
     w = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wa = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -72,8 +80,9 @@ def counts_at_thresholds(scored: DataFrame, thresholds: Sequence[float], y: str
                    (F.coalesce("bn_all", F.lit(0)) - F.coalesce("bp", F.lit(0))).alias("bn"))
            .select("k", F.sum("bp").over(w).alias("tp_ge"), F.sum("bn").over(w).alias("fp_ge"),
                    F.sum("bp").over(wa).alias("P"), F.sum("bn").over(wa).alias("N")))
-    th_df = spark.createDataFrame([(i, t) for i, t in enumerate(ths)], "idx int, threshold double")
+    th_df = one.select(F.posexplode(arr).alias("idx", "threshold"))
     j = th_df.join(F.broadcast(suf), th_df.idx + 1 == suf.k)
+    j = j if fixed else j.dropDuplicates(["threshold"])  # equal thresholds have equal counts
     return j.select(
         "idx", "threshold",
         (F.col("N") - F.col("fp_ge")).cast("bigint").alias("tn"), F.col("fp_ge").cast("bigint").alias("fp"),
@@ -115,9 +124,8 @@ def pick_threshold(sweep: DataFrame, min_recall: float = C.MIN_RECALL, min_preci
 # E3 - E8 -------------------------------------------------------------------
 def curve_table(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Cumulative table per distinct score, descending, with totals P and N."""
-    cc = cum_counts(scored, p, y)
-    tot = scored.agg(F.count_if(F.col(y) == 1).alias("P"), F.count_if(F.col(y) != 1).alias("N")).first()
-    return cc.select("*", F.lit(int(tot["P"])).alias("P"), F.lit(int(tot["N"])).alias("N"))
+    return cum_counts(scored, p, y).crossJoin(  # one row
+        scored.agg(F.count_if(F.col(y) == 1).alias("P"), F.count_if(F.col(y) != 1).alias("N")))
 
 
 def roc_auc(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -160,10 +168,8 @@ def probability_scores(scored: DataFrame, y: str = "y", p: str = "p") -> DataFra
         F.avg((F.col(p) - yy) * (F.col(p) - yy)).alias("brier_score"),
         F.avg(-(yy * F.log(pc) + (F.lit(1.0) - yy) * F.log(F.lit(1.0) - pc))).alias("log_loss"),
     )
-    auc = roc_auc(scored, y, p).first()["roc_auc"]
-    pr = pr_auc(scored, y, p).first()["pr_auc"]
-    return other.select("n", F.lit(auc).cast("double").alias("roc_auc"), F.lit(pr).cast("double").alias("pr_auc"),
-                        "brier_score", "log_loss")
+    return other.crossJoin(roc_auc(scored, y, p)).crossJoin(pr_auc(scored, y, p)).select(  # one row each
+        "n", "roc_auc", "pr_auc", "brier_score", "log_loss")
 
 
 def roc_curve(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -182,21 +188,19 @@ def pr_curve(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 
 # E11 / E12 / E13 -------------------------------------------------------------
-def candidate_thresholds(tuned: float | None = None, base: Sequence[float] = C.CANDIDATE_THRESHOLDS) -> list[float]:
-    s = set(float(t) for t in base)
-    if tuned is not None:
-        s.add(float(tuned))
-    return sorted(s)
+def candidate_thresholds(tuned: float | Column | None = None, base: Sequence[float] = C.CANDIDATE_THRESHOLDS) -> list[float | Column]:
+    s = sorted(set(float(t) for t in base))
+    if isinstance(tuned, Column):
+        return [*s, tuned]
+    return s if tuned is None else sorted({*s, float(tuned)})
 
 
-def threshold_comparison(scored: DataFrame, thresholds: Sequence[float], y: str = "y", p: str = "p",
+def threshold_comparison(scored: DataFrame, thresholds: Sequence[float | Column], y: str = "y", p: str = "p",
                          costs: C.Costs = C.Costs(), kpi: dict = C.KPI_TARGETS) -> DataFrame:
     """E11 + E12 + B2 per candidate threshold (one pass over rows for all thresholds)."""
-    cc = counts_at_thresholds(scored, thresholds, y, p)
-    auc = roc_auc(scored, y, p).first()["roc_auc"]
+    cc = counts_at_thresholds(scored, thresholds, y, p).crossJoin(roc_auc(scored, y, p))  # one row
     r = rates_from_counts(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"))
-    m = cc.select("idx", "threshold", "tn", "fp", "fn", "tp", *[v.alias(k) for k, v in r.items()],
-                  F.lit(auc).cast("double").alias("roc_auc"))
+    m = cc.select("idx", "threshold", "tn", "fp", "fn", "tp", *[v.alias(k) for k, v in r.items()], "roc_auc")
     m = m.withColumns({
         "recall_pass": F.col("recall") >= kpi["recall"],
         "roc_auc_pass": F.coalesce(F.col("roc_auc") >= kpi["roc_auc"], F.lit(False)),
@@ -234,13 +238,13 @@ def recommend_threshold(comparison: DataFrame) -> DataFrame:
 
 
 # E14 / E15 -----------------------------------------------------------------
-def subgroup_fairness(scored: DataFrame, threshold: float, cols: Sequence[str] = C.FAIRNESS_COLS,
+def subgroup_fairness(scored: DataFrame, threshold: float | Column, cols: Sequence[str] = C.FAIRNESS_COLS,
                       y: str = "y", p: str = "p") -> DataFrame:
     """Per (attribute, value): size, actual rate, selection rate, recall, precision, F1.
 
     The attributes are unpivoted and counted in one ``groupBy``.
     """
-    pred = (F.col(p) >= F.lit(float(threshold))).cast("int")
+    pred = (F.col(p) >= (threshold if isinstance(threshold, Column) else F.lit(float(threshold)))).cast("int")
     long = scored.select(F.col(y).alias("_y"), pred.alias("_pred"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("subgroup_category"), F.col(c).cast("string").alias("subgroup_value")) for c in cols
     ])).alias("g")).select("g.*", "_y", "_pred")
@@ -291,5 +295,21 @@ def assessment_flags(metrics_row: DataFrame, fp_share_limit: float = C.FP_SHARE_
 # E18 -----------------------------------------------------------------------
 def reproducibility(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a`` missing in ``b`` and vice versa (multiset difference); both 0 = identical."""
-    return a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_in_first")).select(
-        "only_in_first", F.lit(b.exceptAll(a).count()).cast("bigint").alias("only_in_second"))
+    missing = lambda x, y, name: x.exceptAll(y).agg(F.count(F.lit(1)).alias(name))
+    return missing(a, b, "only_in_first").crossJoin(missing(b, a, "only_in_second"))  # one row each
+
+
+#: Modulus of the row hashes' sums: a prime below 2 ** 61, so that a sum of two fits 64 bits.
+DIGEST_PRIME = 2305843009213693921
+
+
+def multiset_digest(df: DataFrame, row_text: Column, out: str = "digest") -> DataFrame:
+    """One row: the number of rows and an order-independent digest of ``row_text`` over them.
+
+    Each row's text is hashed to two numbers of 60 bits, which are summed; equal multisets of rows give equal digests
+    however they are partitioned, and a row more, less or changed gives another one. Partial sums make it one row a task.
+    """
+    half = lambda k: F.conv(F.substring(F.md5(row_text), k, 15), 16, 10).cast("decimal(38,0)")
+    sums = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(F.sum(half(k)), F.lit(0)).alias(f"s{k}") for k in (1, 16)])
+    parts = [(F.col(f"s{k}") % F.lit(DIGEST_PRIME).cast("decimal(38,0)")).cast("bigint").cast("string") for k in (1, 16)]
+    return sums.select("n_rows", F.concat_ws("-", *parts).alias(out))

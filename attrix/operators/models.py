@@ -84,20 +84,27 @@ def mean(values: Sequence[float | None]) -> float | None:
     return sum(known) / len(known) if known else None
 
 
-def summarize_cv(spark, rows_by_model: Mapping[str, list[dict]]) -> DataFrame:
-    """M7: mean and population std per model and metric."""
-    flat = [(m, int(r["fold"]), float(r["recall"]), optional(r["roc_auc"]), float(r["precision"]), float(r["f1"]))
-            for m, rows in rows_by_model.items() for r in rows]
-    df = spark.createDataFrame(flat, "model string, fold int, recall double, roc_auc double, precision double, f1 double")
+def summarize_folds(folds: DataFrame) -> DataFrame:
+    """M7: mean and population std per model and metric; an undefined AUC is left out."""
     aggs = []
     for c in ("recall", "roc_auc", "precision", "f1"):
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std")]
-    return df.groupBy("model").agg(*aggs)
+    return folds.groupBy("model").agg(*aggs)
+
+
+def summarize_cv(spark, rows_by_model: Mapping[str, list[dict]]) -> DataFrame:
+    """M7 of scores that the driver holds."""
+    flat = [(m, int(r["fold"]), float(r["recall"]), optional(r["roc_auc"]), float(r["precision"]), float(r["f1"]))
+            for m, rows in rows_by_model.items() for r in rows]
+    return summarize_folds(spark.createDataFrame(flat, "model string, fold int, recall double, roc_auc double, precision double, f1 double"))
 
 
-def best_model(comparison: DataFrame, metric: str = "recall_mean") -> str:
-    """M9: model with the highest CV metric (first by name on ties)."""
-    return comparison.orderBy(F.col(metric).desc(), F.col("model")).first()["model"]
+def model_comparison(cv: DataFrame, validation: DataFrame, metric: str = "recall_mean") -> DataFrame:
+    """J2 + M9: CV summary left-joined with validation scores; the model of the highest ``metric`` (first by name) is flagged."""
+    val = validation.select("model", *[F.col(c).alias(f"val_{c}") for c in ("recall", "roc_auc", "precision", "f1")])
+    comp = cv.join(val, "model", "left")  # both sides: one row per model
+    best = cv.orderBy(F.col(metric).desc_nulls_last(), F.col("model")).limit(1).select("model").scalar()
+    return comp.withColumn("best_by_cv_recall", F.col("model") == best)
 
 
 # M10 / M11 / M12 -------------------------------------------------------------

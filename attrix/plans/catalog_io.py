@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ..functions import columns as X
 from ..operators import evaluate as E
 from ..operators import registry as R
 from ..operators import scoring as I
+from ..operators.models import FIXED_MODEL
 from ..session import scratch_path
 from ..sources.customer import join_loss_audit, load_joined, rename_columns, source_tables, split_sources
 from ..sources.sinks import write_csv, write_feature_matrix
@@ -21,7 +24,8 @@ from ..sqlcheck.parts import bucket_sql, binmap, fe_ctes, joined_ctes, split_cte
 from ..sqlcheck.snapshot_sql import snapshot_ctes
 from . import common
 from .catalog import register
-from .catalog_model import _bundle_and_records, _serving_sql
+from .catalog_model import REC, TEST, VAL, _REC_FAIR, _bundle_and_records, _comparison_sql, _names_sql, _pick_sql, _serving_sql
+from .catalog_model import WFE as WFIT
 
 W = with_ctes(joined_ctes())
 WFE = with_ctes(joined_ctes(), fe_ctes("cleaned", "(SELECT median(TotalCharges) FROM cleaned)"))
@@ -349,9 +353,22 @@ def r02(spark, sf_dir):
                                                           F.explode("checksums").alias("file", "sha256"))
 
 
-@register("r03_latest_pointer")
+def _save_fixed(spark, sf_dir, *versions):
+    """The fixed model over the fitted parameters, saved under each of ``versions`` in turn."""
+    _, bundle = common.fitted(spark, sf_dir)
+    reg = scratch_path(spark, "registry")
+    for version in versions:
+        R.save_version(spark, reg, version, None, bundle.params.to_json(), bundle.threshold, [n for _, n, _ in bundle.params.feature_names()],
+                       "fixed_model", bundle.total_charges_median, bundle.scorer)
+    return reg
+
+
+@register("r03_latest_pointer", sql=with_ctes(joined_ctes(), split_ctes()) + """
+SELECT 'v1.' || count(*) FILTER (WHERE split = 'train') || '.' || count(*) FILTER (WHERE split = 'val') AS latest FROM with_folds""")
 def r03(spark, sf_dir):
-    reg = _saved_version(spark, sf_dir)
+    """Of two versions, named by the rows of their splits, the pointer has the one saved last."""
+    n = {r["split"]: r["count"] for r in common.split_table(spark, sf_dir).groupBy("split").count().collect()}
+    reg = _save_fixed(spark, sf_dir, f"v0.{n['val']}.{n['test']}", f"v1.{n['train']}.{n['val']}")
     return R.latest_version(spark, reg)
 
 
@@ -379,11 +396,67 @@ def r06(spark, sf_dir):
     return I.score_records(recs, R.load_bundle(spark, reg))
 
 
+_FIXED_SCORER = hashlib.sha256(json.dumps({"intercept": FIXED_MODEL.intercept, "weights": FIXED_MODEL.weights}).encode()).hexdigest()
+
+
+@register("r07_fixed_manifest", sql=WFIT + f""",
+names AS (SELECT * FROM ({_names_sql()})),
+model AS (SELECT 'fixed_model' AS model_name, 'v2.0.0' AS version, {ES.dl(C.DEPLOYED_THRESHOLD)} AS threshold,
+  CAST((SELECT count(*) FROM names) AS INTEGER) AS n_features)
+SELECT model.*, 'feature_names.json' AS file,
+  sha256('["' || (SELECT string_agg(name, '", "' ORDER BY idx) FROM names) || '"]') AS sha256 FROM model
+UNION ALL
+SELECT model.*, 'threshold.json', sha256('{{"threshold": {C.DEPLOYED_THRESHOLD!r}, "total_charges_median": '
+  || (SELECT CAST(median(TotalCharges) AS VARCHAR) FROM with_folds WHERE split = 'train') || '}}') FROM model
+UNION ALL
+SELECT model.*, 'scorer.json', '{_FIXED_SCORER}' FROM model""", doubles=("threshold",))
+def r07(spark, sf_dir):
+    """R2: the manifest of the fixed model; all files but the fitted parameters, whose digits SQL can't write."""
+    reg = _save_fixed(spark, sf_dir, "v2.0.0")
+    return R.manifest_frame(spark, reg, "v2.0.0").select(
+        "model_name", "version", "threshold", "n_features", F.explode("checksums").alias("file", "sha256")).where("file <> 'prep_params.json'")
+
+
+@register("r08_fixed_model_info", sql=WFIT + f"""
+SELECT 'fixed_model' AS model_name, 'v2.0.0' AS version, 'LinearScorer' AS model_class, {ES.dl(C.DEPLOYED_THRESHOLD)} AS threshold,
+  CAST(count(*) AS INTEGER) AS n_features, CAST(4 AS INTEGER) AS n_artifacts FROM ({_names_sql()})""", doubles=("threshold",))
+def r08(spark, sf_dir):
+    """The information record of the fixed model's version."""
+    reg = _save_fixed(spark, sf_dir, "v2.0.0")
+    return R.model_info(spark, reg, "v2.0.0").select("model_name", "version", "model_class", "threshold", "n_features", "n_artifacts")
+
+
 # E17 -----------------------------------------------------------------------
-@register("e17_evaluation_report")
+def _report_sql() -> str:
+    """The report's rows from separate queries over the scored test rows."""
+    def section(name: str, item: str, metrics: dict[str, str], source: str) -> list[str]:
+        return [f"SELECT '{name}' AS section, CAST({item} AS VARCHAR) AS item, '{m}' AS metric, CAST({e} AS DOUBLE) AS value FROM {source}"
+                for m, e in metrics.items()]
+
+    same = lambda *names: {n: n for n in names}
+    pct = "CAST(round(threshold * 100) AS INTEGER)"
+    clipped = f"least(greatest(p, {ES.dl(E.EPS)}), {ES.dl(1 - E.EPS)})"
+    pr = f"""(SELECT sum(CAST(pos AS DOUBLE) / P * (CAST(tp AS DOUBLE) / (tp + fp) + CASE WHEN tp - pos + fp - neg = 0 THEN CAST(1 AS DOUBLE)
+  ELSE CAST(tp - pos AS DOUBLE) / (tp - pos + fp - neg) END) / 2) FROM {ES.curve_sql(TEST)})"""
+    head = {"test_samples": "count(*)", "churn_count": "sum(y)", "churn_rate": "avg(CAST(y AS DOUBLE))", "roc_auc": ES.auc_sql(TEST), "pr_auc": pr,
+            "brier_score": "avg((p - y) * (p - y))", "log_loss": f"avg(-(y * ln({clipped}) + (1 - y) * ln(1 - {clipped})))",
+            "optimal_threshold": f"(SELECT threshold FROM ({_pick_sql(VAL)}))", "recommended_threshold": "(SELECT threshold FROM rec)"}
+    return REC + "\n" + "\nUNION ALL\n".join([
+        *section("headline", "''", {k: v for k, v in head.items() if not v.startswith("(SELECT")}, TEST),
+        *section("headline", "''", {k: v for k, v in head.items() if v.startswith("(SELECT")}, "(SELECT 1)"),
+        *section("threshold", pct, same("recall", "precision", "f1", "net_savings", "kpi_passes"), f"({_comparison_sql()})"),
+        *section("fairness", "subgroup_category || '=' || subgroup_value", same("sample_size", "recall", "selection_rate"), f"({_REC_FAIR})"),
+        *section("disparity", "subgroup_category", {"recall_range": "max(recall) - min(recall)",
+                                                     "selection_range": "max(selection_rate) - min(selection_rate)"},
+                 f"({_REC_FAIR}) GROUP BY subgroup_category") ,
+        *section("assessment", pct, {"fp_share_pct": "CASE WHEN fp + tp > 0 THEN CAST(fp AS DOUBLE) / (fp + tp) * 100 END"}, "rec")])
+
+
+@register("e17_evaluation_report", sql=_report_sql(), doubles=("value",))
 def e17(spark, sf_dir):
-    from .evaluation import evaluation_report
-    return evaluation_report(spark, sf_dir)
+    """The nested report of one plan, read out of its JSON."""
+    from .evaluation import evaluation_report, report_rows
+    return report_rows(evaluation_report(spark, sf_dir).select("report_json"))
 
 
 # I6 / I7 -------------------------------------------------------------------
@@ -415,17 +488,13 @@ def i07(spark, sf_dir):
                  F.sum("predicted_churn_count").cast("bigint").alias("predicted_churn_count"))
 
 
-@register("s06_json_report_sink")
+@register("s06_json_report_sink", sql=_report_sql(), doubles=("value",))
 def s06(spark, sf_dir):
     """S6 + S7: the evaluation report written as JSON and read back with a fixed schema."""
     from ..sources.sinks import write_json_report
-    from .evaluation import evaluation_report
-    rep = evaluation_report(spark, sf_dir)
-    path = write_json_report(rep.select("report_json"), scratch_path(spark, "report"))
-    return spark.read.schema("report_json string").json(path).select(
-        F.get_json_object("report_json", "$.test_samples").cast("double").alias("test_samples"),
-        F.get_json_object("report_json", "$.roc_auc").cast("double").alias("roc_auc"),
-        F.get_json_object("report_json", "$.recommended_threshold").cast("double").alias("recommended_threshold"))
+    from .evaluation import evaluation_report, report_rows
+    path = write_json_report(evaluation_report(spark, sf_dir).select("report_json"), scratch_path(spark, "report"))
+    return report_rows(spark.read.schema("report_json string").json(path))
 
 
 # Dedicated checks for ids otherwise exercised inside other queries -------------

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -300,7 +303,7 @@ def _comparison(spark, sf_dir):
     scored = common.scored_splits(spark, sf_dir)
     val = scored.where(F.col("split") == "val")
     test = scored.where(F.col("split") == "test")
-    tuned = E.pick_threshold(E.threshold_sweep(val)).first()["threshold"]
+    tuned = E.pick_threshold(E.threshold_sweep(val)).select("threshold").scalar()
     return E.threshold_comparison(test, E.candidate_thresholds(tuned))
 
 
@@ -378,6 +381,7 @@ def e16(spark, sf_dir):
 
 
 # the same at the recommended threshold instead of the deployed one
+#: The recommended candidate and the report's parts at it.
 REC = WSC + f""",
 rec AS (SELECT * FROM ({_comparison_sql()}) ORDER BY kpi_passes DESC, net_savings DESC, threshold LIMIT 1)"""
 _REC_FAIR = _fair_sql("r.t", "scored CROSS JOIN (SELECT threshold AS t FROM rec) AS r")
@@ -387,9 +391,9 @@ def _recommended(spark, sf_dir):
     """Scored test rows, the candidates' comparison and the recommended one of them."""
     scored = common.scored_splits(spark, sf_dir)
     test = scored.where(F.col("split") == "test")
-    tuned = E.pick_threshold(E.threshold_sweep(scored.where(F.col("split") == "val"))).first()["threshold"]
+    tuned = E.pick_threshold(E.threshold_sweep(scored.where(F.col("split") == "val"))).select("threshold").scalar()
     comparison = E.threshold_comparison(test, E.candidate_thresholds(tuned))
-    return test, comparison, E.recommend_threshold(comparison).first()["recommended_threshold"]
+    return test, comparison, E.recommend_threshold(comparison).select("recommended_threshold").scalar()
 
 
 @register("e19_recommended_fairness", sql=REC + "\n" + _REC_FAIR,
@@ -422,18 +426,6 @@ def e21(spark, sf_dir):
     return E.assessment_flags(comparison.where(F.col("threshold") == th))
 
 
-@register("e18_reproducibility", sql=WSC + f"""
-SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS only_in_first, CAST(0 AS BIGINT) AS only_in_second,
-  count(*) FILTER (WHERE p >= {ES.dl(DT)}) AS n_positive FROM scored""")
-def e18(spark, sf_dir):
-    """Two fits and scorings of one snapshot, compared row by row; with totals that depend on the scores."""
-    raw = snapshot_table(spark, sf_dir)
-    a, b = (I.score_records(common.serving_records(spark, sf_dir, raw), common.fitted(spark, sf_dir, raw)[1])
-            for _ in range(2))
-    totals = a.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("churn_prediction") == 1).alias("n_positive"))
-    return totals.crossJoin(E.reproducibility(a, b))  # one row each
-
-
 # B1 / B2 -------------------------------------------------------------------
 @register("b01_net_savings", sql=WSC + f"""
 SELECT threshold, tp, fp, {ES.net_sql()} AS net_savings FROM ({ES.counts_sql(TEST, ES.values_table([DT]))})""",
@@ -549,3 +541,26 @@ def p08(spark, sf_dir):
     bundle, recs = _bundle_and_records(spark, sf_dir)
     # top-k report: the limit is the feature (TakeOrderedAndProject, k rows per task)
     return I.score_records(recs, bundle).orderBy(F.col("churn_probability").desc(), F.col("customer_id")).limit(20)
+
+
+# E18 -----------------------------------------------------------------------
+_ROW_TEXT = ("concat_ws('|', customer_id, CAST(CAST(round(churn_probability * 10000) AS BIGINT) AS VARCHAR), "
+             "CAST(churn_prediction AS VARCHAR), risk_tier)")
+_DIGEST = "-".join("' || CAST(CAST(sum(('0x' || substr(md5({t}), {k}, 15))::HUGEINT) % {p} AS BIGINT) AS VARCHAR) || '".format(
+    t=_ROW_TEXT, k=k, p=E.DIGEST_PRIME) for k in (1, 16))
+
+
+@register("e18_reproducibility", sql=_serving_sql() + f"""
+SELECT count(*) AS n_rows, '{_DIGEST}' AS first_digest, '{_DIGEST}' AS second_digest, CAST(0 AS BIGINT) AS only_in_first,
+  CAST(0 AS BIGINT) AS only_in_second, count(*) FILTER (WHERE churn_prediction = 1) AS n_positive FROM responses""")
+def e18(spark, sf_dir):
+    """Two fits and scorings of one snapshot under different partitionings: digests, row differences and totals."""
+    raw = snapshot_table(spark, sf_dir)
+    a = I.score_records(common.serving_records(spark, sf_dir, raw), common.fitted(spark, sf_dir, raw)[1])
+    dealt = raw.repartition(13, F.rand(7))
+    b = I.score_records(common.serving_records(spark, sf_dir, dealt), common.fitted(spark, sf_dir, dealt)[1])
+    text = F.concat_ws("|", "customer_id", F.round(F.col("churn_probability") * 10000).cast("bigint").cast("string"),
+                       F.col("churn_prediction").cast("string"), "risk_tier")
+    totals = a.agg(F.count_if(F.col("churn_prediction") == 1).alias("n_positive"))
+    return reduce(DataFrame.crossJoin, [E.multiset_digest(a, text, "first_digest"), E.multiset_digest(b, text, "second_digest").drop("n_rows"),
+                                        totals, E.reproducibility(a, b)])  # one row each

@@ -239,3 +239,32 @@ def test_tuning_has_four_stages(spark, data, monkeypatch):
         assert aucs == pytest.approx([by_fold[0], by_fold[1]])
         assert found["mean_roc_auc"] == pytest.approx(np.mean(list(by_fold.values())))
         assert found["std_roc_auc"] == pytest.approx(np.std(list(by_fold.values())))
+
+
+def test_digests_tell_multisets_apart(spark):
+    rows = [(k % 7, f"r{k % 5}") for k in range(60)]
+    make = lambda r, n: spark.createDataFrame(r, "a int, b string").repartition(n)
+    digest = lambda df: tuple(E.multiset_digest(df, F.concat_ws("|", F.col("a").cast("string"), "b")).first())
+    base = digest(make(rows, 1))
+    assert base == digest(make(rows[::-1], 7)) and base[0] == 60
+    others = [rows[1:], rows + rows[:1], [(9, "r0"), *rows[1:]], [rows[1], *rows[1:]]]
+    assert len({base, *[digest(make(r, 3)) for r in others]}) == 5
+    assert digest(make(rows, 1).where("false"))[0] == 0
+
+
+def test_thresholds_can_be_subqueries(spark):
+    scored = spark.createDataFrame([(k % 2, k / 20) for k in range(21)], "y int, p double")
+    picked = spark.createDataFrame([(0.35,)], "t double").select("t").scalar()
+    want = {r.threshold: tuple(r)[2:] for r in E.counts_at_thresholds(scored, [0.35, 0.5, 0.1]).collect()}
+    for given in ([picked, 0.5, 0.1], [0.1, 0.35, 0.5, picked]):
+        assert {r.threshold: tuple(r)[2:] for r in E.counts_at_thresholds(scored, given).collect()} == want
+
+
+def test_the_report_is_one_plan(spark):
+    from attrix.plans import common, evaluation
+
+    scored = common.scored_splits(spark, "/root/testdata/sf0.001")
+    head, parts = evaluation.report_parts(scored)
+    assert "subquery" in parts["subgroup_fairness"]._jdf.queryExecution().optimizedPlan().toString().lower()
+    row = head.first()
+    assert row.recommended_threshold in {r.threshold for r in parts["threshold_comparison"].collect()}

@@ -1,8 +1,8 @@
 """Fitted transforms (F1-F8): fit on the training rows, apply anywhere.
 
-``fit_prep`` runs ONE aggregation over the training rows (partial
-aggregation map-side; result is O(number of columns + categories)) and
-returns plain parameters. ``apply_prep`` is a narrow projection: the feature
+``fit_prep`` runs one aggregation over the training rows (partial
+aggregation map-side; result is O(number of columns)) and reads a bounded number of
+categories; it returns plain parameters. ``apply_prep`` is a narrow projection: the feature
 vector is an ``array<double>`` of built-in expressions (codegen, no shuffle),
 converted to an ML vector only where a Spark ML estimator needs one.
 
@@ -24,6 +24,10 @@ from .. import config as C
 from .ranks import dist_mode, dist_quantiles
 
 
+#: Each category becomes an expression of the transform and a name in the parameters; beyond this use ``dictionary``.
+LITERAL_CATEGORIES = 10_000
+
+
 @dataclass
 class PrepParams:
     numeric_cols: list[str]
@@ -82,19 +86,32 @@ def fit_prep(train: DataFrame, cfg: C.FeatureConfig = C.FE_CONFIG, impute: bool
     row = src.agg(
         *[F.avg(F.col(c).cast("double")).alias(f"mu__{c}") for c in num],
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"sd__{c}") for c in num],
-        # distinct categories per column: bounded by the column's cardinality
-        *[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"cats__{c}") for c in cat],
+        F.count(F.lit(1)).alias("n"),
     ).first()
     return PrepParams(
         numeric_cols=num, categorical_cols=cat, binary_cols=bins,
         medians=medians, modes=modes,
         means={c: row[f"mu__{c}"] for c in num},
         stds={c: row[f"sd__{c}"] for c in num},
-        categories={c: list(row[f"cats__{c}"] or []) for c in cat},
+        categories=_categories(src, cat),
         impute=impute,
     )
 
 
+def _categories(src: DataFrame, cols: list[str]) -> dict[str, list[str]]:
+    """Sorted categories of each column, of which there may be ``LITERAL_CATEGORIES`` in all."""
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    if cols:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
+        found = src.select(F.explode(cells).alias("x")).select("x.*").where(F.col("value").isNotNull()).distinct()
+        rows = found.limit(LITERAL_CATEGORIES + 1).collect()
+        if len(rows) > LITERAL_CATEGORIES:
+            raise ValueError(f"over {LITERAL_CATEGORIES} categories: encode them with operators.dictionary")
+        for r in rows:
+            out[r["column"]].append(r["value"])
+    return {c: sorted(v) for c, v in out.items()}
+
+
 def feature_exprs(p: PrepParams) -> list[Column]:
     """The output columns of the column transformer, in order, as double expressions."""
     out: list[Column] = []

@@ -20,7 +20,7 @@ from ..sources.customer import join_loss_audit, load_joined, rename_columns, sou
 from ..sources.sinks import write_csv, write_feature_matrix
 from ..sources.tables import read_source, read_splits
 from ..sqlcheck import eval_sql as ES
-from ..sqlcheck.parts import bucket_sql, binmap, fe_ctes, joined_ctes, split_ctes, total_services_sql, with_ctes
+from ..sqlcheck.parts import bucket_sql, binmap, fe_ctes, hash_sql, joined_ctes, split_ctes, total_services_sql, with_ctes
 from ..sqlcheck.snapshot_sql import snapshot_ctes
 from . import common
 from .catalog import register
@@ -464,8 +464,8 @@ def _run_stream(spark, sf_dir):
     from ..streaming.scoring_stream import start_scoring_stream
     bundle, recs = _bundle_and_records(spark, sf_dir)
     landing = scratch_path(spark, "landing")
-    # several files arrive in the landing folder (hash-spread)
-    recs.repartition(4, F.col(C.KEY_COL)).write.mode("overwrite").parquet(landing)
+    # several files arrive in the landing folder
+    recs.repartition(4).write.mode("overwrite").parquet(landing)
     out = scratch_path(spark, "stream_out")
     q = start_scoring_stream(spark, landing, S.SERVING, bundle, out, available_now=True)
     q.awaitTermination()
@@ -488,6 +488,23 @@ def i07(spark, sf_dir):
                  F.sum("predicted_churn_count").cast("bigint").alias("predicted_churn_count"))
 
 
+@register("i08_stream_repeats", sql=_serving_sql() + f"""
+SELECT count(*) AS total_records, count(*) FILTER (WHERE {hash_sql('customer_id', 'replay')} % 100 < 20) AS repeated_records,
+  count(*) FILTER (WHERE churn_prediction = 1) AS predicted_churn_count FROM responses""")
+def i08(spark, sf_dir):
+    """I6 + I7 where a fifth of the records arrives a second time, in other files and micro-batches."""
+    from ..sources.dirty import percent
+    from ..streaming.scoring_stream import read_summaries, start_scoring_stream
+    bundle, recs = _bundle_and_records(spark, sf_dir)
+    landing = scratch_path(spark, "landing")
+    recs.repartition(3).write.mode("overwrite").parquet(landing)
+    recs.where(percent("replay") < 20).repartition(2).write.mode("append").parquet(landing)
+    out = scratch_path(spark, "stream_out")
+    start_scoring_stream(spark, landing, S.SERVING, bundle, out, max_files_per_trigger=2, repeats_within="7 days").awaitTermination()
+    return read_summaries(spark, out).agg(*[F.sum(c).cast("bigint").alias(c) for c in (
+        "total_records", "repeated_records", "predicted_churn_count")])
+
+
 @register("s06_json_report_sink", sql=_report_sql(), doubles=("value",))
 def s06(spark, sf_dir):
     """S6 + S7: the evaluation report written as JSON and read back with a fixed schema."""

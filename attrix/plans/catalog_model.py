@@ -11,7 +11,8 @@ from .. import config as C
 from ..operators import evaluate as E
 from ..operators import scoring as I
 from ..operators.models import FIXED_MODEL, balanced_weights, pos_weight
-from ..operators.prep import apply_prep, feature_names_table, fit_prep
+from ..operators.dictionary import encode, fit_dictionary
+from ..operators.prep import apply_prep, feature_exprs, feature_names_table, fit_prep
 from ..sources.customer import snapshot_table
 from ..sqlcheck import eval_sql as ES
 from ..sqlcheck.model_sql import ONE, logit_sql, scored_ctes
@@ -149,6 +150,30 @@ def f5(spark, sf_dir):
     return m.select(C.KEY_COL, "split", F.posexplode("features").alias("idx", "value")).withColumn("idx", F.col("idx").cast("int"))
 
 
+@register("f09_sparse_matrix", sql=_matrix_sql().replace("\nSELECT f.CustomerID", "\nSELECT * FROM (SELECT f.CustomerID", 1) + ") WHERE value <> 0",
+          doubles=("value",))
+def f9(spark, sf_dir):
+    """F4 + F5 over a dictionary table: the entries of sparse vectors."""
+    fe, bundle = common.fitted(spark, sf_dir)
+    p = bundle.params
+    d = fit_dictionary(_train(fe), p.categorical_cols)
+    exprs = feature_exprs(p)
+    n = sum(d.sizes.values())
+    m = encode(fe, d, exprs[:len(p.numeric_cols)])
+    binary = [F.struct(F.lit(len(p.numeric_cols) + n + k).alias("idx"), F.col(c).cast("double").alias("value"))
+              for k, c in enumerate(p.binary_cols)]
+    entries = F.concat(F.arrays_zip(F.col("features.indices").alias("idx"), F.col("features.values").alias("value")), F.array(*binary))
+    return m.select(C.KEY_COL, "split", F.explode(entries).alias("e")).select(
+        C.KEY_COL, "split", F.col("e.idx").cast("int").alias("idx"), F.col("e.value").alias("value")).where("value <> 0")
+
+
+@register("f10_dictionary", sql=WFE + f"\nSELECT \"column\", category, CAST(position AS BIGINT) AS position FROM ({_cats_sql()})")
+def f10(spark, sf_dir):
+    """F4 as a dictionary table."""
+    fe, bundle = common.fitted(spark, sf_dir)
+    return fit_dictionary(_train(fe), bundle.params.categorical_cols).table
+
+
 @register("f07_fit_apply_separation", sql=WSC.replace("scored AS (", "unused_scored AS (") + "\n" + union([
     f"SELECT f.split, '{c}' AS \"column\", avg((CAST(f.{c} AS DOUBLE) - s.mu_{c}) / "
     f"CASE WHEN s.sd_{c} = 0 OR s.sd_{c} IS NULL THEN {ONE} ELSE s.sd_{c} END) AS mean_scaled "

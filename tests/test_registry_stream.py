@@ -139,3 +139,71 @@ def test_stream_equals_batch(spark):
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
     tot = read_summaries(spark, out).agg(F.sum("total_records")).first()[0]
     assert tot == recs.count()
+
+
+def test_repeated_records_are_counted_and_not_scored_again(spark):
+    """A replayed file, records repeated within a file, changed records and records without an id."""
+    from attrix import schemas as S
+    from attrix.operators.scoring import batch_summary, score_records
+    from attrix.plans import common
+    from attrix.streaming.scoring_stream import read_scored, read_summaries, start_scoring_stream
+
+    sf = "/root/testdata/sf0.001"
+    bundle = common.fitted(spark, sf)[1]
+    recs = common.serving_records(spark, sf).orderBy("CustomerID")
+    rows = [tuple(r) for r in recs.limit(30).collect()]
+    nameless, null_total = (None, *rows[1][1:]), (*rows[2][:10], None, *rows[2][11:])
+    files = [rows[:10] + rows[:2] + [nameless], rows[:10], rows[10:20] + [(*rows[3][:1], rows[3][1] + 1, *rows[3][2:])] + [nameless],
+             [null_total, null_total]]
+    landing, out = scratch_path(spark, "landing-repeats"), scratch_path(spark, "out-repeats")
+
+    def arrive(k):
+        spark.createDataFrame(files[k], S.SERVING).coalesce(1).write.mode("append").parquet(landing)
+        start_scoring_stream(spark, landing, S.SERVING, bundle, out, repeats_within="7 days").awaitTermination()
+
+    for k in range(len(files)):
+        arrive(k)  # each restart goes on from the checkpoint's state
+    every = [r for f in files for r in f]
+    scored = read_scored(spark, out).drop("batch_id")
+    want = score_records(spark.createDataFrame(list(dict.fromkeys(every)), S.SERVING), bundle)
+    assert scored.exceptAll(want).count() == 0 and want.exceptAll(scored).count() == 0
+    s = read_summaries(spark, out).agg(F.sum("total_records").alias("n"), F.sum("repeated_records").alias("repeats")).first()
+    assert (s.n, s.repeats) == (len(set(every)), len(every) - len(set(every)))
+    one = batch_summary(read_scored(spark, out).where("batch_id = 0")).first()
+    got = read_summaries(spark, out).where("batch_id = 0").first()
+    assert (got.total_records, got.predicted_churn_count, got.churn_rate, got.mean_churn_probability, got.repeated_records) == (*one, 2)
+    repeats = spark.read.parquet(f"{out}/repeats")
+    assert repeats.count() == s.repeats and repeats.where(f"customer_id = '{rows[0][0]}'").agg(F.max("occurrence")).first()[0] == 2
+
+
+def test_states_end_with_the_watermark():
+    """A repeat after the state has timed out is a new record again."""
+    import pandas as pd
+
+    from attrix.streaming.scoring_stream import _count_occurrences
+
+    class State:
+        exists, hasTimedOut, value, timeout = False, False, None, None
+
+        def update(self, v):
+            self.exists, self.value = True, v
+
+        def remove(self):
+            self.exists, self.value = False, None
+
+        get = property(lambda self: self.value)
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def setTimeoutTimestamp(self, ms):
+            self.timeout = ms
+
+    count, state = _count_occurrences(5000), State()
+    at = lambda s: pd.DataFrame({"payload": ["r"] * 2, "arrived": [pd.Timestamp(s, unit="s")] * 2})
+    assert [x for f in count(("k",), iter([at(10), at(11)]), state) for x in f["occurrence"]] == [0, 1, 2, 3]
+    assert state.timeout == 16000 and state.value == (4,)
+    state.hasTimedOut = True
+    assert list(count(("k",), iter([]), state)) == [] and not state.exists
+    state.hasTimedOut = False
+    assert [x for f in count(("k",), iter([at(30)]), state) for x in f["occurrence"]] == [0, 1]

@@ -12,7 +12,7 @@ to the first feature, then to the lowest cut.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -184,7 +184,7 @@ def best_splits(g: np.ndarray, h: np.ndarray, bins: _Bins, s: BoostSettings) ->
         gr, hr = all_g - gl, all_h - hl
         gain = (gl ** 2 / (hl + s.l2) + gr ** 2 / (hr + s.l2) - all_g ** 2 / (all_h + s.l2)) / 2
         gain = np.where(cuts & (hl >= s.min_child_hessian) & (hr >= s.min_child_hessian), gain, -np.inf)
-        most = gain.max(axis=1)
+        most = np.where(np.isfinite(gain).any(axis=1), gain.max(axis=1), -np.inf)
         near = np.where(np.isfinite(most), most - 1e-10 * np.abs(most), -np.inf)  # sums differ in their last digits
         at = (gain >= near[:, None]).argmax(axis=1)
         row = np.arange(len(g))
@@ -199,7 +199,45 @@ def best_splits(g: np.ndarray, h: np.ndarray, bins: _Bins, s: BoostSettings) ->
     return np.where(most > LEAST_GAIN, feature, -1), at - bins.first[feature], side, left_g, left_h
 
 
-def _grow(state: RDD, bins: _Bins, s: BoostSettings, models: int) -> tuple[list[dict], list[Tree]]:
+class _Sweeps:
+    """Rows as blocks over the cluster: a sweep is a job, moved margins are a new state."""
+
+    def __init__(self, blocks: RDD, start):
+        self.older, self.state, self.moves = blocks, blocks.map(start).persist(StorageLevel.MEMORY_AND_DISK), 0
+
+    def total(self, sums) -> np.ndarray | None:
+        got = total(self.state, sums)
+        if self.older is not None:
+            self.older.unpersist()  # the state has been computed and is kept
+            self.older = None
+        return got
+
+    def move(self, change) -> None:
+        self.older, self.state = self.state, self.state.map(change).persist(StorageLevel.MEMORY_AND_DISK)
+        self.moves += 1
+        if self.moves % CHECKPOINT == 0:
+            self.state.checkpoint()
+
+    def close(self) -> None:
+        for kept in (self.older, self.state):
+            if kept is not None:
+                kept.unpersist()
+
+
+class _InTask:
+    """The same over the blocks of one partition, in one task."""
+
+    def __init__(self, blocks: Iterable, start):
+        self.rows = [start(b) for b in blocks]
+
+    def total(self, sums) -> np.ndarray | None:
+        return sum(sums(r) for r in self.rows) if self.rows else None
+
+    def move(self, change) -> None:
+        self.rows = [change(r) for r in self.rows]
+
+
+def _grow(sweeps: _Sweeps | _InTask, bins: _Bins, s: BoostSettings, models: int) -> tuple[list[dict], list[Tree]]:
     """The next tree of every model, and its splits by level in the form the rows are moved by."""
     size = (2 << s.depth) - 1
     shape = (models, size)
@@ -207,7 +245,7 @@ def _grow(state: RDD, bins: _Bins, s: BoostSettings, models: int) -> tuple[list[
     sums = np.zeros((2, models, size))  # gradient and Hessian of the nodes
     splits: list[dict] = []
     for level in range(s.depth):
-        got = total(state, lambda r, done=tuple(splits), at=level: _histogram(r, list(done), bins, at))
+        got = sweeps.total(lambda r, done=tuple(splits), at=level: _histogram(r, list(done), bins, at))
         first, count = (1 << level) - 1, 1 << level
         if level == 0:
             own = slice(0, int(bins.sizes[0]))  # the slots of one feature hold every row once
@@ -231,15 +269,43 @@ def _grow(state: RDD, bins: _Bins, s: BoostSettings, models: int) -> tuple[list[
     return splits, trees
 
 
+def _boost(sweeps: _Sweeps | _InTask, bins: _Bins, s: BoostSettings, models: int) -> list[BoostedModel]:
+    sums = sweeps.total(lambda r: np.stack([(r.weight * (0.5 - r.y)).sum(axis=1), r.weight.sum(axis=1) / 4]))
+    if sums is None or not bins.cuts:
+        return [BoostedModel(0.0) for _ in range(models)]
+    base = np.divide(-sums[0], sums[1], out=np.zeros(models), where=sums[1] > 0)  # one Newton step from even odds
+    grown = [BoostedModel(float(b)) for b in base]
+    sweeps.move(lambda r: _Rows(r.slots, r.y, r.weight, r.margin + base[:, None]))
+    for _ in range(s.rounds):
+        splits, trees = _grow(sweeps, bins, s, models)
+        for model, tree in zip(grown, trees):
+            model.trees.append(tree)
+        weights = np.stack([tree.weight for tree in trees])
+        if not weights.any():
+            break
+
+        def moved(r: _Rows, splits=splits, weights=weights) -> _Rows:
+            margin = np.stack([r.margin[m] + weights[m][_nodes(r, splits, bins, m)] for m in range(len(r.margin))])
+            return _Rows(r.slots, r.y, r.weight, margin)
+
+        sweeps.move(moved)
+    return grown
+
+
 def fit_boosted(df: DataFrame, features: str, label: str, width: int, settings: BoostSettings | None = None, fold: str | None = None,
                 leave_out: Sequence[int | None] = (None,), rows: int | None = None,
-                cuts: list[np.ndarray] | None = None) -> list[BoostedModel]:
-    """One model for each entry of ``leave_out`` (a fold whose rows it doesn't see, or None), all grown together."""
+                cuts: list[np.ndarray] | None = None, in_task: bool | None = None) -> list[BoostedModel]:
+    """One model for each entry of ``leave_out`` (a fold whose rows it doesn't see, or None), all grown together.
+
+    Where the rows are one partition (``rows`` is given and at most ``blocks.PARTITION_ROWS``), one task makes all sweeps instead
+    of one job for each; the models are the same.
+    """
     s = settings or BoostSettings()
     bins = _Bins(cut_points(df, features, width) if cuts is None else cuts)
     numbered, fold = (df, fold) if fold is not None else (df.withColumn("fold", F.lit(0)), "fold")
     blocks = packed_rows(numbered, features, [label, fold], width, rows)
     left_out = np.array([-1 if o is None else o for o in leave_out])
+    models = len(left_out)
 
     def start(block) -> _Rows:
         x, other = block
@@ -247,32 +313,15 @@ def fit_boosted(df: DataFrame, features: str, label: str, width: int, settings:
         weight = np.where(y == 1, s.positive_weight, 1.0) * (other[:, 1] != left_out[:, None])
         return _Rows(bins.of(x), y, weight, np.zeros(weight.shape))
 
-    begun = blocks.map(start)
-    sums = total(begun, lambda r: np.stack([(r.weight * (0.5 - r.y)).sum(axis=1), r.weight.sum(axis=1) / 4]))
-    if sums is None or not width:
-        return [BoostedModel(0.0) for _ in leave_out]
-    base = np.divide(-sums[0], sums[1], out=np.zeros(len(left_out)), where=sums[1] > 0)  # one Newton step from even odds
-    models = [BoostedModel(float(b)) for b in base]
-    state, older = begun.map(lambda r: _Rows(r.slots, r.y, r.weight, r.margin + base[:, None])).persist(StorageLevel.MEMORY_AND_DISK), blocks
-    for done in range(1, s.rounds + 1):
-        splits, trees = _grow(state, bins, s, len(models))
-        older.unpersist()  # the state has been computed and is kept
-        for model, tree in zip(models, trees):
-            model.trees.append(tree)
-        weights = np.stack([tree.weight for tree in trees])
-        if not weights.any():
-            break
-
-        def moved(r: _Rows, splits=splits, weights=weights) -> _Rows:
-            margin = np.stack([r.margin[m] + weights[m][_nodes(r, splits, bins, m)] for m in range(len(r.margin))])
-            return _Rows(r.slots, r.y, r.weight, margin)
-
-        older, state = state, state.map(moved).persist(StorageLevel.MEMORY_AND_DISK)
-        if done % CHECKPOINT == 0:
-            state.checkpoint()
-    older.unpersist()
-    state.unpersist()
-    return models
+    if (rows is not None and blocks.getNumPartitions() == 1) if in_task is None else in_task:
+        got = blocks.coalesce(1).mapPartitions(lambda it: [_boost(_InTask(it, start), bins, s, models)]).collect()
+        blocks.unpersist()
+        return got[0]
+    sweeps = _Sweeps(blocks, start)
+    try:
+        return _boost(sweeps, bins, s, models)
+    finally:
+        sweeps.close()
 
 
 def boosted_probability(features: Column, models: dict[int, BoostedModel], which: Column | None = None) -> Column:

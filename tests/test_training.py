@@ -187,6 +187,8 @@ def test_quantile_bins_and_lineage_cuts(spark, monkeypatch):
     plain = boosting.fit_boosted(df, "x", "label", 2, boosting.BoostSettings(6), cuts=cuts)[0]
     monkeypatch.setattr(boosting, "CHECKPOINT", 2)
     cut = boosting.fit_boosted(df, "x", "label", 2, boosting.BoostSettings(6), cuts=cuts)[0]
+    task = boosting.fit_boosted(df, "x", "label", 2, boosting.BoostSettings(6), cuts=cuts, in_task=True)[0]
+    assert np.allclose(plain.margin(x), task.margin(x))
     assert np.allclose(plain.margin(x), cut.margin(x)) and ((plain.margin(x) > 0) == y.astype(bool)).mean() > 0.95
     assert plain.importances(2)[0] > 0.9
 

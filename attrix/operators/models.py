@@ -51,11 +51,14 @@ def logistic_regression(C_: float = 1.0, l1_ratio: float = 0.0, max_iter: int =
 
 
 def random_forest(n_trees: int = 300, seed: int = C.RANDOM_STATE, max_depth: int = 30):
-    """Trees without a depth limit of their own; 30 is the deepest that Spark ML grows."""
+    """Trees without a depth limit of their own; 30 is the deepest that Spark ML grows.
+
+    Each row keeps the node it stands in, so deep trees aren't sent to the executors and walked again for every level.
+    """
     from pyspark.ml.classification import RandomForestClassifier
 
     return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                                  numTrees=n_trees, maxDepth=max_depth, seed=seed)
+                                  numTrees=n_trees, maxDepth=max_depth, seed=seed, cacheNodeIds=True)
 
 
 def model_input(df: DataFrame, params: PrepParams, target: str = C.TARGET_COL, key: str = C.KEY_COL,

@@ -154,7 +154,7 @@ def search_predictions(data: DataFrame, fitted: Sequence[batched.Fitted], sets:
     return rows.mapInPandas(score, "params int, fold int, y int, p double")
 
 
-def fold_predictions(data: DataFrame, name: str, prm: dict | None = None, parallelism: int = 4) -> DataFrame:
+def fold_predictions(data: DataFrame, name: str, prm: dict | None = None, parallelism: int = C.N_FOLDS) -> DataFrame:
     """(fold, y, p): every train row under the model that left its fold out."""
     train, folds = _train(data), range(C.N_FOLDS)
     x, keep = vector_to_array("features"), ["fold", F.col("label").cast("int").alias("y")]

@@ -129,7 +129,7 @@ def batch_fit(data: DataFrame, problems: Sequence[batched.Problem]) -> list[batc
         blocks.unpersist()
 
 
-def search_predictions(data: DataFrame, fitted: Sequence[batched.Fitted], sets: int) -> DataFrame:
+def search_predictions(data: DataFrame, fitted: Sequence[batched.Fitted]) -> DataFrame:
     """(params, fold, y, p): every train row under each parameter set's model that left the row's fold out.
 
     ``fitted`` holds the models by (parameter set, fold); a row gives one row a parameter set.
@@ -221,7 +221,7 @@ def _fold_scores(data: DataFrame, names: Sequence[str]) -> list[list[dict]]:
     """Scores of every model and fold, from one table of all held-out predictions."""
     with ThreadPoolExecutor(max_workers=len(names)) as pool:
         parts = list(pool.map(lambda n: fold_predictions(data, n), names))
-    every = reduce(DataFrame.unionByName, [p.withColumn("model", F.lit(n)) for n, p in zip(names, parts)])
+    every = reduce(DataFrame.unionByName, [p.withColumn("model", F.lit(n)) for n, p in zip(names, parts)]).checkpoint()  # scored once
     found = {}
     for r in E.scores_by(every, ["model", "fold"]).collect():  # models x folds rows
         found.setdefault(r["model"], []).append({"fold": r["fold"], **_plain({m: r[m] for m in METRICS})})
@@ -244,7 +244,7 @@ def validation_scores(spark: SparkSession, data: DataFrame) -> DataFrame:
             trees = pool.submit(boosted_folds, data)
             models = [batch_fit(data, [batched.Problem(1.0, 0.0)])[0], forest.result(), trees.result()[None]]
         every = reduce(DataFrame.unionByName, [
-            predictions(m, val).select(F.lit(n).alias("model"), "y", "p") for n, m in zip(MODELS, models)])
+            predictions(m, val).select(F.lit(n).alias("model"), "y", "p") for n, m in zip(MODELS, models)]).checkpoint()
         found = {r["model"]: r for r in E.scores_by(every, ["model"]).collect()}
         return [{"model": n, **_plain({m: found[n][m] if n in found else None for m in METRICS})} for n in MODELS]
 
@@ -259,7 +259,7 @@ def search_results(spark: SparkSession, data: DataFrame, kind: str) -> list[dict
 
     def build():
         fitted = batch_fit(data, [batched.Problem(p["C"], p["l1_ratio"], f) for p in params for f in range(C.N_FOLDS)])
-        found = E.scores_by(search_predictions(data, fitted, len(params)), ["params", "fold"])
+        found = E.scores_by(search_predictions(data, fitted).checkpoint(), ["params", "fold"])
         by_set = {r["params"]: r for r in found.groupBy("params").agg(
             F.avg("roc_auc").alias("mean"), F.stddev_pop("roc_auc").alias("std")).collect()}
         return [{"C": p["C"], "l1_ratio": p["l1_ratio"], "mean_roc_auc": M.optional(by_set[k]["mean"] if k in by_set else None),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrix.llm import decontaminate, gru_toxicity, jaccard_groups, rank_bpe, surrogates
-from attrix.llm.common import documents, ship, stored, table
+from attrix.llm.common import documents, fresh, ship, stored, table
 from attrix.llm.queries import tokenizer
 
 ORACLE_SQL = None  # a trained model and edit distances decide: SQL can't express them
@@ -27,29 +27,37 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: that of its smallest document id (without ids, of its smallest set); rows without words stay."""
+    """One row of each component: that of its smallest document id (without ids, of its smallest set); rows without words stay.
+
+    A row whose id no other row has is known by its id: rows stay where they are, and the ids that go are joined to them. Only rows
+    that share an id, or have none, are hashed again to tell them apart; of those equal in id and set the row with the least text,
+    then the least of its other columns (as JSON), stays.
+    """
     ship(spark)
     found, _ = stored(spark, jaccard_groups.jaccard_components(docs), "components")
     with_words = found.where("node is not null")
-    # of each component the least id and then the least set; how often that row stands there
+    # of each component the least id and then the least set
     kept = with_words.groupBy("root").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")).select("k.doc_id", "k.node")
-    times = with_words.groupBy("doc_id", "node").count().select(
-        F.col("doc_id").alias("d"), F.col("node").alias("n"), F.col("count").alias("times"))
-    kept, _ = stored(spark, kept.join(times, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("node") == F.col("n")))
-                     .select("d", "n", "times"), "kept-sets")
-    tag = "_"
-    while any(c.startswith(tag) for c in docs.columns):
-        tag += "_"
-    row = docs.withColumn(f"{tag}node", jaccard_groups.set_nodes(docs))
-    empty = row.where(F.col(f"{tag}node") == 0).select(*docs.columns)
-
-    def chosen(which: DataFrame) -> DataFrame:
-        return row.join(which, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col(f"{tag}node") == F.col("n")), "left_semi")
-
-    once = chosen(kept.where("times = 1")).select(*docs.columns)
-    again = chosen(kept.where("times > 1")).dropDuplicates(["doc_id", f"{tag}node"]).select(*docs.columns)
-    return empty.unionByName(once).unionByName(again)
+        F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")).select(
+        F.col("k.doc_id").alias("d"), F.col("k.node").alias("n"))
+    kept, _ = stored(spark, kept, "kept-sets")
+    shared = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("d"))
+    shared, _ = stored(spark, shared, "shared-ids")
+    known = F.col("doc_id").eqNullSafe(F.col("d"))
+    gone = with_words.where("doc_id is not null").join(kept, known & (F.col("node") == F.col("n")), "left_anti").select(
+        F.col("doc_id").alias("d")).unionByName(shared).distinct()
+    gone, _ = stored(spark, gone, "gone-ids")
+    one = F.col("doc_id") == F.col("d")
+    alone = docs.where("doc_id is not null").join(gone, one, "left_anti")
+
+    rows = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").join(shared, one, "left_semi"))
+    tag = fresh(docs)
+    rows = rows.withColumn(f"{tag}node", jaccard_groups.set_nodes(rows))
+    empty = rows.where(F.col(f"{tag}node") == 0).select(*docs.columns)
+    chosen = rows.join(kept, known & (F.col(f"{tag}node") == F.col("n")), "left_semi")
+    order = F.struct(F.col("text"), F.to_json(F.struct(*docs.columns)))
+    chosen = chosen.groupBy("doc_id", f"{tag}node").agg(F.min_by(F.struct(*docs.columns), order).alias("r"))
+    return alone.unionByName(empty).unionByName(chosen.select("r.*"))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

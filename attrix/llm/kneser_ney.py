@@ -126,16 +126,16 @@ class Model:
     """The mapped files of a model folder."""
 
     def __init__(self, folder: str, meta: dict):
-        self.meta, self.shards = meta, meta["shards"]
-        self.words = [self._map(folder, f"words-{k}") for k in range(self.shards)]
+        self.meta, self.shards, self.folder = meta, meta["shards"], folder
+        self.words = self._mapped("words")
         self.offsets = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.uint64)
-        self.folder = folder
         self.pairs: list | None = None
 
-    @staticmethod
-    def _map(folder: str, name: str) -> np.ndarray:
-        path = os.path.join(folder, f"{name}.npy")
-        return np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, _CONTEXT)
+    def _mapped(self, kind: str) -> list[np.ndarray]:
+        """The shards of one kind; one that training wrote and that can't be read is an error, never an empty one."""
+        written = set(self.meta["written"][kind])
+        return [np.load(os.path.join(self.folder, f"{kind}-{k}.npy"), mmap_mode="r") if k in written else np.zeros(0, _CONTEXT)
+                for k in range(self.shards)]
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of ascending different word hashes (UNKNOWN and 0 where there is none)."""
@@ -151,9 +151,7 @@ class Model:
 
     def open_pairs(self) -> None:
         if self.pairs is None:
-            self.pairs = [self._map(self.folder, f"pairs-{k}") for k in range(self.shards)]
-            self.contexts = [self._map(self.folder, f"contexts-{k}") for k in range(self.shards)]
-            self.before = [self._map(self.folder, f"before-{k}") for k in range(self.shards)]
+            self.pairs, self.contexts, self.before = (self._mapped(k) for k in ("pairs", "contexts", "before"))
 
     def lower(self, numbers: np.ndarray) -> np.ndarray:
         """p(w) of word numbers."""
@@ -251,11 +249,12 @@ def train(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> t
         shard = int(frame["shard"].iloc[0])
         words = _summed([_unpack(b) for b in frame["blob"]])
         _save(os.path.join(folder, f"words-{shard}.npy"), words)
-        return pd.DataFrame({"distinct": [len(words)], "tokens": [int(words["count"].sum())]})
+        return pd.DataFrame({"shard": [shard], "distinct": [len(words)], "tokens": [int(words["count"].sum())]})
 
     sums = rows.mapInPandas(count_words, _BLOBS).groupBy("shard").applyInPandas(
-        merge_words, "distinct long, tokens long").agg(F.sum("distinct").alias("d"), F.sum("tokens").alias("t")).first()
-    meta = {"shards": shards, "distinct": sums["d"] or 0, "tokens": sums["t"] or 0, "ready": 0}
+        merge_words, "shard long, distinct long, tokens long").agg(
+        F.sum("distinct").alias("d"), F.sum("tokens").alias("t"), F.collect_list("shard").alias("written")).first()
+    meta = {"shards": shards, "distinct": sums["d"] or 0, "tokens": sums["t"] or 0, "ready": 0, "written": {"words": sums["written"]}}
     if meta["distinct"] >= int(UNKNOWN):
         raise ValueError("over four billion different words")
 
@@ -289,29 +288,32 @@ def train(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> t
         offsets = _model(folder, meta).offsets
         rows_out = _dealt(words, (np.searchsorted(offsets, words["key"], side="right") - 1).astype(np.uint64), "before")
         stats = json.dumps(_counts_of_counts(pairs["count"]) + [len(pairs)]).encode()
-        return pd.concat([rows_out, pd.DataFrame({"kind": ["stats"], "shard": [0], "blob": [stats]})])
+        return pd.concat([rows_out, pd.DataFrame({"kind": ["stats"], "shard": [shard], "blob": [stats]})])
 
     merged, merged_path = stored(spark, rows.mapInPandas(count_pairs, _BLOBS).groupBy("shard").applyInPandas(
         merge_pairs, _BLOBS), "contexts-of-words", by=["kind"])
 
     def merge_before(frame: pd.DataFrame) -> pd.DataFrame:
         words = _summed([_unpack(b) for b in frame["blob"]])
-        _save(os.path.join(folder, f"before-{int(frame['shard'].iloc[0])}.npy"), words)
-        return pd.DataFrame([_counts_of_counts(words["count"])], columns=["n1", "n2", "n3", "n4", "more"])
+        shard = int(frame["shard"].iloc[0])
+        _save(os.path.join(folder, f"before-{shard}.npy"), words)
+        return pd.DataFrame([[*_counts_of_counts(words["count"]), shard]], columns=["n1", "n2", "n3", "n4", "more", "shard"])
 
     names = ["n1", "n2", "n3", "n4", "more"]
     lower = merged.where("kind = 'before'").groupBy("shard").applyInPandas(
-        merge_before, ", ".join(f"{n} long" for n in names)).agg(*(F.sum(n).alias(n) for n in names)).first()
+        merge_before, ", ".join(f"{n} long" for n in [*names, "shard"])).agg(
+        *(F.sum(n).alias(n) for n in names), F.collect_list("shard").alias("written")).first()
     stats = F.from_json(F.col("blob").cast("string"), "array<long>")
-    upper = merged.where("kind = 'stats'").select(stats.alias("s")).agg(
-        *(F.sum(F.col("s")[k]).alias(n) for k, n in enumerate([*names, "types"]))).first()
+    upper = merged.where("kind = 'stats'").select(stats.alias("s"), "shard").agg(
+        *(F.sum(F.col("s")[k]).alias(n) for k, n in enumerate([*names, "types"])), F.collect_list("shard").alias("written")).first()
     drop_path(spark, merged_path)
     of_words, of_pairs = [int(lower[n] or 0) for n in names], [int(upper[n] or 0) for n in names]
     d = discounts(of_words)
     types = int(upper["types"] or 0)
     rest = (d[0] * of_words[0] + d[1] * of_words[1] + d[2] * of_words[4]) / types if types else 1.0
     return path, meta | {"ready": 1, "pair_types": types, "pair_discounts": discounts(of_pairs), "word_discounts": d,
-                         "word_rest": rest}
+                         "word_rest": rest, "written": meta["written"] | {
+                             "pairs": upper["written"], "contexts": upper["written"], "before": lower["written"]}}
 
 
 def score(docs: DataFrame, path: str, meta: dict, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:

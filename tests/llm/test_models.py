@@ -269,3 +269,26 @@ def test_no_training_rows(spark, odd):
     path, meta = kneser_ney.train(odd.where("false"))
     got = kneser_ney.score(odd.where("doc_id = 7"), path, meta).first()
     assert (got.n_tokens, got.n_known, got.score, got.base_score) == (3, 0, 0.0, 0.0)
+
+
+def test_a_lost_file_of_the_model_is_an_error(spark, odd):
+    """Words, pairs or the whole folder: never scores as if the words were unknown."""
+    import glob
+    import os
+
+    path, meta = kneser_ney.train(odd)
+    folder = kneser_ney.local_form(path)
+    rows = odd.where("doc_id = 0")
+    want = kneser_ney.score(rows, path, meta).first()
+    assert want.n_known > 0
+    for kind in ("words", "pairs", "contexts", "before"):
+        k = meta["written"][kind][0]
+        name = os.path.join(folder, f"{kind}-{k}.npy")
+        os.rename(name, name + ".away")
+        with pytest.raises(Exception, match="No such file"):
+            kneser_ney.score(rows, path, meta | {"ready": f"without-{kind}"}).collect()
+        os.rename(name + ".away", name)
+    assert kneser_ney.score(rows, path, meta | {"ready": "again"}).first() == want
+    assert len(glob.glob(os.path.join(folder, "*.npy"))) == sum(map(len, meta["written"].values()))
+    with pytest.raises(Exception, match="No such file"):
+        kneser_ney.score(rows, path + "-absent", meta).collect()

@@ -3,8 +3,8 @@
 Entities (e-mail and IP addresses, phone, card and social security numbers, bank accounts, secrets, and persons behind a
 title) are found by one pattern. Each different entity in its canonical form (case and separators aside) gets one surrogate from a
 keyed hash, so it reads the same in all documents, and is written in the form found: digits for digits, letters for letters of
-the same case, country codes, issuer digits, check digits and name spaces kept; persons get names of the title's gender and
-the name's script.
+the same case, country codes, a card's first digit and name spaces kept, check digits of cards and bank accounts made valid; persons
+get names of the title's gender and the name's script. Secrets and addresses of any length are replaced whole.
 
 Collision checks: a surrogate that another entity has, or that is itself an entity of the documents, is drawn again with the next
 attempt, until all are distinct; after ``ATTEMPTS`` draws in the entity's own format, values get longer with each draw, so
@@ -46,9 +46,11 @@ SYLLABLES = {
 SURNAME_ENDS = {"latin": ["er", "son", "ini", "eau"], "cyrillic": ["ко", "ян", "их", "ук"], "greek": ["ου", "άκη", "έλη", "ίδη"]}
 
 # One pattern for all entities, most specific first.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,250}\.[A-Za-z]{2,24}"
-SECRET = (r"\b(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[_+/-]{0,199}[A-Za-z0-9])"
-          r"[A-Za-z0-9_+/-]{8,200}|\bAKIA[A-Z0-9]{16}\b")
+# Runs are taken whole, from where they begin and without backing off, so a long one costs one pass and leaves no end in clear.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
+#: A value up to white space or a quote, of eight characters or more with a letter or digit among them.
+NAMED = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?(?:[ \t]*|\s{0,3})[=:](?:[ \t]*|\s{0,3})[\"']?"
+SECRET = rf"\b{NAMED}(?=[^\s\"'\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])[^\s\"']{{8,}}+|\bAKIA[A-Z0-9]{{16}}\b"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
@@ -60,7 +62,7 @@ PATTERN = "|".join((EMAIL, SECRET, IP, SSN, IBAN, PHONE, CARD, PERSON))
 
 # Texts without any of these characters or words hold no entity; checked before the pattern.
 HINT = rf"[0-9@]|(?i:password|passwd|pwd|token|secret|api.?key)|AKIA|{FEMALE}|{MALE}"
-_VALUE = r"^(?i:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?"
+_VALUE = rf"^{NAMED}"
 _TITLE = rf"^(?:{FEMALE}|{MALE})(?:\. ?| )"
 
 
@@ -98,22 +100,22 @@ def _pick(options: list[str], number: Column) -> Column:
 
 
 def _chars(text: Column, seed: Column, hexadecimal: Column | bool = False) -> Column:
-    """Every letter and digit replaced by another of its kind."""
-    def one(k: Column) -> Column:
-        c, r = F.substring(text, k + 1, F.lit(1)), F.xxhash64(seed, k)
+    """Every letter and digit replaced by one of its kind; those that aren't ASCII become ASCII ones."""
+    def one(c: Column, k: Column) -> Column:
+        r = F.xxhash64(seed, k)
 
         def of(letters: str) -> Column:
             return F.substring(F.lit(letters), F.pmod(r, F.lit(len(letters))).cast("int") + 1, F.lit(1))
 
         letter = (F.when(c.rlike("[0-9]"), of("0123456789")).when(c.rlike("[a-z]"), of("abcdefghijklmnopqrstuvwxyz"))
-                  .when(c.rlike("[A-Z]"), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c))
+                  .when(c.rlike("[A-Z]"), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike(r"\p{Lu}"), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+                  .when(c.rlike(r"[\p{L}\p{M}]"), of("abcdefghijklmnopqrstuvwxyz")).when(c.rlike(r"\p{N}"), of("0123456789"))
+                  .otherwise(c))
         if hexadecimal is False:
             return letter
-        return F.when(hexadecimal, F.when(c.rlike("[0-9a-f]"), of("0123456789abcdef")).otherwise(c)).otherwise(letter)
+        return F.when(hexadecimal & (c != ""), of("0123456789abcdef")).otherwise(letter)
 
-    length = F.length(text)
-    spread = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(spread, one), "")
+    return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
 def _check_digit(digits: Column) -> Column:
@@ -129,6 +131,18 @@ def _check_digit(digits: Column) -> Column:
     return F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string")
 
 
+def _valid_iban(text: Column) -> Column:
+    """``text`` with the check digits (its third and fourth character) that make it valid."""
+    moved = F.concat(F.substr(text, F.lit(5)), F.substring(text, 1, 2), F.lit("00"))
+    letter = lambda c: F.ascii(c) - 55  # noqa: E731  A is 10
+
+    def step(rest: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (rest * 10 + F.ascii(c) - 48) % 97).otherwise((rest * 100 + letter(c)) % 97)
+
+    rest = F.aggregate(F.split(moved, ""), F.lit(0), step)
+    return F.concat(F.substring(text, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), F.substr(text, F.lit(5)))
+
+
 def _person(canon: Column, seed: Column, attempt: Column) -> Column:
     female, name = canon.startswith("f "), F.substr(canon, F.lit(3))
     several = name.contains(" ")
@@ -162,7 +176,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         .when(kind == "card", F.concat(number, _check_digit(number)))
         .when(kind == "phone", F.concat(country, F.lit("+"), F.element_at(F.array(*[F.lit(str(k)) for k in range(2, 10)]),
               (F.pmod(F.xxhash64(seed, F.lit(-1)), F.lit(8)) + 1).cast("int")), _chars(F.substr(local, F.lit(2)), seed)))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _chars(F.substr(canon, F.lit(3)), seed)))
+        .when(kind == "iban", _valid_iban(F.concat(F.substring(canon, 1, 4), _chars(F.substr(canon, F.lit(5)), seed))))
         .when((kind == "secret") & canon.startswith("AKIA"), F.concat(F.lit("AKIA"), _chars(F.substr(canon, F.lit(5)), seed)))
         .when(kind == "secret", _chars(canon, seed, canon.rlike("^[0-9a-f]+$")))
         .when(kind == "person", F.concat(F.substring(canon, 1, 2), _person(canon, seed, attempt)))
@@ -184,6 +198,7 @@ def lengthened(kind: Column, canon: Column, new: Column, attempt: Column, key: s
         F.when(kind == "email", F.regexp_replace(new, F.lit(r"(\.[^.]*)$"), F.concat(digits, F.lit("$1"))))
         .when(kind == "ip", F.concat(new, F.lit("."), digits))
         .when(kind == "card", F.concat(number, _check_digit(number)))
+        .when(kind == "iban", _valid_iban(F.concat(new, digits)))
         .when(kind == "person", F.concat(new, F.when(new.rlike(r"\p{IsCyrillic}"), syllables("cyrillic")).when(
             new.rlike(r"\p{IsGreek}"), syllables("greek")).otherwise(syllables("latin"))))
         .otherwise(F.concat(new, digits))
@@ -233,9 +248,17 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
             return done
 
 
-def replace_entities(docs: DataFrame, key: str = "surrogate-key", doc_col: str = "doc_id", text_col: str = "text") -> tuple:
-    """The documents with surrogates in ``text_col`` (all columns kept), and a table of entities per changed document."""
+#: The session's setting that names the key; surrogates of the key below can be told by anyone who has this file.
+KEY_SETTING, UNSET_KEY = "spark.attrix.surrogateKey", "surrogate-key"
+
+
+def replace_entities(docs: DataFrame, key: str | None = None, doc_col: str = "doc_id", text_col: str = "text") -> tuple:
+    """The documents with surrogates in ``text_col`` (all columns kept), and a table of entities per changed document.
+
+    The key is the one given, else that of the session's ``KEY_SETTING``.
+    """
     spark = docs.sparkSession
+    key = spark.conf.get(KEY_SETTING, UNSET_KEY) if key is None else key
     text, own = F.col(text_col), docs.columns
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     # names of our own that no column has
@@ -265,8 +288,8 @@ def replace_entities(docs: DataFrame, key: str = "surrogate-key", doc_col: str =
     return plain.unionByName(changed), values.select("d", "value", "kind")
 
 
-def private_documents(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
-    """doc_id, text with surrogates, and the number of different entities replaced in it."""
+def private_documents(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id and text with surrogates."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out, _ = replace_entities(base, key)
     return out

@@ -16,12 +16,21 @@ from attrix.llm import decontaminate, gru_toxicity, jaccard_groups, rank_bpe, su
 from attrix.llm.common import documents, fresh, ship, stored, table
 from attrix.llm.queries import tokenizer
 
+#: Bytes of a batch of rows on its way to a Python worker; ten thousand rows, Spark's own bound, can be very long texts.
+ARROW_BYTES = 8 << 20
+
 ORACLE_SQL = None  # a trained model and edit distances decide: SQL can't express them
 
 
+def _prepare(spark: SparkSession) -> None:
+    """The package for the workers, and batches of bounded bytes for the stages that follow in this session."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text scores under one half. The model learns from labels and the texts of this stage's input."""
-    ship(spark)
+    _prepare(spark)
     net = gru_toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(gru_toxicity.toxicity_column(net) < 0.5)
 
@@ -33,7 +42,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     that share an id, or have none, are hashed again to tell them apart; of those equal in id and set the row with the least text,
     then the least of its other columns (as JSON), stays.
     """
-    ship(spark)
+    _prepare(spark)
     found, _ = stored(spark, jaccard_groups.jaccard_components(docs), "components")
     with_words = found.where("node is not null")
     # of each component the least id and then the least set
@@ -62,7 +71,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no benchmark passage."""
-    ship(spark)
+    _prepare(spark)
     columns = decontaminate.leaked_columns(docs, table(spark, sf_dir, "benchmark"))
     return docs.where(~reduce(lambda a, b: a | b, columns)) if columns else docs
 
@@ -74,7 +83,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of every row."""
-    ship(spark)
+    _prepare(spark)
     return rank_bpe.encode_documents(docs, tokenizer("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ import zipfile
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,7 +151,13 @@ _HOLDER: list = []
 
 
 def hold(name: str, clear) -> None:
-    """Says that the operator ``name`` keeps things in this worker; what another one kept before goes."""
+    """Says that the operator ``name`` keeps things in this worker; what another one kept before goes back to the system."""
     if _HOLDER and _HOLDER[0] != name:
         _HOLDER[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps its own ways
+            pass
     _HOLDER[:] = [name, clear]

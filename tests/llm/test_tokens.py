@@ -114,3 +114,18 @@ def test_bpe_rows(spark, odd, nothing):
     for r in rank_bpe.encode_documents(odd, path).collect():
         assert model.decode(r.ids) == r.decoded
     assert rank_bpe.encode_digests(nothing, path).collect() == []
+
+
+def test_another_operator_takes_over_the_worker():
+    from attrix.llm import common
+
+    gone = []
+    before = list(common._HOLDER)
+    try:
+        common.hold("one", lambda: gone.append("one"))
+        common.hold("one", lambda: gone.append("one again"))
+        assert gone == []
+        common.hold("two", lambda: gone.append("two"))
+        assert gone == ["one again"] and common._HOLDER[0] == "two"
+    finally:
+        common._HOLDER[:] = before

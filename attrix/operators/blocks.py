@@ -3,7 +3,8 @@
 A fit that sweeps the same rows many times reads them as blocks of a few thousand rows: one matrix a block instead of one
 Python object a row. Blocks are written to the shared folder once and kept by the executors from then on; a lost executor
 reads its blocks again. A sweep sends a bounded value to every block and adds up fixed-size sums, per partition first and
-then in a tree, so neither the driver nor one task sees more than a few partitions' sums at once.
+then in a tree, so neither the driver nor one task sees more than a few partitions' sums at once. Where only a choice made from
+large sums is wanted, ``reduced`` makes it on the executors: what the driver gets doesn't grow with the partitions.
 """
 
 from __future__ import annotations
@@ -59,11 +60,13 @@ def packed_rows(df: DataFrame, features: str, others: Sequence[str], width: int,
     """
     spark = df.sparkSession
     narrow = df.select(F.col(features).alias("x"), *[F.col(c).cast("double").alias(f"o{k}") for k, c in enumerate(others)])
-    if rows is not None:
-        narrow = narrow.coalesce(max(1, -(-rows // PARTITION_ROWS)))
+    parts = None if rows is None else max(1, -(-rows // PARTITION_ROWS))
     n = len(others)
     shared_dir(spark)
-    blocks = narrow.mapInArrow(lambda it: _packed(it, width, n), _SCHEMA).checkpoint()
+    blocks = (narrow.coalesce(1) if parts == 1 else narrow).mapInArrow(lambda it: _packed(it, width, n), _SCHEMA)
+    if parts is not None and parts > 1:
+        blocks = blocks.repartition(parts)  # whole blocks, dealt out evenly: a sweep takes as long as its longest task
+    blocks = blocks.checkpoint()
     return blocks.rdd.map(lambda r: (np.frombuffer(r["x"]).reshape(r["n"], width), np.frombuffer(r["other"]).reshape(r["n"], n))
                           ).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -79,6 +82,29 @@ def total(blocks: RDD, sums: Callable) -> np.ndarray | None:
     return got[0] if got else None
 
 
+def reduced(blocks: RDD, sums: Callable, finish: Callable, pieces: int) -> list:
+    """``finish(k, part)`` of the ``pieces`` runs of rows of the sum of ``sums(block)`` over all blocks, in order; [] without blocks.
+
+    A piece is added up in one task, ``FLAT`` partitions' parts at a time and in their order, so that a repeated sweep gives
+    the same bits. Runs are those of ``np.array_split``.
+    """
+    def cut(at: int, it: Iterator) -> Iterator:
+        for whole in _added(sums(b) for b in it):
+            for k, part in enumerate(np.array_split(whole, pieces)):
+                yield (k, at // FLAT), (at, part)
+
+    def joined(parts) -> np.ndarray:
+        return reduce(lambda a, b: a + b, (v for _, v in sorted(parts, key=lambda p: p[0])))
+
+    groups = -(-blocks.getNumPartitions() // FLAT)
+    tasks = min(pieces * max(1, groups), 2 * blocks.context.defaultParallelism)
+    parts = blocks.mapPartitionsWithIndex(cut).groupByKey(tasks).mapValues(joined)
+    while groups > 1:
+        parts = parts.map(lambda kv: ((kv[0][0], kv[0][1] // FLAT), (kv[0][1], kv[1]))).groupByKey(tasks).mapValues(joined)
+        groups = -(-groups // FLAT)
+    return [v for _, v in sorted(parts.map(lambda kv: (kv[0][0], finish(kv[0][0], kv[1]))).collect(), key=lambda kv: kv[0])]
+
+
 def _combine(a: tuple, b: tuple) -> tuple:
     if not (a[0] and b[0]):
         return b if b[0] else a

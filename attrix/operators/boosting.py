@@ -2,7 +2,8 @@
 
 Rows are binned once: a feature of few different values has a bin for each, another has bins between its quantiles. Each
 level of a tree takes one sweep over the packed rows, which adds up the gradient and the Hessian of the log loss by (model,
-node, bin); the driver picks every node's split from these sums, and leaf weights are -G / (H + l2), shrunk by the rate. Models
+node, bin); every node's split is picked from these sums on the executors, so that the driver gets a few numbers a node
+whatever the rows and bins, and leaf weights are -G / (H + l2), shrunk by the rate. Models
 that differ in the rows they leave out (folds) grow together in the same sweeps. Margins stay with the rows; one bounded
 array of trees is all that moves to them. Every ``CHECKPOINT`` rounds the rows' lineage is cut in the shared folder.
 
@@ -21,7 +22,7 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import packed_rows, total
+from .blocks import packed_rows, reduced, total
 
 CHECKPOINT = 20
 MAX_BINS = 255
@@ -158,6 +159,11 @@ def _histogram(rows: _Rows, splits: list[dict], bins: _Bins, level: int) -> np.n
     return out
 
 
+def _node_sums(v: np.ndarray, bins: _Bins) -> np.ndarray:
+    """Gradient and Hessian of every node; the slots of one feature hold every row once."""
+    return v[:, :, :int(bins.sizes[0])].sum(axis=2).T
+
+
 def _left_sums(v: np.ndarray, bins: _Bins) -> np.ndarray:
     """For every slot the sum of its feature's slots up to it."""
     running = np.cumsum(v, axis=1)
@@ -205,13 +211,20 @@ class _Sweeps:
     def __init__(self, blocks: RDD, start):
         self.older, self.state, self.moves = blocks, blocks.map(start).persist(StorageLevel.MEMORY_AND_DISK), 0
 
-    def total(self, sums) -> np.ndarray | None:
-        got = total(self.state, sums)
+    def _kept(self, got):
         if self.older is not None:
             self.older.unpersist()  # the state has been computed and is kept
             self.older = None
         return got
 
+    def total(self, sums) -> np.ndarray | None:
+        return self._kept(total(self.state, sums))
+
+    def picked(self, sums, pick, nodes: int) -> tuple[np.ndarray, ...]:
+        """What ``pick`` finds for each node in the rows of all sums, picked on the executors."""
+        pieces = min(nodes, self.state.context.defaultParallelism)
+        return tuple(map(np.concatenate, zip(*self._kept(reduced(self.state, sums, lambda _, part: pick(part), pieces)))))
+
     def move(self, change) -> None:
         self.older, self.state = self.state, self.state.map(change).persist(StorageLevel.MEMORY_AND_DISK)
         self.moves += 1
@@ -233,6 +246,9 @@ class _InTask:
     def total(self, sums) -> np.ndarray | None:
         return sum(sums(r) for r in self.rows) if self.rows else None
 
+    def picked(self, sums, pick, nodes: int) -> tuple[np.ndarray, ...]:
+        return pick(self.total(sums))
+
     def move(self, change) -> None:
         self.rows = [change(r) for r in self.rows]
 
@@ -245,13 +261,13 @@ def _grow(sweeps: _Sweeps | _InTask, bins: _Bins, s: BoostSettings, models: int)
     sums = np.zeros((2, models, size))  # gradient and Hessian of the nodes
     splits: list[dict] = []
     for level in range(s.depth):
-        got = sweeps.total(lambda r, done=tuple(splits), at=level: _histogram(r, list(done), bins, at))
         first, count = (1 << level) - 1, 1 << level
+        f, c, side, left_g, left_h, all_g, all_h = sweeps.picked(
+            lambda r, done=tuple(splits), at=level: _histogram(r, list(done), bins, at).swapaxes(1, 2).reshape(-1, 2, bins.slots),
+            lambda v: (*best_splits(v[:, 0], v[:, 1], bins, s), *_node_sums(v, bins)), models * count)
         if level == 0:
-            own = slice(0, int(bins.sizes[0]))  # the slots of one feature hold every row once
-            sums[:, :, 0] = got[:, :, 0, own].sum(axis=2).T
+            sums[:, :, 0] = all_g, all_h
         made = {"feature": np.full(shape, -1), "cut": np.zeros(shape, int), "missing_left": np.zeros(shape, bool)}
-        f, c, side, left_g, left_h = best_splits(got[:, 0].reshape(models * count, -1), got[:, 1].reshape(models * count, -1), bins, s)
         m, node = np.divmod(np.flatnonzero(f >= 0), count)
         won, at = m * count + node, first + node
         for name, value in (("feature", f), ("cut", c), ("missing_left", side)):

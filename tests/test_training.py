@@ -270,3 +270,42 @@ def test_the_report_is_one_plan(spark):
     assert "subquery" in parts["subgroup_fairness"]._jdf.queryExecution().optimizedPlan().toString().lower()
     row = head.first()
     assert row.recommended_threshold in {r.threshold for r in parts["threshold_comparison"].collect()}
+
+
+@pytest.fixture
+def collected(monkeypatch):
+    """Bytes of each result that ``RDD.collect`` brings to the driver."""
+    import pickle
+
+    from pyspark import RDD
+
+    sizes, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda rdd: (got := collect(rdd), sizes.append(len(pickle.dumps(got))))[0])
+    return sizes
+
+
+def many_parts(spark, parts, rows=400, width=12):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(rows, width))
+    y = (x[:, 0] + rng.normal(size=rows) > 0).astype(float)
+    return spark.createDataFrame([(r.tolist(), float(v), k % C.N_FOLDS) for k, (r, v) in enumerate(zip(x, y))],
+                                 "x array<double>, label double, fold int").repartition(parts)
+
+
+def test_boosting_sends_splits_not_histograms_to_the_driver(spark, collected):
+    df = many_parts(spark, 6)
+    cuts = boosting.cut_points(df, "x", 12)
+    collected.clear()
+    boosting.fit_boosted(df, "x", "label", 12, boosting.BoostSettings(2), cuts=cuts, in_task=False)
+    histogram = 2 * 8 * boosting._Bins(cuts).slots * 8  # of one partition at the last level
+    assert collected and max(collected) < histogram / 8
+
+
+def test_reduced_sums_are_whole_and_in_order(spark, monkeypatch):
+    from attrix.operators import blocks
+
+    monkeypatch.setattr(blocks, "FLAT", 2)
+    parts = spark.sparkContext.parallelize([np.full((5, 2), 10.0 ** k) for k in range(9)], 9)
+    got = blocks.reduced(parts, lambda b: b, lambda k, part: (k, part), 3)
+    assert [k for k, _ in got] == [0, 1, 2] and np.array_equal(np.concatenate([v for _, v in got]), np.full((5, 2), 111111111.0))
+    assert blocks.reduced(spark.sparkContext.parallelize([], 3), lambda b: b, lambda k, part: part, 2) == []

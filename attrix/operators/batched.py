@@ -1,10 +1,12 @@
 """Many penalised logistic regressions at once.
 
 A search fits one model for each parameter set and fold on the same rows. ``fit_batch`` advances all of them together: a sweep over the
-packed rows adds up loss, gradient and Hessian of every model that isn't done, the driver takes one proximal
-Newton step for each (coordinate descent on the quadratic model, so that an L1 penalty gives exact zeros), and the next
-sweep tells by the loss whether the step holds or has to be halved. A sweep's sums are models x (width + 1) ** 2
-numbers whatever the number of rows; a handful of sweeps replaces hundreds of separate fits.
+packed rows adds up loss, gradient and Hessian of every model that isn't done, the tasks that hold a model's sums take one
+proximal Newton step for it (coordinate descent on the quadratic model, so that an L1 penalty gives exact zeros), and the next
+sweep tells by the loss whether the step holds or has to be halved. A sweep's sums are models x (width + 1) * (width + 2) / 2
+numbers, added up on the executors; the driver gets models x width numbers whatever the number of rows. A handful of sweeps
+replaces hundreds of separate fits. The Hessians of all models are one product of their rows' weights with the rows' pairwise
+products of features.
 
 Each model minimises sum(w_i loss_i) + (1 / C) (ratio |b|_1 + (1 - ratio) / 2 |b|^2), the intercept unpenalised, with balanced
 class weights over its own rows: those of all folds but its own.
@@ -13,18 +15,20 @@ class weights over its own rows: those of all folds but its own.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 from pyspark import RDD
 
-from .blocks import total
+from .blocks import reduced, total
 
 #: A model is done when its step promises less than this share of its objective.
 TOLERANCE = 1e-14
 MAX_SWEEPS = 200
 #: Models of one sweep, so that a task's sums stay small.
 TOGETHER = 512
+#: Pairwise products of features that a task holds at once.
+PRODUCTS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -70,9 +74,21 @@ def _sums(block, beta: np.ndarray, folds: np.ndarray, weights: np.ndarray) -> np
     loss = (weight * np.logaddexp(0, -margin)).sum(axis=0)
     p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
     gradient = (weight * (p - y[:, None])).T @ x
-    curve = weight * p * (1 - p)
-    hessian = np.stack([(x * curve[:, [k]]).T @ x for k in range(len(beta))])
-    return np.column_stack([loss, gradient, hessian.reshape(len(beta), -1)])
+    curve = (weight * p * (1 - p)).T
+    left, right = np.triu_indices(x.shape[1])
+    hessian, strip = np.zeros((len(beta), len(left))), max(16, PRODUCTS // len(left))
+    for at in range(0, len(x), strip):
+        rows = x[at:at + strip]
+        hessian += curve[:, at:at + strip] @ (rows[:, left] * rows[:, right])
+    return np.column_stack([loss, gradient, hessian])
+
+
+def _symmetric(upper: np.ndarray, d: int) -> np.ndarray:
+    """Whole matrices from their upper triangles, one a row."""
+    left, right = np.triu_indices(d)
+    out = np.empty((len(upper), d, d))
+    out[:, left, right] = out[:, right, left] = upper
+    return out
 
 
 def _soft(v: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -117,37 +133,66 @@ def fit_batch(blocks: RDD, problems: Sequence[Problem], width: int, folds: int,
     return out
 
 
+@dataclass
+class _Search:
+    """Where every model stands: its last point that held, the point tried next, and the step between them."""
+
+    beta: np.ndarray
+    trial: np.ndarray
+    step: np.ndarray
+    promise: np.ndarray
+    objective: np.ndarray
+    length: np.ndarray
+    l1: np.ndarray
+    l2: np.ndarray
+
+    def of(self, models) -> _Search:
+        return _Search(*(getattr(self, f.name)[models] for f in fields(self)))
+
+    def put(self, models, other: _Search) -> None:
+        for f in fields(self):
+            getattr(self, f.name)[models] = getattr(other, f.name)
+
+    def penalty(self, b: np.ndarray) -> np.ndarray:
+        return self.l1 * np.abs(b[:, :-1]).sum(axis=1) + self.l2 / 2 * (b[:, :-1] ** 2).sum(axis=1)
+
+    def advanced(self, got: np.ndarray) -> tuple[_Search, np.ndarray]:
+        """The state after a sweep of these models at ``trial`` that gave the sums ``got``, and which of them are done."""
+        d = self.beta.shape[1]
+        value = got[:, 0] + self.penalty(self.trial)
+        holds = value <= self.objective + 1e-4 * self.length * self.promise + 1e-12 * np.abs(value)
+        if holds.any():
+            new, gradient = self.of(holds), got[holds, 1:1 + d]
+            new.beta, new.objective, new.length = new.trial, value[holds], np.ones(len(gradient))
+            to = proximal_step(new.beta, gradient, _symmetric(got[holds, 1 + d:], d), new.l1, new.l2)
+            new.step = to - new.beta
+            new.promise = (gradient * new.step).sum(axis=1) + new.penalty(to) - new.penalty(new.beta)
+            self.put(holds, new)
+        self.length[~holds] /= 2
+        self.trial = self.beta + self.length[:, None] * self.step
+        return self, (self.promise > -TOLERANCE * np.maximum(1, np.abs(self.objective))) | (self.length < 1e-10)
+
+
 def _fit(blocks: RDD, problems: list[Problem], width: int, counts: np.ndarray, max_sweeps: int) -> list[Fitted]:
     sc, n, d = blocks.context, len(problems), width + 1
-    l1 = np.array([p.l1_ratio / p.C for p in problems])
-    l2 = np.array([(1 - p.l1_ratio) / p.C for p in problems])
     fold = np.array([-1 if p.fold is None else p.fold for p in problems])
     weights = np.stack([balanced(counts, p.fold) for p in problems])
-    penalty = lambda b, m: l1[m] * np.abs(b[:, :-1]).sum(axis=1) + l2[m] / 2 * (b[:, :-1] ** 2).sum(axis=1)
-    beta, trial = np.zeros((n, d)), np.zeros((n, d))
-    step, promise, objective = np.zeros((n, d)), np.zeros(n), np.full(n, np.inf)
-    length, sweeps = np.ones(n), np.zeros(n, int)
-    active = np.arange(n)
+    at = _Search(np.zeros((n, d)), np.zeros((n, d)), np.zeros((n, d)), np.zeros(n), np.full(n, np.inf), np.ones(n),
+                 np.array([p.l1_ratio / p.C for p in problems]), np.array([(1 - p.l1_ratio) / p.C for p in problems]))
+    sweeps, active = np.zeros(n, int), np.arange(n)
     for _ in range(max_sweeps):
-        shared = sc.broadcast((trial[active], fold[active], weights[active]))
-        got = total(blocks, lambda b: _sums(b, *shared.value))
+        now, pieces = at.of(active), min(len(active), sc.defaultParallelism)
+        shared = sc.broadcast((now, fold[active], weights[active]))
+        got = reduced(blocks, lambda b: _sums(b, shared.value[0].trial, *shared.value[1:]), lambda k, sums: shared.value[0].of(
+            np.array_split(np.arange(len(shared.value[1])), pieces)[k]).advanced(sums), pieces)
         shared.destroy()
-        if got is None:  # no rows: nothing moves
+        if not got:  # no rows: nothing moves
             return [Fitted(p, np.zeros(width), 0.0, 0.0, 0) for p in problems]
         sweeps[active] += 1
-        value = got[:, 0] + penalty(trial[active], active)
-        holds = value <= objective[active] + 1e-4 * length[active] * promise[active] + 1e-12 * np.abs(value)
-        gradient, hessian = got[:, 1:1 + d], got[:, 1 + d:].reshape(-1, d, d)
-        new, back = active[holds], active[~holds]
-        beta[new], objective[new], length[new] = trial[new], value[holds], 1.0
-        if len(new):
-            to = proximal_step(beta[new], gradient[holds], hessian[holds], l1[new], l2[new])
-            step[new] = to - beta[new]
-            promise[new] = (gradient[holds] * step[new]).sum(axis=1) + penalty(to, new) - penalty(beta[new], new)
-        length[back] /= 2
-        trial[active] = beta[active] + length[active][:, None] * step[active]
-        done = (promise[active] > -TOLERANCE * np.maximum(1, np.abs(objective[active]))) | (length[active] < 1e-10)
-        active = active[~done]
+        for models, (moved, _) in zip(np.array_split(active, pieces), got):
+            at.put(models, moved)
+        active = active[~np.concatenate([done for _, done in got])]
         if not len(active):
             break
-    return [Fitted(p, beta[k, :-1].copy(), float(beta[k, -1]), float(objective[k]), int(sweeps[k])) for k, p in enumerate(problems)]
+    return [Fitted(p, at.beta[k, :-1].copy(), float(at.beta[k, -1]), float(at.objective[k]), int(sweeps[k]))
+            for k, p in enumerate(problems)]

@@ -309,3 +309,13 @@ def test_reduced_sums_are_whole_and_in_order(spark, monkeypatch):
     got = blocks.reduced(parts, lambda b: b, lambda k, part: (k, part), 3)
     assert [k for k, _ in got] == [0, 1, 2] and np.array_equal(np.concatenate([v for _, v in got]), np.full((5, 2), 111111111.0))
     assert blocks.reduced(spark.sparkContext.parallelize([], 3), lambda b: b, lambda k, part: part, 2) == []
+
+
+def test_a_search_sends_points_not_hessians_to_the_driver(spark, collected):
+    df = many_parts(spark, 6)
+    packed = T.packed_rows(df, "x", ["label", "fold"], 12)
+    collected.clear()
+    fitted = batched.fit_batch(packed, [batched.Problem(c, r, f) for c in (0.1, 1.0) for r in (0.0, 1.0) for f in range(C.N_FOLDS)],
+                               12, C.N_FOLDS)
+    packed.unpersist()
+    assert all(f.sweeps < 100 for f in fitted) and max(collected[1:]) < 2 * len(fitted) * 13 * 13 * 8 / 2

@@ -1,7 +1,7 @@
 """Model jobs.
 
-Single fits of logistic regression and forests are Spark ML estimators on the ``features`` vector built by
-``apply_prep``; searches, folds and boosted trees are the sweeps of ``batched`` and ``boosting``.
+Single fits of logistic regression are Spark ML estimators on the ``features`` vector built by
+``apply_prep``; searches, folds and boosted trees are the sweeps of ``batched`` and ``boosting``, forests are ``forest``.
 ``LinearScorer`` is the scoring side with literal coefficients: the
 probability is a built-in expression over the feature expressions, which
 keeps scoring inside whole-stage codegen and gives an exact SQL twin.
@@ -53,12 +53,11 @@ def logistic_regression(C_: float = 1.0, l1_ratio: float = 0.0, max_iter: int =
 def random_forest(n_trees: int = 300, seed: int = C.RANDOM_STATE, max_depth: int = 30):
     """Trees without a depth limit of their own; 30 is the deepest that Spark ML grows.
 
-    Each row keeps the node it stands in, so deep trees aren't sent to the executors and walked again for every level.
+    Spark ML's forest shuffles a histogram for each of the deep trees' nodes and holds all nodes on the driver.
     """
-    from pyspark.ml.classification import RandomForestClassifier
+    from .forest import Forest
 
-    return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                                  numTrees=n_trees, maxDepth=max_depth, seed=seed, cacheNodeIds=True)
+    return Forest(n_trees, max_depth, seed)
 
 
 def model_input(df: DataFrame, params: PrepParams, target: str = C.TARGET_COL, key: str = C.KEY_COL,

@@ -4,7 +4,7 @@ The model input (key, label, features, split, fold) is built once from the
 prepared split table and its lineage is cut with ``checkpoint()`` in the
 shared checkpoint folder; every fit reads it. Searches and folds of logistic
 regression are one batched fit, boosted trees of all folds grow together, and
-forests are Spark ML fits, submitted from a few threads. Held-out predictions of
+forests grow in ``forest``, several at a time. Held-out predictions of
 all folds and models are one table, scored by (model, fold) in one plan.
 """
 
@@ -183,7 +183,7 @@ def data_digest(data: DataFrame) -> str:
 
 
 #: Raised when fits or scores change, so that results of earlier code are never read.
-FIT_VERSION = 3
+FIT_VERSION = 4
 
 
 def fitted_once(spark: SparkSession, data: DataFrame, name: str, settings, build):

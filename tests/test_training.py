@@ -319,3 +319,37 @@ def test_a_search_sends_points_not_hessians_to_the_driver(spark, collected):
                                12, C.N_FOLDS)
     packed.unpersist()
     assert all(f.sweeps < 100 for f in fitted) and max(collected[1:]) < 2 * len(fitted) * 13 * 13 * 8 / 2
+
+
+def test_forests_grow_the_same_from_wide_nodes(spark, data, monkeypatch):
+    """Sweeps over wide nodes and tasks below them leave out no row or tree; the forest is not on the driver."""
+    from attrix.operators import forest
+
+    train, val = data.where("split = 'train'"), data.where("split = 'val'")
+    one = T.fit("random_forest", train, {"n_trees": 40})
+    monkeypatch.setattr(forest, "GROUP_ROWS", 60)
+    monkeypatch.setattr(forest, "TOGETHER", 15)
+    many = T.fit("random_forest", train, {"n_trees": 40})
+    for m in (one, many):
+        nodes = spark.read.parquet(m.path)
+        assert nodes.select("tree").distinct().count() == 40
+        p = T.predictions(m, val)
+        assert p.count() == val.count() and p.where("p < 0 or p > 1").count() == 0
+        assert T.scores(p)["roc_auc"] > 0.7
+    assert max(len(t.feature) for t in one.tops) == 1 and max(len(t.feature) for t in many.tops) > 3
+    assert np.allclose(one.featureImportances.toArray(), many.featureImportances.toArray(), atol=0.1)
+
+
+def test_a_tree_separates_what_its_features_separate():
+    from attrix.operators import forest
+
+    rng = np.random.default_rng(4)
+    for n in (40, 5000):  # runs of keys, and a cell for every bin
+        b = rng.integers(0, 30, (n, 3)).astype(np.uint8)
+        y = (b[:, 0].astype(int) + b[:, 1] > 30).astype(int)
+        tree = forest.grow(b, y, np.ones(n, np.int64), np.array([1.0, 2.0]), 3, 30, rng)
+        leaf = forest._leaf_of(tree.feature, tree.cut, tree.child, b)
+        same = {}
+        for row, label in zip(map(tuple, b), y):
+            same.setdefault(row, set()).add(label)
+        assert all(len(v) == 1 for v in same.values()) and np.array_equal(tree.w[leaf, 1] > tree.w[leaf, 0], y == 1)

@@ -207,3 +207,41 @@ def test_states_end_with_the_watermark():
     assert list(count(("k",), iter([]), state)) == [] and not state.exists
     state.hasTimedOut = False
     assert [x for f in count(("k",), iter([at(30)]), state) for x in f["occurrence"]] == [0, 1]
+
+
+def test_counts_of_records_share_a_state():
+    """Records of one bucket are counted apart, over batches, and dropped one by one as the watermark passes."""
+    import numpy as np
+    import pandas as pd
+
+    from attrix.streaming import scoring_stream as SS
+
+    class State:
+        hasTimedOut, value, watermark, timeout = False, None, 0, None
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+        getCurrentWatermarkMs = lambda self: self.watermark
+
+        def update(self, value):
+            self.value = value
+
+        def remove(self):
+            self.value = None
+
+        def setTimeoutTimestamp(self, at):
+            self.timeout = at
+
+    state, count = State(), SS._count_buckets(1000)
+
+    def batch(at, records):
+        frame = pd.DataFrame({"payload": records, "record": [f"{ord(r):032x}" for r in records], "arrived": pd.to_datetime([at] * len(records), unit="ms")})
+        return [n for f in count((1,), iter([frame[:2], frame[2:]]), state) for n in f["occurrence"]]
+
+    assert batch(10, list("babcb")) == [0, 0, 1, 0, 2]
+    assert batch(500, list("ad")) == [1, 0] and state.timeout == 1010
+    state.hasTimedOut, state.watermark = True, 1200  # b and c have passed, a and d came again or later
+    assert list(count((1,), iter([]), state)) == [] and len(np.frombuffer(state.value[0], SS._COUNT)) == 2 and state.timeout == 1500
+    state.hasTimedOut = False
+    assert batch(1300, list("abd")) == [2, 0, 1]
+    state.hasTimedOut, state.watermark = True, 9000
+    assert list(count((1,), iter([]), state)) == [] and not state.exists

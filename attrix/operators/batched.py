@@ -110,7 +110,7 @@ def proximal_step(beta: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, l
             out[:, j] = to
             slope += hessian[:, :, j] * move[:, None]
             largest = np.maximum(largest, np.abs(move))
-        if largest.max() < 1e-10:
+        if largest.max() < 1e-15:  # so that a model's step doesn't depend on those it shares a task with
             return out
     # with the signs found, the rest is linear
     for m in np.flatnonzero(largest >= 1e-10):

@@ -33,7 +33,7 @@ from ..operators.scoring import ScoringBundle, score_records
 SUMMARY = "total_records long, predicted_churn_count long, churn_rate double, mean_churn_probability double"
 _OCCURRENCES = "payload string, occurrence long"
 #: States over which records are dealt; part of what a checkpoint holds.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 12
 #: A record's digest, how often it came, and when its count is dropped.
 _COUNT = np.dtype([("record", "S32"), ("seen", "i8"), ("until", "i8")])
 

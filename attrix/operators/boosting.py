@@ -90,16 +90,19 @@ def cut_points(df: DataFrame, features: str, width: int, max_bins: int = MAX_BIN
     """Each feature's cuts in ascending order: all values but the least where there are few, quantiles otherwise."""
     long = df.select(F.posexplode(features).alias("idx", "value")).where("value is not null and not isnan(value)")
     values = long.groupBy("idx", "value").count()
-    few = values.groupBy("idx").agg(F.count("*").alias("n")).where(F.col("n") <= max_bins)
+    # a number a feature; joins instead would send all rows to the driver, as repeated values look small once compressed
+    kinds = {r["idx"]: r["n"] for r in values.groupBy("idx").agg(F.count("*").alias("n")).collect()}
+    few, many = [i for i, n in kinds.items() if n <= max_bins], [i for i, n in kinds.items() if n > max_bins]
     cuts: list[np.ndarray] = [np.zeros(0)] * width
-    listed = values.join(few, "idx").groupBy("idx").agg(F.array_sort(F.collect_list("value")).alias("v"))  # max_bins a feature
-    for r in listed.collect():
-        cuts[r["idx"]] = np.array(r["v"][1:])
-    many = values.groupBy("idx").agg(F.count("*").alias("n")).where(F.col("n") > max_bins).select("idx")
-    probs = [k / max_bins for k in range(1, max_bins)]
-    rest = long.join(many, "idx").groupBy("idx").agg(F.percentile_approx("value", probs, 100 * max_bins).alias("v"))
-    for r in rest.collect():
-        cuts[r["idx"]] = np.unique(r["v"])
+    if few:
+        listed = values.where(F.col("idx").isin(few)).groupBy("idx").agg(F.array_sort(F.collect_list("value")).alias("v"))
+        for r in listed.collect():  # max_bins a feature
+            cuts[r["idx"]] = np.array(r["v"][1:])
+    if many:
+        probs = [k / max_bins for k in range(1, max_bins)]
+        rest = long.where(F.col("idx").isin(many)).groupBy("idx").agg(F.percentile_approx("value", probs, 100 * max_bins).alias("v"))
+        for r in rest.collect():
+            cuts[r["idx"]] = np.unique(r["v"])
     return cuts
 
 

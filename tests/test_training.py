@@ -353,3 +353,18 @@ def test_a_tree_separates_what_its_features_separate():
         for row, label in zip(map(tuple, b), y):
             same.setdefault(row, set()).add(label)
         assert all(len(v) == 1 for v in same.values()) and np.array_equal(tree.w[leaf, 1] > tree.w[leaf, 0], y == 1)
+
+
+def test_cuts_are_found_without_joining_rows(spark, monkeypatch):
+    """A join of the values is planned by their compressed size, which sends all rows of repeated values to the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df = spark.createDataFrame([([float(k % 3), float(k), None if k % 2 else 1.0],) for k in range(300)], "x array<double>")
+
+    def join(*_, **__):
+        raise AssertionError("rows are joined")
+
+    monkeypatch.setattr(DataFrame, "join", join)
+    few, many, one = boosting.cut_points(df, "x", 3, 32)
+    assert few.tolist() == [1.0, 2.0] and one.tolist() == []
+    assert len(many) == 31 and np.abs(many - np.arange(1, 32) * 300 / 32).max() <= 1

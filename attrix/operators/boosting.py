@@ -316,8 +316,8 @@ def fit_boosted(df: DataFrame, features: str, label: str, width: int, settings:
                 cuts: list[np.ndarray] | None = None, in_task: bool | None = None) -> list[BoostedModel]:
     """One model for each entry of ``leave_out`` (a fold whose rows it doesn't see, or None), all grown together.
 
-    Where the rows are one partition (``rows`` is given and at most ``blocks.PARTITION_ROWS``), one task makes all sweeps instead
-    of one job for each; the models are the same.
+    Where the rows are one partition (``rows`` is given and at most ``blocks.PARTITION_ROWS``), a task for each model makes all its
+    sweeps instead of one job for each; the models are the same.
     """
     s = settings or BoostSettings()
     bins = _Bins(cut_points(df, features, width) if cuts is None else cuts)
@@ -326,16 +326,21 @@ def fit_boosted(df: DataFrame, features: str, label: str, width: int, settings:
     left_out = np.array([-1 if o is None else o for o in leave_out])
     models = len(left_out)
 
-    def start(block) -> _Rows:
+    def start(block, left_out=left_out) -> _Rows:
         x, other = block
         y = (other[:, 0] == 1).astype(float)
         weight = np.where(y == 1, s.positive_weight, 1.0) * (other[:, 1] != left_out[:, None])
         return _Rows(bins.of(x), y, weight, np.zeros(weight.shape))
 
     if (rows is not None and blocks.getNumPartitions() == 1) if in_task is None else in_task:
-        got = blocks.coalesce(1).mapPartitions(lambda it: [_boost(_InTask(it, start), bins, s, models)]).collect()
+        one = blocks.coalesce(1)
+
+        def alone(left: np.ndarray) -> RDD:
+            return one.mapPartitions(lambda it: _boost(_InTask(it, lambda b: start(b, left)), bins, s, 1))
+
+        got = one.context.union([alone(left_out[m:m + 1]) for m in range(models)]).collect()  # in the order of the models
         blocks.unpersist()
-        return got[0]
+        return got
     sweeps = _Sweeps(blocks, start)
     try:
         return _boost(sweeps, bins, s, models)

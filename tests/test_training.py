@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from attrix import config as C
@@ -368,3 +368,23 @@ def test_cuts_are_found_without_joining_rows(spark, monkeypatch):
     few, many, one = boosting.cut_points(df, "x", 3, 32)
     assert few.tolist() == [1.0, 2.0] and one.tolist() == []
     assert len(many) == 31 and np.abs(many - np.arange(1, 32) * 300 / 32).max() <= 1
+
+
+def test_models_of_few_rows_grow_in_a_task_each(spark, data):
+    """Folds on one partition don't wait for each other, and are the models that grow together."""
+    rows = data.where("split = 'train'").select(vector_to_array("features").alias("x"), "label", "fold").checkpoint()
+    s, left_out = boosting.BoostSettings(rounds=5, depth=3), [*range(C.N_FOLDS), None]
+    sc, group = spark.sparkContext, "in-task-models"
+    sc.setJobGroup(group, "boosting")
+    try:
+        alone = boosting.fit_boosted(rows, "x", "label", 3, s, "fold", left_out, rows.count())
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = sc.statusTracker().getJobIdsForGroup(group)
+    stages = [sc.statusTracker().getStageInfo(k) for j in jobs for k in sc.statusTracker().getJobInfo(j).stageIds]
+    assert len(left_out) in {k.numTasks for k in stages if k is not None}
+    together = boosting.fit_boosted(rows, "x", "label", 3, s, "fold", left_out, in_task=False)
+    for a, b in zip(alone, together, strict=True):
+        assert len(a.trees) == len(b.trees) and all(
+            np.array_equal(u.feature, v.feature) and np.allclose(u.cut, v.cut) and np.allclose(u.weight, v.weight)
+            for u, v in zip(a.trees, b.trees, strict=True))

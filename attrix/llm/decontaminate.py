@@ -115,7 +115,7 @@ class Index:
             text = int(np.searchsorted(begin, low + e + size // 2, side="right")) - 1
             if not 0 <= text < len(forms) or (text, k) in seen and seen[text, k] >= low:  # low may be negative
                 continue
-            edits, end = align(self.texts[k], data, low, 2 * (e + 1) + 2 * e)
+            edits, end = align(self.texts[k], data, low, 2 * (e + 1) + 2 * e, e)
             if edits <= e:
                 end -= int(begin[text])
                 out.append((text, k, max(0, end - size), min(end, len(forms[text])), edits))
@@ -123,8 +123,11 @@ class Index:
         return out
 
 
-def align(item: np.ndarray, data: np.ndarray, low: int, diagonals: int) -> tuple[int, int]:
-    """Least edits between the item and any stretch of the data on the diagonals from ``low`` on; that stretch's end."""
+def align(item: np.ndarray, data: np.ndarray, low: int, diagonals: int, most: int | None = None) -> tuple[int, int]:
+    """Least edits between the item and any stretch of the data on the diagonals from ``low`` on; that stretch's end.
+
+    The least cost never falls from byte to byte: once it is above ``most`` edits, what is found so far is given back.
+    """
     size = len(item)
     region = np.zeros(size + diagonals, np.uint8)
     a, b = max(0, low), min(len(data), low + size + diagonals)
@@ -135,6 +138,8 @@ def align(item: np.ndarray, data: np.ndarray, low: int, diagonals: int) -> tuple
         new = cost + (region[i:i + diagonals] != item[i])
         np.minimum(new[:-1], cost[1:] + 1, out=new[:-1])  # a byte of the item is missing
         cost = np.minimum.accumulate(new - step) + step    # bytes are put in
+        if most is not None and i & 7 == 7 and cost.min() > most:
+            break
     best = int(cost.argmin())
     return int(cost[best]), low + size + best
 

@@ -4,6 +4,7 @@ import random
 import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 from odd_cases import TEXTS, prose
 from pyspark.sql import functions as F
@@ -312,3 +313,15 @@ def test_rows_of_odd_documents(odd, nothing):
     assert out.columns == odd.columns
     assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted((str(i), str(t)) for i, t in TEXTS)
     assert surrogates.replace_entities(nothing)[0].collect() == []
+
+
+def test_alignments_over_their_edits_end_early():
+    """What is found within the edits stays the same; an alignment that can't be goes no further."""
+    item = np.frombuffer(decontaminate.normal(prose(31, 300).encode()), np.uint8)
+    other = np.frombuffer(decontaminate.normal(prose(977, 300).encode()), np.uint8)
+    e = len(item) // decontaminate.SHARE
+    near = np.concatenate([item[:200], item[203:]])
+    whole = decontaminate.align(item, near, -e, 4 * e + 2)
+    assert decontaminate.align(item, near, -e, 4 * e + 2, e) == whole and whole[0] <= e
+    full, early = decontaminate.align(item, other, -e, 4 * e + 2)[0], decontaminate.align(item, other, -e, 4 * e + 2, e)[0]
+    assert e < early < full

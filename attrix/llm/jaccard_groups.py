@@ -23,6 +23,7 @@ smallest id of its component's other rows, or null; an empty table gives no rows
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,6 +88,11 @@ def _sketch_rows(counts: np.ndarray, salt: int) -> pd.DataFrame:
                          "counts": [_planes(rows[k].copy()) for k in live]})
 
 
+def _packed(counts: bytes) -> bytes:
+    """A finished sketch row on its way to the driver: counters of 4 bytes, compressed."""
+    return zlib.compress(_planes(np.minimum(_from_planes(counts, np.dtype("<u8")), 2**24 - 1).astype("<u4")), 1)
+
+
 def _order_sketch(texts: DataFrame, words: int) -> np.ndarray:
     """Counts of shingles by the low bits of their hash over all documents; fixed size, summed in two levels."""
     salts = max(1, -(-input_partitions(texts) // 256))
@@ -117,9 +123,14 @@ def _order_sketch(texts: DataFrame, words: int) -> np.ndarray:
     rows = texts.select("text").mapInPandas(count, schema)
     for keys in (["chunk", "salt"], ["chunk"]) if salts > 1 else (["chunk"],):
         rows = rows.repartition(*keys).mapInPandas(add, schema)
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"chunk": frame["chunk"], "counts": [_packed(b) for b in frame["counts"]]})
+
     out = np.zeros((SKETCH // CHUNK, CHUNK), np.uint32)
-    for row in rows.toLocalIterator():  # SKETCH counters at any input size
-        out[row["chunk"]] = np.minimum(_from_planes(bytes(row["counts"]), np.dtype("<u8")), 2**24 - 1)
+    # at most 4 bytes for each of SKETCH counters at any input size, most of them zero bytes that compress away
+    for row in rows.mapInPandas(pack, "chunk int, counts binary").toLocalIterator():
+        out[row["chunk"]] = _from_planes(zlib.decompress(row["counts"]), np.dtype("<u4"))
     return out.reshape(-1)
 
 
@@ -343,7 +354,8 @@ def jaccard_components(docs: DataFrame, doc_col: str = "doc_id", text_col: str =
     likely, likely_path = stored(spark, _plausible(others.where("ga <> gb"), prefixes, percent).union(
         others.where("ga = gb")).select("a", "b"), "likely-pairs")
     more, more_path = stored(spark, _verified(likely, fetched(likely), percent), "links")
-    final = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    final = roots if more.isEmpty() else connected_components(
+        roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     rooted = nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -1,8 +1,12 @@
 """Jaccard components against all pairs, with caps of the salting and pairing lowered too."""
 
+import zlib
+
+import numpy as np
 import pytest
 
 from attrix.llm import jaccard_groups
+from attrix.llm.common import id_and_bytes
 from attrix.llm.components import connected_components
 
 from odd_cases import TEXTS, prose
@@ -65,3 +69,22 @@ def test_components_of_chains_and_stars(spark, odd):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(300, 300), (None, 5)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 160)}}
+
+
+def test_order_sketch_counts_every_shingle(spark, odd):
+    got = jaccard_groups._order_sketch(id_and_bytes(odd), jaccard_groups.WORDS)
+    want = np.zeros(jaccard_groups.SKETCH, np.int64)
+    for _, text in TEXTS:
+        low = jaccard_groups.shingle_hashes((text or "").encode()) & np.uint64(jaccard_groups.SKETCH - 1)
+        np.add.at(want, low.astype(np.int64), 1)
+    assert (got == want).all()
+
+
+def test_sketch_rows_reach_the_driver_small():
+    """A row of few counts takes little of the driver's memory, however many counters it has."""
+    counts = np.zeros(jaccard_groups.CHUNK, "<u8")
+    counts[[3, 70, 4000]] = 1, 300, 2**30
+    row = jaccard_groups._packed(jaccard_groups._planes(counts))
+    assert len(row) < counts.nbytes // 100
+    back = jaccard_groups._from_planes(zlib.decompress(row), np.dtype("<u4"))
+    assert back.tolist() == np.minimum(counts, 2**24 - 1).tolist()

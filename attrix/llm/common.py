@@ -141,6 +141,13 @@ class Kept(dict):
             self[piece] = got
         return got
 
+    def find(self, piece):
+        """What both generations know of a piece, or None."""
+        got = self.get(piece)
+        if got is None and (got := self.older.get(piece)) is not None:
+            self[piece] = got
+        return got
+
     def turn(self) -> None:
         if len(self) > self.size:
             self.older = dict(self)

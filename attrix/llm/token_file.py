@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,10 @@ BLOCK_IDS = 1 << 18      # a block is closed when it has as many ids; longer doc
 SAMPLE = 64              # set bits between two select samples
 CACHE_CHUNKS = 500_000   # chunks in each of the two generations whose ids a worker keeps
 JOINED_CHUNKS = 500      # new chunks that go to the library in one call
-ENCODED_CHARS = 1 << 20  # characters of texts that are encoded together
+ENCODED_CHARS = 1 << 22  # characters of texts that are encoded together
 CACHED_CHARS = 64        # longer chunks are encoded anew
+CACHE_MARKS = 10_000     # closing marks whose ids a worker keeps
+MARKS = string.punctuation
 
 ARRAY_CODES = {"u2": "H", "u4": "I"}
 #: White space that only Python counts as such, and what keeps a text from being cut at spaces and line ends alone.
@@ -123,84 +127,103 @@ class ChunkEncoder:
         self.cut = re.compile(r" ?\S+|\s+(?!\S)|\s")
         (self.line_end,) = self._ids("\n")
         self.symbols = dict(enumerate(byte_symbols()))
-        self.marks = {m: self._ids(m).tobytes() for m in ",.!?;:"}
+        self.marks: dict[str, bytes] = {}
         self.kept = Kept(CACHE_CHUNKS)
 
     def _ids(self, text: str) -> np.ndarray:
         (got,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(got.ids, self.kind)
 
+    def _even(self, text: str) -> bool:
+        """Whether spaces and line ends alone say where the text's chunks end."""
+        return not (text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN))
+
     def _chunks(self, text: str) -> list[str]:
         """The text's chunks; those after a space go without it, others have a line end in front as a mark."""
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN):
-            return [c[1:] if c[0] == " " and c[1:].strip() else "\n" + c for c in self.cut.findall(text)]
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n\n")
-            words = line.split(" ")
-            words[0] = "\n" + words[0]
-            out += words
-        return out
-
-    def _learn(self, chunks: list[str], into: Kept) -> None:
-        """Ids of new chunks. The pre-tokenizer cuts between a letter or digit and a closing mark, so that such a
-        chunk's ids are those of its body and of the mark."""
-        joined: list[str] = []
-        closed: list[str] = []
-        bodies: set[str] = set()
-        for c in chunks:
-            if c[0] == "\n" and not c[1:].strip():
-                into[c] = self._ids(c[1:]).tobytes()  # white space alone
-            elif c[-1] in self.marks and len(c) > 1 and c[-2].isalnum():
-                closed.append(c)
-                if into[c[:-1]] is None:
-                    bodies.add(c[:-1])
-            else:
-                joined.append(c)
-        joined += bodies.difference(joined)
-        tokenize, symbols, code, several = self.tokenizer.model.tokenize, self.symbols, self.kind[1:], []
-        for c in joined:
+        return [c[1:] if c[0] == " " and c[1:].strip() else "\n" + c for c in self.cut.findall(text)]
+
+    def _mark_ids(self, marks: str) -> bytes:
+        got = self.marks.get(marks)
+        if got is None:
+            got = self._ids(marks).tobytes()
+            if len(self.marks) < CACHE_MARKS:
+                self.marks[marks] = got
+        return got
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that aren't kept. The pre-tokenizer cuts between a letter or digit and the marks that end a
+        chunk, so that such a chunk's ids are those of its body, which is kept in its place, and of the marks."""
+        kept = self.kept
+        bodies = [c.rstrip(MARKS) if c[-1] in MARKS else c for c in chunks]
+        bodies = [b if b and b[-1].isalnum() else c for b, c in zip(bodies, chunks)]
+        wanted = set(bodies)
+        ids = dict(zip(wanted, map(kept.find, wanted)))
+        new = [c for c, x in ids.items() if x is None]
+        several: list[str] = []
+        tokenize, code, symbols = self.tokenizer.model.tokenize, ARRAY_CODES[self.kind[1:]], self.symbols
+        space = symbols[32]
+        for c in new:
             word = c[1:] if c[0] == "\n" else c
             if word.isalpha():  # one word for the pre-tokenizer: straight to the model
-                text = word if c[0] == "\n" else " " + word
-                tokens = tokenize(text.encode().decode("latin-1").translate(symbols))
-                into[c] = array(ARRAY_CODES[code], [t.id for t in tokens]).tobytes()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(symbols)
+                ids[c] = array(code, [t.id for t in tokenize(word if c[0] == "\n" else space + word)]).tobytes()
+            elif c[0] == "\n" and not word.strip():
+                ids[c] = self._ids(word).tobytes()  # white space alone
             else:
                 several.append(c)
-        joined = several
-        for at in range(0, len(joined), JOINED_CHUNKS):
-            some = joined[at:at + JOINED_CHUNKS]
-            ids = self._ids("\n".join([c[1:] if c[0] == "\n" else " " + c for c in some]))
-            ends = np.flatnonzero(ids == self.line_end)
+        for at in range(0, len(several), JOINED_CHUNKS):
+            some = several[at:at + JOINED_CHUNKS]
+            got = self._ids("\n".join([c[1:] if c[0] == "\n" else " " + c for c in some]))
+            ends = np.flatnonzero(got == self.line_end)
             starts = np.concatenate([[0], ends + 1]) * self.id_bytes
-            stops = np.concatenate([ends, [len(ids)]]) * self.id_bytes
-            data = ids.tobytes()
-            into.update(zip(some, [data[i:j] for i, j in zip(starts.tolist(), stops.tolist())], strict=True))
-        for c in closed:
-            into[c] = into[c[:-1]] + self.marks[c[-1]]
+            stops = np.concatenate([ends, [len(got)]]) * self.id_bytes
+            data = got.tobytes()
+            ids.update(zip(some, [data[i:j] for i, j in zip(starts.tolist(), stops.tolist())], strict=True))
+        kept.update([(c, ids[c]) for c in new if len(c) <= CACHED_CHARS])
+        return [ids[c] if len(b) == len(c) else ids[b] + self._mark_ids(c[len(b):]) for b, c in zip(bodies, chunks)]
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks, from what is kept or the library."""
+        got = list(map(self.kept.get, chunks))
+        at = [k for k, x in enumerate(got) if x is None]
+        for k, x in zip(at, self._learn([chunks[k] for k in at]) if at else ()):
+            got[k] = x
+        return got
+
+    def _encode_even(self, texts: list[str]) -> list[bytes]:
+        """Each text is a row of chunks with a space in front (a line end is one of its own); Arrow finds the
+        different ones, and the chunks' ids are put together by their codes."""
+        rows = [" \n" + t.replace("\n", " \n\n \n") for t in texts]
+        data = np.frombuffer("".join(rows).encode(), np.uint8)
+        starts = np.flatnonzero(data == 32)
+        offsets = np.append(starts, len(data)).astype("<i8")
+        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        own = self._ids_of("".join(chunks.dictionary.to_numpy(zero_copy_only=False)).split(" ")[1:])
+        size = np.fromiter(map(len, own), np.int64, len(own)) // self.id_bytes
+        known, codes = np.frombuffer(b"".join(own), self.kind), chunks.indices.to_numpy()
+        sizes = size[codes]
+        ends = np.cumsum(sizes)
+        ids = known[np.repeat((np.cumsum(size) - size)[codes] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        bounds = np.append(0, ends[np.cumsum([r.count(" ") for r in rows]) - 1]).tolist()
+        return [ids[i:j].tobytes() for i, j in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(x in t for x in self.whole) else self._chunks(t) if t else [] for t in texts]
-        kept = self.kept
-        got = [chunks and list(map(kept.__getitem__, chunks)) for chunks in cut]
-        new = list(kept.new)
-        if new:
-            self._learn(new, kept)
-            kept.new.clear()
-        out = []
-        for text, chunks, ids in zip(texts, cut, got):
-            if chunks is None:
-                out.append(self._ids(text).tobytes())
-            elif None in ids:
-                out.append(b"".join([kept[c] if x is None else x for x, c in zip(ids, chunks)]))
-            else:
-                out.append(b"".join(ids))
-        for c in new:
-            if len(c) > CACHED_CHARS:
-                kept.pop(c, None)
-                kept.pop(c[:-1], None)
-        kept.turn()
+        out: list[bytes] = [b""] * len(texts)
+        even: list[int] = []
+        for k, text in enumerate(texts):
+            if any(x in text for x in self.whole):
+                out[k] = self._ids(text).tobytes()
+            elif text and self._even(text):
+                even.append(k)
+            elif text:
+                chunks = self._chunks(text)
+                wanted = list(set(chunks))
+                out[k] = b"".join(map(dict(zip(wanted, self._ids_of(wanted))).__getitem__, chunks))
+        if even:
+            for k, ids in zip(even, self._encode_even([texts[k] for k in even])):
+                out[k] = ids
+        self.kept.turn()
         return out
 
 

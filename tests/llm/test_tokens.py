@@ -39,6 +39,16 @@ def test_small_caches_change_nothing(odd_texts, monkeypatch):
     assert [own.encode([t])[0] for t in odd_texts] == whole
 
 
+def test_closing_marks_are_not_learned_with_their_words():
+    own, lib = token_file.ChunkEncoder(tokenizer("byte_bpe_50k.json")), Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    own.encode(["first word$$$ word&&& word!!", "first line, word?\nword..."])
+    assert set(own.kept) == {"\nfirst", "word", "line", "\nword", "\n\n"}
+    marks = [*token_file.MARKS, *(a + b for a in token_file.MARKS for b in token_file.MARKS)]
+    texts = [f"{w}{m} {w}{m}\n{m}{w}{m} {m}" for w in ("don't", "Ünï", "12", "ab-c9", "日本") for m in marks]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, own.kind).tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_rank_array_equals_the_library(odd_texts):
     path = tokenizer("word_bpe_49k.json")
     own, lib = rank_bpe.RankBpe(path), Tokenizer.from_file(path)

@@ -154,6 +154,16 @@ class Kept(dict):
             self.clear()
 
 
+def give_back() -> None:
+    """Returns this worker's free memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        pass
+
+
 _HOLDER: list = []
 
 
@@ -161,10 +171,5 @@ def hold(name: str, clear) -> None:
     """Says that the operator ``name`` keeps things in this worker; what another one kept before goes back to the system."""
     if _HOLDER and _HOLDER[0] != name:
         _HOLDER[1]()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library keeps its own ways
-            pass
+        give_back()
     _HOLDER[:] = [name, clear]

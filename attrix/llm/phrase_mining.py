@@ -9,9 +9,10 @@ phrase fails; then every frequent phrase was counted, since its parts are freque
 Proposals are kept as two bit tables of fixed size (``WORD_BITS``, ``PAIR_BITS``), the only thing that is broadcast or reaches
 the driver. Phrases that share a bit are counted although nobody proposed them, which costs work but changes no result.
 Tasks number the words they meet, count the runs of numbers in arrays of bounded size, and deal the counts over shards by
-hash; a shard's counts are added up in one group. Shards grow in number with the input, a hot phrase is one entry a task,
-so no group is hot. A word stands for itself in the shuffle by a 64-bit hash of language and word; the words' own table shows
-whether two words share the hash of a frequent one, and then all is counted again with another salt.
+hash, as compressed blocks of bounded size; a shard's counts are added up in one group, a range of first words after the
+other. Shards grow in number with the input, a hot phrase is one entry a task, so no group is hot. A word stands for itself
+in the shuffle by a 64-bit hash of language and word; the words' own table shows whether two words share the hash of a
+frequent one, and then all is counted again with another salt.
 
 A candidate's cuts, the scores and the drop of phrases inside longer ones are joins of the frequent phrases. Products
 are decimals of 38 digits, exact for counts below 10 ** 16, more than there are words in 10 PB of text. Ties are ordered by
@@ -32,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrix.llm.common import input_partitions, mix64, stored
+from attrix.llm.common import give_back, input_partitions, mix64, stored
 
 MIN_COUNT = 10
 TOP = 2000
@@ -47,8 +49,9 @@ WORD_BITS, PAIR_BITS = 24, 27
 
 #: A task's bounds: bytes of a slice of text, words of a run, different words and phrases held.
 SLICE, RUN_WORDS, VOCABULARY, HELD = 1 << 20, 200_000, 1 << 18, 1_000_000
-#: Blocks handed over at once, so that no Arrow batch holds a whole task's counts.
-HANDED = 32
+#: Texts taken from an Arrow batch at once; phrases of a block; bytes of blocks handed over at once, so that no row or Arrow batch
+#: holds a whole task's counts; phrases of a shard added up at once.
+TAKEN, BLOCK, HANDED, MERGED = 256, 1 << 14, 1 << 20, 1 << 17
 #: Bits of a word's number in a packed phrase: more than VOCABULARY and the words of a run and a slice together.
 WIDTH = 21
 BREAK = b"\xff"  # in no UTF-8 text; parts pieces, is number 0
@@ -107,7 +110,7 @@ class _Numbers(dict):
         return number
 
 
-_BLOCKS = "level int, shard long, lang string, h1 binary, h2 binary, h3 binary, n binary, words binary"
+_BLOCKS = "level int, shard long, lang string, phrases long, size long, packed binary"
 _COLUMNS = ["level", "shard", "lang", "h1", "h2", "h3", "n", "words"]
 
 
@@ -191,7 +194,7 @@ class TaskCounts:
             self.held[level].append(np.unique(keys, return_counts=True))
 
     def _summed(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        if not self.held[level]:
+        if not any(len(k) for k, _ in self.held[level]):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         keys, n = (np.concatenate(x) for x in zip(*self.held[level]))
         order = np.argsort(keys, kind="stable")
@@ -200,45 +203,87 @@ class TaskCounts:
         return keys[first], np.add.reduceat(n, first)
 
     def flush(self) -> Iterator[pd.DataFrame]:
-        """The counts as blocks, one for each shard; the task begins anew."""
+        """The counts as blocks of one shard each; the task begins anew."""
+        rows, size = [], 0
+        for row in self._blocks():
+            rows.append(row)
+            size += sum(len(x) for x in row[3:])
+            if size >= HANDED:
+                yield pd.DataFrame(rows, columns=_COLUMNS)
+                rows, size = [], 0
+        self._restart()
+        if rows:
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    def _blocks(self) -> Iterator[tuple]:
         h = np.array(self.hashes, np.uint64)
-        rows = []
+        down, small = np.uint64(64 - self.shards), np.uint16 if self.shards <= 16 else np.uint64
         for level in (2, 3):
             keys, n = self._summed(level)
-            parts = [h[(keys >> (k * WIDTH)) & _MASK] for k in range(level - 1, -1, -1)]
-            hashed = pair_hash(parts[0], parts[1])
-            rows += self._dealt(level, pair_hash(hashed, parts[2]) if level == 3 else hashed, parts, n)
-        if self.with_words:
-            own = np.concatenate([np.zeros(0, np.int64), *[np.fromiter(k.values(), np.int64, len(k)) for k in self.langs.values()]])
-            of = np.repeat(np.arange(len(self.langs)), [len(k) for k in self.langs.values()])
-            met = (own > 0) & (np.pad(self.counts, (0, len(h) - len(self.counts)))[own] > 0)
-            own, of = own[met], of[met]
-            rows += self._dealt(1, h[own], [h[own]], self.counts[own], own, of)
-        self._restart()
-        while rows:
-            yield pd.DataFrame(rows[-HANDED:], columns=_COLUMNS)
-            del rows[-HANDED:]
-
-    def _dealt(self, level: int, hashes: np.ndarray, parts: list, n: np.ndarray, words: np.ndarray | None = None,
-               langs: np.ndarray | None = None) -> list:
-        if not len(n):
-            return []
-        shard = hashes >> np.uint64(64 - self.shards)
-        # equal first words side by side compress well; words stand by language
-        order = np.lexsort((*parts[1::-1], shard) if langs is None else (langs, shard))
-        shard = shard[order]
-        bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-        out, names = [], list(self.langs)
+            self.held[level] = []
+            shard = np.empty(len(keys), small)
+            for k in range(0, len(keys), MERGED):
+                parts = _parts(level, h, keys[k:k + MERGED])
+                hashed = pair_hash(parts[0], parts[1])
+                shard[k:k + MERGED] = (pair_hash(hashed, parts[2]) if level == 3 else hashed) >> down
+            for which, own in _by_shard(shard):
+                parts = _parts(level, h, keys[own])
+                order = np.lexsort(parts[1::-1])  # equal first words side by side compress well, and are found by range
+                for k in range(0, len(own), BLOCK):
+                    piece = order[k:k + BLOCK]
+                    packed = [p[piece].tobytes() for p in parts] + [b""] * (3 - level)
+                    yield level, which, None, *packed, n[own[piece]].astype(np.uint32).tobytes(), b""
+        if not self.with_words:
+            return
+        own = np.concatenate([np.zeros(0, np.int64), *[np.fromiter(k.values(), np.int64, len(k)) for k in self.langs.values()]])
+        of = np.repeat(np.arange(len(self.langs)), [len(k) for k in self.langs.values()])
+        counts, names = np.pad(self.counts, (0, len(h) - len(self.counts))), list(self.langs)
+        met = (own > 0) & (counts[own] > 0)
+        own, of = own[met], of[met]  # words stand by language
+        for which, at in _by_shard((h[own] >> down).astype(small)):
+            for k in range(0, len(at), BLOCK):
+                piece = at[k:k + BLOCK]
+                lang, many = np.unique(of[piece], return_counts=True)
+                listed = json.dumps([[names[g], int(c)] for g, c in zip(lang, many)])
+                words = own[piece]
+                yield (1, which, listed, h[words].tobytes(), b"", b"", counts[words].astype(np.uint32).tobytes(),
+                       b"\n".join([self.words[w] for w in words.tolist()]))
+
+
+def _parts(level: int, h: np.ndarray, keys: np.ndarray) -> list:
+    """The hashes of the words of packed phrases."""
+    return [h[(keys >> (k * WIDTH)) & _MASK] for k in range(level - 1, -1, -1)]
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each shard, in order."""
+    if len(shard):
+        order = np.argsort(shard, kind="stable")
+        dealt = shard[order]
+        bounds = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1], [True]]))
         for a, b in zip(bounds[:-1], bounds[1:]):
-            own = order[a:b]
-            packed = [p[own].tobytes() for p in parts] + [b""] * (3 - len(parts))
-            listed, text = None, b""
-            if words is not None:
-                which, many = np.unique(langs[own], return_counts=True)
-                listed = json.dumps([[names[k], int(c)] for k, c in zip(which, many)])
-                text = b"\n".join(self.words[k] for k in words[own])
-            out.append((level, int(shard[a]), listed, *packed, n[own].astype(np.uint32).tobytes(), text))
-        return out
+            yield int(dealt[a]), order[a:b]
+
+
+def _packed(frame: pd.DataFrame) -> pa.RecordBatch:
+    """Blocks as rows of the shuffle: all of a block's parts compressed together."""
+    whole = [b"".join(b) for b in zip(*(frame[c] for c in _COLUMNS[3:]))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(frame["level"], pa.int32()), pa.array(frame["shard"], pa.int64()), pa.array(frame["lang"], pa.string(), from_pandas=True),
+         pa.array([len(n) // 4 for n in frame["n"]], pa.int64()), pa.array([len(w) for w in whole], pa.int64()),
+         pa.array([pa.compress(w, codec="zstd", asbytes=True) for w in whole], pa.binary())],
+        ["level", "shard", "lang", "phrases", "size", "packed"])
+
+
+def _unpacked(frame: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of one shard of one level."""
+    level, rows = int(frame["level"].iloc[0]), []
+    for lang, phrases, size, packed in zip(frame["lang"], frame["phrases"], frame["size"], frame["packed"]):
+        whole = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True)
+        view, at = memoryview(whole), 8 * phrases * level
+        parts = [view[8 * phrases * k:8 * phrases * (k + 1)] for k in range(level)] + [b""] * (3 - level)
+        rows.append((level, int(frame["shard"].iloc[0]), lang, *parts, view[at:at + 4 * phrases], whole[at + 4 * phrases:]))
+    return pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def _rows(**columns) -> pd.DataFrame:
@@ -257,56 +302,75 @@ def _merged(frame: pd.DataFrame, shards: int, least: int, proposals: Proposals,
     Words also give the sum of their counts per language (level 0) and the hashes of two words (level -1).
     """
     level, shard = int(frame["level"].iloc[0]), int(frame["shard"].iloc[0])
-    parts = [np.concatenate([np.frombuffer(b, np.uint64) for b in frame[f"h{k + 1}"]]) for k in range(level)]
-    n = np.concatenate([np.frombuffer(b, np.uint32) for b in frame["n"]]).astype(np.int64)
-    order = np.lexsort(parts[::-1])
-    parts, n = [p[order] for p in parts], n[order]
-    new = np.concatenate([[True], np.any([p[1:] != p[:-1] for p in parts], axis=0)])
-    first = np.flatnonzero(new)
-    total = np.add.reduceat(n, first)
-    rows = []
-    if not sampled:
-        which = np.flatnonzero(total >= least)
-        hashes = {f"h{k + 1}": p[first[which]].view(np.int64) for k, p in enumerate(parts)}
-        found = _rows(level=np.full(len(which), level), n=total[which], **hashes)
-        if level == 1:
-            words = [w for block in frame["words"] for w in block.split(b"\n")]
-            langs = [g for block in frame["lang"] for g, many in json.loads(block) for _ in range(many)]
-            of = pd.Series(n).groupby([langs[k] for k in order], sort=False).sum()
-            rows.append(_rows(level=np.zeros(len(of), int), lang=of.index, n=of.to_numpy()))
-            found["lang"] = pd.Series([langs[order[first[k]]] for k in which], dtype=object)
-            found["word"] = pd.Series([words[order[first[k]]].decode("utf-8", "replace") for k in which], dtype=object)
-            ends = np.append(first, len(n))
-            for k in which:
-                own = {(langs[j], words[j]) for j in order[ends[k]:ends[k + 1]]}
-                if len(own) > 1:
-                    rows.append(_rows(level=[-1], n=[len(own)]))
-        rows.append(found)
-    if level < 3:
-        hashes = (parts[0] if level == 1 else pair_hash(parts[0], parts[1]))[first]
-        wanted = hashes[total >= least]
-        wanted = wanted[~proposals.has(level, wanted)]
-        if len(wanted):
-            rows.append(_rows(level=[level], segment=[proposals.segment(level, shard, shards, wanted)]))
+    blocks = [[np.frombuffer(b, np.uint64) for b in frame[f"h{k + 1}"]] for k in range(level)]
+    ns = [np.frombuffer(b, np.uint32) for b in frame["n"]]
+    rows, wanted = [], []
+    for cut in _ranges(level, blocks[0]):
+        parts = [np.concatenate([b[c] for b, c in zip(p, cut)]) for p in blocks]
+        n = np.concatenate([b[c] for b, c in zip(ns, cut)]).astype(np.int64)
+        if not len(n):
+            continue
+        order = np.lexsort(parts[::-1])
+        parts, n = [p[order] for p in parts], n[order]
+        new = np.concatenate([[True], np.any([p[1:] != p[:-1] for p in parts], axis=0)])
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(n, first)
+        if not sampled:
+            which = np.flatnonzero(total >= least)
+            hashes = {f"h{k + 1}": p[first[which]].view(np.int64) for k, p in enumerate(parts)}
+            found = _rows(level=np.full(len(which), level), n=total[which], **hashes)
+            if level == 1:
+                words = [w for block in frame["words"] for w in block.split(b"\n")]
+                langs = [g for block in frame["lang"] for g, many in json.loads(block) for _ in range(many)]
+                of = pd.Series(n).groupby([langs[k] for k in order], sort=False).sum()
+                rows.append(_rows(level=np.zeros(len(of), int), lang=of.index, n=of.to_numpy()))
+                found["lang"] = pd.Series([langs[order[first[k]]] for k in which], dtype=object)
+                found["word"] = pd.Series([words[order[first[k]]].decode("utf-8", "replace") for k in which], dtype=object)
+                ends = np.append(first, len(n))
+                for k in which:
+                    own = {(langs[j], words[j]) for j in order[ends[k]:ends[k + 1]]}
+                    if len(own) > 1:
+                        rows.append(_rows(level=[-1], n=[len(own)]))
+            if len(found):
+                rows.append(found)
+        if level < 3:
+            first = first[total >= least]
+            hashes = parts[0][first] if level == 1 else pair_hash(parts[0][first], parts[1][first])
+            wanted.append(hashes[~proposals.has(level, hashes)])
+    if wanted and len(hashes := np.concatenate(wanted)):
+        rows.append(_rows(level=[level], segment=[proposals.segment(level, shard, shards, hashes)]))
     return pd.concat(rows or [_rows(level=[])], ignore_index=True).assign(shard=shard)
 
 
+def _ranges(level: int, firsts: list) -> Iterator[list[slice]]:
+    """Slices of blocks that can be added up one after the other. Blocks of pairs and triples stand by their first word's hash."""
+    ranges = 1 if level == 1 else -(-sum(map(len, firsts)) // MERGED)
+    bounds = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    cuts = [[0, *np.searchsorted(h, bounds).tolist(), len(h)] for h in firsts]
+    for k in range(ranges):
+        yield [slice(c[k], c[k + 1]) for c in cuts]
+
+
 def _pass(rows: DataFrame, salt: int, shards: int, least: int, old: Proposals | None, new: Proposals, sampled: bool) -> tuple[DataFrame, Proposals]:
     """Counts what ``new`` admits and ``old`` doesn't: the stored findings, and the proposals with the failures."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((old, new))
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, now = shared.value
         task = TaskCounts(salt, shards, before, None if sampled else now, before is None, 2 if sampled else 3)
-        for frame in frames:
-            for lang, text in zip(frame["lang"], frame["text"]):
-                yield from task.add(lang, text)
-        yield from task.count()
-        yield from task.flush()
-
-    merged = rows.mapInPandas(count, _BLOCKS).groupBy("level", "shard").applyInPandas(
-        lambda f: _merged(f, shards, least, shared.value[1], sampled), _FOUND)
+        for batch in batches:
+            for k in range(0, batch.num_rows, TAKEN):
+                some = batch.slice(k, TAKEN)
+                for lang, text in zip(some.column("lang").to_pylist(), some.column("text").to_pylist()):
+                    yield from map(_packed, task.add(lang, text))
+        yield from map(_packed, task.count())
+        yield from map(_packed, task.flush())
+        del task
+        give_back()
+
+    merged = rows.mapInArrow(count, _BLOCKS).groupBy("level", "shard").applyInPandas(
+        lambda f: _merged(_unpacked(f), shards, least, shared.value[1], sampled), _FOUND)
     found, _ = stored(spark, merged, "phrase-counts", ["level"])
     segments = found.where("segment is not null").select("level", "shard", "segment").collect()  # the tables' bits, compressed
     after = new.joined(segments, shards) if segments else new

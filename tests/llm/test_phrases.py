@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -120,3 +121,63 @@ def test_scores_beyond_64_bits(spark, odd):
 
     got = df.select(phrase_mining._score("a", F.col("l"), F.col("r")).alias("s")).first().s
     assert got == 10**6 * (9 * 10**14) ** 2 // ((9 * 10**14 + 1) * 10**15)
+
+
+def test_a_task_that_holds_many_pairs_and_no_triple(monkeypatch):
+    """As in the pass over the sample, which counts no triples."""
+    monkeypatch.setattr(phrase_mining, "HELD", 3)
+    task = phrase_mining.TaskCounts(0, 1, None, None, True, 2)
+    blocks = [b for k in range(5) for b in [*task.add("en", b"a b c d e f g h"), *task.count()]]
+    blocks = pd.concat([*blocks, *task.flush()], ignore_index=True)
+    got = {level: sum(np.frombuffer(n, np.uint32).sum() for n in blocks[blocks.level == level]["n"]) for level in (1, 2, 3)}
+    assert got == {1: 40, 2: 35, 3: 0}
+
+
+def test_blocks_and_batches_stay_small():
+    """A task's counts leave it in pieces, also where it has few shards."""
+    every = phrase_mining.Proposals(10, 10)
+    for bits in every.bits.values():
+        bits[:] = 255
+    task = phrase_mining.TaskCounts(0, 1, None, every, True, 3)
+    text = " ".join(f"w{k}" for k in range(200_000)).encode()
+    frames = [*task.add("en", text), *task.count(), *task.flush()]
+    sizes = [[sum(len(x) for x in row[3:]) for row in f.itertuples(index=False)] for f in frames]
+    assert max(max(s) for s in sizes) < 1 << 19 and max(map(sum, sizes)) < 1 << 21
+    entries = pd.concat(frames).groupby("level")["n"].agg(lambda c: sum(map(len, c)) // 4)
+    assert entries.to_dict() == {1: 200_000, 2: 199_999, 3: 199_998}
+
+
+def test_blocks_come_back_as_they_were_sent():
+    every = phrase_mining.Proposals(10, 10)
+    for bits in every.bits.values():
+        bits[:] = 255
+    task = phrase_mining.TaskCounts(0, 1, None, every, True, 3)
+    blocks = pd.concat([*task.add("en", b"a b c a b"), *task.add("und", b"a \xc3\xa9"), *task.count(), *task.flush()], ignore_index=True)
+    sent = phrase_mining._packed(blocks).to_pandas()
+    assert set(blocks["level"]) == {1, 2, 3}
+    for (level, shard), own in blocks.groupby(["level", "shard"]):
+        back = phrase_mining._unpacked(sent[(sent["level"] == level) & (sent["shard"] == shard)])
+        for c in ("h1", "h2", "h3", "n", "words"):
+            assert [bytes(x) for x in back[c]] == own[c].tolist()
+        assert level > 1 or back["lang"].tolist() == own["lang"].tolist()
+
+
+def test_a_shard_is_added_up_in_little_memory():
+    """Equal pairs of all blocks meet, and no more than a part of the shard is sorted at once."""
+    rnd, blocks, plain = np.random.default_rng(1), [], Counter()
+    for _ in range(40):
+        h1 = np.sort(rnd.integers(0, 1 << 63, 25_000, dtype=np.uint64) * np.uint64(2))
+        h1[:3], h2 = (1, 1, 2), rnd.integers(0, 1 << 63, 25_000, dtype=np.uint64)
+        h2[:3] = (7, 8, 7)
+        n = np.where(np.arange(25_000) == 9, 50, 1).astype(np.uint32)
+        plain.update({(1, 7): 1, (1, 8): 1, (2, 7): 1, (int(h1[9]), int(h2[9])): 50})
+        blocks.append({"level": 2, "shard": 0, "lang": None, "h1": h1.tobytes(), "h2": h2.tobytes(), "h3": b"", "n": n.tobytes(), "words": b""})
+    frame, proposals = pd.DataFrame(blocks), phrase_mining.Proposals(10, 10)
+    tracemalloc.start()
+    out = phrase_mining._merged(frame, 0, 10, proposals, False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = out[out["segment"].isna()]
+    got = {(int(np.int64(a).view(np.uint64)), int(np.int64(b).view(np.uint64))): int(n) for a, b, n in zip(found["h1"], found["h2"], found["n"])}
+    assert got == plain
+    assert most < 40e6  # the shard's blocks have 20 MB

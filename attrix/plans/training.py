@@ -183,7 +183,7 @@ def data_digest(data: DataFrame) -> str:
 
 
 #: Raised when fits or scores change, so that results of earlier code are never read.
-FIT_VERSION = 4
+FIT_VERSION = 5
 
 
 def fitted_once(spark: SparkSession, data: DataFrame, name: str, settings, build):

@@ -388,3 +388,20 @@ def test_models_of_few_rows_grow_in_a_task_each(spark, data):
         assert len(a.trees) == len(b.trees) and all(
             np.array_equal(u.feature, v.feature) and np.allclose(u.cut, v.cut) and np.allclose(u.weight, v.weight)
             for u, v in zip(a.trees, b.trees, strict=True))
+
+
+def test_steps_reach_the_lowest_point_along_flat_directions():
+    """Columns that add up to others, as all categories and sums of flags do, leave only a weak L1 penalty to move along."""
+    rng = np.random.default_rng(6)
+    kinds = rng.integers(0, 3, (400, 4))
+    flags = np.concatenate([kinds == k for k in range(3)], axis=1).astype(float)
+    x = np.column_stack([flags, flags, flags[:, :5].sum(axis=1), rng.normal(size=400), np.ones(400)])
+    y = x @ rng.normal(size=x.shape[1])
+    hessian = np.stack([x.T @ x] * 2)
+    l1 = np.array([0.05, 20.0])
+    beta = rng.normal(size=(2, x.shape[1]))
+    gradient = np.stack([x.T @ (x @ b - y) for b in beta])
+    for b, lam in zip(batched.proximal_step(beta, gradient, hessian, l1, np.zeros(2)), l1):
+        slope, of = x.T @ (x @ b - y), b[:-1]
+        assert abs(slope[-1]) < 1e-6 and np.all(np.abs(slope[:-1][of == 0]) <= lam + 1e-6) and (of == 0).any()
+        assert np.allclose(slope[:-1][of != 0], -lam * np.sign(of[of != 0]), atol=1e-6)

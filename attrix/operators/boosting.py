@@ -1,6 +1,7 @@
 """Second-order boosted trees (M6): histograms of gradients and Hessians, Newton leaf weights.
 
-Rows are binned once: a feature of few different values has a bin for each, another has bins between its quantiles. Each
+Rows are binned once: a feature of few different values has a bin for each, another has bins between its quantiles. Up to
+``TASK_ROWS`` rows a task for each model holds them as bytes and grows all its trees. Beyond that each
 level of a tree takes one sweep over the packed rows, which adds up the gradient and the Hessian of the log loss by (model,
 node, bin); every node's split is picked from these sums on the executors, so that the driver gets a few numbers a node
 whatever the rows and bins, and leaf weights are -G / (H + l2), shrunk by the rate. Models
@@ -26,6 +27,8 @@ from .blocks import packed_rows, reduced, total
 
 CHECKPOINT = 20
 MAX_BINS = 255
+#: Rows of a model that one task may hold (about 100 bytes each, 400 MB).
+TASK_ROWS = 1 << 22
 #: A split must gain more than this.
 LEAST_GAIN = 1e-6
 
@@ -116,10 +119,17 @@ class _Bins:
         self.slots = int(self.first[-1])
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty(x.shape, np.int32)
+        return self.first[:-1].astype(np.int32) + self.numbers(x)
+
+    def numbers(self, x: np.ndarray) -> np.ndarray:
+        """Each value's place among its feature's slots, as bytes where they are enough."""
+        out = np.zeros(x.shape, np.uint8 if self.sizes.max(initial=0) <= 256 else np.int32)
         for f, c in enumerate(self.cuts):
-            v = x[:, f]
-            out[:, f] = self.first[f] + np.where(np.isnan(v), len(c) + 1, np.searchsorted(c, v, side="right"))
+            if len(c):
+                v = np.ascontiguousarray(x[:, f])
+                out[:, f] = v >= c[0] if len(c) == 1 else np.searchsorted(c, v, side="right")
+        row, f = np.nonzero(np.isnan(x))
+        out[row, f] = self.sizes[f] - 1
         return out
 
 
@@ -240,23 +250,7 @@ class _Sweeps:
                 kept.unpersist()
 
 
-class _InTask:
-    """The same over the blocks of one partition, in one task."""
-
-    def __init__(self, blocks: Iterable, start):
-        self.rows = [start(b) for b in blocks]
-
-    def total(self, sums) -> np.ndarray | None:
-        return sum(sums(r) for r in self.rows) if self.rows else None
-
-    def picked(self, sums, pick, nodes: int) -> tuple[np.ndarray, ...]:
-        return pick(self.total(sums))
-
-    def move(self, change) -> None:
-        self.rows = [change(r) for r in self.rows]
-
-
-def _grow(sweeps: _Sweeps | _InTask, bins: _Bins, s: BoostSettings, models: int) -> tuple[list[dict], list[Tree]]:
+def _grow(sweeps: _Sweeps, bins: _Bins, s: BoostSettings, models: int) -> tuple[list[dict], list[Tree]]:
     """The next tree of every model, and its splits by level in the form the rows are moved by."""
     size = (2 << s.depth) - 1
     shape = (models, size)
@@ -288,7 +282,7 @@ def _grow(sweeps: _Sweeps | _InTask, bins: _Bins, s: BoostSettings, models: int)
     return splits, trees
 
 
-def _boost(sweeps: _Sweeps | _InTask, bins: _Bins, s: BoostSettings, models: int) -> list[BoostedModel]:
+def _boost(sweeps: _Sweeps, bins: _Bins, s: BoostSettings, models: int) -> list[BoostedModel]:
     sums = sweeps.total(lambda r: np.stack([(r.weight * (0.5 - r.y)).sum(axis=1), r.weight.sum(axis=1) / 4]))
     if sums is None or not bins.cuts:
         return [BoostedModel(0.0) for _ in range(models)]
@@ -311,13 +305,119 @@ def _boost(sweeps: _Sweeps | _InTask, bins: _Bins, s: BoostSettings, models: int
     return grown
 
 
+class _Columns:
+    """Rows of one model as columns of bytes: eight features of two bins share a byte, which is counted once for all of them."""
+
+    def __init__(self, parts: list[np.ndarray], bins: _Bins):
+        self.bins = bins
+        missing = np.zeros(len(bins.sizes), bool)
+        for slots in parts:
+            missing |= (slots == bins.sizes - 1).any(axis=0)
+        two = (bins.sizes <= 3) & ~missing
+        self.bits, self.bytes = np.flatnonzero(two), np.flatnonzero(~two)
+        self.held = [np.concatenate([slots[:, f] for slots in parts]) for f in self.bytes]
+        self.held += [np.concatenate([np.packbits(slots[:, self.bits[at:at + 8]], axis=1)[:, 0] for slots in parts])
+                      for at in range(0, len(self.bits), 8)]
+        self.shared = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(float)
+
+    def histogram(self, rows: np.ndarray | None, weights: Sequence[np.ndarray]) -> np.ndarray:
+        """Sums of each of ``weights`` (one number a row of ``rows``; None: all) by slot."""
+        out = np.zeros((len(weights), self.bins.slots))
+        for k, column in enumerate(self.held):
+            key = (column if rows is None else column[rows]).astype(np.intp)
+            sums = [np.bincount(key, w, 256) for w in weights]
+            if k < len(self.bytes):
+                f = self.bytes[k]
+                out[:, self.bins.first[f]:self.bins.first[f + 1]] = np.stack(sums)[:, :self.bins.sizes[f]]
+                continue
+            at = self.bins.first[self.bits[8 * (k - len(self.bytes)):][:8]]
+            one = (np.stack(sums) @ self.shared)[:, :len(at)]
+            two = self.bins.sizes[self.bits[8 * (k - len(self.bytes)):][:8]] == 3
+            out[:, at] = np.stack([w.sum() for w in sums])[:, None] - one
+            out[:, at[two] + 1] = one[:, two]
+        return out
+
+    def left(self, rows: np.ndarray, feature: int, cut: int, missing_left: bool) -> np.ndarray:
+        """Which of ``rows`` go left."""
+        place = np.searchsorted(self.bits, feature)
+        if place < len(self.bits) and self.bits[place] == feature:
+            return self.held[len(self.bytes) + place // 8][rows] & (128 >> place % 8) == 0
+        slot = self.held[np.searchsorted(self.bytes, feature)][rows]
+        left = slot <= cut
+        return left | (slot == self.bins.sizes[feature] - 1) if missing_left else left
+
+
+def _alone(blocks: Iterable, left_out: int, bins: _Bins, s: BoostSettings) -> BoostedModel:
+    """One model over (bins, (label, fold)) of all blocks, in one task.
+
+    Gradients and Hessians are rounded to a power of two at which all their sums are exact. So the order of the rows doesn't matter,
+    and of two children only the smaller one's rows are added up: the other has what remains of its parent.
+    """
+    slots, labels = [], []
+    for numbers, other in blocks:
+        own = (other[:, 1] != left_out) & ((other[:, 0] != 1) | (s.positive_weight > 0))
+        slots.append(numbers[own])
+        labels.append(other[own, 0] == 1)
+    if not slots or not bins.cuts:
+        return BoostedModel(0.0)
+    columns, y = _Columns(slots, bins), np.concatenate(labels).astype(float)
+    slots.clear()
+    n, positive, weight = len(y), y.sum(), np.where(y == 1, s.positive_weight, 1.0)
+    whole = n - positive + s.positive_weight * positive
+    base = (s.positive_weight * positive - (n - positive)) / 2 / (whole / 4) if n else 0.0
+    unit = 2.0 ** (51 - np.ceil(np.log2(max(2.0, n * max(1.0, s.positive_weight)))))
+    model, margin, every = BoostedModel(float(base)), np.full(n, base), np.arange(n, dtype=np.int32)
+    for _ in range(s.rounds):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = (np.rint(v * unit) / unit for v in (weight * (p - y), weight * p * (1 - p)))
+        tree, leaves = _grow_alone(columns, every, g, h, bins, s)
+        model.trees.append(tree)
+        if not tree.weight.any():
+            break
+        for at, rows in leaves.items():
+            margin[rows] += tree.weight[at]
+    return model
+
+
+def _grow_alone(columns: _Columns, every: np.ndarray, g: np.ndarray, h: np.ndarray, bins: _Bins, s: BoostSettings) -> tuple[Tree, dict]:
+    """The next tree, and the rows of each of its leaves."""
+    size = (2 << s.depth) - 1
+    tree = Tree(np.full(size, -1), np.zeros(size), np.zeros(size, bool), np.zeros(size))
+    sums, rows = np.zeros((2, size)), {0: every}
+    sums[:, 0] = g.sum(), h.sum()
+    level = {0: columns.histogram(None, (g, h))} if s.depth else {}  # histograms of the nodes
+    for depth in range(s.depth):
+        nodes = list(level)
+        found = best_splits(*np.stack([level[k] for k in nodes]).swapaxes(0, 1), bins, s)
+        below = {}
+        for k, f, cut, missing_left, left_g, left_h in zip(nodes, *found):
+            if f < 0:
+                continue
+            tree.feature[k], tree.cut[k], tree.missing_left[k] = f, bins.cuts[f][cut], missing_left
+            mine = rows.pop(k)
+            left = columns.left(mine, f, cut, missing_left)
+            kids = {2 * k + 1: mine[left], 2 * k + 2: mine[~left]}
+            sums[:, 2 * k + 1] = left_g, left_h
+            sums[:, 2 * k + 2] = sums[:, k] - sums[:, 2 * k + 1]
+            rows |= kids
+            if depth + 1 < s.depth:
+                few, many = sorted(kids, key=lambda c: len(kids[c]))
+                below[few] = columns.histogram(kids[few], (g[kids[few]], h[kids[few]]))
+                below[many] = level[k] - below[few]
+        level = below
+        if not level:
+            break
+    tree.weight[:] = np.where(tree.feature < 0, -s.rate * sums[0] / (sums[1] + s.l2), 0.0)
+    return tree, rows
+
+
 def fit_boosted(df: DataFrame, features: str, label: str, width: int, settings: BoostSettings | None = None, fold: str | None = None,
                 leave_out: Sequence[int | None] = (None,), rows: int | None = None,
                 cuts: list[np.ndarray] | None = None, in_task: bool | None = None) -> list[BoostedModel]:
     """One model for each entry of ``leave_out`` (a fold whose rows it doesn't see, or None), all grown together.
 
-    Where the rows are one partition (``rows`` is given and at most ``blocks.PARTITION_ROWS``), a task for each model makes all its
-    sweeps instead of one job for each; the models are the same.
+    Where ``rows`` is given and at most ``TASK_ROWS``, a task for each model holds its rows as bytes and grows all its trees, instead
+    of a few jobs for each tree; the models are the same, but for rounding.
     """
     s = settings or BoostSettings()
     bins = _Bins(cut_points(df, features, width) if cuts is None else cuts)
@@ -332,15 +432,19 @@ def fit_boosted(df: DataFrame, features: str, label: str, width: int, settings:
         weight = np.where(y == 1, s.positive_weight, 1.0) * (other[:, 1] != left_out[:, None])
         return _Rows(bins.of(x), y, weight, np.zeros(weight.shape))
 
-    if (rows is not None and blocks.getNumPartitions() == 1) if in_task is None else in_task:
-        one = blocks.coalesce(1)
+    if (rows is not None and rows <= TASK_ROWS and bins.sizes.max(initial=0) <= 256) if in_task is None else in_task:
+        held = blocks.map(lambda b: (bins.numbers(b[0]), b[1])).persist(StorageLevel.MEMORY_AND_DISK)
+        held.count()  # binned where the blocks are
+        blocks.unpersist()
+        one = held.coalesce(1)
 
-        def alone(left: np.ndarray) -> RDD:
-            return one.mapPartitions(lambda it: _boost(_InTask(it, lambda b: start(b, left)), bins, s, 1))
+        def alone(left: int) -> RDD:
+            return one.mapPartitions(lambda it: [_alone(it, left, bins, s)])
 
-        got = one.context.union([alone(left_out[m:m + 1]) for m in range(models)]).collect()  # in the order of the models
-        blocks.unpersist()
-        return got
+        try:
+            return one.context.union([alone(int(left)) for left in left_out]).collect()  # in the order of the models
+        finally:
+            held.unpersist()
     sweeps = _Sweeps(blocks, start)
     try:
         return _boost(sweeps, bins, s, models)

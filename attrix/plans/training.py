@@ -80,10 +80,9 @@ def boosted(train: DataFrame, prm: dict, leave_out: Sequence[int | None] = (None
                                 n["neg"] + n["pos"])
 
 
-def boosted_folds(data: DataFrame) -> dict[int | None, boosting.BoostedModel]:
-    """The boosted model of every fold (which leaves the fold's rows out) and that of all train rows (None), grown together."""
-    left_out = [*range(C.N_FOLDS), None]
-    kept = fitted_once(data.sparkSession, data, "boosted_folds", left_out, lambda: [
+def boosted_kept(data: DataFrame, left_out: Sequence[int | None]) -> dict[int | None, boosting.BoostedModel]:
+    """The boosted models of all train rows but those of each fold of ``left_out`` (None: of all train rows), grown once."""
+    kept = fitted_once(data.sparkSession, data, f"boosted-{'train' if None in left_out else 'folds'}", list(left_out), lambda: [
         m.to_dict() for m in boosted(_train(data), {}, left_out)])
     return dict(zip(left_out, map(boosting.BoostedModel.from_dict, kept)))
 
@@ -163,7 +162,7 @@ def fold_predictions(data: DataFrame, name: str, prm: dict | None = None, parall
         models = batch_fit(data, [batched.Problem(prm.get("C", 1.0), prm.get("l1_ratio", 0.0), f) for f in folds])
         return train.select(*keep, linear_probability(x, dict(zip(folds, models)), F.col("fold")).alias("p"))
     if name == "boosted_trees":
-        models = boosted_folds(data) if not prm else dict(zip(folds, boosted(train, prm, list(folds))))
+        models = boosted_kept(data, list(folds)) if not prm else dict(zip(folds, boosted(train, prm, list(folds))))
         return train.select(*keep, boosting.boosted_probability(x, {f: models[f] for f in folds}, F.col("fold")).alias("p"))
 
     def one(f: int) -> DataFrame:
@@ -183,7 +182,7 @@ def data_digest(data: DataFrame) -> str:
 
 
 #: Raised when fits or scores change, so that results of earlier code are never read.
-FIT_VERSION = 5
+FIT_VERSION = 6
 
 
 def fitted_once(spark: SparkSession, data: DataFrame, name: str, settings, build):
@@ -241,7 +240,7 @@ def validation_scores(spark: SparkSession, data: DataFrame) -> DataFrame:
     def build():
         with ThreadPoolExecutor(max_workers=len(MODELS)) as pool:
             forest = pool.submit(fit, "random_forest", _train(data))
-            trees = pool.submit(boosted_folds, data)
+            trees = pool.submit(boosted_kept, data, [None])
             models = [batch_fit(data, [batched.Problem(1.0, 0.0)])[0], forest.result(), trees.result()[None]]
         every = reduce(DataFrame.unionByName, [
             predictions(m, val).select(F.lit(n).alias("model"), "y", "p") for n, m in zip(MODELS, models)]).checkpoint()

@@ -405,3 +405,33 @@ def test_steps_reach_the_lowest_point_along_flat_directions():
         slope, of = x.T @ (x @ b - y), b[:-1]
         assert abs(slope[-1]) < 1e-6 and np.all(np.abs(slope[:-1][of == 0]) <= lam + 1e-6) and (of == 0).any()
         assert np.allclose(slope[:-1][of != 0], -lam * np.sign(of[of != 0]), atol=1e-6)
+
+
+def test_models_of_several_partitions_grow_in_a_task_each(spark, monkeypatch):
+    """Rows beyond one partition don't take jobs for each tree; missing values and features of two bins count as in sweeps."""
+    from attrix.operators import blocks
+
+    monkeypatch.setattr(blocks, "PARTITION_ROWS", 200)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(9)
+    n = 1000
+    x = np.column_stack([rng.normal(size=(n, 2)), rng.integers(0, 2, (n, 11)), np.ones(n), rng.integers(0, 5, n)]).astype(float)
+    x[:, 1][rng.random(n) < 0.2] = x[:, 4][rng.random(n) < 0.2] = np.nan
+    y = (x[:, 0] + x[:, 3] + np.nan_to_num(x[:, 1]) + 2 * np.nan_to_num(x[:, 4]) + rng.normal(size=n) > 2).astype(float)
+    rows = [([None if np.isnan(v) else float(v) for v in r], float(label), k % 3) for k, (r, label) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "x array<double>, label double, fold int").repartition(6).checkpoint()
+    s, left_out = boosting.BoostSettings(rounds=12, positive_weight=1.5), [0, 1, 2, None]
+    sc, group = spark.sparkContext, "several-partitions"
+    cuts = boosting.cut_points(df, "x", x.shape[1])
+    sc.setJobGroup(group, "boosting")
+    try:
+        alone = boosting.fit_boosted(df, "x", "label", x.shape[1], s, "fold", left_out, n, cuts)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup(group)) < s.rounds
+    together = boosting.fit_boosted(df, "x", "label", x.shape[1], s, "fold", left_out, n, cuts, in_task=False)
+    for a, b in zip(alone, together, strict=True):
+        assert a.base == pytest.approx(b.base) and len(a.trees) == len(b.trees) == s.rounds
+        assert any(t.missing_left.any() for t in a.trees)
+        assert all(np.array_equal(u.feature, v.feature) and np.allclose(u.cut, v.cut) and np.array_equal(u.missing_left, v.missing_left)
+                   and np.allclose(u.weight, v.weight, atol=1e-8) for u, v in zip(a.trees, b.trees))

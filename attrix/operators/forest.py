@@ -17,9 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
-from pyspark import RDD
+from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
@@ -29,11 +30,14 @@ from ..session import scratch_path
 from .blocks import packed_rows, reduced
 from .boosting import cut_points
 
-GROUP_ROWS = 1 << 17
+GROUP_ROWS = 1 << 20  # about 150 bytes each while a task grows from them
 MAX_BINS = 32
+#: Rows for which cells are counted at a time, and blocks scored at a time.
+STRIP, SCORED = 1 << 14, 32
 #: Trees whose rows are shuffled at the same time.
 TOGETHER = 50
 _MOST = 63  # times a row can count in a tree; a Poisson draw of mean 1 is never near it
+_PACK = float(1 << 26)  # of two counts in one number, the one that is multiplied
 
 _NODES = "tree int, part int, feature binary, cut binary, child binary, p binary, w0 double, w1 double, importance array<double>"
 
@@ -42,7 +46,10 @@ def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     """Bin of each value: the number of cuts at or below it; a missing value lies below all."""
     out = np.zeros(x.shape, np.uint8)
     for f, c in enumerate(cuts):
-        out[:, f] = np.where(np.isnan(x[:, f]), 0, np.searchsorted(c, x[:, f], side="right"))
+        if len(c):
+            v = np.ascontiguousarray(x[:, f])
+            out[:, f] = v >= c[0] if len(c) == 1 else np.searchsorted(c, v, side="right")
+    out[np.isnan(x)] = 0
     return out
 
 
@@ -155,61 +162,106 @@ class _Tree:
 
 def _leaf_of(feature: np.ndarray, cut: np.ndarray, child: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The node at which each row ends."""
-    at = np.zeros(len(b), np.int64)
-    moving = np.arange(len(b)) if feature[0] >= 0 else np.zeros(0, int)
-    while len(moving):
-        f = feature[at[moving]]
-        at[moving] = child[at[moving]] + (b[moving, f] >= cut[at[moving]])
-        moving = moving[feature[at[moving]] >= 0]
-    return at
+    out = np.zeros(len(b), np.int64)
+    rows, at, flat = np.arange(len(b)) if feature[0] >= 0 else np.zeros(0, int), np.zeros(len(b), np.int64), b.ravel()
+    while len(rows):
+        value = flat.take(rows * b.shape[1] + feature.take(at))
+        at = child.take(at) + (value >= cut.take(at))
+        inner = feature.take(at) >= 0
+        ends = ~inner
+        out[rows[ends]] = at[ends]
+        rows, at = rows[inner], at[inner]
+    return out
+
+
+def _cells(b: np.ndarray, sums: np.ndarray, sizes: np.ndarray, pick: np.ndarray, bins: np.ndarray):
+    """Filled (node, place, bin) cells of the drawn features in this order: group (node * drawn + place), bin and sum.
+
+    Rows are ordered by node; ``sizes`` are the rows of each node and ``bins`` the bins of each feature. Nodes are taken some
+    ``STRIP`` rows at a time, so that what is made of them stays in the cache.
+    """
+    ends = np.cumsum(sizes)
+    cuts = np.unique([0, *np.searchsorted(ends, np.arange(STRIP, len(b), STRIP)), len(sizes)])
+    found = [_strip(b[start:end], sums[start:end], sizes[u:v], pick[u:v], bins)
+             for u, v, start, end in zip(cuts[:-1], cuts[1:], ends[cuts[:-1]] - sizes[cuts[:-1]], ends[cuts[1:] - 1])]
+    group = np.concatenate([g + u * pick.shape[1] for u, (g, _, _) in zip(cuts[:-1], found)])
+    return group, np.concatenate([v for _, v, _ in found]), np.concatenate([v for _, _, v in found])
+
+
+def _strip(b: np.ndarray, sums: np.ndarray, sizes: np.ndarray, pick: np.ndarray, bins: np.ndarray):
+    nodes, drawn = pick.shape
+    of = bins[pick]
+    first = (np.cumsum(of.ravel()) - of.ravel()).reshape(of.shape)
+    at, flat, all_ = np.arange(len(b)) * b.shape[1], b.ravel(), int(of.sum())
+    if all_ <= 4 * len(b) * drawn:
+        cells = np.empty(all_)
+        for k in range(drawn):
+            own = np.cumsum(of[:, k]) - of[:, k]
+            key = np.repeat(own, sizes)
+            key += flat.take(np.repeat(pick[:, k], sizes) + at)
+            found = np.bincount(key, sums, int(of[:, k].sum()))
+            cells[np.repeat(first[:, k] - own, of[:, k]) + np.arange(len(found))] = found
+        filled = np.flatnonzero(cells)
+        cells = cells[filled]
+    else:  # few rows for their bins: runs of equal cells
+        key = np.repeat(first, sizes, axis=0) + flat.take(np.repeat(pick, sizes, axis=0) + at[:, None])
+        order = np.argsort(key, axis=None)
+        key = key.ravel()[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        filled, cells = key[new], np.add.reduceat(np.repeat(sums, drawn)[order], new)
+    group = np.repeat(np.arange(nodes * drawn), of.ravel())[filled]
+    return group, filled - first.ravel()[group], cells
 
 
 def grow(b: np.ndarray, y: np.ndarray, counts: np.ndarray, weights: np.ndarray, drawn: int, depth: int, rng: np.random.Generator) -> _Tree:
-    """The whole tree of at most ``depth`` levels of splits over binned rows, level by level."""
-    width, most = b.shape[1], MAX_BINS + 2
-    at, rows, n = np.zeros(len(b), np.int64), np.arange(len(b)), 1
+    """The whole tree of at most ``depth`` levels of splits over binned rows, level by level.
+
+    The rows of nodes that may split are kept in the order of their nodes. A row's count of all rows and of rows of class 1 are
+    one number, so that one sum gives both.
+    """
+    bins = b.max(axis=0, initial=0).astype(np.int64) + 1
+    sums = counts + _PACK * (counts * y)
+    node, sizes = np.array([sums.sum()]), np.array([len(b)])  # sums of the level's nodes, rows of those that may split
     feature, cut, child, w, gain = [], [], [], [], []
     done = 0
+
+    def classes(packed: np.ndarray) -> np.ndarray:
+        one = np.floor(packed / _PACK)
+        return np.column_stack([packed - one * _PACK - one, one])
+
     for level in range(depth + 1):
-        yy, cc = y[rows], counts[rows]
-        tally = np.bincount(at * 2 + yy, cc, 2 * n).reshape(n, 2)
-        here = tally * weights
+        n = len(node)
+        here = classes(node) * weights
         feat, first, kids, gains = np.full(n, -1), np.zeros(n, int), np.zeros(n, int), np.zeros(n)
         open_ = (here > 0).all(axis=1)
+        node = np.zeros(0)
         if level < depth and open_.any():
-            number = np.cumsum(open_) - 1
-            keep = open_[at]
-            rows, at, yy, cc = rows[keep], number[at[keep]], yy[keep], cc[keep]
-            k = int(open_.sum())
-            pick = _drawn(rng, k, width, drawn)
-            bins = np.take_along_axis(b[rows], pick[at], axis=1)
-            slot = ((at[:, None] * drawn + np.arange(drawn)) * most + bins).ravel()
-            if k * drawn * most <= 2 * slot.size:  # wide nodes: a cell for every bin
-                cells = np.bincount(slot * 2 + np.repeat(yy, drawn), np.repeat(cc, drawn), 2 * k * drawn * most).reshape(-1, 2)
-                key = np.flatnonzero(cells.any(axis=1))
-                cells = cells[key]
-            else:  # narrow nodes: runs of equal keys, which carry class and count in their low bits
-                packed = np.sort(slot << 7 | np.repeat(yy << 6 | cc, drawn))
-                key = packed >> 7
-                new = np.concatenate([[True], key[1:] != key[:-1]])
-                run = np.cumsum(new) - 1
-                cells = np.bincount(run * 2 + (packed >> 6 & 1), packed & 63, 2 * int(new.sum())).reshape(-1, 2)
-                key = key[new]
-            g, place, right = _best(key // most, key % most, cells[:, 0] * weights[0], cells[:, 1] * weights[1], k, drawn)
+            pick = _drawn(rng, len(sizes), b.shape[1], drawn)
+            group, bin_, cells = _cells(b, sums, sizes, pick, bins)
+            by_class = classes(cells) * weights
+            g, place, right = _best(group, bin_, by_class[:, 0], by_class[:, 1], len(sizes), drawn)
             won = g > 0
             split = np.flatnonzero(open_)[won]
-            feat[split], first[split], gains[split] = pick[won, place[won]], right[won], g[won]
+            best = pick[np.arange(len(pick)), place]
+            feat[split], first[split], gains[split] = best[won], right[won], g[won]
             kids[split] = done + n + 2 * np.arange(len(split))
-            go = won[at]
-            rows, at = rows[go], at[go]
-            order = np.cumsum(won) - 1
-            at = 2 * order[at] + (b[rows, pick[at, place[at]]] >= right[at])
-        else:
-            split = np.zeros(0, int)
+            rows = np.flatnonzero(np.repeat(won, sizes))
+            held = sizes[won]
+            go_right = b.ravel().take(rows * b.shape[1] + np.repeat(best[won], held)) >= np.repeat(right[won], held)
+            to = 2 * np.repeat(np.arange(len(split)), held) + go_right
+            node = np.bincount(to, sums[rows], 2 * len(split))
+            stay = (classes(node) * weights > 0).all(axis=1)
+            if stay.any() and level + 1 < depth:
+                if not stay.all():
+                    keep = stay[to]
+                    rows, to, go_right = rows[keep], to[keep], go_right[keep]
+                order, every = _by_child(to, go_right, len(split))
+                rows = rows[order]
+                b, sums, sizes = b.take(rows, axis=0), sums[rows], every[stay]
         for held, v in ((feature, feat), (cut, first), (child, kids), (w, here), (gain, gains)):
             held.append(v)
-        done, n = done + n, 2 * len(split)
-        if not n:
+        done += n
+        if not len(node):
             break
     starts = np.cumsum([0, *map(len, feature[:-1])]).tolist()
     tree = _Tree(*(np.concatenate(v) for v in (feature, cut, child, w, gain)), starts)
@@ -217,6 +269,21 @@ def grow(b: np.ndarray, y: np.ndarray, counts: np.ndarray, weights: np.ndarray,
     return tree
 
 
+def _by_child(to: np.ndarray, right: np.ndarray, parents: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by child, for rows in the order of their parents, and the rows of each child."""
+    every = np.bincount(to, minlength=2 * parents)
+    start = np.cumsum(every) - every
+    rights = np.cumsum(right)
+    before = np.cumsum(every[1::2]) - every[1::2]  # right rows of the parents before
+    both = every[::2] + every[1::2]
+    lefts_before = np.cumsum(every[::2]) - every[::2]
+    place = np.where(right, rights - 1 + np.repeat(start[1::2] - before, both),
+                     np.arange(len(to)) - rights + np.repeat(start[::2] - lefts_before, both))
+    order = np.empty(len(to), np.int64)
+    order[place] = np.arange(len(to))
+    return order, every
+
+
 class _Top:
     """The wide nodes of one tree. Rows that end at one of its leaves are grown on by a task (``part``: the leaf's number)."""
 
@@ -261,11 +328,14 @@ class Forest:
         if not width:
             return ForestModel(None, [], [], np.zeros(0))
         cuts = cut_points(rows, "x", width, MAX_BINS)
-        kept = packed_rows(rows, "x", ["label"], width, n)
+        packed = packed_rows(rows, "x", ["label"], width, n)
+        kept = _numbered(packed, cuts).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.count()  # binned once, as every sweep reads all rows
+        packed.unpersist()
         path = scratch_path(spark, "forest")
         tops = [_Top() for _ in range(self.n_trees)]
         for at in range(0, self.n_trees, TOGETHER):
-            self._grow_some(spark, _numbered(kept, cuts), cuts, weights, n, range(at, min(at + TOGETHER, self.n_trees)), tops, path)
+            self._grow_some(spark, kept, cuts, weights, n, range(at, min(at + TOGETHER, self.n_trees)), tops, path)
         kept.unpersist()
         return self._finished(spark, tops, cuts, weights, path)
 
@@ -426,11 +496,16 @@ class ForestModel:
 
         def scored(item) -> Iterator:
             (t, _), (chunks, nodes) = item
-            nodes = list(nodes)
-            for number, sent in chunks:
-                raw = np.frombuffer(sent, np.uint8).reshape(-1, layout.size() + 4)
-                feature, cut, child, p = (np.frombuffer(nodes[0][k], kind) for k, kind in enumerate(("i2", "u1", "i4", "f8")))
-                yield number, (t, np.ascontiguousarray(raw[:, -4:]).view("<u4").ravel(), p[_leaf_of(feature, cut, child, layout.unpack(raw[:, :-4]))])
+            nodes, chunks = list(nodes), iter(chunks)
+            feature, cut, child, p = (np.frombuffer(nodes[0][k], kind) for k, kind in enumerate(("i2", "u1", "i4", "f8")))
+            while some := list(islice(chunks, SCORED)):
+                raw = np.frombuffer(b"".join(sent for _, sent in some), np.uint8).reshape(-1, layout.size() + 4)
+                found = p[_leaf_of(feature, cut, child, layout.unpack(raw[:, :-4]))]
+                ids, at = np.ascontiguousarray(raw[:, -4:]).view("<u4").ravel(), 0
+                for number, sent in some:
+                    end = at + len(sent) // raw.shape[1]
+                    yield number, (t, ids[at:end], found[at:end])
+                    at = end
 
         def added(item) -> Iterator:
             number, (found, ids) = item

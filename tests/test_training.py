@@ -435,3 +435,39 @@ def test_models_of_several_partitions_grow_in_a_task_each(spark, monkeypatch):
         assert any(t.missing_left.any() for t in a.trees)
         assert all(np.array_equal(u.feature, v.feature) and np.allclose(u.cut, v.cut) and np.array_equal(u.missing_left, v.missing_left)
                    and np.allclose(u.weight, v.weight, atol=1e-8) for u, v in zip(a.trees, b.trees))
+
+
+def test_rows_are_binned_once_for_all_trees(spark, data, monkeypatch):
+    from attrix.operators import forest
+
+    calls, numbered = [], forest._numbered
+    monkeypatch.setattr(forest, "_numbered", lambda *a: (calls.append(1), numbered(*a))[1])
+    train = data.where("split = 'train'")
+    one = T.fit("random_forest", train, {"n_trees": 7})
+    monkeypatch.setattr(forest, "TOGETHER", 2)
+    monkeypatch.setattr(forest, "SCORED", 1)
+    many = T.fit("random_forest", train, {"n_trees": 7})
+    assert len(calls) == 2
+    assert np.array_equal(one.featureImportances.toArray(), many.featureImportances.toArray())
+    p = [sorted((r.CustomerID, r.p) for r in T.predictions(m, data.where("split = 'val'")).collect()) for m in (one, many)]
+    assert p[0] == p[1]
+
+
+@pytest.mark.parametrize("values", [2, 30])
+def test_cells_are_those_of_all_rows(monkeypatch, values):
+    """Dense cells, runs of few rows and strips of nodes count every row once."""
+    from attrix.operators import forest
+
+    rng = np.random.default_rng(values)
+    sizes = rng.integers(1, 4, 60) if values > 2 else rng.integers(1, 90, 60)
+    b = rng.integers(0, values, (sizes.sum(), 5)).astype(np.uint8)
+    sums, pick = rng.integers(1, 5, len(b)).astype(float), np.stack([rng.permutation(5)[:3] for _ in sizes])
+    want = {}
+    for row, node, v in zip(b, np.repeat(np.arange(60), sizes), sums):
+        for place, f in enumerate(pick[node]):
+            want[node * 3 + place, row[f]] = want.get((node * 3 + place, row[f]), 0) + v
+    for strip in (7, 1 << 14):
+        monkeypatch.setattr(forest, "STRIP", strip)
+        group, bin_, cells = forest._cells(b, sums, sizes, pick, np.full(5, values))
+        keys = list(zip(group.tolist(), bin_.tolist()))
+        assert keys == sorted(keys) and dict(zip(keys, cells)) == want
